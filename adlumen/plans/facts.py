@@ -78,9 +78,9 @@ def volume_impressions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _events(spark: SparkSession, folder: str) -> DataFrame:
+def _as_events(table_rows: DataFrame) -> DataFrame:
     ad = F.from_json("props", "k BIGINT").getField("k")
-    rows = table(spark, folder, "events").select(
+    rows = table_rows.select(
         F.col("event_id").alias("id"), F.col("ts").alias("timestamp"), "user_id", "event_type",
         "value", ad.alias("ad_id"),
     )
@@ -88,6 +88,22 @@ def _events(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("campaign_id", campaign).withColumn("tenant_id", _tenant_of(campaign))
 
 
+def _events(spark: SparkSession, folder: str) -> DataFrame:
+    return _as_events(table(spark, folder, "events"))
+
+
+def live_events(rows: DataFrame) -> DataFrame:
+    """Rows of the events table, static or streaming, as views and clicks on the live topics."""
+    kind = F.col("event_type")
+    name = F.when(kind == "view", "impression_created").when(kind == "click", "click_registered")
+    return _as_events(rows).select(
+        F.col("id").alias("event_id"), name.alias("event_type"), "tenant_id", "campaign_id",
+        "ad_id", "user_id",
+        F.when(kind == "view", F.col("value").cast("decimal(10,4)")).alias("cost"),
+        F.col("timestamp").cast("timestamp").alias("timestamp"),
+    ).filter(F.col("event_type").isNotNull())
+
+
 def impressions(spark: SparkSession, folder: str) -> DataFrame:
     views = _events(spark, folder).filter(F.col("event_type") == "view")
     return views.select("id", "tenant_id", "ad_id", "user_id", "timestamp",

@@ -214,6 +214,19 @@ _DAYS = """days AS (
   FROM campaign c JOIN ad ON ad.campaign_id = c.id JOIN impression i ON i.ad_id = ad.id
   GROUP BY ALL)"""
 
+_LIVE = """live AS (
+  SELECT id AS event_id,
+         CASE event_type WHEN 'view' THEN 'impression_created' ELSE 'click_registered' END
+           AS event_type,
+         tenant_id, campaign_id, ad_id, user_id,
+         CASE WHEN event_type = 'view' THEN CAST(value AS DECIMAL(10,4)) END AS cost, timestamp
+  FROM ev WHERE event_type IN ('view', 'click'))"""
+# An append-mode stream emits the windows its watermark has passed. Spark keeps
+# the watermark in whole milliseconds.
+_WATERMARK = """late AS (
+  SELECT date_trunc('millisecond', max(timestamp)) - INTERVAL 10 MINUTE AS watermark FROM live
+  WHERE event_type = 'impression_created')"""
+
 ORACLES: dict[str, str] = {
     "cohort_retention": _cohort(EVENT, IMPRESSION),
     "cohort_retention_volume": _cohort(VOLUME),
@@ -511,6 +524,49 @@ SELECT concat_ws('; ',
          CASE WHEN status = 'stopped' THEN 'status is not a valid choice' END) AS errors,
        count(*) AS rows
 FROM rows GROUP BY ALL""",
+    "stream_publish": _with(EVENT, _LIVE) + """
+SELECT CASE event_type WHEN 'impression_created' THEN 'impressions' ELSE 'clicks' END
+         || '-tenant-' || tenant_id AS topic,
+       '{"event_id":' || event_id || ',"event_type":"' || event_type || '","tenant_id":'
+         || tenant_id || ',"campaign_id":' || campaign_id || ',"ad_id":' || ad_id
+         || ',"user_id":' || user_id || coalesce(',"cost":"' || cost || '"', '')
+         || ',"timestamp":"' || strftime(timestamp, '%Y-%m-%d %H:%M:%S.%f') || '"}' AS value
+FROM live""",
+    "stream_ingest_events": _with(EVENT, _LIVE) + """
+SELECT event_id, event_type, tenant_id, campaign_id, user_id, CAST(cost AS DOUBLE) AS cost, timestamp
+FROM live""",
+    "stream_dedup_events": _with(EVENT, _LIVE) + """
+SELECT * REPLACE (CAST(cost AS DOUBLE) AS cost) FROM live""",
+    "stream_running_counts": _with(EVENT, _LIVE) + """
+SELECT tenant_id, campaign_id, count(*) FILTER (event_type = 'impression_created') AS impressions,
+       count(*) FILTER (event_type = 'click_registered') AS clicks,
+       CAST(coalesce(sum(cost), 0) AS DOUBLE) AS spend, max(timestamp) AS last_update
+FROM live GROUP BY ALL""",
+    "stream_live_metrics": _with(EVENT, _LIVE, _WATERMARK, """panes AS (
+  SELECT live.*, time_bucket(INTERVAL 5 MINUTE, timestamp) - to_minutes(CAST(5 * n AS INTEGER))
+    AS window_start
+  FROM live, range(12) r(n) WHERE event_type = 'impression_created')""", """totals AS (
+  SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, tenant_id, campaign_id,
+         count(*) AS n, count(DISTINCT user_id) AS unique_users, sum(cost) AS total
+  FROM panes GROUP BY ALL)""") + f"""
+SELECT window_start, window_end, tenant_id, campaign_id, n AS impressions_last_hour, unique_users,
+       CAST(total AS DOUBLE) AS total_spend, {mean('total', 'n')} AS avg_cpm,
+       {half_up('n', 'unique_users', 4)} AS frequency
+FROM totals WHERE window_end <= (SELECT watermark FROM late)""",
+    "stream_dashboard": _with(CAMPAIGN, EVENT, _LIVE, _WATERMARK) + """
+SELECT CAST(timestamp AS DATE) AS date, live.tenant_id, count(*) AS impressions_today,
+       CAST(sum(cost) AS DOUBLE) AS spend_today, count(DISTINCT user_id) AS unique_users_today
+FROM live JOIN campaign c ON c.id = live.campaign_id AND c.tenant_id = live.tenant_id
+WHERE c.status = 'active' AND event_type = 'impression_created'
+  AND CAST(timestamp AS DATE) + INTERVAL 1 DAY <= (SELECT watermark FROM late)
+GROUP BY CAST(timestamp AS DATE), live.tenant_id""",
+    "stream_metric_snapshot": _with(EVENT, _LIVE) + """
+SELECT tenant_id, campaign_id, count(*) FILTER (event_type = 'impression_created') AS impressions,
+       count(*) FILTER (event_type = 'click_registered') AS clicks,
+       CAST(CAST(coalesce(sum(cost), 0) AS DECIMAL(12,2)) AS DOUBLE) AS spend
+FROM live GROUP BY ALL""",
+    "stream_sync": _with(*E_ALL) + _warehouse_rows().replace(
+        "\nFROM", ", CAST(timestamp AS DATE) AS date\nFROM"),
 }
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from adlumen.functions.scope import date_range_filter
 from adlumen.operators import attribution as attr
 from adlumen.operators import catalog, cohort, eventlog, jobs, live, performance, validate, warehouse
-from adlumen.plans import facts
+from adlumen.plans import facts, streams
 from adlumen.plans.facts import EVENT_DAY, EVENT_NOON, VOLUME_DAY, VOLUME_NOW
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -271,6 +271,15 @@ QUERIES: dict[str, Query] = {
     "v_status_transition": _transitions,
     "v_required_fields": _required,
     "v_schema": _schema,
+    # Streams
+    "stream_publish": streams.published,
+    "stream_ingest_events": streams.ingested,
+    "stream_dedup_events": streams.deduplicated,
+    "stream_running_counts": streams.running_counts,
+    "stream_live_metrics": streams.live_metrics,
+    "stream_dashboard": streams.dashboard,
+    "stream_metric_snapshot": streams.snapshots,
+    "stream_sync": streams.synced,
 }
 
 
