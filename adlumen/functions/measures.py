@@ -27,6 +27,15 @@ def growth(now: Column, before: Column) -> Column:
     return ratio((whole(now) - whole(before)) * 100, whole(before), 2)
 
 
+def mean_cost(total: Column, count: Column) -> Column:
+    """Mean of a DECIMAL(10,4) cost with eight digits.
+
+    Taken from sum and count, which the reports need anyway: AVG would carry a
+    second pair of them through every shuffle.
+    """
+    return (total / F.nullif(whole(count), F.lit(0))).cast("decimal(14,8)")
+
+
 def frequency(count: Column, users: Column) -> Column:
     """Impressions per user with four digits."""
     return ratio(whole(count), whole(users), 4)

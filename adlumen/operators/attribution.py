@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adlumen.functions.scope import scope, tenant_keys
+from adlumen.functions.sizing import lookup_side
 
 # Attribution weights.
 ONE_DAY_WEIGHT, FIRST_WEIGHT, CONVERTING_WEIGHT, OTHER_WEIGHT = "1.0", "0.4", "0.4", "0.2"
@@ -40,7 +41,7 @@ def _impression_rows(impressions: DataFrame, ads: DataFrame, clicks: DataFrame,
         F.sum("value").alias("value"),
         F.min_by(F.col("conversions").isNotNull(), "id").alias("leads_converting"),
     )
-    lookup = ads.select(F.col("id").alias("ad_id"), "campaign_id")
+    lookup = lookup_side(ads.select(F.col("id").alias("ad_id"), "campaign_id"))
     return (
         impressions.select("id", "tenant_id", "ad_id", "user_id", "timestamp")
         .join(clicked, "id", "left")

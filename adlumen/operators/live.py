@@ -7,11 +7,11 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adlumen.functions.measures import frequency, or_zero
+from adlumen.functions.measures import frequency, mean_cost, or_zero
 from adlumen.functions.scope import Moment, on_day, scope, tenant_keys, trailing
 from adlumen.operators.cohort import cohort_retention
 from adlumen.operators.performance import campaign_daily_performance, top_campaigns
-from adlumen.operators.placement import ads_of_campaigns, with_campaign
+from adlumen.operators.placement import ads_of_campaigns, under_campaigns, with_campaign
 
 # Bid formula.
 DEFAULT_BID, BUSY_FACTOR, QUIET_FACTOR = "0.5", "1.1", "0.9"
@@ -24,7 +24,7 @@ def _trailing_measures(spend: str) -> list[Column]:
         F.count("*").alias("impressions_last_hour"),
         users.alias("unique_users"),
         or_zero(F.sum("cost")).alias(spend),
-        or_zero(F.avg("cost")).alias("avg_cpm"),
+        or_zero(mean_cost(F.sum("cost"), F.count("*"))).alias("avg_cpm"),
         or_zero(frequency(F.count("*"), users)).alias("frequency"),
     ]
 
@@ -137,10 +137,8 @@ def dashboard_totals(campaigns: DataFrame, ads: DataFrame, impressions: DataFram
     """Active campaigns, and impressions, spend and users of a day under them."""
     by = tenant_keys(tenant_id)
     active = scope(campaigns, tenant_id).filter(F.col("status") == "active")
-    lookup = ads_of_campaigns(active, scope(ads, tenant_id))
-    facts = on_day(scope(impressions, tenant_id), day).select(
-        "ad_id", "tenant_id", "user_id", "cost"
-    ).join(lookup, ["ad_id", "tenant_id"])
+    facts = under_campaigns(active, scope(ads, tenant_id), on_day(scope(impressions, tenant_id), day),
+                            "user_id", "cost", same_tenant=True)
     shown = facts.groupBy("tenant_id").agg(
         F.count("*").alias("impressions"),
         F.sum("cost").alias("spend"),

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from adlumen.functions.measures import frequency, growth, or_zero, ratio, whole
+from adlumen.functions.measures import frequency, growth, mean_cost, ratio, whole
 from adlumen.functions.scope import Moment, moment, scope, tenant_keys, trailing
-from adlumen.operators.placement import ads_of_campaigns, under_campaigns, with_campaign
+from adlumen.operators.placement import under_campaigns, with_campaign
 
 
 def _names(campaigns: DataFrame, *more: str) -> DataFrame:
@@ -27,7 +27,7 @@ def _volume() -> list[Column]:
         F.count("*").alias("impressions"),
         F.countDistinct("user_id").alias("unique_users"),
         F.sum("cost").alias("total_cost"),
-        F.avg("cost").alias("avg_cost"),
+        mean_cost(F.sum("cost"), F.count("*")).alias("avg_cost"),
     ]
 
 
@@ -101,14 +101,13 @@ def campaign_ranking(campaigns: DataFrame, ads: DataFrame, impressions: DataFram
     """Active campaigns with impressions, by the mean of three ranks."""
     by = tenant_keys(tenant_id)
     active = scope(campaigns, tenant_id).filter(F.col("status") == "active")
-    facts = scope(impressions, tenant_id).select("ad_id", "tenant_id", "user_id", "cost").join(
-        ads_of_campaigns(active, ads), ["ad_id", "tenant_id"]
-    )
+    facts = under_campaigns(active, ads, scope(impressions, tenant_id), "user_id", "cost",
+                            same_tenant=True)
     totals = facts.groupBy("tenant_id", "campaign_id").agg(
         F.count("*").alias("total_impressions"),
         F.countDistinct("user_id").alias("unique_users"),
         F.sum("cost").alias("total_spend"),
-        F.avg("cost").alias("avg_cpm"),
+        mean_cost(F.sum("cost"), F.count("*")).alias("avg_cpm"),
     )
     today = F.to_date(moment(impressions, as_of))
     scored = totals.join(_names(active, "budget", "start_date"), "campaign_id").select(
@@ -156,7 +155,7 @@ def hourly_trend(ads: DataFrame, impressions: DataFrame, tenant_id: int | None =
         F.count("*").alias("impressions"),
         F.countDistinct("user_id").alias("unique_users"),
         F.sum("cost").alias("spend"),
-        F.avg("cost").alias("avg_cost"),
+        mean_cost(F.sum("cost"), F.count("*")).alias("avg_cost"),
     )
     # At most hours_back + 1 rows per campaign.
     before = F.lag("impressions").over(Window.partitionBy(*by).orderBy("hour_bucket"))
@@ -203,7 +202,7 @@ def campaign_report(ads: DataFrame, impressions: DataFrame, tenant_id: int | Non
         F.count("*").alias("impressions"),
         F.sum("cost").alias("spend"),
         F.countDistinct("user_id").alias("unique_users"),
-        F.avg("cost").alias("avg_cpm"),
+        mean_cost(F.sum("cost"), F.count("*")).alias("avg_cpm"),
     )
     return _top(listed, by, days, F.desc("date"))
 
@@ -219,8 +218,7 @@ def daily_aggregate(ads: DataFrame, impressions: DataFrame,
     per_ad = scope(impressions, tenant_id).groupBy(
         "tenant_id", "ad_id", F.to_date("timestamp").alias("date")
     ).agg(F.count("*").alias("shown"), F.sum("cost").alias("cost"))
-    return with_campaign(per_ad, ads, "date", "shown", "cost").groupBy(
-        *by, "campaign_id", "date"
-    ).agg(
-        or_zero(F.sum("shown")).alias("impressions"), F.sum("cost").alias("total_cost")
+    lookup = ads.select(F.col("id").alias("ad_id"), "campaign_id")
+    return per_ad.join(lookup, "ad_id").groupBy(*by, "campaign_id", "date").agg(
+        F.sum("shown").alias("impressions"), F.sum("cost").alias("total_cost")
     ).orderBy(*by, "campaign_id", "date")

@@ -13,8 +13,6 @@ from adlumen.session import shared_folder
 from adlumen.sources.topics import file_messages
 from adlumen.streaming import ingest, live, sinks
 
-EVENTS = ("event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, "
-          "props STRING")
 
 
 def _fresh(spark: SparkSession, name: str) -> tuple[str, str]:
@@ -29,7 +27,8 @@ def _drain(writer: DataStreamWriter) -> None:
 
 def event_messages(spark: SparkSession, folder: str) -> DataFrame:
     """Views and clicks as a stream of live events."""
-    rows = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(folder)
+    source = spark.readStream.schema(facts.SCHEMAS["events"])
+    rows = source.option("pathGlobFilter", "events.parquet").parquet(folder)
     return facts.live_events(rows)
 
 
