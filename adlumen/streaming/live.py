@@ -87,12 +87,16 @@ def stream_dashboard(events: DataFrame, campaigns: DataFrame, lateness: str = LA
     )
 
 
-def with_active_campaigns(totals: DataFrame, campaigns: DataFrame) -> DataFrame:
-    """Dashboard rows of one batch with the number of active campaigns; tenants
-    without traffic get zeros. For use inside ``foreachBatch``."""
+def with_active_campaigns(day_totals: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """A day's dashboard rows with the number of active campaigns; tenants without
+    traffic get zeros.
+
+    Takes the state a stream has reached for the day, not one batch of it: a
+    batch holds only the tenants that changed.
+    """
     active = campaigns.filter(F.col("status") == "active").groupBy("tenant_id").agg(
         F.count("*").alias("active_campaigns")
     )
-    return active.join(totals, "tenant_id", "left").fillna(
+    return active.join(day_totals, "tenant_id", "left").fillna(
         0, ["impressions_today", "spend_today", "unique_users_today"]
     )
