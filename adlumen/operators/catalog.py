@@ -28,6 +28,12 @@ def ads_with_campaign(ads: DataFrame, campaigns: DataFrame, tenant_id: int | Non
     return tenant_table(ads, tenant_id, ad_id).join(owner, "campaign_id")
 
 
+def creative_urls(creatives: DataFrame, base_url: str, tenant_id: int | None = None) -> DataFrame:
+    """Creatives with the address they are served from."""
+    place = F.format_string("/tenant_%d/creative_%d", "tenant_id", "id")
+    return scope(creatives, tenant_id).withColumn("cdn_url", F.concat(F.lit(base_url), place))
+
+
 def distinct_campaign_count(campaigns: DataFrame, ads: DataFrame, impressions: DataFrame,
                             tenant_id: int | None = None) -> DataFrame:
     """Distinct campaigns over their left-joined ads and impressions.
@@ -74,8 +80,10 @@ def permission_check(requests: DataFrame, grants: DataFrame) -> DataFrame:
     asked = requests.filter(known)
     free = asked.filter(F.col("resource").isNull() & F.col("action").isNull())
     named = asked.filter(F.col("resource").isNotNull() | F.col("action").isNotNull())
+    rights = grants.select("tenant_id", "user_id", "resource", "action").distinct()
     return free.unionByName(
-        named.join(grants, ["tenant_id", "user_id", "resource", "action"], "left_semi")
+        named.join(rights, ["tenant_id", "user_id", "resource", "action"], "left_semi").select(
+            *free.columns)
     )
 
 

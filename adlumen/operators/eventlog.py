@@ -251,6 +251,15 @@ def event_totals(log: DataFrame, tenant_id: int | None = None,
     )
 
 
+def logged_campaigns(log: DataFrame, tenant_id: int | None = None,
+                     campaign_id: int | None = None) -> DataFrame:
+    """Campaigns with at least one event of any type."""
+    rows = _of_campaign(log, tenant_id, campaign_id)
+    return rows.select(
+        "tenant_id", F.col("aggregate_id").try_cast("bigint").alias("campaign_id")
+    ).distinct()
+
+
 # -- checking --------------------------------------------------------------
 
 def _with_expected(log: DataFrame, tenant_id: int | None, campaign_id: int | None) -> DataFrame:

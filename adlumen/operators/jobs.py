@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from adlumen.functions.measures import or_zero
 from adlumen.functions.scope import day_column
+from adlumen.operators.eventlog import event_replay, logged_campaigns
 from adlumen.operators.live import campaign_day_totals
 from adlumen.schemas import TABLES
 from adlumen.sources.tables import overwrite_days, read_if_any
@@ -58,6 +59,16 @@ def replace_replayed(stored: DataFrame, replayed: DataFrame, campaigns: DataFram
     return kept.unionByName(replayed, allowMissingColumns=True)
 
 
+def rebuild_metrics(stored: DataFrame, log: DataFrame, tenant_id: int | None = None,
+                    campaign_id: int | None = None, with_conversions: bool = False) -> DataFrame:
+    """Stored metrics with one campaign, one tenant or everything rebuilt from the log.
+
+    A campaign without any event keeps its rows.
+    """
+    replayed = event_replay(log, tenant_id, campaign_id, with_conversions)
+    return replace_replayed(stored, replayed, logged_campaigns(log, tenant_id, campaign_id))
+
+
 def upsert_day(spark: SparkSession, path: str, fresh: DataFrame, day: date) -> None:
     """Merge one day's fresh metrics into the stored table at ``path``.
 

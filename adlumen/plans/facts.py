@@ -44,6 +44,8 @@ SCHEMAS = {
               "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
     "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, "
             "p_retailprice DOUBLE",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
+                "c_mktsegment STRING",
     "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
 }
 
@@ -144,14 +146,15 @@ def conversions(spark: SparkSession, folder: str) -> DataFrame:
                        F.col("value").cast("decimal(10,2)").alias("conversion_value"))
 
 
-def _log_rows(spark: SparkSession, folder: str) -> DataFrame:
+def _log_rows(spark: SparkSession, folder: str, *leaving_out: str) -> DataFrame:
     kind = F.col("event_type")
     name = (
         F.when(kind == "view", "impression_created").when(kind == "click", "click_registered")
         .when(kind == "purchase", "conversion_tracked").otherwise(kind)
     )
     cost = F.col("value").cast("decimal(10,4)").cast("string").alias("cost")
-    return _events(spark, folder).select(
+    rows = _events(spark, folder).filter(~kind.isin(*leaving_out))
+    return rows.select(
         "id", "tenant_id", F.col("campaign_id").cast("string").alias("aggregate_id"),
         name.alias("event_type"), F.to_json(F.struct("user_id", cost)).alias("payload"),
         "timestamp",
@@ -160,7 +163,7 @@ def _log_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def log(spark: SparkSession, folder: str) -> DataFrame:
     """The log without numbers, for operators that do not look at them."""
-    return _log_rows(spark, folder).filter(F.col("event_type") != "error")
+    return _log_rows(spark, folder, "error")
 
 
 def numbered_log(spark: SparkSession, folder: str) -> DataFrame:
@@ -187,3 +190,30 @@ def stored_metrics(spark: SparkSession, folder: str) -> DataFrame:
         F.count_if(F.col("l_returnflag") == "A").alias("conversions"),
         F.lit("1.00").cast("decimal(12,2)").alias("spend"),
     )
+
+
+def grants(spark: SparkSession, folder: str) -> DataFrame:
+    """Permissions: what suppliers delivered, as resource and action."""
+    return table(spark, folder, "lineitem").select(
+        F.lit(1).alias("tenant_id"), F.col("l_suppkey").alias("user_id"),
+        F.col("l_returnflag").alias("resource"), F.col("l_linestatus").alias("action"),
+    )
+
+
+def permission_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests in the same terms, with parts as users."""
+    return table(spark, folder, "lineitem").select(
+        F.lit(1).alias("tenant_id"), F.col("l_partkey").alias("user_id"),
+        F.col("l_returnflag").alias("resource"), F.col("l_linestatus").alias("action"),
+        "l_orderkey", "l_linenumber",
+    )
+
+
+def users(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers as users of their nation, with a role by market segment."""
+    segment = F.col("c_mktsegment")
+    return table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("tenant_id"),
+        F.when(segment == "MACHINERY", "admin").when(segment == "HOUSEHOLD", "super_admin")
+        .otherwise("user").alias("role"),
+    )

@@ -404,6 +404,18 @@ FROM campaign c
 JOIN (SELECT tenant_id, count(*) AS n FROM impression GROUP BY ALL) i ON i.tenant_id = c.tenant_id
 JOIN (SELECT tenant_id, count(*) AS n FROM ad GROUP BY ALL) a ON a.tenant_id = c.tenant_id
 GROUP BY c.tenant_id""",
+    "permission_check": """
+SELECT CAST(1 AS BIGINT) AS tenant_id, l_partkey AS user_id, l_returnflag AS resource,
+       l_linestatus AS action, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber
+FROM lineitem i WHERE EXISTS (SELECT 1 FROM lineitem g WHERE g.l_suppkey = i.l_partkey
+  AND g.l_returnflag = i.l_returnflag AND g.l_linestatus = i.l_linestatus)""",
+    "tenant_admins": """
+SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS tenant_id,
+       CASE c_mktsegment WHEN 'MACHINERY' THEN 'admin' ELSE 'super_admin' END AS role
+FROM customer WHERE c_mktsegment IN ('MACHINERY', 'HOUSEHOLD')""",
+    "creative_urls": _with(AD) + """
+SELECT ad.*, 'https://cdn.example.com/tenant_' || tenant_id || '/creative_' || id AS cdn_url
+FROM ad""",
     "sync_status": _with(*E_ALL) + """
 SELECT i.tenant_id, count(*) AS total_rows, count(DISTINCT ad.campaign_id) AS campaigns,
        max(timestamp) AS latest_timestamp, min(timestamp) AS earliest_timestamp,

@@ -87,13 +87,8 @@ def _appended(spark: SparkSession, sf: str) -> DataFrame:
     return stored.unionByName(new).select(*number)
 
 
-def _replaced(spark: SparkSession, sf: str) -> DataFrame:
-    log = facts.log(spark, sf)
-    replayed = eventlog.event_replay(log)
-    stored = facts.stored_metrics(spark, sf)
-    return jobs.replace_replayed(
-        stored, replayed, replayed.select("tenant_id", "campaign_id").distinct()
-    )
+def _rebuilt(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.rebuild_metrics(facts.stored_metrics(spark, sf), facts.log(spark, sf))
 
 
 def _names(spark: SparkSession, sf: str) -> DataFrame:
@@ -236,6 +231,11 @@ QUERIES: dict[str, Query] = {
         facts.impressions(s, sf), 1, EVENT_NOON.replace(day=10), EVENT_NOON),
     "tenant_stats": lambda s, sf: catalog.tenant_stats(
         facts.volume_impressions(s, sf), facts.campaigns(s, sf), facts.ads(s, sf)),
+    "permission_check": lambda s, sf: catalog.permission_check(
+        facts.permission_requests(s, sf), facts.grants(s, sf)),
+    "tenant_admins": lambda s, sf: catalog.tenant_admins(facts.users(s, sf)),
+    "creative_urls": lambda s, sf: catalog.creative_urls(
+        facts.ads(s, sf), "https://cdn.example.com"),
     # Warehouse copy and stored metrics
     "sync_status": lambda s, sf: warehouse.sync_status(facts.warehouse(s, sf)),
     "sync_impressions": lambda s, sf: warehouse.sync_impressions(
@@ -247,7 +247,7 @@ QUERIES: dict[str, Query] = {
     "event_replay_with_conversions": lambda s, sf: eventlog.event_replay(
         facts.log(s, sf), with_conversions=True),
     "event_totals": lambda s, sf: eventlog.event_totals(facts.log(s, sf)),
-    "event_replay_stored": _replaced,
+    "event_replay_stored": _rebuilt,
     "append_events": _appended,
     "log_from_facts": lambda s, sf: eventlog.log_from_facts(
         facts.impression_facts(s, sf), facts.clicks(s, sf), facts.conversions(s, sf)),

@@ -28,12 +28,16 @@ def _by_batch(path: str, prepare: Callable[[DataFrame], DataFrame]):
 
 
 def changes_to_files(rows: DataFrame, path: str, checkpoint: str,
-                     prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows
-                     ) -> DataStreamWriter:
-    """Writer of an update-mode stream: the changed rows of every batch."""
-    return rows.writeStream.outputMode("update").option(
+                     prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+                     every: str | None = None) -> DataStreamWriter:
+    """Writer of an update-mode stream: the changed rows of every batch.
+
+    ``every`` sets the refresh interval of a live page.
+    """
+    writer = rows.writeStream.outputMode("update").option(
         "checkpointLocation", checkpoint
     ).foreachBatch(_by_batch(path, prepare))
+    return writer.trigger(processingTime=every) if every else writer
 
 
 def latest_rows(spark: SparkSession, path: str, schema: T.StructType, *keys: str) -> DataFrame:
