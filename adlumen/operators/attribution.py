@@ -14,7 +14,7 @@ clicks nor a user with countless impressions lands in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adlumen.functions.scope import scope, tenant_keys
@@ -24,10 +24,24 @@ from adlumen.functions.sizing import lookup_side
 ONE_DAY_WEIGHT, FIRST_WEIGHT, CONVERTING_WEIGHT, OTHER_WEIGHT = "1.0", "0.4", "0.4", "0.2"
 
 
-def _decimal(text: str):
+# A row's place in its user's journey is packed into one number: time in
+# microseconds, then the id in 19 digits, then whether the row converts. Spark
+# can take the minimum of numbers while aggregating by hash; for structs it
+# would have to sort all impressions.
+_ID_DIGITS = "1" + "0" * 19
+
+
+def _decimal(text: str) -> Column:
     return F.lit(text).cast("decimal(2,1)")
 
 
+def _place() -> Column:
+    micros = F.unix_micros(F.col("timestamp").cast("timestamp")).cast("decimal(17,0)")
+    row = micros * F.lit(_ID_DIGITS).cast("decimal(20,0)") + F.col("id")
+    flag = F.when(F.col("leads_converting"), F.lit(1)).otherwise(F.lit(0))
+    return (row * F.lit(2).cast("decimal(1,0)") + flag).cast("decimal(38,0)")
+
+
 def _impression_rows(impressions: DataFrame, ads: DataFrame, clicks: DataFrame,
                      conversions: DataFrame) -> DataFrame:
     """Impressions with the number of journey rows they stand for and their sums."""
@@ -70,7 +84,6 @@ def attribution(impressions: DataFrame, ads: DataFrame, clicks: DataFrame,
         raise ValueError(f"unknown mode: {mode}")
     by = tenant_keys(tenant_id)
     rows = _impression_rows(scope(impressions, tenant_id), ads, clicks, conversions)
-    position = F.struct("timestamp", "id")
     touches = rows.groupBy(*by, "user_id", "campaign_id").agg(
         F.sum("rows").alias("rows"),
         F.sum("clicks").alias("clicks"),
@@ -78,18 +91,18 @@ def attribution(impressions: DataFrame, ads: DataFrame, clicks: DataFrame,
         F.sum("value").alias("value"),
         F.min("timestamp").alias("first_touch"),
         F.max("timestamp").alias("last_touch"),
-        F.min(position).alias("first_position"),
-        F.min_by("leads_converting", position).alias("leads_converting"),
+        F.min(_place()).alias("first_place"),
     )
     # One row per user and campaign from here on.
-    user_start = F.min("first_position").over(Window.partitionBy(*by, "user_id"))
-    touches = touches.withColumn("starts", F.col("first_position") == user_start).withColumn(
+    user_start = F.min("first_place").over(Window.partitionBy(*by, "user_id"))
+    touches = touches.withColumn("starts", F.col("first_place") == user_start).withColumn(
         "days", F.datediff("last_touch", "first_touch")
     ).filter(F.col("campaign_id").isNotNull() & F.col("user_id").isNotNull())
 
     one_day = F.col("days") == 0
     # The user's first row is lifted from "other" unless it converts anyway.
-    lifted = F.when(F.col("starts") & ~F.col("leads_converting"), F.lit(1)).otherwise(F.lit(0))
+    converts = F.pmod("first_place", F.lit(2)) == 1
+    lifted = F.when(F.col("starts") & ~converts, F.lit(1)).otherwise(F.lit(0))
     if mode == "reference":
         weight = F.when(one_day, F.col("rows") * _decimal(ONE_DAY_WEIGHT)).otherwise(
             lifted * _decimal(FIRST_WEIGHT)
