@@ -10,10 +10,16 @@ import os
 import statistics
 import sys
 import time
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+from adlumen.operators.cohort import cohort_retention  # noqa: E402
+from adlumen.operators.live import dashboard_bundle  # noqa: E402
+from adlumen.operators.performance import campaign_daily_performance  # noqa: E402
+from adlumen.plans import facts  # noqa: E402
+from adlumen.plans.facts import VOLUME_NOW  # noqa: E402
 from adlumen.plans.queries import QUERIES  # noqa: E402
 from adlumen.session import build_session  # noqa: E402
 
@@ -55,6 +61,36 @@ HEADLINE = [name for name in os.environ.get("BENCH_QUERIES", "").split(",") if n
 ]
 
 
+def run(df) -> None:
+    df.write.format("noop").mode("overwrite").save()
+
+
+def together(queries) -> None:
+    """Several queries at once in one session, each to its last row."""
+    with ThreadPoolExecutor(len(queries)) as pool:
+        list(pool.map(lambda query: run(query()), queries))
+
+
+def one_tenant(spark) -> dict:
+    """The published limits are for one tenant's page: the same pages over the line items."""
+    shown = facts.volume_impressions(spark, FOLDER)
+    campaigns, ads = facts.campaigns(spark, FOLDER), facts.ads(spark, FOLDER)
+    log = facts.log(spark, FOLDER)
+
+    def page() -> None:
+        parts = dashboard_bundle(campaigns, ads, shown, log, 1, VOLUME_NOW)
+        together([lambda part=part: part for part in parts.values()])
+
+    return {
+        "tenant_cohort": lambda: run(cohort_retention(shown, 1)),
+        "tenant_daily_performance": lambda: run(
+            campaign_daily_performance(campaigns, ads, shown, 1)),
+        "tenant_dashboard": page,
+        "tenant_cohort_10_at_once": lambda: together(
+            [lambda: cohort_retention(shown, 1)] * 10),
+    }
+
+
 def main() -> None:
     spark = build_session("bench", f"local[{CPUS}]", **{
         "spark.sql.shuffle.partitions": CPUS,
@@ -63,11 +99,14 @@ def main() -> None:
     })
     spark.sparkContext.setLogLevel("ERROR")
     seconds: dict[str, float] = {}
-    for name in HEADLINE:
+    jobs = {name: lambda name=name: run(QUERIES[name](spark, FOLDER)) for name in HEADLINE}
+    if "BENCH_QUERIES" not in os.environ:
+        jobs.update(one_tenant(spark))
+    for name, job in jobs.items():
         taken = []
         for _ in range(RUNS + 1):
             start = time.perf_counter()
-            QUERIES[name](spark, FOLDER).write.format("noop").mode("overwrite").save()
+            job()
             taken.append(time.perf_counter() - start)
         seconds[name] = round(statistics.median(taken[1:]), 4)
     rows = spark.read.parquet(f"{FOLDER}/events.parquet").count()
