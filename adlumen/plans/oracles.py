@@ -81,45 +81,33 @@ E_ALL = (AD, CAMPAIGN, EVENT, IMPRESSION)
 V_ALL = (AD, CAMPAIGN, VOLUME)
 
 
+BORN = """born AS (
+  SELECT DISTINCT ON (tenant_id, user_id) tenant_id, user_id, day AS cohort_month
+  FROM impression {when} ORDER BY tenant_id, user_id, timestamp)"""
+AGES = """ages AS (
+  SELECT tenant_id, cohort_month, day - cohort_month AS period_days,
+         count(DISTINCT user_id) AS seen, count(*) AS total_impressions, sum(cost) AS spend
+  FROM impression JOIN born USING (tenant_id, user_id)
+  WHERE day - cohort_month <= 30 {more} GROUP BY ALL)"""
+SIZE = "arg_min(seen, period_days) OVER (PARTITION BY tenant_id, cohort_month)"
+
+
 def _cohort(*sources: str) -> str:
-    return _with(*sources, """firsts AS (
-  SELECT tenant_id, user_id, min(day) AS cohort_month FROM impression GROUP BY ALL)""",
-                 """active AS (
-  SELECT i.tenant_id, i.user_id, cohort_month, i.day - cohort_month AS period_days,
-         count(*) AS impressions
-  FROM impression i JOIN firsts f ON i.tenant_id = f.tenant_id AND i.user_id = f.user_id
-  GROUP BY ALL)""",
-                 """periods AS (
-  SELECT tenant_id, cohort_month, period_days, count(DISTINCT user_id) AS users,
-         CAST(sum(impressions) AS BIGINT) AS total_impressions
-  FROM active WHERE period_days <= 30 GROUP BY ALL)""",
-                 """sized AS (
-  SELECT *, first_value(users) OVER (PARTITION BY tenant_id, cohort_month ORDER BY period_days)
-    AS size FROM periods)""") + f"""
-SELECT tenant_id, cohort_month, period_days, users, total_impressions,
-       {pct('users', 'size')} AS retention_rate FROM sized"""
+    return _with(*sources, BORN.format(when=""), AGES.format(more=""),
+                 f"sized AS (SELECT *, {SIZE} AS size FROM ages)") + f"""
+SELECT tenant_id, cohort_month, period_days, seen AS users, total_impressions,
+       {pct('seen', 'size')} AS retention_rate FROM sized"""
 
 
 def _advanced(now: str, days: int, *sources: str, extra: str = "") -> str:
-    return _with(*sources, f"""firsts AS (
-  SELECT tenant_id, user_id, min(day) AS cohort_month FROM impression
-  WHERE timestamp >= {now} - INTERVAL {days} DAY AND timestamp <= {now} GROUP BY ALL)""",
-                 f"""active AS (
-  SELECT i.tenant_id, i.user_id, cohort_month, i.day - cohort_month AS period_days,
-         count(*) AS n, sum(cost) AS spend
-  FROM impression i JOIN firsts f ON i.tenant_id = f.tenant_id AND i.user_id = f.user_id
-  WHERE i.timestamp <= {now} AND i.day - cohort_month <= 30 {extra} GROUP BY ALL)""",
-                 """periods AS (
-  SELECT tenant_id, cohort_month, period_days, count(DISTINCT user_id) AS active_users,
-         CAST(sum(n) AS BIGINT) AS total_impressions, sum(spend) AS spend
-  FROM active GROUP BY ALL)""",
-                 """sized AS (
-  SELECT *, first_value(active_users) OVER (
-    PARTITION BY tenant_id, cohort_month ORDER BY period_days) AS cohort_size FROM periods)""") + f"""
-SELECT tenant_id, cohort_month, period_days, active_users, total_impressions,
+    recent = f"WHERE timestamp BETWEEN {now} - INTERVAL {days} DAY AND {now}"
+    return _with(*sources, BORN.format(when=recent),
+                 AGES.format(more=f"AND timestamp <= {now} {extra}"),
+                 f"sized AS (SELECT *, {SIZE} AS cohort_size FROM ages)") + f"""
+SELECT tenant_id, cohort_month, period_days, seen AS active_users, total_impressions,
        CAST(spend AS DOUBLE) AS cohort_spend, cohort_size,
-       {pct('active_users', 'cohort_size')} AS retention_rate,
-       {half_up(units('spend'), 'active_users', 0)} / 10000.0 AS revenue_per_user
+       {pct('seen', 'cohort_size')} AS retention_rate,
+       {half_up(units('spend'), 'seen', 0)} / 10000.0 AS revenue_per_user
 FROM sized"""
 
 
@@ -130,25 +118,23 @@ def _trailing(spend: str) -> str:
        coalesce({half_up('count(*)', 'count(DISTINCT i.user_id)', 4)}, 0) AS frequency"""
 
 
-_JOURNEY = ("""journey AS (
-  SELECT i.tenant_id, i.user_id, i.timestamp AS impression_time, c.timestamp AS click_time,
-         v.timestamp AS conversion_time, v.conversion_value, ad.campaign_id,
-         row_number() OVER (PARTITION BY i.tenant_id, i.user_id
-           ORDER BY i.timestamp, i.id, c.id NULLS FIRST, v.id NULLS FIRST) AS step
-  FROM impression i LEFT JOIN ad ON i.ad_id = ad.id
+# Journey rows with the sums of their user and campaign beside them.
+_JOURNEY = ("""steps AS (
+  SELECT i.tenant_id, i.user_id, i.day, ad.campaign_id, c.id AS click, v.id AS sale,
+         v.conversion_value AS worth,
+         (i.timestamp, i.id, coalesce(c.id, -1), coalesce(v.id, -1)) AS place
+  FROM impression i LEFT JOIN ad ON ad.id = i.ad_id
   LEFT JOIN click c ON c.impression_id = i.id LEFT JOIN conversion v ON v.click_id = c.id)""",
-            """touch AS (
-  SELECT tenant_id, user_id, campaign_id, count(*) AS impressions, count(click_time) AS clicks,
-         count(conversion_time) AS conversions, sum(conversion_value) AS value,
-         date_diff('day', CAST(min(impression_time) AS DATE), CAST(max(impression_time) AS DATE))
-           AS days
-  FROM journey GROUP BY ALL)""",
+            """placed AS (
+  SELECT *, place = min(place) OVER (PARTITION BY tenant_id, user_id) AS opens FROM steps)""",
             """weighted AS (
-  SELECT t.*, j.click_time, j.conversion_time, j.conversion_value,
-         CASE WHEN days = 0 THEN 1.0 WHEN step = 1 THEN 0.4
-              WHEN conversion_time IS NOT NULL THEN 0.4 ELSE 0.2 END AS weight
-  FROM touch t JOIN journey j ON t.tenant_id = j.tenant_id AND t.user_id = j.user_id
-   AND t.campaign_id = j.campaign_id)""")
+  SELECT *, max(day) OVER pair - min(day) OVER pair AS days, count(*) OVER pair AS pair_rows,
+         count(click) OVER pair AS pair_clicks, count(sale) OVER pair AS pair_sales,
+         sum(worth) OVER pair AS pair_worth,
+         if(max(day) OVER pair = min(day) OVER pair, 1.0,
+            if(opens OR sale IS NOT NULL, 0.4, 0.2)) AS weight
+  FROM placed WHERE campaign_id IS NOT NULL
+  WINDOW pair AS (PARTITION BY tenant_id, user_id, campaign_id))""")
 
 
 def _attribution(revenue: str, shown: str, clicked: str, converted: str) -> str:
@@ -232,7 +218,7 @@ ORACLES: dict[str, str] = {
     "cohort_retention_volume": _cohort(VOLUME),
     "advanced_cohort": _advanced(NOON, 20, EVENT, IMPRESSION),
     "advanced_cohort_non_negative": _advanced(
-        NOON, 20, EVENT, IMPRESSION, extra="AND i.day - cohort_month >= 0"),
+        NOON, 20, EVENT, IMPRESSION, extra="AND day >= cohort_month"),
     "advanced_cohort_volume": _advanced(LATER, 1500, VOLUME),
     "warehouse_cohort": _advanced(NOON, 30, EVENT, IMPRESSION),
     "campaign_daily_performance": _with(*V_ALL, _DAYS, """ranked AS (
@@ -259,11 +245,11 @@ FROM priced
 QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY total_impressions DESC, id) <= 5""",
     "campaign_ranking": _with(*V_ALL, f"""totals AS (
   SELECT c.tenant_id, c.id AS campaign_id, c.name AS campaign_name, c.budget,
-         count(i.ad_id) AS total_impressions, count(DISTINCT i.user_id) AS unique_users,
+         count(*) AS total_impressions, count(DISTINCT i.user_id) AS unique_users,
          sum(i.cost) AS total, date_diff('day', c.start_date, CAST({LATER} AS DATE)) AS days_running
-  FROM campaign c LEFT JOIN ad ON ad.campaign_id = c.id
-  LEFT JOIN impression i ON i.ad_id = ad.id AND i.tenant_id = c.tenant_id
-  WHERE c.status = 'active' GROUP BY ALL HAVING count(i.ad_id) > 0)""", f"""priced AS (
+  FROM impression i JOIN ad ON ad.id = i.ad_id
+  JOIN campaign c ON c.id = ad.campaign_id AND c.tenant_id = i.tenant_id
+  WHERE c.status = 'active' GROUP BY ALL)""", f"""priced AS (
   SELECT *, {mean('total', 'total_impressions')} AS avg_cpm FROM totals)""", """ranked AS (
   SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY total_impressions DESC, campaign_id)
            AS impression_rank,
@@ -318,10 +304,10 @@ QUALIFY row_number() OVER (PARTITION BY tenant_id, campaign_id ORDER BY date DES
 SELECT i.tenant_id, ad.campaign_id, i.day AS date, count(*) AS impressions,
        CAST(sum(cost) AS DOUBLE) AS total_cost
 FROM impression i JOIN ad ON i.ad_id = ad.id GROUP BY ALL""",
-    "attribution": _attribution("value * weight", "sum(impressions)", "sum(clicks)",
-                                "sum(conversions)"),
-    "attribution_per_touch": _attribution("conversion_value * weight", "count(*)",
-                                          "count(click_time)", "count(conversion_time)"),
+    "attribution": _attribution("pair_worth * weight", "sum(pair_rows)", "sum(pair_clicks)",
+                                "sum(pair_sales)"),
+    "attribution_per_touch": _attribution("worth * weight", "count(*)", "count(click)",
+                                          "count(sale)"),
     "realtime_metrics": _with(*E_ALL) + f"""
 SELECT i.tenant_id, {_trailing('spend_last_hour')} FROM impression i JOIN ad ON i.ad_id = ad.id
 WHERE i.timestamp >= {NOON} - INTERVAL 24 HOUR AND i.timestamp <= {NOON} GROUP BY ALL""",

@@ -18,6 +18,12 @@ FIRST_USER, LAST_USER = 1000, 999_999
 MIN_COST, MAX_COST = "0.05", "3.00"
 CLICK_SHARE = 0.1
 MAX_CLICK_DELAY = 300
+MIN_BUDGET, MAX_BUDGET = 5_000, 50_000
+FIRST_DAY, LAST_DAY = "2024-01-01", "2025-12-31"
+CAMPAIGN_NAME, AUDIENCE_NAME = "Performance Campaign ", "Segment "
+CREATIVE_PREFIX, CREATIVE_SUFFIX = "https://example.com/ad-", ".jpg"
+SMALL_ROWS, SMALL_USERS, SMALL_DAYS = 1000, 100, 30
+SMALL_MIN_COST, SMALL_MAX_COST = "0.10", "2.00"
 
 
 def _draw(seed: int, name: str, below: int, key: str = "id") -> Column:
@@ -27,14 +33,15 @@ def _draw(seed: int, name: str, below: int, key: str = "id") -> Column:
 
 def generate_campaigns(spark: SparkSession, tenant_id: int = 1, seed: int = 0) -> DataFrame:
     """Ten active campaigns with budgets between 5000 and 50000."""
-    cents = F.lit(500_000) + _draw(seed, "budget", 4_500_001)
+    spread = (MAX_BUDGET - MIN_BUDGET) * 100 + 1
+    cents = F.lit(MIN_BUDGET * 100) + _draw(seed, "budget", spread)
     return spark.range(1, CAMPAIGNS + 1).select(
         "id", F.lit(tenant_id).alias("tenant_id"),
-        F.concat(F.lit("Performance Campaign "), F.col("id").cast("string")).alias("name"),
+        F.concat(F.lit(CAMPAIGN_NAME), F.col("id").cast("string")).alias("name"),
         (cents / 100).cast("decimal(12,2)").alias("budget"),
         F.lit("active").alias("status"),
-        F.lit("2024-01-01").cast("date").alias("start_date"),
-        F.lit("2025-12-31").cast("date").alias("end_date"),
+        F.lit(FIRST_DAY).cast("date").alias("start_date"),
+        F.lit(LAST_DAY).cast("date").alias("end_date"),
         F.lit(1).cast("bigint").alias("advertiser_id"),
     )
 
@@ -49,8 +56,8 @@ def generate_ads(campaigns: DataFrame, seed: int = 0) -> DataFrame:
     label = F.concat_ws("-", F.col("campaign_id").cast("string"), F.col("n").cast("string"))
     return each.select(
         (F.col("campaign_id") * MAX_ADS + F.col("n")).alias("id"), "tenant_id", "campaign_id",
-        F.concat(F.lit("https://example.com/ad-"), label, F.lit(".jpg")).alias("creative_url"),
-        F.concat(F.lit("Segment "), label).alias("target_audience"),
+        F.concat(F.lit(CREATIVE_PREFIX), label, F.lit(CREATIVE_SUFFIX)).alias("creative_url"),
+        F.concat(F.lit(AUDIENCE_NAME), label).alias("target_audience"),
         F.lit(1).cast("bigint").alias("creative_id"), F.lit(1).cast("bigint").alias("audience_id"),
     )
 
@@ -84,8 +91,8 @@ def generate_impressions(spark: SparkSession, n: int, seed: int = 0, tenant_id:
 def generate_small(spark: SparkSession, ad_id: int, seed: int = 0, tenant_id: int = 1,
                    as_of: datetime | None = None) -> DataFrame:
     """The small form: a thousand impressions of one ad, a hundred users, thirty days."""
-    return generate_impressions(spark, 1000, seed, tenant_id, 30, as_of, 1, 100, "0.10", "2.00",
-                                single_ad=ad_id)
+    return generate_impressions(spark, SMALL_ROWS, seed, tenant_id, SMALL_DAYS, as_of, 1,
+                                SMALL_USERS, SMALL_MIN_COST, SMALL_MAX_COST, single_ad=ad_id)
 
 
 def generate_clicks(impressions: DataFrame, seed: int = 0, share: float = CLICK_SHARE) -> DataFrame:
