@@ -28,10 +28,9 @@ def growth(now: Column, before: Column) -> Column:
 
 
 def mean_cost(total: Column, count: Column) -> Column:
-    """Mean of a DECIMAL(10,4) cost with eight digits.
+    """Mean of a DECIMAL(10,4) cost with eight digits, from its sum and its count.
 
-    Taken from sum and count, which the reports need anyway: AVG would carry a
-    second pair of them through every shuffle.
+    The reports show the sum anyway; AVG would carry a second one through every shuffle.
     """
     return (total / F.nullif(whole(count), F.lit(0))).cast("decimal(14,8)")
 

@@ -9,25 +9,27 @@ from adlumen.functions.measures import percent, ratio, whole
 from adlumen.functions.scope import Moment, moment, scope, span, tenant_keys
 
 
-def _cohort_periods(rows: DataFrame, tenant_id: int | None, opens: Column,
-                    horizon_days: int) -> DataFrame:
+def _cohort_periods(rows: DataFrame, tenant_id: int | None, horizon_days: int,
+                    opens: Column | None = None) -> DataFrame:
     """One row per cohort day and days since it, with users, impressions, spend.
 
-    The facts are first reduced to one row per user and day, which Spark does
+    A user's cohort is the first day with a row that ``opens`` one; by default
+    any row does. The facts are first reduced to one row per user and day, which Spark does
     map-side: a user with very many impressions costs no more than the days on
     which it was seen. Each such row is one user in one period, so counting
     users needs no DISTINCT, and the cohort day is a window over those few
     rows instead of a second scan of the facts.
     """
     by = tenant_keys(tenant_id)
-    user_days = rows.groupBy(*by, "user_id", F.to_date("timestamp").alias("day")).agg(
-        F.count("*").alias("impressions"),
-        F.sum("cost").alias("spend"),
-        F.max(opens).alias("opens"),
-    )
-    first_day = F.min(F.when(F.col("opens"), F.col("day"))).over(
-        Window.partitionBy(*by, "user_id")
-    )
+    measures = [F.count("*").alias("impressions"), F.sum("cost").alias("spend")]
+    opening_day = F.col("day")
+    if opens is not None:
+        measures.append(F.max(opens).alias("opens"))
+        opening_day = F.when(F.col("opens"), F.col("day"))
+    user_days = rows.filter(F.col("user_id").isNotNull()).groupBy(
+        *by, "user_id", F.to_date("timestamp").alias("day")
+    ).agg(*measures)
+    first_day = F.min(opening_day).over(Window.partitionBy(*by, "user_id"))
     placed = user_days.withColumn("cohort_month", first_day).withColumn(
         "period_days", F.datediff("day", "cohort_month")
     )
@@ -36,7 +38,7 @@ def _cohort_periods(rows: DataFrame, tenant_id: int | None, opens: Column,
         placed.filter(F.col("period_days") <= horizon_days)
         .groupBy(*by, "cohort_month", "period_days")
         .agg(
-            F.count("user_id").alias("users"),
+            F.count("*").alias("users"),
             F.sum("impressions").alias("total_impressions"),
             F.sum("spend").alias("cohort_spend"),
         )
@@ -57,7 +59,7 @@ def cohort_retention(impressions: DataFrame, tenant_id: int | None = None,
     """
     by = tenant_keys(tenant_id)
     rows = scope(impressions, tenant_id)
-    periods = _cohort_periods(rows, tenant_id, F.lit(True), horizon_days)
+    periods = _cohort_periods(rows, tenant_id, horizon_days)
     rate = percent(F.col("users"), _cohort_size(tenant_id))
     return periods.select(
         *by, "cohort_month", "period_days", "users", "total_impressions",
@@ -83,7 +85,7 @@ def advanced_cohort(impressions: DataFrame, tenant_id: int | None = None, days_b
         rows = rows.filter(F.col("timestamp") >= F.date_trunc("day", cutoff).cast(kind))
         if "date" in rows.columns:
             rows = rows.filter(F.col("date") >= F.to_date(cutoff))
-    periods = _cohort_periods(rows, tenant_id, F.col("timestamp") >= cutoff, horizon_days)
+    periods = _cohort_periods(rows, tenant_id, horizon_days, F.col("timestamp") >= cutoff)
     if non_negative:
         periods = periods.filter(F.col("period_days") >= 0)
     sized = periods.withColumnRenamed("users", "active_users").withColumn(

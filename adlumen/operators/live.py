@@ -24,7 +24,7 @@ def _trailing_measures(spend: str) -> list[Column]:
         F.count("*").alias("impressions_last_hour"),
         users.alias("unique_users"),
         or_zero(F.sum("cost")).alias(spend),
-        or_zero(mean_cost(F.sum("cost"), F.count("*"))).alias("avg_cpm"),
+        or_zero(mean_cost(F.sum("cost"), F.count("cost"))).alias("avg_cpm"),
         or_zero(frequency(F.count("*"), users)).alias("frequency"),
     ]
 

@@ -27,7 +27,7 @@ def _volume() -> list[Column]:
         F.count("*").alias("impressions"),
         F.countDistinct("user_id").alias("unique_users"),
         F.sum("cost").alias("total_cost"),
-        mean_cost(F.sum("cost"), F.count("*")).alias("avg_cost"),
+        mean_cost(F.sum("cost"), F.count("cost")).alias("avg_cost"),
     ]
 
 
@@ -107,7 +107,7 @@ def campaign_ranking(campaigns: DataFrame, ads: DataFrame, impressions: DataFram
         F.count("*").alias("total_impressions"),
         F.countDistinct("user_id").alias("unique_users"),
         F.sum("cost").alias("total_spend"),
-        mean_cost(F.sum("cost"), F.count("*")).alias("avg_cpm"),
+        mean_cost(F.sum("cost"), F.count("cost")).alias("avg_cpm"),
     )
     today = F.to_date(moment(impressions, as_of))
     scored = totals.join(_names(active, "budget", "start_date"), "campaign_id").select(
@@ -155,7 +155,7 @@ def hourly_trend(ads: DataFrame, impressions: DataFrame, tenant_id: int | None =
         F.count("*").alias("impressions"),
         F.countDistinct("user_id").alias("unique_users"),
         F.sum("cost").alias("spend"),
-        mean_cost(F.sum("cost"), F.count("*")).alias("avg_cost"),
+        mean_cost(F.sum("cost"), F.count("cost")).alias("avg_cost"),
     )
     # At most hours_back + 1 rows per campaign.
     before = F.lag("impressions").over(Window.partitionBy(*by).orderBy("hour_bucket"))
@@ -202,7 +202,7 @@ def campaign_report(ads: DataFrame, impressions: DataFrame, tenant_id: int | Non
         F.count("*").alias("impressions"),
         F.sum("cost").alias("spend"),
         F.countDistinct("user_id").alias("unique_users"),
-        mean_cost(F.sum("cost"), F.count("*")).alias("avg_cpm"),
+        mean_cost(F.sum("cost"), F.count("cost")).alias("avg_cpm"),
     )
     return _top(listed, by, days, F.desc("date"))
 

@@ -59,3 +59,8 @@ def test_rows_after_as_of_do_not_exist_yet(spark):
 def test_empty(spark):
     assert cohort_retention(impressions(spark, []), 1).count() == 0
     assert advanced_cohort(impressions(spark, []), 1, as_of=NOW).count() == 0
+
+
+def test_rows_without_user_belong_to_no_cohort(spark):
+    facts = impressions(spark, [(1, 1, 1, None, "02-28 10:00", "1"), (2, 1, 1, 1, "02-28 10:00", "1")])
+    assert rows_of(cohort_retention(facts, 1)) == [(day("02-28"), 0, 1, 1, 100.0)]

@@ -109,3 +109,9 @@ def test_report_and_aggregate(spark):
     whole = p.daily_aggregate(ad_rows(spark), growth(spark), 1)
     assert rows_of(whole)[:2] == [(1, day("02-20"), 2, 3.0), (1, day("02-23"), 1, 1.0)]
     assert whole.count() == 6
+
+
+def test_missing_cost_and_user_are_left_out_of_means_and_reach(spark):
+    facts = impressions(spark, [(1, 1, 11, None, "02-20 10:00", None), (2, 1, 11, 7, "02-20 10:00", "3")])
+    found = p.campaign_daily_performance(campaign_rows(spark), ad_rows(spark), facts, 1)
+    assert rows_of(found, "impressions", "total_cost", "avg_cost", "unique_users") == [(2, 3.0, 3.0, 1)]
