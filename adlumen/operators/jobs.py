@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adlumen.functions.measures import or_zero
-from adlumen.functions.scope import day_column
+from adlumen.functions.scope import Moment, day_column, moment
 from adlumen.operators.eventlog import event_replay, logged_campaigns
 from adlumen.operators.live import campaign_day_totals
 from adlumen.schemas import TABLES
@@ -78,3 +78,33 @@ def upsert_day(spark: SparkSession, path: str, fresh: DataFrame, day: date) -> N
     stored = read_if_any(spark, path, METRICS).filter(F.col("date") == day_column(day))
     merged = daily_metrics_upsert(stored, fresh)
     overwrite_days(merged.select(*[F.col(f.name).cast(f.dataType) for f in METRICS.fields]), path)
+
+
+def expire_log(spark: SparkSession, table: str, days: int = 30, as_of: Moment = None) -> int:
+    """Delete events older than ``days`` from a managed log table laid out by ``date``.
+
+    Whole expired days are dropped as partitions without reading their rows
+    again; only the day the cutoff falls on is rewritten. Returns how many
+    events were deleted.
+    """
+    now = as_of or datetime.now(timezone.utc).replace(tzinfo=None)
+    cutoff = now - timedelta(days=days)
+    day = cutoff.date()
+    log = spark.table(table)
+    upto = log.filter(F.col("date") <= day_column(day))
+    deleted = upto.filter(F.col("timestamp") < moment(log, cutoff)).count()
+    if not deleted:
+        return 0
+    # The partition list is table metadata: one line per day.
+    stored = [row[0].removeprefix("date=") for row in spark.sql(f"SHOW PARTITIONS {table}").collect()]
+    expired = [text for text in stored if text < day.isoformat()]
+    left = upto.filter((F.col("date") == day_column(day))
+                       & (F.col("timestamp") >= moment(log, cutoff)))
+    if left.isEmpty():
+        expired += [text for text in stored if text == day.isoformat()]
+    else:
+        left.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").insertInto(table)
+    if expired:
+        names = ", ".join(f"PARTITION (date='{text}')" for text in expired)
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {names}")
+    return deleted

@@ -6,7 +6,7 @@ from adlumen.operators import jobs, warehouse
 from adlumen.operators.cohort import advanced_cohort
 from adlumen.operators.performance import warehouse_daily_performance
 from adlumen.sources.tables import append_rows, read_jdbc, read_table, write_version
-from tests.tables import NOW, ads, at, campaigns, day, impressions, rows_of
+from tests.tables import NOW, ads, at, campaigns, day, impressions, log, rows_of
 
 TODAY = day("03-01")
 
@@ -144,3 +144,18 @@ def test_jdbc_needs_its_driver(spark):
         read_jdbc(spark, "jdbc:none:none", "t", {})
     except Exception as problem:
         assert "No suitable driver" in str(problem)
+
+
+def test_expiry_drops_days_and_rewrites_only_the_cutoff(spark):
+    rows = log(spark, [(1, 1, "x", "5", None, "02-01 10:00", 1), (2, 1, "x", "5", None, "02-20 10:00", 2),
+                       (3, 1, "x", "5", None, "02-20 12:00", 3), (4, 2, "x", "5", None, "02-21 10:00", 1)])
+    dated = rows.withColumn("date", F.to_date("timestamp"))
+    dated.write.partitionBy("date").mode("overwrite").saveAsTable("kept_log")
+    assert jobs.expire_log(spark, "kept_log", days=10, as_of=NOW) == 2
+    assert sorted(rows_of(spark.table("kept_log"), "id")) == [(3,), (4,)]
+    days = [r[0] for r in spark.sql("SHOW PARTITIONS kept_log").collect()]
+    assert sorted(days) == ["date=2024-02-20", "date=2024-02-21"]
+    assert jobs.expire_log(spark, "kept_log", days=10, as_of=NOW) == 0
+    assert jobs.expire_log(spark, "kept_log", days=9, as_of=NOW) == 2    # the whole cutoff day
+    assert spark.table("kept_log").count() == 0
+    spark.sql("DROP TABLE kept_log")
