@@ -72,13 +72,24 @@ def last_sequences(log: DataFrame) -> DataFrame:
     return log.groupBy(*AGGREGATE).agg(F.max("sequence_number").alias("last"))
 
 
-def append_events(new_events: DataFrame, log: DataFrame | None = None) -> DataFrame:
+def advanced_sequences(last: DataFrame, appended: DataFrame) -> DataFrame:
+    """``last`` brought forward by a batch just appended."""
+    both = last.select(*AGGREGATE, "last").unionByName(last_sequences(appended))
+    return both.groupBy(*AGGREGATE).agg(F.max("last").alias("last"))
+
+
+def append_events(new_events: DataFrame, log: DataFrame | None = None,
+                  last: DataFrame | None = None) -> DataFrame:
     """New events with the next sequence numbers of their aggregates.
 
-    Events are numbered by time, then id, which must be unique. One writer per
-    log at a time: two that read the same maximum would give a number twice.
+    Events are numbered by time, then id, which must be unique. The numbers in
+    use come from ``log``; where that is long, keep the small table of
+    ``last_sequences`` beside it, bring it forward with ``advanced_sequences``
+    and pass it as ``last``, and the log need not be read. One writer per log
+    at a time: two that read the same maximum would give a number twice.
     """
-    last = None if log is None else last_sequences(log)
+    if last is None and log is not None:
+        last = last_sequences(log)
     return number_rows(new_events, AGGREGATE, ["timestamp", "id"], "sequence_number", last)
 
 
@@ -164,7 +175,9 @@ def event_batch_counts(log: DataFrame, event_ids: DataFrame,
     events exist in the tenant.
     """
     listed = event_ids.select(F.col("event_id").alias("id"))
-    found = scope(log, tenant_id).select("id", "event_type").join(listed, "id", "left_semi")
+    found = scope(log, tenant_id).select("id", "event_type").join(
+        listed.distinct(), "id", "left_semi"
+    )
     parts = listed.select(F.lit(1).alias("listed")).unionByName(
         found.select("event_type", F.lit(1).alias("found")), allowMissingColumns=True
     )

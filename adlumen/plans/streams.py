@@ -16,7 +16,7 @@ from adlumen.streaming import ingest, live, sinks
 
 
 def _fresh(spark: SparkSession, name: str) -> tuple[str, str]:
-    """Output and checkpoint folders of one run."""
+    """Output and checkpoint folders of one run, kept because results are read lazily."""
     base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     return f"{base}/out", f"{base}/checkpoint"
 

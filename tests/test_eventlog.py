@@ -100,6 +100,20 @@ def test_appending_numbers_from_the_last(spark):
     assert sorted(rows_of(first, "id", "sequence_number")) == [(21, 2), (22, 1)]
 
 
+def test_appending_from_a_kept_table_of_last_numbers(spark):
+    last = e.last_sequences(edge(spark))
+    first = e.append_events(e.impression_events(recorded(spark)), last=last)
+    last = e.advanced_sequences(last, first)
+    assert sorted(rows_of(last)) == [(1, "5", 10), (1, "6", 1), (2, "5", 1)]
+    again = e.append_events(e.impression_events(recorded(spark)), last=last)
+    assert sorted(rows_of(again, "sequence_number")) == [(11,), (12,)]
+
+
+def test_batch_list_with_repeats(spark):
+    ids = spark.createDataFrame([(1,)] * 5, "event_id bigint")
+    assert rows_of(e.event_batch_counts(edge(spark), ids, 1)) == [(5, 1, 1, 0, 0)]
+
+
 def test_payloads(spark):
     body = json.loads(e.impression_events(recorded(spark)).filter("id = 21").first()["payload"])
     assert body == {"campaign_id": 5, "ad_id": 11, "user_id": 7, "cost": "0.5000",

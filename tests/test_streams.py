@@ -107,7 +107,8 @@ def test_approximate_users_in_update_mode(spark, tmp_path):
 
 
 def test_dashboard_with_zero_rows(spark, tmp_path):
-    known = campaigns(spark, [(5, 1, "five", "1", "active", "02-01"), (6, 1, "six", "1", "paused", "02-01"),
+    known = campaigns(spark, [(5, 1, "five", "1", "active", "02-01"),
+                              (6, 1, "six", "1", "paused", "02-01"),
                               (7, 2, "seven", "1", "active", "02-01")])
     drop(tmp_path / "in", "a", message(1, I, 5, "10:00:00", 7, "1"), message(2, I, 6, "10:00:00", 8, "1"))
     stream = live.stream_dashboard(events(spark, tmp_path), known)
