@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from adlumen.llm.common import documents, scratch_path
 from adlumen.llm.decontaminate import find_contamination
 from adlumen.llm.exact_dedup import mark_copies
+from adlumen.llm.piece_codec import digests, encode_documents
 from adlumen.llm.sharding import shard_documents
+from adlumen.llm.toxicity import labels_of, score_documents
 from adlumen.llm.warc import read_resolved, resolve_revisits, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +28,17 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(documents(spark, folder))
 
 
+@query
+def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return digests(encode_documents(documents(spark, folder), model))
+
+
+@query
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return score_documents(documents(spark, folder), labels_of(spark, folder))
+
+
 @query
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return mark_copies(documents(spark, folder))
