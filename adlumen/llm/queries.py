@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from adlumen.llm.common import documents, scratch_path
 from adlumen.llm.decontaminate import find_contamination
 from adlumen.llm.exact_dedup import mark_copies
+from adlumen.llm.jaccard_join import link_documents
 from adlumen.llm.piece_codec import digests, encode_documents
 from adlumen.llm.sharding import shard_documents
 from adlumen.llm.toxicity import labels_of, score_documents
@@ -44,6 +45,11 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return mark_copies(documents(spark, folder))
 
 
+@query
+def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return link_documents(documents(spark, folder))
+
+
 @query
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "warc")
