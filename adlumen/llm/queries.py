@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from adlumen.llm import pii, suffix_tree_lm
 from adlumen.llm.common import documents, scratch_path
 from adlumen.llm.decontaminate import find_contamination
 from adlumen.llm.exact_dedup import mark_copies
@@ -45,11 +46,21 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return mark_copies(documents(spark, folder))
 
 
+@query
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digests(pii.find_personal_data(documents(spark, folder)))
+
+
 @query
 def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return link_documents(documents(spark, folder))
 
 
+@query
+def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_tree_lm.score_documents(documents(spark, folder))
+
+
 @query
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "warc")
