@@ -8,6 +8,7 @@ back by Content-Length, one file a task.
 
 from __future__ import annotations
 
+import gzip
 import re
 from collections.abc import Iterator
 
@@ -71,7 +72,7 @@ def _header(name: str, value: Column) -> Column:
 
 def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
                    records_per_file: int = 2000) -> None:
-    """``records`` (of ``resolve_revisits``) as WARC files; revisits carry no payload."""
+    """``records`` (of ``resolve_revisits``) as .gz WARC files; revisits carry no payload."""
     revisit = F.col("record_type") == "revisit"
     own = _record_id(F.col("page_id"), F.col("payload_digest"))
     block = F.concat(F.lit(HTTP), F.when(revisit, "").otherwise(F.col("payload")))
@@ -88,7 +89,7 @@ def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:
         _header("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"), block,
     )
     (records.select(lines.alias("value")).write.option("lineSep", BETWEEN)
-     .option("maxRecordsPerFile", records_per_file).text(path))
+     .option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path))
 
 
 RECORDS = ("page_id string, record_id string, record_type string, url string, "
@@ -120,7 +121,7 @@ def _parse_files(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [field.split()[0] for field in RECORDS.split(", ")]
     for frame in files:
         for content in frame["content"]:
-            yield pd.DataFrame(list(_parse(content)), columns=names)
+            yield pd.DataFrame(list(_parse(gzip.decompress(content))), columns=names)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -143,9 +144,13 @@ def read_resolved(spark: SparkSession, path: str, id_type: str = "bigint") -> Da
         F.col("record_id").alias("of"), F.col("page_id").alias("of_page"),
         F.col("bytes").alias("of_bytes"), F.col("digest").alias("of_digest"),
     ).dropDuplicates(["of"])
-    joined = records.join(responses, F.col("refers_to_record") == F.col("of"), "left")
-    return joined.select(
-        "page_id", F.coalesce("bytes", "of_bytes").alias("payload_bytes"),
-        F.coalesce("digest", "of_digest").alias("payload_digest"), "record_type",
-        F.col("of_page").alias("refers_to"),
-    )
+    # Only revisits are joined: the null references of responses would meet in one task.
+    known = records.filter("record_type = 'response'").select(
+        "page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+        "record_type", F.lit(None).cast(id_type).alias("refers_to"))
+    resolved = records.filter("record_type = 'revisit'").join(
+        responses, F.col("refers_to_record") == F.col("of"), "left"
+    ).select("page_id", F.col("of_bytes").alias("payload_bytes"),
+             F.col("of_digest").alias("payload_digest"), "record_type",
+             F.col("of_page").alias("refers_to"))
+    return known.unionByName(resolved)
