@@ -14,6 +14,7 @@ from adlumen.llm.exact_dedup import mark_copies
 from adlumen.llm.jaccard_join import link_documents
 from adlumen.llm.piece_codec import digests, encode_documents
 from adlumen.llm.sharding import shard_documents
+from adlumen.llm.suffix_dedup import remove_repeats
 from adlumen.llm.toxicity import labels_of, score_documents
 from adlumen.llm.warc import read_resolved, resolve_revisits, write_archives
 
@@ -41,6 +42,11 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score_documents(documents(spark, folder), labels_of(spark, folder))
 
 
+@query
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(documents(spark, folder)).drop("spans", "kept")
+
+
 @query
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return mark_copies(documents(spark, folder))
