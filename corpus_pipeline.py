@@ -1,25 +1,59 @@
-"""A corpus cleaned in stages, each written as Parquet and read again for the next."""
+"""A corpus cleaned and encoded in stages, each written as Parquet and read again by the next."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from adlumen.llm.common import documents, stored
-from adlumen.llm.decontaminate import find_contamination
+from adlumen.llm.decontaminate import drop_contaminated
 from adlumen.llm.exact_dedup import drop_copies
+from adlumen.llm.jaccard_join import keep_one_of_each
+from adlumen.llm.piece_codec import digests, encode_documents
+from adlumen.llm.toxicity import REJECT, labels_of, train_on, with_score
 
+# No SQL can say what the classifier does; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays."""
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that score as toxic go; the classifier learns from the labelled ones."""
+    scored = with_score(docs, train_on(docs, labels_of(spark, sf_dir)), "_score")
+    return scored.filter(F.col("_score") < REJECT).drop("_score")
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the smallest id stays."""
     return drop_copies(docs)
 
 
-STAGES = [("exact_dedup", exact_copies)]
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the smallest id stays."""
+    return keep_one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that hold a window of a benchmark item go."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of what is left: their number and digests, and whether the library agrees."""
+    return digests(encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model")))
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact_dedup", exact_dedup),
+    ("jaccard_join", jaccard_join),
+    ("decontamination", decontamination),
+    ("sentencepiece", sentencepiece),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
