@@ -20,7 +20,6 @@ from adlumen.llm.common import stored, text_of
 
 # Words: digits, letters and everything beyond ASCII.
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-WORD_ANY_CASE = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 SPAN, GRAM = 10, 5
 
 
@@ -30,6 +29,15 @@ def words(text: Column) -> Column:
                                 F.lit(WORD), F.lit(0))
 
 
+def rough_words(text: Column) -> Column:
+    """The same words with all letters lower-cased, which costs far less.
+
+    One for one with ``words``, since no letter becomes a separator; equal
+    words stay equal, so nothing is missed by looking for these first.
+    """
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, also where lambdas use it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -64,25 +72,39 @@ def _positions(g: Column, wanted: Column) -> Column:
                     lambda i: F.array_contains(wanted, F.element_at(g, i)))
 
 
-def _occurrences(docs: DataFrame, items: DataFrame, span: int, gram: int) -> DataFrame:
-    """(id, h, item, start): where a window of ``span`` item words stands in a document."""
-    window = span - gram + 1
-    reach = span - gram
-    printed = stored(items.select("item", "iw", F.inline(let(
-        grams(F.col("iw"), gram),
+def _item_prints(items: DataFrame, span: int, gram: int) -> DataFrame:
+    """(item, iw, f, q): each fingerprint of an item and the words where its gram begins."""
+    return stored(items.select("item", "iw", F.inline(let(
+        grams(F.col("ir"), gram),
         lambda g: F.transform(
-            _positions(g, fingerprints(g, window)),
+            _positions(g, fingerprints(g, span - gram + 1)),
             lambda q: F.struct(F.element_at(g, q).alias("f"), q.alias("q")))))), "item-prints")
-    prints = printed.select("f").distinct()
 
-    # First pass: which documents share a fingerprint at all.
-    shown = docs.select("id", "h", F.explode(
-        let(words(F.col("t")), lambda w: prints_of(w, gram, window))).alias("f"))
-    shared = shown.join(lookup_side(prints), "f").groupBy(
+
+def _shared_prints(docs: DataFrame, printed: DataFrame, span: int, gram: int) -> DataFrame:
+    """(id, h, f, n): fingerprints shared with an item; and a row per document, with its words.
+
+    The row per document has ``n``, the number of words, and the text's own hash as ``f``.
+    """
+    prints = lookup_side(printed.select("f", F.lit(True).alias("wanted")).distinct())
+    each = let(rough_words(F.col("t")), lambda w: F.concat(
+        F.array(F.struct(F.col("h").alias("f"), F.size(w).cast("bigint").alias("n"))),
+        F.transform(F.coalesce(prints_of(w, gram, span - gram + 1), F.array().cast("array<bigint>")),
+                    lambda f: F.struct(f.alias("f"), F.lit(None).cast("bigint").alias("n")))))
+    shown = docs.select("id", "h", F.inline(each)).join(prints, "f", "left")
+    return stored(shown.filter(F.col("wanted") | F.col("n").isNotNull())
+                  .select("id", "h", "f", "n"), "shared-prints")
+
+
+def _occurrences(docs: DataFrame, shown: DataFrame, printed: DataFrame, span: int,
+                 gram: int) -> DataFrame:
+    """(id, h, item, start): where a window of ``span`` item words stands in a document."""
+    reach = span - gram
+    shared = shown.filter(F.col("n").isNull()).groupBy(
         F.col("id").alias("shared_id"), F.col("h").alias("shared_h")).agg(
         F.collect_set("f").alias("fs"))
 
-    # Second pass: only those documents, with the words around each shared gram.
+    # Only those documents, with the words around each shared gram.
     def around(w: Column, g: Column, p: Column) -> Column:
         before = F.least(F.lit(reach), p - 1)
         return F.struct(F.element_at(g, p).alias("f"), p.alias("p"), before.alias("before"),
@@ -91,8 +113,8 @@ def _occurrences(docs: DataFrame, items: DataFrame, span: int, gram: int) -> Dat
     found = docs.join(
         shared, F.col("id").eqNullSafe(F.col("shared_id")) & (F.col("h") == F.col("shared_h"))
     ).select("id", "h", F.inline(let(words(F.col("t")), lambda w: let(
-        grams(w, gram), lambda g: F.transform(_positions(g, F.col("fs")),
-                                              lambda p: around(w, g, p))))))
+        let(rough_words(F.col("t")), lambda rough: grams(rough, gram)), lambda g: F.transform(
+            _positions(g, F.col("fs")), lambda p: around(w, g, p))))))
     # Each alignment of a shared gram: the gram stands ``back`` words into the window.
     aligned = found.join(lookup_side(printed), "f").withColumn(
         "back", F.explode(F.sequence(F.lit(0), F.lit(reach))))
@@ -104,6 +126,33 @@ def _occurrences(docs: DataFrame, items: DataFrame, span: int, gram: int) -> Dat
         "id", "h", "item", (F.col("p") - F.col("back")).alias("start")).distinct()
 
 
+def _search(docs: DataFrame, benchmark: DataFrame, span: int, gram: int, item_column: str,
+            item_text: str) -> tuple[DataFrame, DataFrame]:
+    """(id, h, item, start, span) of all occurrences; and (id, h, n_words) of every document."""
+    items = stored(benchmark.select(
+        F.col(item_column).alias("item"), words(text_of(item_text)).alias("iw"),
+        rough_words(text_of(item_text)).alias("ir")), "items")
+    length = F.least(F.size("iw"), F.lit(span))
+    # At most ``span`` different lengths: windows of whole size, and whole short items.
+    sizes = {row[0] for row in items.select(length.alias("n")).distinct().collect()} - {0}
+    found, counted = [], None
+    for size in sorted(sizes | {span}, reverse=True):
+        part = gram if size == span else size
+        printed = _item_prints(items.filter(length == size), size, part)
+        shown = _shared_prints(docs, printed, size, part)
+        if counted is None:
+            counted = shown.filter(F.col("n").isNotNull()).select(
+                "id", "h", F.col("n").alias("n_words"))
+        found.append(_occurrences(docs, shown, printed, size, part)
+                     .withColumn("span", F.lit(size)))
+    return stored(reduce(DataFrame.unionByName, found), "hits"), counted
+
+
+def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    text = text_of(text_column)
+    return docs.select(F.col(id_column).alias("id"), text.alias("t"), F.xxhash64(text).alias("h"))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM,
                        id_column: str = "doc_id", text_column: str = "text",
                        item_column: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -116,27 +165,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN,
     items count once. Empty tables give empty or clean results; other columns
     are ignored.
     """
-    text = text_of(text_column)
-    docs = docs.select(F.col(id_column).alias("id"), text.alias("t"), F.xxhash64(text).alias("h"))
-    items = stored(benchmark.select(
-        F.col(item_column).alias("item"), words(text_of(item_text)).alias("iw")), "items")
-    length = F.least(F.size("iw"), F.lit(span))
-    # At most ``span`` different lengths: windows of whole size, and whole short items.
-    sizes = sorted(row[0] for row in items.select(length.alias("n")).distinct().collect())
-    found = [
-        _occurrences(docs, items.filter(length == size), size, gram if size == span else size)
-        .withColumn("span", F.lit(size))
-        for size in sizes if size
-    ]
-    narrow = docs.select("id", "h", F.regexp_count("t", F.lit(WORD_ANY_CASE)).cast("bigint")
-                         .alias("n_words"))
-    none = F.sha2(F.lit(""), 256)
-    if not found:
-        return narrow.select(
-            F.col("id").alias(id_column), "n_words", F.lit(0).cast("bigint").alias("n_hit"),
-            F.lit(0).cast("bigint").alias("n_items"), none.alias("items_sha256"),
-            F.lit(False).alias("contaminated"))
-    hits = stored(reduce(DataFrame.unionByName, found), "hits")
+    hits, counted = _search(_keyed(docs, id_column, text_column), benchmark, span, gram,
+                            item_column, item_text)
     covered = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("span") - 1))
     n_hit = hits.select("id", "h", covered.alias("p")).distinct().groupBy("id", "h").agg(
         F.count("*").alias("n_hit"))
@@ -145,13 +175,23 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN,
     results = n_hit.alias("n").join(
         listed.alias("l"), F.col("n.id").eqNullSafe(F.col("l.id")) & (F.col("n.h") == F.col("l.h"))
     ).select(F.col("n.id").alias("rid"), F.col("n.h").alias("rh"), "n_hit", "items")
-    joined = narrow.join(results, F.col("id").eqNullSafe(F.col("rid"))
-                         & (F.col("h") == F.col("rh")), "left")
+    joined = counted.join(results, F.col("id").eqNullSafe(F.col("rid"))
+                          & (F.col("h") == F.col("rh")), "left")
     return joined.select(
         F.col("id").alias(id_column), "n_words",
         F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("n_items"),
-        F.when(F.col("items").isNull(), none).otherwise(
-            F.sha2(F.array_join(F.array_sort("items"), ","), 256)).alias("items_sha256"),
+        F.sha2(F.coalesce(F.array_join(F.array_sort("items"), ","), F.lit("")), 256)
+        .alias("items_sha256"),
         F.col("n_hit").isNotNull().alias("contaminated"),
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM,
+                      id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows in which no window of a benchmark item occurs, with their own columns."""
+    hits, _ = _search(_keyed(docs, id_column, text_column), benchmark, span, gram,
+                      "item_id", "text")
+    dirty = hits.select(F.col("id").alias("_dirty"), F.col("h").alias("_hash")).distinct()
+    return docs.join(lookup_side(dirty), F.col(id_column).eqNullSafe(F.col("_dirty")) & (
+        F.xxhash64(text_of(text_column)) == F.col("_hash")), "left_anti")

@@ -21,10 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from adlumen.functions.sizing import lookup_side
 from adlumen.llm.common import partitions, stored, text_of
 from adlumen.llm.components import components
 
@@ -34,6 +36,7 @@ PERMUTATIONS = 12
 # Frequent tokens that are put last in the order; a bound, see _frequent.
 FREQUENT = 400_000
 KEPT_WORDS = 400_000
+KEPT_TOKENS = 4_000_000  # of the sets a task keeps while it compares pairs
 # Tokens of a task that are counted together when looking for frequent ones.
 COUNTED = 3_000_000
 _FACTORS = np.array([xxhash.xxh64_intdigest(b"word", i) | 1 for i in range(64)], np.uint64)
@@ -139,25 +142,34 @@ def _frequent(sketches: DataFrame) -> np.ndarray:
 
 def _compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets link; both are computed anew from the whole texts."""
-    with_a = pairs.join(texts.select(F.col("r").alias("a"), F.col("t").alias("ta")), "a")
-    with_b = with_a.join(texts.select(F.col("r").alias("b"), F.col("t").alias("tb")), "b")
+    pairs = stored(pairs, "pairs")
+    ends = pairs.select(F.col("a").alias("r")).unionByName(
+        pairs.select(F.col("b").alias("r"))).distinct()
+    # While the ends are few, texts are picked where they lie and only those are shuffled.
+    met = texts.join(lookup_side(ends), "r", "left_semi").select("r", "t")
+    with_a = pairs.join(met.toDF("a", "ta"), "a")
+    with_b = with_a.join(met.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[str, np.ndarray] = {}
+        held = 0
         for batch in batches:
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep, sets = [], {}
-            for x, y in zip(left, right):
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if held > KEPT_TOKENS:
+                    sets, held = {}, 0
                 for text in (x, y):
                     if text not in sets:
-                        if len(sets) > 200:
-                            sets.clear()
                         sets[text] = shingle_set(text, size)
-                p, q = (sets[x] if x in sets else shingle_set(x, size)), sets[y]
+                        held += len(sets[text])
+                p, q = sets[x], sets[y]
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1)], names=["a", "b"]).filter(
+                pa.array(keep, pa.bool_()))
 
-    return with_b.select("a", "b", "ta", "tb").mapInArrow(linked, "a bigint, b bigint")
+    return with_b.mapInArrow(linked, "a bigint, b bigint")
 
 
 def _near_size(n, m, percent: int):
@@ -189,7 +201,12 @@ def _groups(reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
 
 
 def _prefixes(texts: DataFrame, frequent: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(token, late, r, g, n, p): each set's prefix in the common order, ``p`` the place in it."""
+    """(token, r, off, place): each set's prefix in the common order.
+
+    ``off`` is how far the group's number lies below ``r``, and ``place`` packs
+    the set's size, the token's place and whether it is a frequent one, since
+    these rows are the bulk of what is shuffled.
+    """
     sent = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,75 +214,75 @@ def _prefixes(texts: DataFrame, frequent: np.ndarray, size: int, percent: int) -
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                tokens, counts, sizes, lates = [], [], [], []
+                tokens, counts, places = [], [], []
                 for text in some.column(2).to_pylist():
                     s = shingle_set(text, size)
+                    early = len(s)
                     if len(late):
-                        place = np.minimum(np.searchsorted(late, s), len(late) - 1)
-                        last = late[place] == s
+                        where = np.minimum(np.searchsorted(late, s), len(late) - 1)
+                        last = late[where] == s
                         s = np.concatenate([s[~last], s[last]])
-                    else:
-                        last = np.zeros(len(s), bool)
-                    sizes.append(len(s))
+                        early -= int(last.sum())
                     tokens.append(s[:len(s) - least_overlap(len(s), percent) + 1])
                     counts.append(len(tokens[-1]))
-                    lates.append(np.arange(counts[-1]) >= len(s) - last.sum())
-                row = np.repeat(np.arange(len(counts)), counts)
+                    p = np.arange(counts[-1])
+                    places.append((len(s) << 32) | (p << 1) | (p >= early))
+                row = pa.array(np.repeat(np.arange(len(counts)), counts))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(tokens).view(np.int64)),
-                    pa.array(np.concatenate(lates)),
-                    some.column(0).take(pa.array(row)), some.column(1).take(pa.array(row)),
-                    pa.array(np.repeat(sizes, counts).astype(np.int32)),
-                    pa.array(np.concatenate([np.arange(c) for c in counts]).astype(np.int32)),
-                ], names=["token", "late", "r", "g", "n", "p"])
+                    pa.array(np.concatenate(tokens).view(np.int64)), some.column(0).take(row),
+                    some.column(1).take(row), pa.array(np.concatenate(places)),
+                ], names=["token", "r", "off", "place"])
 
-    return texts.select("r", "g", "t").mapInArrow(
-        prefix, "token bigint, late boolean, r bigint, g bigint, n int, p int")
+    return texts.select("r", "off", "t").mapInArrow(
+        prefix, "token bigint, r bigint, off bigint, place bigint")
 
 
 def _in_two_groups(rows: DataFrame) -> DataFrame:
-    """The rows whose token occurs in at least two groups; the rest can link to nothing new.
+    """(token, r, g, n, p): rows whose token is in two groups; the rest can link to nothing new.
 
     Frequent tokens are spread over all partitions and looked at afterwards, by
     an aggregate; the runs held here are of other tokens, which are few each.
     """
     count = partitions(rows.sparkSession)
-    salt = F.when(F.col("late"), F.pmod(F.xxhash64("r"), F.lit(count))).otherwise(0)
-    laid = rows.repartition(count, "token", salt).sortWithinPartitions("late", "token")
+    late = F.col("place").bitwiseAND(1) == 1
+    salt = F.when(late, F.pmod(F.xxhash64("r"), F.lit(count))).otherwise(0)
+    laid = rows.repartition(count, "token", salt).sortWithinPartitions("token")
 
     def shared(table: pa.Table) -> list[pa.RecordBatch]:
         if not table.num_rows:
             return []
-        token, group = table.column("token").to_numpy(), table.column("g").to_numpy()
+        token = table.column("token").to_numpy()
+        group = table.column("r").to_numpy() - table.column("off").to_numpy()
         starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         differs = np.minimum.reduceat(group, starts) != np.maximum.reduceat(group, starts)
         keep = np.repeat(differs, np.diff(np.r_[starts, len(token)]))
-        return table.filter(pa.array(keep | table.column("late").to_numpy(False))).to_batches()
+        return table.filter(pa.array(keep)).to_batches()
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []  # rows of the last token so far
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            token = table.column("token").to_numpy()
-            if batch.column(1)[0].as_py():  # frequent tokens come last
-                yield from shared(pa.concat_tables([*held, table]))
-                held = []
+            frequent = pa.array(batch.column(3).to_numpy() & 1 == 1)
+            yield batch.filter(frequent)
+            rest = pa.Table.from_batches([batch]).filter(pc.invert(frequent))
+            if not rest.num_rows:
                 continue
+            token = rest.column("token").to_numpy()
             cut = int(np.flatnonzero(token == token[-1])[0])
             if cut or held and held[0].column("token")[0].as_py() != token[0]:
-                yield from shared(pa.concat_tables([*held, table.slice(0, cut)]))
+                yield from shared(pa.concat_tables([*held, rest.slice(0, cut)]))
                 held = []
-            held.append(table.slice(cut))
+            held.append(rest.slice(cut))
         if held:
             yield from shared(pa.concat_tables(held))
 
-    kept = stored(laid.mapInArrow(runs, rows.schema), "shared-tokens")
+    kept = stored(laid.mapInArrow(runs, rows.schema), "shared-tokens").select(
+        "token", "r", (F.col("r") - F.col("off")).alias("g"), late.alias("late"),
+        F.shiftright("place", 32).cast("int").alias("n"),
+        F.shiftright(F.col("place").bitwiseAND(0xFFFFFFFF), 1).cast("int").alias("p"))
     # At most FREQUENT rows.
-    late = kept.filter("late").groupBy("token").agg(
+    wanted = kept.filter("late").groupBy("token").agg(
         (F.min("g") != F.max("g")).alias("wanted"))
-    return kept.join(F.broadcast(late), "token", "left").filter(
+    return kept.join(F.broadcast(wanted), "token", "left").filter(
         ~F.col("late") | F.col("wanted")).drop("wanted", "late")
 
 
@@ -321,12 +338,27 @@ def link_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     reps = sets.filter("n > 0").groupBy("s").agg(
         F.min(F.struct("id", "h")).alias("one"), F.min("id").alias("least_id"),
         F.first("n").alias("n"), F.first("mins").alias("mins"))
-    reps = stored(reps.withColumn("r", F.monotonically_increasing_id()), "sets")
-    one = reps.select("r", "n", F.col("one.id").alias("rid"), F.col("one.h").alias("rh"))
-    texts = stored(docs.join(one, F.col("id").eqNullSafe(F.col("rid"))
-                             & (F.col("h") == F.col("rh"))).select("r", "n", "t"), "set-texts")
+    # Copies, by far fewer than texts as a rule, are taken out where the texts lie.
+    copies = stored(sets.filter("n > 0").join(reps.select("s", "one"), "s").filter(
+        ~F.col("id").eqNullSafe(F.col("one.id")) | (F.col("h") != F.col("one.h"))
+    ).select(F.col("id").alias("cid"), F.col("h").alias("ch")).distinct(), "copies")
+    texts = stored(docs.filter(F.col("t").rlike("[^\\x20\\x09-\\x0D]")).join(
+        lookup_side(copies), F.col("id").eqNullSafe(F.col("cid")) & (F.col("h") == F.col("ch")),
+        "left_anti").withColumn("r", F.monotonically_increasing_id()), "set-texts")
+    # Rows repeated in full are still there as often; the first of each stands for the set.
+    keyed = texts.select("r", F.col("id").alias("rid"), F.col("h").alias("rh"))
+    first = keyed.groupBy("rid", "rh").agg(F.min("r").alias("r"), F.count("*").alias("rows"))
+    reps = stored(reps.join(first, F.col("one.id").eqNullSafe(F.col("rid"))
+                            & (F.col("one.h") == F.col("rh"))).drop("rows", "rid", "rh"), "sets")
+    again = first.filter("rows > 1").toDF("fid", "fh", "fr", "rows")
+    spare = stored(keyed.join(again, F.col("rid").eqNullSafe(F.col("fid")) & (
+        F.col("rh") == F.col("fh"))).filter("r <> fr").select("r"), "spare-rows")
+    texts = texts.join(lookup_side(spare), "r", "left_anti").select("r", "t")
     groups = stored(_groups(reps, texts, size, percent), "groups")
-    rows = _prefixes(texts.join(groups, "r"), _frequent(sketches), size, percent)
+    joined = groups.filter("g <> r").select("r", (F.col("r") - F.col("g")).alias("off"))
+    numbered = texts.join(lookup_side(joined), "r", "left").select(
+        "r", F.coalesce("off", F.lit(0)).alias("off"), "t")
+    rows = _prefixes(numbered, _frequent(sketches), size, percent)
     more = _across(rows, texts, size, percent)
     of_group = groups.select(F.col("r").alias("a"), F.col("g").alias("ga"))
     ends = more.join(of_group, "a").join(
