@@ -32,7 +32,10 @@ from adlumen.llm.components import components
 
 SHINGLE = 5
 PERCENT = 75
-PERMUTATIONS = 12
+PERMUTATIONS = 10
+ROUNDS = 1  # of meeting leaders
+# One in how many members of a group is asked, turn by turn; the last turn asks all.
+SHARES = (64, 16, 4, 1)
 # Frequent tokens that are put last in the order; a bound, see _frequent.
 FREQUENT = 400_000
 KEPT_WORDS = 400_000
@@ -179,25 +182,37 @@ def _near_size(n, m, percent: int):
 def _groups(reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(r, g): similar sets in groups, by exact comparison with leaders.
 
-    Each min-hash value has one leader, a different one for each permutation;
-    a set meets a leader if half of their min-hashes agree. This is linear in
-    the number of sets, however many share a value.
+    Each min-hash value has one leader, a different one for each permutation
+    and round; a set meets a leader of another group if half of their min-hashes
+    agree. A round is linear in the number of sets, however many share a value,
+    and later ones only concern values that still occur in several groups.
     """
-    keyed = reps.select("r", F.posexplode("mins").alias("k", "v"))
-    leaders = keyed.groupBy("k", "v").agg(
-        F.min_by("r", F.xxhash64("r", "k")).alias("leader"), F.count("*").alias("met")
-    ).filter("met > 1").drop("met")
-    met = keyed.join(leaders, ["k", "v"]).filter("r <> leader").select(
-        F.greatest("r", "leader").alias("a"), F.least("r", "leader").alias("b")).distinct()
     known = reps.select("r", "n", "mins")
-    pairs = met.join(known.toDF("a", "na", "ma"), "a").join(known.toDF("b", "nb", "mb"), "b")
-    agree = F.aggregate(F.zip_with("ma", "mb", lambda x, y: (x == y).cast("int")),
-                        F.lit(0), lambda x, y: x + y)
-    pairs = pairs.filter((agree >= PERMUTATIONS // 2) & _near_size(
-        F.col("na"), F.col("nb"), percent)).select("a", "b")
-    linked = components(_compared(pairs, texts, size, percent))
-    return reps.select("r").join(linked.withColumnRenamed("node", "r"), "r", "left").select(
-        "r", F.coalesce("component", "r").alias("g"))
+    groups = reps.select("r", F.col("r").alias("g"))
+    for turn in range(ROUNDS):
+        keyed = reps.select("r", F.posexplode("mins").alias("k", "v"))
+        keyed = keyed.withColumn("g", F.col("r")) if turn == 0 else keyed.join(groups, "r")
+        leaders = keyed.groupBy("k", "v").agg(
+            F.min_by(F.struct("r", "g"), F.xxhash64("r", "k", F.lit(turn))).alias("leader"),
+            (F.min("g") != F.max("g")).alias("several")).filter("several").drop("several")
+        met = keyed.join(leaders, ["k", "v"]).filter("g <> leader.g").select(
+            F.greatest("r", "leader.r").alias("a"), F.least("r", "leader.r").alias("b")).distinct()
+        pairs = met.join(known.toDF("a", "na", "ma"), "a").join(known.toDF("b", "nb", "mb"), "b")
+        agree = F.aggregate(F.zip_with("ma", "mb", lambda x, y: (x == y).cast("int")),
+                            F.lit(0), lambda x, y: x + y)
+        pairs = pairs.filter((agree >= PERMUTATIONS // 2) & _near_size(
+            F.col("na"), F.col("nb"), percent)).select("a", "b")
+        groups = _joined(groups, _compared(pairs, texts, size, percent))
+    return groups
+
+
+def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``groups`` after links (a, b) between their members."""
+    links = stored(links, "links")
+    ends = links.join(groups.toDF("a", "ga"), "a").join(groups.toDF("b", "gb"), "b").select(
+        F.col("ga").alias("a"), F.col("gb").alias("b"))
+    return stored(groups.join(components(ends).withColumnRenamed("node", "g"), "g", "left").select(
+        "r", F.coalesce("component", "g").alias("g")), "groups")
 
 
 def _prefixes(texts: DataFrame, frequent: np.ndarray, size: int, percent: int) -> DataFrame:
@@ -238,10 +253,10 @@ def _prefixes(texts: DataFrame, frequent: np.ndarray, size: int, percent: int) -
 
 
 def _in_two_groups(rows: DataFrame) -> DataFrame:
-    """(token, r, g, n, p): rows whose token is in two groups; the rest can link to nothing new.
+    """(token, r, n, p): rows whose token is in two groups; the rest can link to nothing new.
 
-    Frequent tokens are spread over all partitions and looked at afterwards, by
-    an aggregate; the runs held here are of other tokens, which are few each.
+    Rows of frequent tokens are spread over all partitions and all kept; the
+    runs held here are of other tokens, which are few each.
     """
     count = partitions(rows.sparkSession)
     late = F.col("place").bitwiseAND(1) == 1
@@ -275,49 +290,66 @@ def _in_two_groups(rows: DataFrame) -> DataFrame:
         if held:
             yield from shared(pa.concat_tables(held))
 
-    kept = stored(laid.mapInArrow(runs, rows.schema), "shared-tokens").select(
-        "token", "r", (F.col("r") - F.col("off")).alias("g"), late.alias("late"),
-        F.shiftright("place", 32).cast("int").alias("n"),
+    return stored(laid.mapInArrow(runs, rows.schema), "shared-tokens").select(
+        "token", "r", F.shiftright("place", 32).cast("int").alias("n"),
         F.shiftright(F.col("place").bitwiseAND(0xFFFFFFFF), 1).cast("int").alias("p"))
-    # At most FREQUENT rows.
-    wanted = kept.filter("late").groupBy("token").agg(
-        (F.min("g") != F.max("g")).alias("wanted"))
-    return kept.join(F.broadcast(wanted), "token", "left").filter(
-        ~F.col("late") | F.col("wanted")).drop("wanted", "late")
 
 
-def _across(rows: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): links between sets of different groups, through the token-group matrix."""
+def _across(rows: DataFrame, texts: DataFrame, groups: DataFrame, size: int,
+            percent: int) -> DataFrame:
+    """``groups`` after all links between sets of different groups, by the token-group matrix.
+
+    A set on the edge of a large group links to some of its members, and one link
+    settles them all. So it first meets a few, chosen by hash; with what that
+    joins, there are fewer groups to ask and to be asked. The last turn leaves
+    out nothing.
+    """
     rows = _in_two_groups(rows)
+    for share in SHARES:
+        placed = rows.join(groups, "r")
+        wanted = placed.groupBy("token").agg((F.min("g") != F.max("g")).alias("several")).filter(
+            "several").select("token")
+        rows = stored(placed.join(wanted, "token").drop("g"), "shared-tokens")
+        pairs = _candidates(rows.join(groups, "r"), share, percent)
+        groups = _joined(groups, _compared(pairs, texts, size, percent))
+    return groups
+
+
+def _candidates(rows: DataFrame, share: int, percent: int) -> DataFrame:
+    """(a, b): sets of different groups that may link, one in ``share`` of the members asked."""
     # The matrix: a token's groups, with the room that the roomiest member has behind it.
     matrix = rows.groupBy("token", "g").agg(
         F.max(F.col("n") - F.col("p")).alias("room"), F.min("n").alias("low"),
         F.max("n").alias("high"))
     query = rows.select("token", "r", "n", "p", F.col("g").alias("own"))
-    # Behind the last token shared with a member, set and member can share no more than
+    other = F.col("g") < F.col("own") if share == 1 else F.col("g") != F.col("own")
+    # A set and a member that link share ``need`` tokens, so the first they share leaves at
+    # least so many in both. Behind the last token shared in front they can share no more than
     # either has left; which token that is differs by member, so the best case counts.
+    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("low")) / F.lit(100 + percent))
     bounded = query.join(matrix, "token").filter(
-        (F.col("g") < F.col("own")) & (100 * F.col("high") >= percent * F.col("n"))
+        other & (100 * F.col("high") >= percent * F.col("n"))
         & (100 * F.col("n") >= percent * F.col("low"))
+        & (F.col("n") - F.col("p") >= need) & (F.col("room") >= need)
     ).groupBy("r", "g").agg(
         F.array_sort(F.collect_list(F.struct("p", "room"))).alias("hits"),
         F.min("n").alias("n"), F.min("low").alias("low"))
     most = F.array_max(F.transform("hits", lambda x, k: k + F.least(
         F.col("n") - x["p"], x["room"])))
-    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("low")) / F.lit(100 + percent))
     opened = bounded.filter(most >= need).select("r", "g")
     # Members of opened groups, again bounded, now one by one.
     members = rows.select("token", F.col("r").alias("m"), F.col("n").alias("mn"),
                           F.col("p").alias("mp"), "g")
-    left = F.least(F.col("n") - F.col("p"), F.col("mn") - F.col("mp")) - 1
+    if share > 1:
+        members = members.filter(F.pmod(F.xxhash64("m"), F.lit(share)) == 0)
+    least = F.ceil(F.lit(percent) * (F.col("n") + F.col("mn")) / F.lit(100 + percent))
+    left = F.least(F.col("n") - F.col("p"), F.col("mn") - F.col("mp"))
     met = query.join(opened, "r").join(members, ["token", "g"]).filter(
-        _near_size(F.col("n"), F.col("mn"), percent)
+        _near_size(F.col("n"), F.col("mn"), percent) & (left >= least)
     ).groupBy("r", "m").agg(F.count("*").alias("hits"), F.min("n").alias("n"),
-                            F.min("mn").alias("mn"), F.min(left).alias("left"))
-    least = F.ceil(F.lit(percent) * (F.col("n") + F.col("mn")) / F.lit(100 + percent))
-    pairs = met.filter(F.col("hits") + F.col("left") >= least).select(
-        F.col("r").alias("a"), F.col("m").alias("b"))
-    return _compared(pairs, texts, size, percent)
+                            F.min("mn").alias("mn"), (F.min(left) - 1).alias("left"))
+    return met.filter(F.col("hits") + F.col("left") >= least).select(
+        F.greatest("r", "m").alias("a"), F.least("r", "m").alias("b")).distinct()
 
 
 def link_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
@@ -331,6 +363,13 @@ def link_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     A null id is never a component's name unless no other is there. An empty
     table gives an empty result; other columns are ignored.
     """
+    return _linked(docs, size, percent, id_column, text_column).select(
+        F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _linked(docs: DataFrame, size: int, percent: int, id_column: str,
+            text_column: str) -> DataFrame:
+    """(id, h, n, component_id) of every row, ``h`` being the hash of its text."""
     text = text_of(text_column)
     docs = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("h"), text.alias("t"))
     sketches = stored(_sketches(docs, size), "sketches")
@@ -354,33 +393,26 @@ def link_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     spare = stored(keyed.join(again, F.col("rid").eqNullSafe(F.col("fid")) & (
         F.col("rh") == F.col("fh"))).filter("r <> fr").select("r"), "spare-rows")
     texts = texts.join(lookup_side(spare), "r", "left_anti").select("r", "t")
-    groups = stored(_groups(reps, texts, size, percent), "groups")
+    groups = _groups(reps, texts, size, percent)
     joined = groups.filter("g <> r").select("r", (F.col("r") - F.col("g")).alias("off"))
     numbered = texts.join(lookup_side(joined), "r", "left").select(
         "r", F.coalesce("off", F.lit(0)).alias("off"), "t")
     rows = _prefixes(numbered, _frequent(sketches), size, percent)
-    more = _across(rows, texts, size, percent)
-    of_group = groups.select(F.col("r").alias("a"), F.col("g").alias("ga"))
-    ends = more.join(of_group, "a").join(
-        groups.select(F.col("r").alias("b"), F.col("g").alias("gb")), "b").select(
-        F.col("ga").alias("a"), F.col("gb").alias("b"))
-    joined = groups.join(components(ends).withColumnRenamed("node", "g"), "g", "left").select(
-        "r", F.coalesce("component", "g").alias("c"))
-    named = reps.select("s", "r", "least_id").join(joined, "r")
+    groups = _across(rows, texts, groups, size, percent)
+    named = reps.select("s", "r", "least_id").join(groups.withColumnRenamed("g", "c"), "r")
     names = named.groupBy("c").agg(F.min("least_id").alias("component_id"))
     found = named.join(names, "c").select("s", "component_id")
     # A third of the texts may share one set: its rows can be split, the other side has one.
-    counted = sets.filter("n > 0").join(found, "s").select("id", "n", "component_id")
-    alone = sets.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return counted.unionByName(alone).select(
-        F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "component_id")
+    counted = sets.filter("n > 0").join(found, "s").select("id", "h", "n", "component_id")
+    alone = sets.filter("n = 0").select("id", "h", "n", F.col("id").alias("component_id"))
+    return counted.unionByName(alone)
 
 
 def keep_one_of_each(docs: DataFrame, id_column: str = "doc_id",
                      text_column: str = "text") -> DataFrame:
     """The rows whose id names their component: one of each group, all that are alone."""
-    linked = link_documents(docs, id_column=id_column, text_column=text_column)
-    keep = linked.filter(F.col(id_column).eqNullSafe(F.col("component_id"))).select(
-        F.col(id_column).alias("_keep"), F.lit(True).alias("_kept")).distinct()
-    return docs.join(keep, F.col(id_column).eqNullSafe(F.col("_keep"))).select(
-        *[docs[c] for c in docs.columns])
+    gone = stored(_linked(docs, SHINGLE, PERCENT, id_column, text_column).filter(
+        ~F.col("id").eqNullSafe(F.col("component_id"))).select(
+        F.col("id").alias("_gone"), F.col("h").alias("_hash")).distinct(), "near-copies")
+    return docs.join(lookup_side(gone), F.col(id_column).eqNullSafe(F.col("_gone")) & (
+        F.xxhash64(text_of(text_column)) == F.col("_hash")), "left_anti")
