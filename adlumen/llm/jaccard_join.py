@@ -35,7 +35,7 @@ PERCENT = 75
 PERMUTATIONS = 10
 ROUNDS = 1  # of meeting leaders
 # One in how many members of a group is asked, turn by turn; the last turn asks all.
-SHARES = (64, 16, 4, 1)
+SHARES = (32, 4, 1)
 # Frequent tokens that are put last in the order; a bound, see _frequent.
 FREQUENT = 400_000
 KEPT_WORDS = 400_000
@@ -253,10 +253,10 @@ def _prefixes(texts: DataFrame, frequent: np.ndarray, size: int, percent: int) -
 
 
 def _in_two_groups(rows: DataFrame) -> DataFrame:
-    """(token, r, n, p): rows whose token is in two groups; the rest can link to nothing new.
+    """(token, r, g, n, p): rows whose token is in two groups; the rest can link to nothing new.
 
-    Rows of frequent tokens are spread over all partitions and all kept; the
-    runs held here are of other tokens, which are few each.
+    Frequent tokens are spread over all partitions and looked at afterwards, by
+    an aggregate; the runs held here are of other tokens, which are few each.
     """
     count = partitions(rows.sparkSession)
     late = F.col("place").bitwiseAND(1) == 1
@@ -290,9 +290,16 @@ def _in_two_groups(rows: DataFrame) -> DataFrame:
         if held:
             yield from shared(pa.concat_tables(held))
 
-    return stored(laid.mapInArrow(runs, rows.schema), "shared-tokens").select(
-        "token", "r", F.shiftright("place", 32).cast("int").alias("n"),
+    late_row = F.col("place").bitwiseAND(1) == 1
+    kept = stored(laid.mapInArrow(runs, rows.schema), "found-tokens").select(
+        "token", "r", (F.col("r") - F.col("off")).alias("g"), late_row.alias("late"),
+        F.shiftright("place", 32).cast("int").alias("n"),
         F.shiftright(F.col("place").bitwiseAND(0xFFFFFFFF), 1).cast("int").alias("p"))
+    # At most FREQUENT rows, so that the bulk is filtered where it lies.
+    single = kept.filter("late").groupBy("token").agg(
+        (F.min("g") == F.max("g")).alias("single")).filter("single").select("token")
+    return stored(kept.join(F.broadcast(single), "token", "left_anti").drop("late"),
+                  "shared-tokens")
 
 
 def _across(rows: DataFrame, texts: DataFrame, groups: DataFrame, size: int,
@@ -306,12 +313,14 @@ def _across(rows: DataFrame, texts: DataFrame, groups: DataFrame, size: int,
     """
     rows = _in_two_groups(rows)
     for share in SHARES:
-        placed = rows.join(groups, "r")
-        wanted = placed.groupBy("token").agg((F.min("g") != F.max("g")).alias("several")).filter(
-            "several").select("token")
-        rows = stored(placed.join(wanted, "token").drop("g"), "shared-tokens")
-        pairs = _candidates(rows.join(groups, "r"), share, percent)
-        groups = _joined(groups, _compared(pairs, texts, size, percent))
+        pairs = _candidates(rows, share, percent)
+        later = _joined(groups, _compared(pairs, texts, size, percent))
+        # Few sets change their group in a turn.
+        moved = stored(groups.join(later.toDF("r", "to"), "r").filter("g <> to").select(
+            "r", "to"), "moved")
+        rows = rows.join(lookup_side(moved), "r", "left").select(
+            "token", "r", F.coalesce("to", "g").alias("g"), "n", "p")
+        groups = later
     return groups
 
 
