@@ -28,7 +28,7 @@ BUCKETS = 1 << 16
 SIZE = 8
 WINDOW = 3
 # Labelled texts per class that training may use: a bounded sample in hash order.
-SAMPLE = 1500
+SAMPLE = 1000
 REJECT = 0.7
 _WORD = re.compile(r"\w+")
 KEPT_WORDS = 500_000
@@ -91,7 +91,7 @@ def _windows(bags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             bag = np.concatenate([bag, np.full(WINDOW - len(bag), -1)])
         rows.append(np.lib.stride_tricks.sliding_window_view(bag, WINDOW)[::2])
         owner.append(np.full(len(rows[-1]), text))
-    return np.concatenate(rows), np.concatenate(owner)
+    return np.concatenate(rows).astype(np.int32), np.concatenate(owner).astype(np.int32)
 
 
 class Trainer:
@@ -100,8 +100,9 @@ class Trainer:
     def __init__(self, words: list[str], seed: int = 7):
         draw = np.random.default_rng(seed)
         self.ids, self.sizes = subwords(words)
+        self.ids = self.ids.astype(np.int32)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
-        self.word_of = np.repeat(np.arange(len(words)), self.sizes)
+        self.word_of = np.repeat(np.arange(len(words), dtype=np.int32), self.sizes)
         self.values = [draw.normal(0, 0.1, (BUCKETS, SIZE)).astype(np.float32),
                        draw.normal(0, 0.5, (2, SIZE)).astype(np.float32),
                        np.zeros(2, np.float32)]
@@ -109,7 +110,13 @@ class Trainer:
         self.step = 0
 
     def word_sums(self) -> np.ndarray:
-        return np.add.reduceat(self.values[0][self.ids], self.starts)
+        out = np.empty((len(self.starts), SIZE), np.float32)
+        for at in range(0, len(self.starts), 20_000):  # in parts, to keep memory small
+            first, last = self.starts[at], np.append(self.starts, len(self.ids))[
+                min(at + 20_000, len(self.starts))]
+            out[at:at + 20_000] = np.add.reduceat(
+                self.values[0][self.ids[first:last]], self.starts[at:at + 20_000] - first)
+        return out
 
     def hidden(self, windows: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         there = windows >= 0
@@ -118,8 +125,8 @@ class Trainer:
 
     def scores(self, windows: np.ndarray) -> np.ndarray:
         sums, out = self.word_sums(), []
-        for at in range(0, len(windows), 50_000):
-            h, _ = self.hidden(windows[at:at + 50_000], sums)
+        for at in range(0, len(windows), 20_000):
+            h, _ = self.hidden(windows[at:at + 20_000], sums)
             out.append(h @ (self.values[1][1] - self.values[1][0]))
         return np.concatenate(out) + self.values[2][1] - self.values[2][0]
 
@@ -216,8 +223,9 @@ def train(texts: list[str], labels: list[int], shares: tuple[float, float] = (1.
     use = kept_out & np.isfinite(scores)
     if len(set(labels[use].tolist())) < 2:
         use = np.isfinite(scores)
-    model["slope"], model["offset"] = _calibrate(
-        scores[use], labels[use], np.where(labels[use] == 1, shares[1], shares[0]))
+    # As if both classes were equally common: their share among labels need not be the corpus's.
+    even = 1 / np.maximum(np.bincount(labels[use], minlength=2), 1)
+    model["slope"], model["offset"] = _calibrate(scores[use], labels[use], even[labels[use]])
     return model
 
 
