@@ -1,4 +1,4 @@
-"""Numbering and look-back along an order, for keys of any size.
+"""Numbering along an order, for keys of any size.
 
 A plain window gathers each key in one task. That is fine where a key is known
 to be small (days of a campaign), but one campaign may own a third of an event
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from adlumen.functions.sizing import lookup_side
 from adlumen.session import settle
 
 
@@ -52,21 +53,8 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str,
         runs = runs.join(last.select(*keys, "last"), keys, "left")
         runs = runs.withColumn("_before", F.col("_before") + F.coalesce("last", F.lit(0)))
     runs = runs.select(*keys, "_piece", "_first", "_before")
-    numbered = laid.join(runs, [*keys, "_piece"])
+    # One row per key and piece. Broadcast while they are few, the rows stay where they lie.
+    numbered = laid.join(lookup_side(settle(runs)), [*keys, "_piece"])
     number = (F.col("_at") - F.col("_first") + F.col("_before") + 1).cast("bigint")
     return numbered.select(*df.columns, number.alias(name))
 
-
-def with_previous(df: DataFrame, keys: list[str], order: list[str], value: str,
-                  name: str) -> DataFrame:
-    """``value`` of the preceding row of the same key; NULL on the first row."""
-    laid = pieces(df, keys, order)
-    within = Window.partitionBy(*keys, "_piece").orderBy("_at")
-    across = Window.partitionBy(*keys).orderBy("_piece")
-    looked = laid.withColumn("_near", F.lag(value).over(within))
-    edges = laid.groupBy(*keys, "_piece").agg(
-        F.min("_at").alias("_first"), F.max_by(value, "_at").alias("_end")
-    )
-    edges = edges.withColumn("_carried", F.lag("_end").over(across)).drop("_end")
-    previous = F.when(F.col("_at") == F.col("_first"), F.col("_carried")).otherwise(F.col("_near"))
-    return looked.join(edges, [*keys, "_piece"]).select(*df.columns, previous.alias(name))

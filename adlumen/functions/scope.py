@@ -21,6 +21,26 @@ def tenant_keys(tenant_id: int | None) -> list[str]:
     return ["tenant_id"] if tenant_id is None else []
 
 
+def listed(figures: DataFrame, tenants: DataFrame | None, tenant_id: int | None) -> DataFrame:
+    """``figures`` per tenant with a row of zeros for each of ``tenants`` that has none.
+
+    One tenant alone always has its row, so ``tenants`` (a ``tenant_id`` column)
+    only matters when all are asked for.
+    """
+    if tenants is None or tenant_id is not None:
+        return figures
+    return tenants.select("tenant_id").distinct().join(figures, "tenant_id", "left").fillna(0)
+
+
+def by_date(df: DataFrame, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """Time bounds repeated on ``date``, where the table has it, so that folders are pruned."""
+    if "date" not in df.columns:
+        return df
+    if start is not None:
+        df = df.filter(F.col("date") >= F.to_date(start))
+    return df if end is None else df.filter(F.col("date") <= F.to_date(end))
+
+
 def moment(df: DataFrame, as_of: Moment = None, column: str = "timestamp") -> Column:
     """``as_of`` in the type of ``column``; the current time when it is None.
 
@@ -55,11 +75,7 @@ def trailing(df: DataFrame, as_of: Moment = None, column: str = "timestamp", *,
     kept = df.filter(F.col(column) >= start)
     if closed:
         kept = kept.filter(F.col(column) <= end)
-    if column != "date" and "date" in df.columns:
-        kept = kept.filter(F.col("date") >= F.to_date(start))
-        if closed:
-            kept = kept.filter(F.col("date") <= F.to_date(end))
-    return kept
+    return kept if column == "date" else by_date(kept, start, end if closed else None)
 
 
 def on_day(df: DataFrame, day: date | None = None, column: str = "timestamp") -> DataFrame:
@@ -84,8 +100,10 @@ def date_range_filter(df: DataFrame, tenant_id: int | None = None, start: Moment
                       end: Moment = None, column: str = "timestamp") -> DataFrame:
     """Tenant and inclusive time range; whatever is not given does not filter."""
     kept = scope(df, tenant_id)
-    if start is not None:
-        kept = kept.filter(F.col(column) >= moment(df, start, column))
-    if end is not None:
-        kept = kept.filter(F.col(column) <= moment(df, end, column))
-    return kept
+    first = None if start is None else moment(df, start, column)
+    last = None if end is None else moment(df, end, column)
+    if first is not None:
+        kept = kept.filter(F.col(column) >= first)
+    if last is not None:
+        kept = kept.filter(F.col(column) <= last)
+    return by_date(kept, first, last)

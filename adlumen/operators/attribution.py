@@ -42,6 +42,12 @@ def _place() -> Column:
     return (row * F.lit(2).cast("decimal(1,0)") + flag).cast("decimal(38,0)")
 
 
+def _product_sum(column: str, times: Column) -> Column:
+    """Sum of products of two counts, exact where 64 bits would not hold them."""
+    product = F.col(column).cast("decimal(20,0)") * times.cast("decimal(20,0)")
+    return F.sum(product.cast("decimal(38,0)")).cast("decimal(38,0)")
+
+
 def _impression_rows(impressions: DataFrame, ads: DataFrame, clicks: DataFrame,
                      conversions: DataFrame) -> DataFrame:
     """Impressions with the number of journey rows they stand for and their sums."""
@@ -72,17 +78,23 @@ def _impression_rows(impressions: DataFrame, ads: DataFrame, clicks: DataFrame,
 
 def attribution(impressions: DataFrame, ads: DataFrame, clicks: DataFrame,
                 conversions: DataFrame, tenant_id: int | None = None,
-                campaign_id: int | None = None, mode: str = "reference") -> DataFrame:
+                campaign_id: int | None = None, mode: str = "reference",
+                foreign_links: bool = False) -> DataFrame:
     """Users, revenue and counts per campaign, with the conversion rate.
 
     ``mode="reference"`` counts a user's campaign totals once per journey row,
     which is the established meaning of the report; ``mode="per_touch"`` lets
     each journey row contribute only itself. A campaign filter applies to the
     finished groups: the first touch is the user's first over all campaigns.
+    A chain belongs to one tenant, so for one tenant only its own clicks and
+    conversions are read; ``foreign_links`` follows those of others too. Totals
+    are DECIMAL(38,0), since counts are multiplied.
     """
     if mode not in ("reference", "per_touch"):
         raise ValueError(f"unknown mode: {mode}")
     by = tenant_keys(tenant_id)
+    if not foreign_links:
+        clicks, conversions = scope(clicks, tenant_id), scope(conversions, tenant_id)
     rows = _impression_rows(scope(impressions, tenant_id), ads, clicks, conversions)
     touches = rows.groupBy(*by, "user_id", "campaign_id").agg(
         F.sum("rows").alias("rows"),
@@ -116,18 +128,17 @@ def attribution(impressions: DataFrame, ads: DataFrame, clicks: DataFrame,
     result = touches.groupBy(*by, "campaign_id").agg(
         F.count("user_id").alias("attributed_users"),
         F.sum(F.col("value") * weight.cast("decimal(20,1)")).alias("attributed_revenue"),
-        (F.sum(F.col("days").cast("decimal(20,0)") * F.col("rows"))
-         / F.sum(F.col("rows"))).cast("decimal(24,4)").alias("avg_journey_days"),
-        F.sum((F.col("rows") * times).cast("decimal(20,0)")).cast("bigint")
-        .alias("total_impressions"),
-        F.sum((F.col("clicks") * times).cast("decimal(20,0)")).cast("bigint")
-        .alias("total_clicks"),
-        F.sum((F.col("conversions") * times).cast("decimal(20,0)")).cast("bigint")
-        .alias("total_conversions"),
+        (F.sum(F.col("days").cast("decimal(10,0)") * F.col("rows").cast("decimal(18,0)"))
+         / F.sum(F.col("rows").cast("decimal(18,0)"))).cast("decimal(24,4)")
+        .alias("avg_journey_days"),
+        _product_sum("rows", times).alias("total_impressions"),
+        _product_sum("clicks", times).alias("total_clicks"),
+        _product_sum("conversions", times).alias("total_conversions"),
     )
     if campaign_id is not None:
         result = result.filter(F.col("campaign_id") == campaign_id)
-    rate = F.try_divide("total_conversions", "total_impressions") * 100
+    rate = F.try_divide(F.col("total_conversions").cast("double"),
+                        F.col("total_impressions").cast("double")) * 100
     return result.withColumn("conversion_rate", rate).orderBy(
         *by, F.desc_nulls_last("attributed_revenue"), "campaign_id"
     )

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adlumen.functions.ordered import number_rows, with_previous
+from adlumen.functions.ordered import number_rows
 from adlumen.functions.payload import encoded, iso, known_user, money, parsed
-from adlumen.functions.scope import Moment, moment, scope, span, tenant_keys
+from adlumen.functions.scope import Moment, by_date, moment, scope, span, tenant_keys
+from adlumen.functions.sizing import lookup_side
 from adlumen.schemas import CLICK, CONVERSION, EVENT_TYPES, IMPRESSION
 
 AGGREGATE = ["tenant_id", "aggregate_id"]
@@ -27,6 +28,10 @@ def _is(kind: str) -> Column:
 
 # -- writing ---------------------------------------------------------------
 
+# Numbers of an aggregate that are checked together.
+STRETCH = 1_000_000
+
+
 def _event(rows: DataFrame, kind: str, *payload: Column) -> DataFrame:
     return rows.select(
         "id", "tenant_id", F.lit(kind).alias("event_type"),
@@ -200,7 +205,9 @@ def _expired(log: DataFrame, days: int, tenant_id: int | None, as_of: Moment) ->
 def retained_events(log: DataFrame, days: int = 30, tenant_id: int | None = None,
                     as_of: Moment = None) -> DataFrame:
     """The log without events older than ``days``; other tenants' stay if one is named."""
-    return log.filter(~_expired(log, days, tenant_id, as_of))
+    kept = log.filter(~_expired(log, days, tenant_id, as_of))
+    # With a tenant named, the old days of the others are still read.
+    return kept if tenant_id is not None else by_date(kept, moment(log, as_of) - span(days=days))
 
 
 def retention_split(log: DataFrame, days: int = 30, tenant_id: int | None = None,
@@ -234,21 +241,31 @@ def event_replay(log: DataFrame, tenant_id: int | None = None, campaign_id: int
     Conversions are 0 in daily rows and days with conversions only are not
     listed, unless ``with_conversions`` is set.
     """
+    return listed_days(replay_days(log, tenant_id, campaign_id), with_conversions)
+
+
+def replay_days(log: DataFrame, tenant_id: int | None = None,
+                campaign_id: int | None = None) -> DataFrame:
+    """Figures of every campaign day with any event, of any type."""
     rows = _replayable(log, tenant_id, campaign_id)
     seen = F.col("event_type").isin(IMPRESSION, CLICK)
-    kinds = EVENT_TYPES if with_conversions else (IMPRESSION, CLICK)
-    converted = F.count_if(_is(CONVERSION)) if with_conversions else F.lit(0).cast("bigint")
-    return rows.filter(F.col("event_type").isin(*kinds)).groupBy(
-        "tenant_id", "campaign_id", "date"
-    ).agg(
+    return rows.groupBy("tenant_id", "campaign_id", "date").agg(
         F.count_if(_is(IMPRESSION)).alias("impressions"),
         F.count_if(_is(CLICK)).alias("clicks"),
-        converted.alias("conversions"),
+        F.count_if(_is(CONVERSION)).alias("conversions"),
         F.coalesce(F.sum(F.when(_is(IMPRESSION), F.col("cost"))), F.lit(0)).alias("spend"),
         F.countDistinct(F.when(seen, F.col("user"))).alias("unique_users"),
     )
 
 
+def listed_days(days: DataFrame, with_conversions: bool) -> DataFrame:
+    """The days of ``replay_days`` that daily metrics list."""
+    counted = F.col("impressions") + F.col("clicks")
+    if with_conversions:
+        return days.filter(counted + F.col("conversions") > 0)
+    return days.filter(counted > 0).withColumn("conversions", F.lit(0).cast("bigint"))
+
+
 def event_totals(log: DataFrame, tenant_id: int | None = None,
                  campaign_id: int | None = None) -> DataFrame:
     """Campaign totals from the log; ``replayed_events`` counts unknown types too."""
@@ -276,9 +293,23 @@ def logged_campaigns(log: DataFrame, tenant_id: int | None = None,
 # -- checking --------------------------------------------------------------
 
 def _with_expected(log: DataFrame, tenant_id: int | None, campaign_id: int | None) -> DataFrame:
-    rows = _of_campaign(log, tenant_id, campaign_id).select(*AGGREGATE, "sequence_number", "id")
-    looked = with_previous(rows, AGGREGATE, ["sequence_number", "id"], "sequence_number", "before")
-    return looked.withColumn("expected", F.coalesce("before", F.lit(0)) + 1)
+    """Each event with the number that should follow the one before it.
+
+    Numbers are cut into stretches of fixed length, which bound what meets in
+    one task; what precedes a stretch is the last number of the one before. The
+    stretches are few and broadcast while they are, so events are shuffled once.
+    """
+    rows = _of_campaign(log, tenant_id, campaign_id).select(
+        *AGGREGATE, "sequence_number", "id",
+        F.coalesce(F.floor(F.col("sequence_number") / STRETCH), F.lit(-1)).alias("_stretch"))
+    ends = rows.groupBy(*AGGREGATE, "_stretch").agg(F.max("sequence_number").alias("_end"))
+    along = Window.partitionBy(*AGGREGATE).orderBy("_stretch")
+    carried = ends.select(*AGGREGATE, "_stretch", F.lag("_end").over(along).alias("_carried"))
+    within = Window.partitionBy(*AGGREGATE, "_stretch").orderBy("sequence_number", "id")
+    looked = rows.withColumn("_near", F.lag("sequence_number").over(within)).join(
+        lookup_side(carried), [*AGGREGATE, "_stretch"])
+    before = F.coalesce("_near", "_carried", F.lit(0))
+    return looked.withColumn("expected", before + 1)
 
 
 def sequence_gaps(log: DataFrame, tenant_id: int | None = None,

@@ -10,9 +10,10 @@ from pyspark.sql import types as T
 
 from adlumen.functions.measures import or_zero
 from adlumen.functions.scope import Moment, day_column, moment
-from adlumen.operators.eventlog import event_replay, logged_campaigns
+from adlumen.operators.eventlog import listed_days, replay_days
 from adlumen.operators.live import campaign_day_totals
 from adlumen.schemas import TABLES
+from adlumen.session import settle
 from adlumen.sources.tables import overwrite_days, read_if_any
 
 KEY = ["tenant_id", "campaign_id", "date"]
@@ -65,8 +66,11 @@ def rebuild_metrics(stored: DataFrame, log: DataFrame, tenant_id: int | None = N
 
     A campaign without any event keeps its rows.
     """
-    replayed = event_replay(log, tenant_id, campaign_id, with_conversions)
-    return replace_replayed(stored, replayed, logged_campaigns(log, tenant_id, campaign_id))
+    # Both the new rows and the list of campaigns come from one aggregate over all kinds of
+    # events, small beside the log and kept, so that the log is read once.
+    days = settle(replay_days(log, tenant_id, campaign_id))
+    replayed = listed_days(days, with_conversions)
+    return replace_replayed(stored, replayed, days.select("tenant_id", "campaign_id").distinct())
 
 
 def upsert_day(spark: SparkSession, path: str, fresh: DataFrame, day: date) -> None:

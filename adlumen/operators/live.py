@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adlumen.functions.measures import frequency, mean_cost, or_zero
-from adlumen.functions.scope import Moment, on_day, scope, tenant_keys, trailing
+from adlumen.functions.scope import Moment, listed, on_day, scope, tenant_keys, trailing
 from adlumen.operators.cohort import cohort_retention
 from adlumen.operators.performance import campaign_daily_performance, top_campaigns
 from adlumen.operators.placement import ads_of_campaigns, under_campaigns, with_campaign
@@ -39,10 +39,14 @@ def _recent(impressions: DataFrame, ads: DataFrame, tenant_id: int | None,
 
 def realtime_metrics(impressions: DataFrame, ads: DataFrame, tenant_id: int | None = None,
                      campaign_id: int | None = None, as_of: Moment = None,
-                     hours: int = 1) -> DataFrame:
-    """Volume, reach, spend and frequency of the trailing hour; zeros if it is empty."""
+                     hours: int = 1, tenants: DataFrame | None = None) -> DataFrame:
+    """Volume, reach, spend and frequency of the trailing hour; zeros if it is empty.
+
+    Here and below, ``tenants`` (a ``tenant_id`` column) lists also the idle ones.
+    """
     rows = _recent(impressions, ads, tenant_id, campaign_id, as_of, hours)
-    return rows.groupBy(*tenant_keys(tenant_id)).agg(*_trailing_measures("spend_last_hour"))
+    figures = rows.groupBy(*tenant_keys(tenant_id)).agg(*_trailing_measures("spend_last_hour"))
+    return listed(figures, tenants, tenant_id)
 
 
 def campaign_live_metrics(impressions: DataFrame, ads: DataFrame, tenant_id: int | None = None,
@@ -63,32 +67,39 @@ def campaign_live_metrics(impressions: DataFrame, ads: DataFrame, tenant_id: int
     return live.drop("tenant_id") if tenant_id is not None else live
 
 
-def active_campaign_count(campaigns: DataFrame, tenant_id: int | None = None) -> DataFrame:
+def active_campaign_count(campaigns: DataFrame, tenant_id: int | None = None,
+                          tenants: DataFrame | None = None) -> DataFrame:
     """Campaigns with status active."""
     active = scope(campaigns, tenant_id).filter(F.col("status") == "active")
-    return active.groupBy(*tenant_keys(tenant_id)).agg(F.count("*").alias("active_campaigns"))
+    figures = active.groupBy(*tenant_keys(tenant_id)).agg(
+        F.count("*").alias("active_campaigns"))
+    return listed(figures, tenants, tenant_id)
 
 
 def impressions_on_day(impressions: DataFrame, tenant_id: int | None = None,
-                       day: date | None = None) -> DataFrame:
+                       day: date | None = None, tenants: DataFrame | None = None) -> DataFrame:
     """Impressions of a day, today by default."""
     rows = on_day(scope(impressions, tenant_id), day)
-    return rows.groupBy(*tenant_keys(tenant_id)).agg(F.count("*").alias("impressions"))
+    figures = rows.groupBy(*tenant_keys(tenant_id)).agg(F.count("*").alias("impressions"))
+    return listed(figures, tenants, tenant_id)
 
 
 def unique_users_on_day(impressions: DataFrame, tenant_id: int | None = None,
-                        day: date | None = None, approximate: bool = False) -> DataFrame:
+                        day: date | None = None, approximate: bool = False,
+                        tenants: DataFrame | None = None) -> DataFrame:
     """Distinct users of a day; ``approximate`` trades exactness for one small sketch."""
     rows = on_day(scope(impressions, tenant_id), day)
     users = F.approx_count_distinct("user_id") if approximate else F.countDistinct("user_id")
-    return rows.groupBy(*tenant_keys(tenant_id)).agg(users.alias("unique_users"))
+    figures = rows.groupBy(*tenant_keys(tenant_id)).agg(users.alias("unique_users"))
+    return listed(figures, tenants, tenant_id)
 
 
 def spend_last_hour(impressions: DataFrame, tenant_id: int | None = None, as_of: Moment = None,
-                    hours: int = 1) -> DataFrame:
+                    hours: int = 1, tenants: DataFrame | None = None) -> DataFrame:
     """Cost of the trailing hour, 0 if there is none."""
     rows = trailing(scope(impressions, tenant_id), as_of, hours=hours)
-    return rows.groupBy(*tenant_keys(tenant_id)).agg(or_zero(F.sum("cost")).alias("spend"))
+    figures = rows.groupBy(*tenant_keys(tenant_id)).agg(or_zero(F.sum("cost")).alias("spend"))
+    return listed(figures, tenants, tenant_id)
 
 
 def campaign_day_totals(campaigns: DataFrame, ads: DataFrame, impressions: DataFrame,
@@ -133,7 +144,8 @@ def top_campaign_on_day(campaigns: DataFrame, ads: DataFrame, impressions: DataF
 
 
 def dashboard_totals(campaigns: DataFrame, ads: DataFrame, impressions: DataFrame,
-                     tenant_id: int | None = None, day: date | None = None) -> DataFrame:
+                     tenant_id: int | None = None, day: date | None = None,
+                     tenants: DataFrame | None = None) -> DataFrame:
     """Active campaigns, and impressions, spend and users of a day under them."""
     by = tenant_keys(tenant_id)
     active = scope(campaigns, tenant_id).filter(F.col("status") == "active")
@@ -148,12 +160,13 @@ def dashboard_totals(campaigns: DataFrame, ads: DataFrame, impressions: DataFram
     parts = active.select("tenant_id", F.lit(1).alias("campaigns")).unionByName(
         shown, allowMissingColumns=True
     )
-    return parts.groupBy(*by).agg(
+    figures = parts.groupBy(*by).agg(
         F.count("campaigns").alias("active_campaigns"),
         or_zero(F.sum("impressions")).alias("impressions_today"),
         or_zero(F.sum("spend")).alias("spend_today"),
         or_zero(F.sum("users")).alias("unique_users_today"),
     )
+    return listed(figures, tenants, tenant_id)
 
 
 def bid_price(impressions: DataFrame, tenant_id: int | None = None, as_of: Moment = None,

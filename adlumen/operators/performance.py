@@ -43,12 +43,18 @@ def _top(df: DataFrame, by: list[str], limit: int, *order: Column) -> DataFrame:
 
 
 def campaign_daily_performance(campaigns: DataFrame, ads: DataFrame, impressions: DataFrame,
-                               tenant_id: int | None = None) -> DataFrame:
+                               tenant_id: int | None = None,
+                               own_impressions: bool = True) -> DataFrame:
     """Each campaign's days with volume, rank of the day and growth over the
-    previous listed day."""
+    previous listed day.
+
+    For one tenant only its own impressions are read; pass
+    ``own_impressions=False`` if others may have recorded some on its campaigns.
+    """
     by = tenant_keys(tenant_id)
     owned = scope(campaigns, tenant_id)
-    facts = under_campaigns(owned, ads, impressions, "user_id", "timestamp", "cost")
+    shown = scope(impressions, tenant_id) if own_impressions else impressions
+    facts = under_campaigns(owned, ads, shown, "user_id", "timestamp", "cost")
     days = facts.groupBy("tenant_id", "campaign_id", F.to_date("timestamp").alias("date")).agg(
         *_volume()
     )
@@ -66,14 +72,18 @@ def campaign_daily_performance(campaigns: DataFrame, ads: DataFrame, impressions
 
 
 def top_campaigns(campaigns: DataFrame, ads: DataFrame, impressions: DataFrame,
-                  tenant_id: int | None = None, limit: int = 10) -> DataFrame:
+                  tenant_id: int | None = None, limit: int = 10,
+                  own_impressions: bool = True) -> DataFrame:
     """Campaigns with most impressions, ranked by volume and by cost per impression.
 
+    ``own_impressions`` as in ``campaign_daily_performance``.
+
     ``avg_cpm`` is the cost of a single impression; the name is the established one.
     """
     by = tenant_keys(tenant_id)
     owned = scope(campaigns, tenant_id)
-    facts = under_campaigns(owned, ads, impressions, "user_id", "cost")
+    shown = scope(impressions, tenant_id) if own_impressions else impressions
+    facts = under_campaigns(owned, ads, shown, "user_id", "cost")
     totals = facts.groupBy("tenant_id", "campaign_id").agg(
         F.count("*").alias("total_impressions"),
         F.sum("cost").alias("total_spend"),

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlumen.functions.scope import Moment, moment, scope, span, tenant_keys
+from adlumen.functions.scope import Moment, by_date, listed, moment, scope, span, tenant_keys
 from adlumen.operators.placement import with_campaign
 from adlumen.sources.tables import read_mark, write_mark
 
@@ -28,21 +28,20 @@ class Mark(NamedTuple):
 
 def _after(impressions: DataFrame, mark: Mark | None, as_of: Moment, days_back: int) -> DataFrame:
     if mark is None:
-        return impressions.filter(
-            F.col("timestamp") > moment(impressions, as_of) - span(days=days_back)
-        )
+        start = moment(impressions, as_of) - span(days=days_back)
+        return by_date(impressions.filter(F.col("timestamp") > start), start)
     at = moment(impressions, mark.timestamp)
     # The first bound alone decides for the file scan.
-    return impressions.filter(
+    return by_date(impressions.filter(
         (F.col("timestamp") >= at) & ((F.col("timestamp") > at) | (F.col("id") > mark.id))
-    )
+    ), at)
 
 
 def _until(impressions: DataFrame, mark: Mark) -> DataFrame:
     at = moment(impressions, mark.timestamp)
-    return impressions.filter(
+    return by_date(impressions.filter(
         (F.col("timestamp") <= at) & ((F.col("timestamp") < at) | (F.col("id") <= mark.id))
-    )
+    ), end=at)
 
 
 def as_warehouse_rows(impressions: DataFrame, ads: DataFrame) -> DataFrame:
@@ -103,8 +102,12 @@ def sync_to_warehouse(spark: SparkSession, impressions: DataFrame, ads: DataFram
     return {"synced_rows": end_row["rows"], "status": "success", "last_timestamp": end.timestamp}
 
 
-def sync_status(facts: DataFrame, tenant_id: int | None = None) -> DataFrame:
-    """Rows, campaigns and time range of the copy; status no_data while it is empty."""
+def sync_status(facts: DataFrame, tenant_id: int | None = None,
+                tenants: DataFrame | None = None) -> DataFrame:
+    """Rows, campaigns and time range of the copy; status no_data while it is empty.
+
+    ``tenants`` (a ``tenant_id`` column) lists also those without a row.
+    """
     rows = scope(facts, tenant_id)
     described = rows.groupBy(*tenant_keys(tenant_id)).agg(
         F.count("*").alias("total_rows"),
@@ -112,5 +115,6 @@ def sync_status(facts: DataFrame, tenant_id: int | None = None) -> DataFrame:
         F.max("timestamp").alias("latest_timestamp"),
         F.min("timestamp").alias("earliest_timestamp"),
     )
+    described = listed(described, tenants, tenant_id)
     status = F.when(F.col("total_rows") > 0, "connected").otherwise("no_data")
     return described.withColumn("status", status)

@@ -5,9 +5,9 @@ All are thin projections; what Spark prunes from a query is never read.
 * ad: every part; its campaign is one of twenty, its tenant one of three.
 * campaign: the twenty groups of parts.
 * impression, by volume: every line item, shown to the order as user.
-* impression, by event: every ``view`` event. A ``click`` belongs to the view
-  that opens its block of four event ids, a ``purchase`` to the click that
-  opens its block of three; links to anything else lead nowhere.
+* impression, by event: every ``view`` event. A ``click`` belongs to the last
+  earlier view of its user and tenant, a ``purchase`` to their last earlier
+  click; those without one lead nowhere.
 * log: every event; ``error`` events get a sequence number but are missing
   from the log, which leaves gaps.
 """
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adlumen.functions.ordered import number_rows
@@ -46,6 +46,7 @@ SCHEMAS = {
             "p_retailprice DOUBLE",
     "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
                 "c_mktsegment STRING",
+    "region": "r_regionkey INT, r_name STRING",
     "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
 }
 
@@ -86,6 +87,12 @@ def campaigns(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def tenants(spark: SparkSession, folder: str) -> DataFrame:
+    """One tenant per region; those beyond TENANTS have neither campaigns nor traffic."""
+    return table(spark, folder, "region").select(
+        (F.col("r_regionkey") + 1).cast("int").alias("tenant_id"))
+
+
 def volume_impressions(spark: SparkSession, folder: str) -> DataFrame:
     campaign = _campaign_of(F.col("l_partkey"))
     return table(spark, folder, "lineitem").select(
@@ -133,17 +140,24 @@ def impression_facts(spark: SparkSession, folder: str) -> DataFrame:
                         F.col("value").cast("decimal(10,4)").alias("cost"))
 
 
+def _following(spark: SparkSession, folder: str, kind: str, origin: str, name: str) -> DataFrame:
+    """Events of one kind with the last earlier ``origin`` event of their user and tenant."""
+    earlier = Window.partitionBy("tenant_id", "user_id").orderBy("timestamp", "id").rowsBetween(
+        Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("event_type") == origin, F.col("id")), ignorenulls=True)
+    rows = _events(spark, folder).filter(F.col("event_type").isin(kind, origin))
+    return rows.withColumn(name, last.over(earlier)).filter(F.col("event_type") == kind)
+
+
 def clicks(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _events(spark, folder).filter(F.col("event_type") == "click")
-    return rows.select("id", "tenant_id", (F.col("id") - F.pmod("id", F.lit(4)))
-                       .alias("impression_id"), "timestamp")
+    return _following(spark, folder, "click", "view", "impression_id").select(
+        "id", "tenant_id", "impression_id", "timestamp")
 
 
 def conversions(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _events(spark, folder).filter(F.col("event_type") == "purchase")
-    return rows.select("id", "tenant_id", (F.col("id") - F.pmod("id", F.lit(3)))
-                       .alias("click_id"), "timestamp",
-                       F.col("value").cast("decimal(10,2)").alias("conversion_value"))
+    return _following(spark, folder, "purchase", "click", "click_id").select(
+        "id", "tenant_id", "click_id", "timestamp",
+        F.col("value").cast("decimal(10,2)").alias("conversion_value"))
 
 
 def _log_rows(spark: SparkSession, folder: str, *leaving_out: str) -> DataFrame:

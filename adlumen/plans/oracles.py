@@ -54,11 +54,18 @@ EVENT = f"""ev AS (
 IMPRESSION = """impression AS (
   SELECT id, tenant_id, campaign_id, ad_id, user_id, timestamp, day,
          CAST(value AS DECIMAL(10,4)) AS cost FROM ev WHERE event_type = 'view')"""
+# The newest earlier event, found by a join over all earlier ones.
 CLICK = """click AS (
-  SELECT id, tenant_id, id - id % 4 AS impression_id, timestamp FROM ev WHERE event_type = 'click')"""
+  SELECT c.id, c.tenant_id, max_by(v.id, (v.timestamp, v.id)) AS impression_id, c.timestamp
+  FROM ev c LEFT JOIN ev v ON v.event_type = 'view' AND v.tenant_id = c.tenant_id
+    AND v.user_id = c.user_id AND (v.timestamp, v.id) < (c.timestamp, c.id)
+  WHERE c.event_type = 'click' GROUP BY c.id, c.tenant_id, c.timestamp)"""
 CONVERSION = """conversion AS (
-  SELECT id, tenant_id, id - id % 3 AS click_id, timestamp,
-         CAST(value AS DECIMAL(10,2)) AS conversion_value FROM ev WHERE event_type = 'purchase')"""
+  SELECT s.id, s.tenant_id, max_by(c.id, (c.timestamp, c.id)) AS click_id, s.timestamp,
+         CAST(s.value AS DECIMAL(10,2)) AS conversion_value
+  FROM ev s LEFT JOIN ev c ON c.event_type = 'click' AND c.tenant_id = s.tenant_id
+    AND c.user_id = s.user_id AND (c.timestamp, c.id) < (s.timestamp, s.id)
+  WHERE s.event_type = 'purchase' GROUP BY s.id, s.tenant_id, s.timestamp, s.value)"""
 LOG = """log AS (
   SELECT * FROM (
     SELECT id, tenant_id, CAST(campaign_id AS VARCHAR) AS aggregate_id, campaign_id, timestamp, day,
@@ -69,6 +76,7 @@ LOG = """log AS (
              AS sequence_number
     FROM ev)
   WHERE event_type <> 'error')"""
+TENANTS = "tenants AS (SELECT r_regionkey + 1 AS tenant_id FROM region)"
 NOON = "TIMESTAMP '2024-01-30 12:00:00'"
 LATER = "TIMESTAMP '2002-01-01 00:00:00'"
 
@@ -142,10 +150,10 @@ def _attribution(revenue: str, shown: str, clicked: str, converted: str) -> str:
   SELECT tenant_id, campaign_id, count(DISTINCT user_id) AS attributed_users,
          CAST(sum({revenue}) AS DOUBLE) AS attributed_revenue,
          {half_up('sum(days)', 'count(*)', 4)} AS avg_journey_days,
-         CAST({shown} AS BIGINT) AS total_impressions, CAST({clicked} AS BIGINT) AS total_clicks,
-         CAST({converted} AS BIGINT) AS total_conversions
+         CAST({shown} AS DOUBLE) AS total_impressions, CAST({clicked} AS DOUBLE) AS total_clicks,
+         CAST({converted} AS DOUBLE) AS total_conversions
   FROM weighted GROUP BY ALL)""") + """
-SELECT *, CAST(total_conversions AS DOUBLE) / total_impressions * 100 AS conversion_rate FROM totals"""
+SELECT *, total_conversions / total_impressions * 100 AS conversion_rate FROM totals"""
 
 
 def _replay(conversions: str, kinds: str) -> str:
@@ -207,11 +215,42 @@ _LIVE = """live AS (
          tenant_id, campaign_id, ad_id, user_id,
          CASE WHEN event_type = 'view' THEN CAST(value AS DECIMAL(10,4)) END AS cost, timestamp
   FROM ev WHERE event_type IN ('view', 'click'))"""
-# An append-mode stream emits the windows its watermark has passed. Spark keeps
-# the watermark in whole milliseconds.
-_WATERMARK = """late AS (
-  SELECT date_trunc('millisecond', max(timestamp)) - INTERVAL 10 MINUTE AS watermark FROM live
-  WHERE event_type = 'impression_created')"""
+
+# The parts of tenant 1's pages over the event tables.
+_COHORT_PART = f"""
+SELECT '{{name}}' AS part, cohort_month AS day, period_days AS item, CAST(users AS DOUBLE) AS a,
+       CAST(total_impressions AS DOUBLE) AS b, CAST(retention_rate AS DOUBLE) AS c
+FROM ({_cohort(EVENT, IMPRESSION)}) WHERE tenant_id = 1 {{cut}}"""
+_TOP_PART = _with(*E_ALL) + f"""
+SELECT 'top_campaigns' AS part, CAST(NULL AS DATE) AS day, c.id AS item,
+       CAST(count(*) AS DOUBLE) AS a, CAST(sum(cost) AS DOUBLE) AS b,
+       {half_up(units('sum(cost)'), 'count(*)', 0)} / 10000.0 AS c
+FROM campaign c JOIN ad ON ad.campaign_id = c.id
+JOIN impression i ON i.ad_id = ad.id WHERE c.tenant_id = 1
+GROUP BY c.id ORDER BY count(*) DESC, c.id LIMIT {{limit}}"""
+_TOTAL_PART = _with(EVENT, LOG) + """
+SELECT 'totals' AS part, CAST(NULL AS DATE) AS day, CAST(NULL AS BIGINT) AS item,
+       CAST(count(*) AS DOUBLE) AS a,
+       CAST(count(*) FILTER (event_type = 'impression_created') AS DOUBLE) AS b,
+       CAST(count(*) FILTER (event_type = 'impression_created') AS DOUBLE) AS c
+FROM log WHERE tenant_id = 1"""
+_LIVE_PART = _with(*E_ALL) + f"""
+SELECT 'realtime_metrics' AS part, CAST(NULL AS DATE) AS day, CAST(NULL AS BIGINT) AS item,
+       CAST(count(*) AS DOUBLE) AS a, CAST(coalesce(sum(cost), 0) AS DOUBLE) AS b,
+       CAST(coalesce({half_up('count(*)', 'count(DISTINCT user_id)', 4)}, 0) AS DOUBLE) AS c
+FROM impression WHERE tenant_id = 1 AND ad_id IN (SELECT id FROM ad)
+  AND timestamp >= {NOON} - INTERVAL 1 HOUR AND timestamp <= {NOON}"""
+_DAY_PART = _with(*E_ALL) + """
+SELECT 'performance_metrics' AS part, i.day, c.id AS item, CAST(count(*) AS DOUBLE) AS a,
+       CAST(sum(cost) AS DOUBLE) AS b, CAST(count(DISTINCT user_id) AS DOUBLE) AS c
+FROM campaign c JOIN ad ON ad.campaign_id = c.id JOIN impression i ON i.ad_id = ad.id
+WHERE c.tenant_id = 1 GROUP BY c.id, i.day ORDER BY c.id, i.day DESC LIMIT 5"""
+_FIRST_TEN = "ORDER BY cohort_month, period_days LIMIT 10"
+
+
+def _pages(*parts: str) -> str:
+    return " UNION ALL ".join(f"SELECT * FROM ({part})" for part in parts)
+
 
 ORACLES: dict[str, str] = {
     "cohort_retention": _cohort(EVENT, IMPRESSION),
@@ -308,9 +347,12 @@ FROM impression i JOIN ad ON i.ad_id = ad.id GROUP BY ALL""",
                                 "sum(pair_sales)"),
     "attribution_per_touch": _attribution("worth * weight", "count(*)", "count(click)",
                                           "count(sale)"),
-    "realtime_metrics": _with(*E_ALL) + f"""
-SELECT i.tenant_id, {_trailing('spend_last_hour')} FROM impression i JOIN ad ON i.ad_id = ad.id
-WHERE i.timestamp >= {NOON} - INTERVAL 24 HOUR AND i.timestamp <= {NOON} GROUP BY ALL""",
+    "realtime_metrics": _with(*E_ALL, TENANTS) + f"""
+SELECT CAST(t.tenant_id AS BIGINT) AS tenant_id,
+       {_trailing('spend_last_hour').replace('count(*)', 'count(i.id)')}
+FROM tenants t LEFT JOIN (SELECT impression.* FROM impression JOIN ad ON ad_id = ad.id) i
+  ON i.tenant_id = t.tenant_id AND i.timestamp >= {NOON} - INTERVAL 24 HOUR
+ AND i.timestamp <= {NOON} GROUP BY ALL""",
     "campaign_live_metrics": _with(*E_ALL) + f"""
 SELECT c.tenant_id, c.id AS campaign_id, count(i.id) AS impressions_last_hour,
        count(DISTINCT i.user_id) AS unique_users,
@@ -321,17 +363,22 @@ SELECT c.tenant_id, c.id AS campaign_id, count(i.id) AS impressions_last_hour,
 FROM campaign c LEFT JOIN ad ON ad.campaign_id = c.id
 LEFT JOIN impression i ON i.ad_id = ad.id AND i.timestamp >= {NOON} - INTERVAL 24 HOUR
   AND i.timestamp <= {NOON} GROUP BY ALL""",
-    "active_campaign_count": _with(CAMPAIGN) + """
-SELECT tenant_id, count(*) AS active_campaigns FROM campaign WHERE status = 'active' GROUP BY ALL""",
-    "impressions_on_day": _with(VOLUME) + """
-SELECT tenant_id, count(*) AS impressions FROM impression WHERE day = DATE '2000-04-04'
+    "active_campaign_count": _with(CAMPAIGN, TENANTS) + """
+SELECT CAST(t.tenant_id AS BIGINT) AS tenant_id,
+       (SELECT count(*) FROM campaign c WHERE c.tenant_id = t.tenant_id AND status = 'active')
+         AS active_campaigns FROM tenants t""",
+    "impressions_on_day": _with(VOLUME, TENANTS) + """
+SELECT CAST(t.tenant_id AS BIGINT) AS tenant_id, count(i.ad_id) AS impressions
+FROM tenants t LEFT JOIN impression i ON i.tenant_id = t.tenant_id AND day = DATE '2000-04-04'
+GROUP BY ALL""",
+    "unique_users_on_day": _with(EVENT, IMPRESSION, TENANTS) + """
+SELECT CAST(t.tenant_id AS BIGINT) AS tenant_id, count(DISTINCT user_id) AS unique_users
+FROM tenants t LEFT JOIN impression i ON i.tenant_id = t.tenant_id AND day = DATE '2024-01-20'
 GROUP BY ALL""",
-    "unique_users_on_day": _with(EVENT, IMPRESSION) + """
-SELECT tenant_id, count(DISTINCT user_id) AS unique_users FROM impression
-WHERE day = DATE '2024-01-20' GROUP BY ALL""",
-    "spend_last_hour": _with(EVENT, IMPRESSION) + f"""
-SELECT tenant_id, CAST(coalesce(sum(cost), 0) AS DOUBLE) AS spend FROM impression
-WHERE timestamp >= {NOON} - INTERVAL 24 HOUR AND timestamp <= {NOON} GROUP BY ALL""",
+    "spend_last_hour": _with(EVENT, IMPRESSION, TENANTS) + f"""
+SELECT CAST(t.tenant_id AS BIGINT) AS tenant_id, CAST(coalesce(sum(cost), 0) AS DOUBLE) AS spend
+FROM tenants t LEFT JOIN impression i ON i.tenant_id = t.tenant_id
+  AND timestamp >= {NOON} - INTERVAL 24 HOUR AND timestamp <= {NOON} GROUP BY ALL""",
     "top_campaign_on_day": _with(*E_ALL, """totals AS (
   SELECT c.tenant_id, c.id, c.name, count(i.id) AS impressions
   FROM campaign c LEFT JOIN ad ON ad.campaign_id = c.id
@@ -339,30 +386,39 @@ WHERE timestamp >= {NOON} - INTERVAL 24 HOUR AND timestamp <= {NOON} GROUP BY AL
     AND i.day = DATE '2024-01-20' GROUP BY ALL)""") + """
 SELECT *, rank() OVER (PARTITION BY tenant_id ORDER BY impressions DESC) AS impression_rank
 FROM totals QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY impressions DESC, id) = 1""",
-    "dashboard_totals": _with(*E_ALL) + """
-SELECT c.tenant_id, count(DISTINCT c.id) AS active_campaigns, count(i.id) AS impressions_today,
+    "dashboard_totals": _with(*E_ALL, TENANTS) + """
+SELECT CAST(t.tenant_id AS BIGINT) AS tenant_id, count(DISTINCT c.id) AS active_campaigns, count(i.id) AS impressions_today,
        CAST(coalesce(sum(i.cost), 0) AS DOUBLE) AS spend_today,
        count(DISTINCT i.user_id) AS unique_users_today
-FROM campaign c LEFT JOIN ad ON ad.campaign_id = c.id AND ad.tenant_id = c.tenant_id
+FROM tenants t LEFT JOIN campaign c ON c.tenant_id = t.tenant_id AND c.status = 'active'
+LEFT JOIN ad ON ad.campaign_id = c.id AND ad.tenant_id = c.tenant_id
 LEFT JOIN impression i ON i.ad_id = ad.id AND i.tenant_id = c.tenant_id
   AND i.day = DATE '2024-01-20'
-WHERE c.status = 'active' GROUP BY ALL""",
-    "bid_price": _with(*E_ALL, f"""recent AS (
+GROUP BY ALL""",
+    "bid_price": _with(*E_ALL, TENANTS, f"""recent AS (
   SELECT t.tenant_id, count(i.id) AS volume,
          coalesce(nullif({half_up("(10000 * " + units('sum(cost)') + ")", 'count(i.id)', 0)}, 0),
                   50000000) AS mean8
-  FROM (SELECT DISTINCT tenant_id FROM campaign) t LEFT JOIN impression i
+  FROM tenants t LEFT JOIN impression i
     ON i.tenant_id = t.tenant_id AND i.timestamp >= {NOON} - INTERVAL 24 HOUR
    AND i.timestamp <= {NOON} GROUP BY ALL)""", """priced AS (
   SELECT *, CAST(mean8 AS HUGEINT) * CASE WHEN volume > 100 THEN 11 ELSE 9 END AS p9
   FROM recent)""") + f"""
-SELECT tenant_id, {half_up('p9', '100000', 0)} / 10000.0 AS bid_price,
+SELECT CAST(tenant_id AS BIGINT) AS tenant_id, {half_up('p9', '100000', 0)} / 10000.0 AS bid_price,
        CASE WHEN volume > 50 THEN 'high' ELSE 'medium' END AS confidence FROM priced""",
     "dashboard_bundle": _with(EVENT, LOG) + """
 SELECT tenant_id, count(*) AS total_events,
        count(*) FILTER (event_type = 'impression_created') AS total_impression_events,
        count(*) FILTER (event_type = 'impression_created') AS total_impressions
 FROM log GROUP BY ALL""",
+    "dashboard_realtime": _pages(
+        _COHORT_PART.format(name="cohort_data", cut=_FIRST_TEN), _TOP_PART.format(limit=5),
+        _TOTAL_PART, _LIVE_PART),
+    "dashboard_overview": _pages(
+        _COHORT_PART.format(name="cohort_data", cut=""), _TOP_PART.format(limit=5), _TOTAL_PART),
+    "dashboard_analysis": _pages(
+        _COHORT_PART.format(name="cohort_analysis", cut=""), _DAY_PART,
+        _TOP_PART.format(limit=10)),
     "query_log_stats": f"""
 SELECT count(*) AS total_queries,
        {half_up('CAST(sum(CAST(value AS DECIMAL(12,2))) * 10000 AS HUGEINT) * 100', 'count(*)', 0)}
@@ -402,11 +458,15 @@ FROM customer WHERE c_mktsegment IN ('MACHINERY', 'HOUSEHOLD')""",
     "creative_urls": _with(AD) + """
 SELECT ad.*, 'https://cdn.example.com/tenant_' || tenant_id || '/creative_' || id AS cdn_url
 FROM ad""",
-    "sync_status": _with(*E_ALL) + """
-SELECT i.tenant_id, count(*) AS total_rows, count(DISTINCT ad.campaign_id) AS campaigns,
+    "sync_status": _with(*E_ALL, TENANTS) + """
+SELECT CAST(t.tenant_id AS BIGINT) AS tenant_id, count(i.id) AS total_rows,
+       count(DISTINCT i.campaign) AS campaigns,
        max(timestamp) AS latest_timestamp, min(timestamp) AS earliest_timestamp,
-       'connected' AS status
-FROM impression i JOIN ad ON i.ad_id = ad.id GROUP BY ALL""",
+       CASE WHEN count(i.id) > 0 THEN 'connected' ELSE 'no_data' END AS status
+FROM tenants t LEFT JOIN (SELECT impression.*, ad.campaign_id AS campaign
+                          FROM impression JOIN ad ON ad_id = ad.id) i
+  ON i.tenant_id = t.tenant_id GROUP BY ALL""",
+    "sync_stored": _with(*E_ALL) + _warehouse_rows() + " WHERE i.tenant_id = 1",
     "sync_impressions": _with(*E_ALL) + _warehouse_rows() + """
 WHERE timestamp >= TIMESTAMP '2024-01-05 12:00:00'
   AND (timestamp > TIMESTAMP '2024-01-05 12:00:00' OR i.id > 0)""",
@@ -435,8 +495,8 @@ FROM log GROUP BY ALL""",
     "append_events": _with(EVENT, LOG) + """
 SELECT id, tenant_id, aggregate_id, event_type, timestamp,
        row_number() OVER (PARTITION BY tenant_id, aggregate_id
-         ORDER BY event_type = 'click_registered', timestamp, id) AS sequence_number
-FROM log WHERE event_type IN ('impression_created', 'click_registered')""",
+         ORDER BY timestamp, id) AS sequence_number
+FROM log""",
     "log_from_facts": _with(EVENT, IMPRESSION, CLICK, CONVERSION, """linked AS (
   SELECT tenant_id, 'impression_created' AS event_type, campaign_id, timestamp, id AS source_id,
          '{"impression_id":' || id || ',"ad_id":' || ad_id || ',"user_id":' || user_id
@@ -514,6 +574,14 @@ SELECT status, CASE WHEN before = status OR (before, status) IN (('draft', 'acti
     "v_required_fields": _with(EVENT, IMPRESSION) + """
 SELECT id, CASE WHEN campaign_id = 0 OR ad_id = 0 OR user_id = 0
   THEN 'Missing required fields: campaign_id, ad_id, user_id' ELSE '' END AS errors
+FROM impression""",
+    "v_required_fields_click": _with(EVENT, IMPRESSION) + """
+SELECT id, CASE WHEN campaign_id = 0 OR ad_id = 0 OR user_id = 0
+  THEN 'Missing required fields: campaign_id, ad_id, user_id' ELSE '' END AS errors
+FROM impression""",
+    "v_required_fields_conversion": _with(EVENT, IMPRESSION) + """
+SELECT id, CASE WHEN campaign_id = 0 OR user_id = 0
+  THEN 'Missing required fields: campaign_id, user_id' ELSE '' END AS errors
 FROM impression""",
     "v_schema": _with(_ORDERS) + """
 SELECT concat_ws('; ',
@@ -540,7 +608,7 @@ SELECT tenant_id, campaign_id, count(*) FILTER (event_type = 'impression_created
        count(*) FILTER (event_type = 'click_registered') AS clicks,
        CAST(coalesce(sum(cost), 0) AS DOUBLE) AS spend, max(timestamp) AS last_update
 FROM live GROUP BY ALL""",
-    "stream_live_metrics": _with(EVENT, _LIVE, _WATERMARK, """panes AS (
+    "stream_live_metrics": _with(EVENT, _LIVE, """panes AS (
   SELECT live.*, time_bucket(INTERVAL 5 MINUTE, timestamp) - to_minutes(CAST(5 * n AS INTEGER))
     AS window_start
   FROM live, range(12) r(n) WHERE event_type = 'impression_created')""", """totals AS (
@@ -550,14 +618,18 @@ FROM live GROUP BY ALL""",
 SELECT window_start, window_end, tenant_id, campaign_id, n AS impressions_last_hour, unique_users,
        CAST(total AS DOUBLE) AS total_spend, {mean('total', 'n')} AS avg_cpm,
        {half_up('n', 'unique_users', 4)} AS frequency
-FROM totals WHERE window_end <= (SELECT watermark FROM late)""",
-    "stream_dashboard": _with(CAMPAIGN, EVENT, _LIVE, _WATERMARK) + """
-SELECT CAST(timestamp AS DATE) AS date, live.tenant_id, count(*) AS impressions_today,
-       CAST(sum(cost) AS DOUBLE) AS spend_today, count(DISTINCT user_id) AS unique_users_today
-FROM live JOIN campaign c ON c.id = live.campaign_id AND c.tenant_id = live.tenant_id
-WHERE c.status = 'active' AND event_type = 'impression_created'
-  AND CAST(timestamp AS DATE) + INTERVAL 1 DAY <= (SELECT watermark FROM late)
-GROUP BY CAST(timestamp AS DATE), live.tenant_id""",
+FROM totals""",
+    "stream_dashboard": _with(CAMPAIGN, EVENT, _LIVE, TENANTS, """under AS (
+  SELECT CAST(timestamp AS DATE) AS date, live.* FROM live
+  JOIN campaign c ON c.id = live.campaign_id AND c.tenant_id = live.tenant_id
+  WHERE c.status = 'active' AND event_type = 'impression_created')""") + """
+SELECT d.date, CAST(t.tenant_id AS BIGINT) AS tenant_id,
+       (SELECT count(*) FROM campaign c WHERE c.tenant_id = t.tenant_id AND c.status = 'active')
+         AS active_campaigns,
+       count(u.event_id) AS impressions_today, CAST(coalesce(sum(cost), 0) AS DOUBLE) AS spend_today,
+       count(DISTINCT user_id) AS unique_users_today
+FROM tenants t CROSS JOIN (SELECT DISTINCT date FROM under) d
+LEFT JOIN under u ON u.tenant_id = t.tenant_id AND u.date = d.date GROUP BY ALL""",
     "stream_metric_snapshot": _with(EVENT, _LIVE) + """
 SELECT tenant_id, campaign_id, count(*) FILTER (event_type = 'impression_created') AS impressions,
        count(*) FILTER (event_type = 'click_registered') AS clicks,
@@ -568,5 +640,19 @@ FROM live GROUP BY ALL""",
 }
 
 
+# The stored table keeps two digits of the spend.
+ORACLES["daily_metrics_upsert_stored"] = _with(*E_ALL, LOG, "replayed AS (" + _replay(
+    "0", _TWO).split(LOG, 1)[1].strip() + ")", """fresh AS (
+  SELECT c.tenant_id, c.id AS campaign_id, DATE '2024-01-20' AS date, count(i.id) AS impressions,
+         coalesce(sum(i.cost), 0) AS spend
+  FROM campaign c LEFT JOIN ad ON ad.campaign_id = c.id AND ad.tenant_id = c.tenant_id
+  LEFT JOIN impression i ON i.ad_id = ad.id AND i.tenant_id = c.tenant_id
+    AND i.day = DATE '2024-01-20' GROUP BY ALL)""") + """
+SELECT tenant_id, campaign_id, date, coalesce(f.impressions, s.impressions) AS impressions,
+       coalesce(s.clicks, 0) AS clicks, coalesce(s.conversions, 0) AS conversions,
+       CAST(round(CAST(coalesce(f.spend, s.spend) AS DECIMAL(18,4)), 2) AS DOUBLE) AS spend
+FROM replayed s FULL JOIN fresh f USING (tenant_id, campaign_id, date)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

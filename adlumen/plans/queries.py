@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from adlumen.operators import attribution as attr
 from adlumen.operators import catalog, cohort, eventlog, jobs, live, performance, validate, warehouse
 from adlumen.plans import facts, streams
 from adlumen.plans.facts import EVENT_DAY, EVENT_NOON, VOLUME_DAY, VOLUME_NOW
+from adlumen.session import shared_folder
+from adlumen.sources.tables import overwrite_days
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,8 +57,34 @@ def _attribution(mode: str) -> Query:
     )
 
 
-def _tenants(spark: SparkSession, sf: str) -> DataFrame:
-    return facts.campaigns(spark, sf).select("tenant_id")
+def _page(kind: str) -> Query:
+    """All parts of tenant 1's page as labelled rows with an item and three figures."""
+    figures = {
+        "cohort_data": ("period_days", "users", "total_impressions", "retention_rate"),
+        "cohort_analysis": ("period_days", "users", "total_impressions", "retention_rate"),
+        "top_campaigns": ("id", "total_impressions", "total_spend", "avg_cpm"),
+        "totals": (None, "total_events", "total_impression_events", "total_impressions"),
+        "realtime_metrics": (None, "impressions_last_hour", "spend_last_hour", "frequency"),
+        "performance_metrics": ("campaign_id", "impressions", "total_cost", "unique_users"),
+    }
+    days = {"cohort_data": "cohort_month", "cohort_analysis": "cohort_month",
+            "performance_metrics": "date"}
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        page = live.dashboard_bundle(
+            facts.campaigns(spark, sf), facts.ads(spark, sf), facts.impressions(spark, sf),
+            facts.log(spark, sf), 1, EVENT_NOON, kind)
+        rows = []
+        for part, frame in page.items():
+            item, *values = figures[part]
+            day = F.col(days[part]) if part in days else F.lit(None).cast("date")
+            rows.append(frame.select(
+                F.lit(part).alias("part"), day.alias("day"),
+                (F.col(item) if item else F.lit(None)).cast("bigint").alias("item"),
+                *[F.col(v).cast("double").alias(n) for v, n in zip(values, "abc")]))
+        return reduce(DataFrame.unionByName, rows)
+
+    return query
 
 
 def _query_log(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,16 +107,39 @@ def _daily_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _appended(spark: SparkSession, sf: str) -> DataFrame:
-    """Click events appended after the impressions already in the log."""
+    """The whole log in two batches: what was up to a day, and what came after it."""
     number = ["id", "tenant_id", "aggregate_id", "event_type", "timestamp", "sequence_number"]
     every = facts.log(spark, sf)
-    stored = eventlog.append_events(every.filter(F.col("event_type") == "impression_created"))
-    new = eventlog.append_events(
-        every.filter(F.col("event_type") == "click_registered"), stored
-    )
+    early = F.to_date("timestamp") <= F.lit(EVENT_DAY.isoformat()).cast("date")
+    stored = eventlog.append_events(every.filter(early))
+    new = eventlog.append_events(every.filter(~early), last=eventlog.last_sequences(stored))
     return stored.unionByName(new).select(*number)
 
 
+def _stored_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """The upsert of a day as a table on disk, read back."""
+    path = f"{shared_folder(spark)}/metrics-{uuid.uuid4().hex}"
+    stored = eventlog.event_replay(facts.log(spark, sf)).drop("unique_users")
+    overwrite_days(stored.select(*[F.col(f.name).cast(f.dataType) for f in jobs.METRICS.fields
+                                   if f.name in stored.columns]), path)
+    fresh = jobs.daily_metrics(
+        facts.campaigns(spark, sf), facts.ads(spark, sf), facts.impressions(spark, sf),
+        day=EVENT_DAY)
+    jobs.upsert_day(spark, path, fresh, EVENT_DAY)
+    return spark.read.schema(jobs.METRICS).parquet(path).select(*stored.columns)
+
+
+def _stored_sync(spark: SparkSession, sf: str) -> DataFrame:
+    """The copy of one tenant made in two batches with its mark, read back."""
+    base = f"{shared_folder(spark)}/warehouse-{uuid.uuid4().hex}"
+    every = facts.impressions(spark, sf).filter("tenant_id = 1")
+    early = every.filter(F.to_date("timestamp") <= F.lit(EVENT_DAY.isoformat()).cast("date"))
+    for rows in (early, every):
+        warehouse.sync_to_warehouse(spark, rows, facts.ads(spark, sf), f"{base}/copy",
+                                    f"{base}/marks", 1, as_of=EVENT_NOON, days_back=3650)
+    return spark.read.parquet(f"{base}/copy").drop("batch", "date")
+
+
 def _rebuilt(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.rebuild_metrics(facts.stored_metrics(spark, sf), facts.log(spark, sf))
 
@@ -153,11 +206,16 @@ def _date_order(spark: SparkSession, sf: str) -> DataFrame:
     return _error_counts(validate.v_date_order(rows), "start_date")
 
 
-def _required(spark: SparkSession, sf: str) -> DataFrame:
+def _required(kind: str) -> Query:
     """Events with user 0 or ad 0 count as lacking it."""
-    rows = facts.impression_facts(spark, sf)
-    checked = validate.v_required_fields(rows, "impression")
-    return checked.select("id", F.array_join("errors", "; ").alias("errors"))
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        rows = facts.impression_facts(spark, sf)
+        if kind == "conversion":
+            rows = rows.withColumn("conversion_value", F.col("cost"))
+        checked = validate.v_required_fields(rows, kind)
+        return checked.select("id", F.array_join("errors", "; ").alias("errors"))
+
+    return query
 
 
 def _schema(spark: SparkSession, sf: str) -> DataFrame:
@@ -204,23 +262,31 @@ QUERIES: dict[str, Query] = {
     "attribution_per_touch": _attribution("per_touch"),
     # Live figures
     "realtime_metrics": lambda s, sf: live.realtime_metrics(
-        facts.impressions(s, sf), facts.ads(s, sf), as_of=EVENT_NOON, hours=24),
+        facts.impressions(s, sf), facts.ads(s, sf), as_of=EVENT_NOON, hours=24,
+        tenants=facts.tenants(s, sf)),
     "campaign_live_metrics": lambda s, sf: live.campaign_live_metrics(
         facts.impressions(s, sf), facts.ads(s, sf), as_of=EVENT_NOON, hours=24,
         campaigns=facts.campaigns(s, sf)),
-    "active_campaign_count": lambda s, sf: live.active_campaign_count(facts.campaigns(s, sf)),
+    "active_campaign_count": lambda s, sf: live.active_campaign_count(
+        facts.campaigns(s, sf), tenants=facts.tenants(s, sf)),
     "impressions_on_day": lambda s, sf: live.impressions_on_day(
-        facts.volume_impressions(s, sf), day=VOLUME_DAY),
+        facts.volume_impressions(s, sf), day=VOLUME_DAY, tenants=facts.tenants(s, sf)),
     "unique_users_on_day": lambda s, sf: live.unique_users_on_day(
-        facts.impressions(s, sf), day=EVENT_DAY),
+        facts.impressions(s, sf), day=EVENT_DAY, tenants=facts.tenants(s, sf)),
     "spend_last_hour": lambda s, sf: live.spend_last_hour(
-        facts.impressions(s, sf), as_of=EVENT_NOON, hours=24),
+        facts.impressions(s, sf), as_of=EVENT_NOON, hours=24, tenants=facts.tenants(s, sf)),
     "top_campaign_on_day": _on_events(live.top_campaign_on_day, day=EVENT_DAY),
-    "dashboard_totals": _on_events(live.dashboard_totals, day=EVENT_DAY),
+    "dashboard_totals": lambda s, sf: live.dashboard_totals(
+        facts.campaigns(s, sf), facts.ads(s, sf), facts.impressions(s, sf), day=EVENT_DAY,
+        tenants=facts.tenants(s, sf)),
     "bid_price": lambda s, sf: live.bid_price(
-        facts.impressions(s, sf), as_of=EVENT_NOON, minutes=24 * 60, tenants=_tenants(s, sf)),
+        facts.impressions(s, sf), as_of=EVENT_NOON, minutes=24 * 60,
+        tenants=facts.tenants(s, sf)),
     "dashboard_bundle": lambda s, sf: live.tenant_totals(
         facts.impressions(s, sf), facts.log(s, sf)),
+    "dashboard_realtime": _page("realtime"),
+    "dashboard_overview": _page("overview"),
+    "dashboard_analysis": _page("analysis"),
     # Stored tables
     "query_log_stats": lambda s, sf: catalog.query_log_stats(_query_log(s, sf)),
     "distinct_campaign_count": _on_volume(catalog.distinct_campaign_count),
@@ -237,11 +303,14 @@ QUERIES: dict[str, Query] = {
     "creative_urls": lambda s, sf: catalog.creative_urls(
         facts.ads(s, sf), "https://cdn.example.com"),
     # Warehouse copy and stored metrics
-    "sync_status": lambda s, sf: warehouse.sync_status(facts.warehouse(s, sf)),
+    "sync_status": lambda s, sf: warehouse.sync_status(
+        facts.warehouse(s, sf), tenants=facts.tenants(s, sf)),
     "sync_impressions": lambda s, sf: warehouse.sync_impressions(
         facts.impressions(s, sf), facts.ads(s, sf),
         after=warehouse.Mark(EVENT_NOON.replace(day=5), 0)),
+    "sync_stored": _stored_sync,
     "daily_metrics_upsert": _daily_upsert,
+    "daily_metrics_upsert_stored": _stored_upsert,
     # Event log
     "event_replay": lambda s, sf: eventlog.event_replay(facts.log(s, sf)),
     "event_replay_with_conversions": lambda s, sf: eventlog.event_replay(
@@ -269,7 +338,9 @@ QUERIES: dict[str, Query] = {
     "v_budget_cap": _budget_rows,
     "v_date_order": _date_order,
     "v_status_transition": _transitions,
-    "v_required_fields": _required,
+    "v_required_fields": _required("impression"),
+    "v_required_fields_click": _required("click"),
+    "v_required_fields_conversion": _required("conversion"),
     "v_schema": _schema,
     # Streams
     "stream_publish": streams.published,

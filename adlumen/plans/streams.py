@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,26 +66,52 @@ def deduplicated(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(once.schema).parquet(out)
 
 
-def live_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    out, checkpoint = _fresh(spark, "live")
-    rows = live.stream_live_metrics(event_messages(spark, folder), exact=True)
+def _with_open_windows(spark: SparkSession, folder: str, name: str,
+                       report: Callable[[DataFrame], DataFrame], reach: timedelta,
+                       *keys: str) -> DataFrame:
+    """What the stream has closed, and the windows still open from the same report as a batch.
+
+    Open windows end after the watermark, so they begin within ``reach`` before
+    it: the batch reads no more than that.
+    """
+    out, checkpoint = _fresh(spark, name)
+    rows = report(event_messages(spark, folder))
     _drain(sinks.rows_to_files(rows, out, checkpoint))
-    return spark.read.schema(rows.schema).parquet(out)
+    closed = spark.read.schema(rows.schema).parquet(out)
+    events = facts.live_events(facts.table(spark, folder, "events"))
+    newest = events.agg(F.max("timestamp")).first()[0]
+    if newest is None:
+        return closed
+    # A minute more than the ten of the watermark.
+    recent = events.filter(F.col("timestamp") >= F.lit(newest - reach - timedelta(minutes=11)))
+    still_open = report(recent).join(closed, list(keys), "left_anti")
+    return closed.unionByName(still_open)
+
+
+def live_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    return _with_open_windows(
+        spark, folder, "live", lambda events: live.stream_live_metrics(events, exact=True),
+        timedelta(hours=1), "window_start", "tenant_id", "campaign_id")
 
 
 def dashboard(spark: SparkSession, folder: str) -> DataFrame:
-    out, checkpoint = _fresh(spark, "dashboard")
-    rows = live.stream_dashboard(
-        event_messages(spark, folder), facts.campaigns(spark, folder), exact=True
-    )
-    _drain(sinks.rows_to_files(rows, out, checkpoint))
-    return spark.read.schema(rows.schema).parquet(out)
+    """Every day of every tenant, idle ones with zeros."""
+    known = facts.campaigns(spark, folder)
+    totals = _with_open_windows(
+        spark, folder, "dashboard",
+        lambda events: live.stream_dashboard(events, known, exact=True),
+        timedelta(days=1), "date", "tenant_id")
+    first, last = totals.agg(F.min("date"), F.max("date")).first()
+    days = [first + timedelta(n) for n in range((last - first).days + 1)] if first else []
+    return live.with_active_campaigns(totals, known, days, facts.tenants(spark, folder))
 
 
 def snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest snapshot of each campaign, over however many batches there were."""
     out, checkpoint = _fresh(spark, "snapshots")
     _drain(sinks.stream_metric_snapshot(event_messages(spark, folder), out, checkpoint))
-    return spark.read.parquet(out).drop("batch", "timestamp")
+    schema = spark.read.parquet(out).drop("batch").schema
+    return sinks.latest_rows(spark, out, schema, "tenant_id", "campaign_id").drop("timestamp")
 
 
 def synced(spark: SparkSession, folder: str) -> DataFrame:

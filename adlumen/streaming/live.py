@@ -6,10 +6,13 @@ timestamp (TIMESTAMP, event time).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import date
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adlumen.functions.measures import frequency, or_zero
+from adlumen.functions.scope import listed
 from adlumen.schemas import CLICK, IMPRESSION
 from adlumen.streaming.ingest import LATENESS
 
@@ -32,22 +35,33 @@ def stream_running_counts(events: DataFrame) -> DataFrame:
     )
 
 
-def _windowed(rows: DataFrame, keys: list[str], window: Column, exact: bool) -> DataFrame:
+def _windowed(rows: DataFrame, keys: list[str], length: str, step: str | None,
+              exact: bool) -> DataFrame:
     """Count, spend and users per key and window.
 
-    Exact users take two chained aggregations (per user, then per window) and
+    Exact users take chained aggregations (per user, then per window) and
     output mode append; approximate ones a sketch per window and mode update.
+    Rows are not repeated for windows that overlap: they are first added up
+    per user and ``step``, and these panes are what falls into several windows.
     """
+    window = F.window("timestamp", length, step)
     if not exact:
         return rows.groupBy(window.alias("window"), *keys).agg(
             F.count("*").alias("impressions"), F.sum("cost").alias("spend"),
             F.approx_count_distinct("user_id").alias("users"),
         )
-    per_user = rows.groupBy(window.alias("window"), *keys, "user_id").agg(
-        F.count("*").alias("shown"), F.sum("cost").alias("cost")
-    )
+    panes = rows.groupBy(F.window("timestamp", step or length).alias("pane"), *keys,
+                         "user_id").agg(F.count("*").alias("shown"), F.sum("cost").alias("cost"))
+    if step:
+        per_user = panes.groupBy(F.window(F.window_time("pane"), length, step).alias("window"),
+                                 *keys, "user_id").agg(
+            F.sum("shown").alias("shown"), F.sum("cost").alias("cost"))
+    else:
+        per_user = panes.withColumnRenamed("pane", "window")
+    # Each sum widens its decimal; the mean needs the digits behind the point.
+    spend = F.sum("cost").cast("decimal(20,4)")
     return per_user.groupBy("window", *keys).agg(
-        F.sum("shown").alias("impressions"), F.sum("cost").alias("spend"),
+        F.sum("shown").alias("impressions"), spend.alias("spend"),
         F.count("user_id").alias("users"),
     )
 
@@ -59,8 +73,7 @@ def stream_live_metrics(events: DataFrame, length: str = "1 hour", step: str = "
     Rows later than ``lateness`` are left to the batch operators.
     """
     shown = events.filter(F.col("event_type") == IMPRESSION).withWatermark("timestamp", lateness)
-    totals = _windowed(shown, ["tenant_id", "campaign_id"],
-                       F.window("timestamp", length, step), exact)
+    totals = _windowed(shown, ["tenant_id", "campaign_id"], length, step, exact)
     mean = (F.col("spend") / F.col("impressions")).cast("decimal(14,8)")
     return totals.select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
@@ -79,7 +92,7 @@ def stream_dashboard(events: DataFrame, campaigns: DataFrame, lateness: str = LA
     )
     shown = events.filter(F.col("event_type") == IMPRESSION).withWatermark("timestamp", lateness)
     under = shown.join(active, ["tenant_id", "campaign_id"])
-    totals = _windowed(under, ["tenant_id"], F.window("timestamp", "1 day"), exact)
+    totals = _windowed(under, ["tenant_id"], "1 day", None, exact)
     return totals.select(
         F.to_date("window.start").alias("date"), "tenant_id",
         F.col("impressions").alias("impressions_today"), F.col("spend").alias("spend_today"),
@@ -87,16 +100,24 @@ def stream_dashboard(events: DataFrame, campaigns: DataFrame, lateness: str = LA
     )
 
 
-def with_active_campaigns(day_totals: DataFrame, campaigns: DataFrame) -> DataFrame:
-    """A day's dashboard rows with the number of active campaigns; tenants without
-    traffic get zeros.
+def with_active_campaigns(day_totals: DataFrame, campaigns: DataFrame,
+                          days: list[date] | None = None,
+                          tenants: DataFrame | None = None) -> DataFrame:
+    """Dashboard rows with the number of active campaigns; tenants without traffic get zeros.
 
-    Takes the state a stream has reached for the day, not one batch of it: a
-    batch holds only the tenants that changed.
+    Takes the state a stream has reached, not one batch of it: a batch holds
+    only the tenants that changed. ``days`` lists the days to show; without it
+    ``day_totals`` is that of one day. ``tenants`` (a ``tenant_id`` column) are
+    by default those with a campaign.
     """
-    active = campaigns.filter(F.col("status") == "active").groupBy("tenant_id").agg(
-        F.count("*").alias("active_campaigns")
+    active = campaigns.groupBy("tenant_id").agg(
+        F.count_if(F.col("status") == "active").alias("active_campaigns")
     )
-    return active.join(day_totals, "tenant_id", "left").fillna(
+    shown = listed(active, tenants, None)
+    if days is not None:
+        listed_days = F.array(*[F.lit(day.isoformat()).cast("date") for day in days])
+        shown = shown.withColumn("date", F.explode(listed_days))
+    keys = ["tenant_id"] if days is None else ["tenant_id", "date"]
+    return shown.join(day_totals, keys, "left").fillna(
         0, ["impressions_today", "spend_today", "unique_users_today"]
     )

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from adlumen.operators.warehouse import as_warehouse_rows
+from adlumen.session import settle
 from adlumen.streaming.live import stream_running_counts
 
 
@@ -44,8 +45,34 @@ def latest_rows(spark: SparkSession, path: str, schema: T.StructType, *keys: str
     """The state an update-mode stream has reached: each key's row of its latest batch."""
     full = T.StructType(schema.fields + [T.StructField("batch", T.LongType())])
     stored = spark.read.schema(full).parquet(path)
-    newest = stored.groupBy(*keys).agg(F.max("batch").alias("batch"))
-    return stored.join(newest, [*keys, "batch"], "left_semi").drop("batch")
+    newest = stored.groupBy(*keys).agg(
+        F.max_by(F.struct(*schema.names), "batch").alias("newest"))
+    return newest.select("newest.*")
+
+
+def compact(spark: SparkSession, path: str, schema: T.StructType, *keys: str,
+            below: int) -> None:
+    """Fold all batches below a finished one into it, so that the history stays short.
+
+    The newest rows as of batch ``below - 1`` become that batch's folder; a
+    repeated run gives the same. Run it while no reader is at the old folders.
+    """
+    full = T.StructType(schema.fields + [T.StructField("batch", T.LongType())])
+    old = spark.read.schema(full).parquet(path).filter(F.col("batch") < below)
+    folders = [row[0] for row in old.select("batch").distinct().collect()]
+    if len(folders) < 2:
+        return
+    newest = settle(old.groupBy(*keys).agg(F.max_by(F.struct(*schema.names), "batch").alias("n")))
+    newest.select("n.*").withColumn("batch", F.lit(max(folders)).cast("bigint")).write.option(
+        "partitionOverwriteMode", "dynamic").partitionBy("batch").mode("overwrite").parquet(path)
+    for batch in sorted(folders)[:-1]:
+        _delete(spark, f"{path}/batch={batch}")
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(folder)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def rows_to_files(rows: DataFrame, path: str, checkpoint: str, *partition: str

@@ -120,3 +120,23 @@ def test_random_journeys(spark, seed, mode):
                         clicks(spark, clicked), conversions(spark, converted), 1, mode=mode)
     expected = by_definition(shown, {11: 1, 12: 1, 21: 2}, clicked, converted, mode == "reference")
     assert sorted(rows_of(found, *COLUMNS)) == expected
+
+
+def test_most_clicks_and_purchases_are_linked(spark):
+    """The journeys of the registered queries are not starved, and links fan out."""
+    from adlumen.plans import facts
+
+    folder = "/root/testdata/sf0.01"
+    clicks, sales = facts.clicks(spark, folder), facts.conversions(spark, folder)
+    for rows, link in ((clicks, "impression_id"), (sales, "click_id")):
+        assert rows.filter(f"{link} IS NOT NULL").count() > rows.count() / 2
+        assert rows.groupBy(link).count().filter(f"{link} IS NOT NULL AND count > 1").count() > 0
+
+
+def test_products_of_large_counts(spark):
+    from adlumen.operators.attribution import _product_sum
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(4_000_000_000,), (5_000_000_000,)], "rows bigint")
+    total = rows.agg(_product_sum("rows", F.col("rows")).alias("t")).first().t
+    assert int(total) == 4_000_000_000 ** 2 + 5_000_000_000 ** 2

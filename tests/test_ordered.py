@@ -1,8 +1,8 @@
-"""Numbering and look-back against plain sorting, with a key that owns most rows."""
+"""Numbering against plain sorting, with a key that owns most rows."""
 
 import random
 
-from adlumen.functions.ordered import number_rows, with_previous
+from adlumen.functions.ordered import number_rows
 
 
 def table(spark, seed=3, n=3000):
@@ -35,18 +35,6 @@ def test_numbers_go_on_after_the_last(spark):
     assert found == expected
 
 
-def test_previous_value(spark):
-    rows, df = table(spark)
-    found = {r["id"]: r["p"] for r in with_previous(df, ["t", "k"], ["v", "id"], "v", "p").collect()}
-    expected = {}
-    for members in grouped(rows).values():
-        before = None
-        for row in members:
-            expected[row[3]] = before
-            before = row[2]
-    assert found == expected
-
-
 def test_hot_key_is_spread_over_pieces(spark):
     from adlumen.functions.ordered import pieces
 
@@ -58,4 +46,3 @@ def test_hot_key_is_spread_over_pieces(spark):
 def test_empty(spark):
     _, df = table(spark)
     assert number_rows(df.limit(0), ["t", "k"], ["v", "id"], "n").count() == 0
-    assert with_previous(df.limit(0), ["t", "k"], ["v", "id"], "v", "p").count() == 0

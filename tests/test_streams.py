@@ -140,3 +140,21 @@ def test_publish_writes_one_folder_per_topic(spark, tmp_path):
     text = spark.read.text(str(out / "topic=impressions-tenant-1"))
     assert json.loads(text.first()[0])["cost"] == "1.5000"
     assert rows_of(decoded(text), "event_id", "cost") == [(1, 1.5)]
+
+
+def test_compaction_keeps_the_newest_rows(spark, tmp_path):
+    from adlumen.streaming import sinks
+
+    path = str(tmp_path / "changes")
+    for batch, rows in enumerate([[(1, 10), (2, 20)], [(1, 11)], [(3, 30)], [(2, 21)]]):
+        spark.createDataFrame(rows, "k int, v int").selectExpr("*", f"{batch}L AS batch").write.mode(
+            "append").partitionBy("batch").parquet(path)
+    schema = spark.createDataFrame([], "k int, v int").schema
+
+    def newest():
+        return sorted(map(tuple, sinks.latest_rows(spark, path, schema, "k").collect()))
+
+    before = newest()
+    sinks.compact(spark, path, schema, "k", below=3)
+    assert newest() == before == [(1, 11), (2, 21), (3, 30)]
+    assert spark.read.parquet(path).select("batch").distinct().count() == 2
