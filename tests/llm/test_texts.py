@@ -204,6 +204,18 @@ def test_contamination_matches_brute_force(spark, rows):
     assert decontaminate.find_contamination(rows(texts).limit(0), bench).count() == 0
 
 
+def test_contamination_of_greek_capitals(spark, rows):
+    passage = "ΤΕΛΟΣ ΟΔΟΣ ΜΕΡΟΣ ΛΟΓΟΣ ΝΟΜΟΣ ΤΟΠΟΣ ΧΡΟΝΟΣ ΚΟΣΜΟΣ ΑΣ ΦΩΣ ΣΟΦΟΣ Σ"
+    items = [(1, passage), (2, "ΤΕΛΟΣ.Επόμενη"), (3, "ΣΑΣ'ΜΑΣ\u0301.İI")]
+    texts = [prose(1, 12) + " " + passage.replace(" ", mark) + f" {prose(2, 12)}"
+             for mark in ".:'^`_- "]
+    texts += ["ΤΕΛΟΣ Επόμενη", "x ΤΕΛΟΣ:Επόμενη y", "ΣΑΣ ΜΑΣ\u0301^İi", "τελος επόμενη", "τελοσ.Επόμενη"]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = decontaminate.find_contamination(rows(texts), bench).collect()
+    assert Counter(map(tuple, found)) == brute_hits(listed(texts), items)
+    assert sum(r.contaminated for r in found) == 11
+
+
 # -- models ------------------------------------------------------------------
 
 def test_language_model(spark, rows):
