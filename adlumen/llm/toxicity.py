@@ -32,15 +32,26 @@ SAMPLE = 1000
 REJECT = 0.7
 _WORD = re.compile(r"\w+")
 KEPT_WORDS = 500_000
+PIECE, SHARED = 40, 4
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Words of a text; a longer run is cut into pieces that overlap by ``SHARED`` characters.
+
+    So each n-gram of the run is in a piece, and a bag stays bounded.
+    """
+    out = []
+    for run in _WORD.findall(text.lower()):
+        if len(run) <= PIECE:
+            out.append(run)
+        else:
+            out += [run[at:at + PIECE] for at in range(0, len(run) - SHARED, PIECE - SHARED)]
+    return out
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of each word's n-grams of 3 to 5 characters and of the word itself; counts."""
-    framed = [f"<{word[:40]}>" for word in words]
+    framed = [f"<{word}>" for word in words]
     sizes = np.array([len(f) for f in framed])
     points = np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), np.uint32)
     points = points.astype(np.uint64)

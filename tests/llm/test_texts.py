@@ -282,6 +282,22 @@ def test_toxicity_on_held_out_rows(spark, rows):
     assert toxicity.with_score(rows(ODD), one).count() == len(ODD)
 
 
+def test_long_runs_count_to_their_end(spark, rows):
+    for size in (1, 39, 40, 41, 44, 45, 76, 77, 5000):
+        run = "".join(chr(0x4E00 + k) for k in range(size))
+        pieces = toxicity.words_of(run)
+        assert all(len(piece) <= 40 for piece in pieces)
+        assert {run[k:k + 5] for k in range(size - 4)} == {
+            piece[k:k + 5] for piece in pieces for k in range(len(piece) - 4)}
+        assert pieces[0][0] == run[0] and pieces[-1][-1] == run[-1]
+    texts = [prose(k, 40) + (" idiot moron scum" if k % 4 == 0 else "") for k in range(400)]
+    model = toxicity.train(texts, [int(k % 4 == 0) for k in range(400)])
+    clean = "_".join(prose(900, 30).split())
+    score = {r.doc_id: r.score for r in toxicity.with_score(
+        rows([clean, clean + "_idiot_moron_scum_idiot_moron_scum"]), model).collect()}
+    assert score[1] > score[0] and score[1] >= toxicity.REJECT > score[0]
+
+
 # -- personal data -----------------------------------------------------------
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
