@@ -28,11 +28,12 @@ BUCKETS = 1 << 16
 SIZE = 8
 WINDOW = 3
 # Labelled texts per class that training may use: a bounded sample in hash order.
-SAMPLE = 1000
+SAMPLE = 1500
 REJECT = 0.7
 _WORD = re.compile(r"\w+")
 KEPT_WORDS = 500_000
 PIECE, SHARED = 40, 4
+PART = 20_000  # words worked through at a time in training
 
 
 def words_of(text: str) -> list[str]:
@@ -110,10 +111,14 @@ class Trainer:
 
     def __init__(self, words: list[str], seed: int = 7):
         draw = np.random.default_rng(seed)
-        self.ids, self.sizes = subwords(words)
-        self.ids = self.ids.astype(np.int32)
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
-        self.word_of = np.repeat(np.arange(len(words), dtype=np.int32), self.sizes)
+        parts = []  # in parts here and below, to keep memory small
+        for at in range(0, len(words), PART):
+            ids, sizes = subwords(words[at:at + PART])
+            parts.append((ids.astype(np.int32), sizes.astype(np.int32)))
+        self.ids = np.concatenate([ids for ids, _ in parts])
+        self.sizes = np.concatenate([sizes for _, sizes in parts])
+        del parts
+        self.bounds = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
         self.values = [draw.normal(0, 0.1, (BUCKETS, SIZE)).astype(np.float32),
                        draw.normal(0, 0.5, (2, SIZE)).astype(np.float32),
                        np.zeros(2, np.float32)]
@@ -121,12 +126,12 @@ class Trainer:
         self.step = 0
 
     def word_sums(self) -> np.ndarray:
-        out = np.empty((len(self.starts), SIZE), np.float32)
-        for at in range(0, len(self.starts), 20_000):  # in parts, to keep memory small
-            first, last = self.starts[at], np.append(self.starts, len(self.ids))[
-                min(at + 20_000, len(self.starts))]
-            out[at:at + 20_000] = np.add.reduceat(
-                self.values[0][self.ids[first:last]], self.starts[at:at + 20_000] - first)
+        out = np.empty((len(self.sizes), SIZE), np.float32)
+        for at in range(0, len(self.sizes), PART):
+            bounds = self.bounds[at:at + PART + 1]
+            starts = bounds[:min(PART, len(self.sizes) - at)]
+            out[at:at + PART] = np.add.reduceat(
+                self.values[0][self.ids[bounds[0]:bounds[-1]]], starts - bounds[0])
         return out
 
     def hidden(self, windows: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,9 +164,14 @@ class Trainer:
             owner = np.nonzero(there)[0]
             for k in range(SIZE):
                 spread[:, k] = np.bincount(windows[there], back[owner, k], len(self.sizes))
-            grad = np.empty_like(table)
-            for k in range(SIZE):
-                grad[:, k] = np.bincount(self.ids, spread[self.word_of, k], BUCKETS)
+            grad = np.zeros(table.shape)
+            for at in range(0, len(self.sizes), PART):
+                bounds = self.bounds[at:at + PART + 1]
+                ids = self.ids[bounds[0]:bounds[-1]]
+                for k in range(SIZE):
+                    grad[:, k] += np.bincount(ids, np.repeat(
+                        spread[at:at + PART, k], self.sizes[at:at + PART]), BUCKETS)
+            grad = grad.astype(table.dtype)
             self._adam([grad + decay * table, p.T @ h + decay * out, p.sum(0)], rate)
 
     def _adam(self, grads: list[np.ndarray], rate: float) -> None:

@@ -298,6 +298,23 @@ def test_long_runs_count_to_their_end(spark, rows):
     assert score[1] > score[0] and score[1] >= toxicity.REJECT > score[0]
 
 
+def test_training_takes_the_whole_sample_in_parts(spark, rows, monkeypatch):
+    taken = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels, shares: taken.append(labels))
+    marks = spark.createDataFrame([(k, k % 2) for k in range(4600)], "doc_id bigint, toxic int")
+    toxicity.train_on(rows([f"text {k}" for k in range(4600)]), marks)
+    assert Counter(taken[0]) == {0: 1500, 1: 1500}
+    words = prose(1, 200).split()
+    whole = toxicity.Trainer(words)
+    monkeypatch.setattr(toxicity, "PART", 7)
+    parts = toxicity.Trainer(words)
+    windows = np.arange(198)[:, None] + np.arange(3)
+    for trainer in (whole, parts):
+        trainer.fit(windows, np.arange(198) % 2, np.ones(198), rounds=3)
+    assert (whole.ids == parts.ids).all()
+    assert np.allclose(whole.scores(windows), parts.scores(windows), atol=1e-3)
+
+
 # -- personal data -----------------------------------------------------------
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
