@@ -96,12 +96,16 @@ def bag(words: list[str], table: WordTable) -> np.ndarray:
 
 
 def _windows(bags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All windows of ``WINDOW`` words, -1 where a text is shorter, and their text."""
+    """Every second window of ``WINDOW`` words and the last, and their text; so each word is in one.
+
+    -1 where a text is shorter.
+    """
     rows, owner = [], []
     for text, bag in enumerate(bags):
         if len(bag) < WINDOW:
             bag = np.concatenate([bag, np.full(WINDOW - len(bag), -1)])
-        rows.append(np.lib.stride_tricks.sliding_window_view(bag, WINDOW)[::2])
+        every = np.lib.stride_tricks.sliding_window_view(bag, WINDOW)
+        rows.append(every[::2] if len(every) % 2 else np.concatenate([every[::2], every[-1:]]))
         owner.append(np.full(len(rows[-1]), text))
     return np.concatenate(rows).astype(np.int32), np.concatenate(owner).astype(np.int32)
 

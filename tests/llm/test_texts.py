@@ -315,6 +315,13 @@ def test_training_takes_the_whole_sample_in_parts(spark, rows, monkeypatch):
     assert np.allclose(whole.scores(windows), parts.scores(windows), atol=1e-3)
 
 
+@pytest.mark.parametrize("size", [0, 1, 2, 3, 4, 5, 6, 7, 40, 41])
+def test_training_windows_hold_every_word(size):
+    windows, owner = toxicity._windows([np.arange(size), np.arange(5)])
+    assert set(windows[owner == 0].ravel()) - {-1} == set(range(size))
+    assert len(np.unique(windows[owner == 0], axis=0)) == (owner == 0).sum()
+
+
 # -- personal data -----------------------------------------------------------
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
