@@ -342,6 +342,15 @@ def test_base_spans():
     assert pii.base_spans("1" * 6000 + ".1.1.1") == []
 
 
+@pytest.mark.parametrize("part, held", [
+    ("0" * 120 + "5", True), ("0" * 97 + "255", True), ("0" * 200, True), ("0" * 120 + "256", False),
+    ("9" * 120, False), ("0" * 5000 + "1000", False)])
+def test_leading_zeros_of_an_ip(part, held):
+    text = f"at 10.0.{part}.7 now"
+    spans = [(s, e) for s, k, e in pii.base_spans(text) if k == 1]
+    assert spans == ([(3, len(text) - 4)] if held else [])
+
+
 def test_personal_data_is_found_and_redacted(spark, rows):
     texts = [f"{prose(k, 6)} call +1 (555) 010-{1000 + k} or mail u{k}@mail.example.com at "
              f"10.0.{k}.7 version 3.{k} page {k} of 12/2020-{k}" for k in range(60)]
