@@ -8,11 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from adlumen.llm import pii, suffix_tree_lm
+from adlumen.llm.collocations import best_phrases, mine_phrases
 from adlumen.llm.common import documents, scratch_path
 from adlumen.llm.decontaminate import find_contamination
 from adlumen.llm.exact_dedup import mark_copies
+from adlumen.llm.hard_negatives import mine_hard_negatives
 from adlumen.llm.jaccard_join import link_documents
 from adlumen.llm.piece_codec import digests, encode_documents
+from adlumen.llm.quality_rules import apply_rules
 from adlumen.llm.sharding import shard_documents
 from adlumen.llm.suffix_dedup import remove_repeats
 from adlumen.llm.toxicity import labels_of, score_documents
@@ -78,3 +81,18 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return find_contamination(documents(spark, folder),
                               spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+@query
+def op11_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return apply_rules(documents(spark, folder))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return mine_hard_negatives(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+@query
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return best_phrases(mine_phrases(documents(spark, folder)))
