@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from adlumen.functions.ordered import number_rows
 from adlumen.functions.sizing import lookup_side
-from adlumen.llm.common import stored, text_of
+from adlumen.llm.common import forget, stored, text_of
 
 LEAST = 30
 LONGEST = 4
@@ -40,7 +40,9 @@ UNKNOWN = "und"
 
 TILE = 1024
 # Words of a block: the numbers take four bytes each, the block's dictionary less than that.
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 2_000_000
+# Counted pairs of a task that are added up before they are handed on.
+HELD_PAIRS = 2_000_000
 
 _TOKEN = re.compile(rb"[.,;:!?\x0A-\x0D]+|[^\x20\x09.,;:!?\x0A-\x0D]+")
 _BREAKS = frozenset(b".,;:!?\x0a\x0b\x0c\x0d")
@@ -52,7 +54,7 @@ class _Block:
     """Numbers of one language's words as they come, 0 at the end of each piece."""
 
     def __init__(self) -> None:
-        self.name = uuid.uuid4().hex
+        self.name = uuid.uuid4().int >> 65
         self.number: dict[bytes, int] = defaultdict()
         self.number.default_factory = lambda: len(self.number) + 1
         self.parts: list[np.ndarray] = []
@@ -72,8 +74,8 @@ class _Block:
         return self.name, lang, words, counts.tolist(), codes.tobytes()
 
 
-_BLOCKS = "block string, lang string, words array<string>, counts array<long>, codes binary"
-_BLOCK_TYPES = [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
+_BLOCKS = "block long, lang string, words array<string>, counts array<long>, codes binary"
+_BLOCK_TYPES = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
 
 
 def _tokenised(limit: int):
@@ -138,23 +140,56 @@ def tile_counts(codes: np.ndarray, tile: int = TILE) -> tuple[np.ndarray, np.nda
     return keys[order], counts[order]
 
 
-def _pairs_of(tile: int):
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of equal keys added up."""
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    counts = np.zeros(len(keys), np.int64)
+    np.add.at(counts, at, np.concatenate([n for _, n in parts]))
+    return keys, counts
+
+
+def _pair_totals(tile: int):
+    """Counts of all pairs, added up over the task's blocks as far as they fit."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def out(lang: str) -> Iterator[pa.RecordBatch]:
+            keys, counts = held.pop(lang)
+            for at in range(0, len(keys), 100_000):
+                some = keys[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(some), pa.string()), pa.array(some),
+                     pa.array(counts[at : at + 100_000])], names=["lang", "key", "n"])
+
         for batch in batches:
-            for block, lang, codes in zip(*(batch.column(i) for i in range(3))):
-                keys, counts = tile_counts(np.frombuffer(codes.as_buffer(), np.int32), tile)
-                for at in range(0, len(keys), 100_000):
-                    some = keys[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([block.as_py()] * len(some), pa.string()),
-                        pa.array([lang.as_py()] * len(some), pa.string()),
-                        pa.array(some), pa.array(counts[at : at + 100_000])],
-                        names=["block", "lang", "key", "n"])
+            for name, codes in zip(batch.column(1), batch.column(2)):
+                lang = name.as_py()
+                found = tile_counts(np.frombuffer(codes.as_buffer(), np.int32), tile)
+                held[lang] = _added([held[lang], found]) if lang in held else found
+                while sum(len(keys) for keys, _ in held.values()) > HELD_PAIRS:
+                    yield from out(max(held, key=lambda at: len(held[at][0])))
+        for lang in list(held):
+            yield from out(lang)
 
     return run
 
 
-_RECODED = pa.schema([("block", pa.string()), ("lang", pa.string()), ("codes", pa.binary())])
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct pairs of each block."""
+    for batch in batches:
+        for block, lang, codes in zip(*(batch.column(i) for i in range(3))):
+            numbers = np.frombuffer(codes.as_buffer(), np.int32).astype(np.int64)
+            real = (numbers[:-1] > 0) & (numbers[1:] > 0)
+            keys = np.unique((numbers[:-1] << 32 | numbers[1:])[real])
+            for at in range(0, len(keys), 100_000):
+                some = keys[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(some), block.as_py())),
+                     pa.array([lang.as_py()] * len(some), pa.string()), pa.array(some)],
+                    names=["block", "lang", "key"])
+
+
+_RECODED = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("codes", pa.binary())])
 
 
 def _recoded(by_pairs: bool):
@@ -200,7 +235,7 @@ def _recode(blocks: DataFrame, asked: DataFrame, known: DataFrame, on: list[str]
         F.col("block").alias("asker"), "key", "rank")
     both = blocks.select("block", "lang", "codes").groupBy("block").cogroup(
         answers.groupBy("asker"))
-    return both.applyInArrow(_recoded(by_pairs), "block string, lang string, codes binary")
+    return both.applyInArrow(_recoded(by_pairs), "block long, lang string, codes binary")
 
 
 def mine_phrases(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
@@ -234,20 +269,25 @@ def mine_phrases(docs: DataFrame, text_column: str = "text", lang_column: str =
         .alias("heads"), F.array().cast("array<long>").alias("tails"), F.col("word")), "words")
     totals = blocks.select("lang", F.aggregate("counts", F.lit(0).cast("long"),
                                                lambda x, y: x + y).alias("n"))
-    totals = totals.groupBy("lang").agg(F.sum("n").alias("n"))
-
+    totals = stored(totals.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     codes = stored(_recode(blocks, listed, words, ["word"], by_pairs=False), "codes")
+    forget(blocks)
     level = words.drop("word")
     found = []
     for length in range(2, longest + 1):
-        asked = codes.mapInArrow(_pairs_of(tile), "block string, lang string, key long, n long")
-        pairs = stored(_ranked(asked.groupBy("lang", "key").agg(F.sum("n").alias("a")),
+        counted = codes.mapInArrow(_pair_totals(tile), "lang string, key long, n long")
+        pairs = stored(_ranked(counted.groupBy("lang", "key").agg(F.sum("n").alias("a")),
                                ["key"], least), "pairs")
         grown = stored(_grown(pairs, level), "phrases")
         found.append(grown)
         if length < longest:
-            codes = stored(_recode(codes, asked, pairs, ["key"], by_pairs=True), "codes")
+            asked = codes.mapInArrow(_asked, "block long, lang string, key long")
+            later = stored(_recode(codes, asked, pairs, ["key"], by_pairs=True), "codes")
+            forget(codes)
+            codes = later
+        forget(pairs)
         level = grown
+    forget(codes)
     return _scored(found, totals)
 
 

@@ -37,6 +37,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete ``stored`` tables whose last reader has been written."""
+    for table in tables:
+        for path in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            _remove(table.sparkSession, path)
+
+
 def text_of(column: str = "text") -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))
