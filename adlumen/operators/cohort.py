@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adlumen.functions.measures import percent, ratio, whole
-from adlumen.functions.scope import Moment, moment, scope, span, tenant_keys
+from adlumen.functions.scope import Moment, by_date, moment, scope, span, tenant_keys
+from adlumen.functions.sizing import lookup_side
+from adlumen.session import settle
 
 
 def _cohort_periods(rows: DataFrame, tenant_id: int | None, horizon_days: int,
@@ -20,15 +22,19 @@ def _cohort_periods(rows: DataFrame, tenant_id: int | None, horizon_days: int,
     users needs no DISTINCT, and the cohort day is a window over those few
     rows instead of a second scan of the facts.
     """
-    by = tenant_keys(tenant_id)
     measures = [F.count("*").alias("impressions"), F.sum("cost").alias("spend")]
-    opening_day = F.col("day")
     if opens is not None:
         measures.append(F.max(opens).alias("opens"))
-        opening_day = F.when(F.col("opens"), F.col("day"))
     user_days = rows.filter(F.col("user_id").isNotNull()).groupBy(
-        *by, "user_id", F.to_date("timestamp").alias("day")
+        *tenant_keys(tenant_id), "user_id", F.to_date("timestamp").alias("day")
     ).agg(*measures)
+    return _periods_of_days(user_days, tenant_keys(tenant_id), horizon_days, opens is not None)
+
+
+def _periods_of_days(user_days: DataFrame, by: list[str], horizon_days: int,
+                     marked: bool = False) -> DataFrame:
+    """The same from user days (user_id, day, impressions, spend and, if ``marked``, opens)."""
+    opening_day = F.when(F.col("opens"), F.col("day")) if marked else F.col("day")
     first_day = F.min(opening_day).over(Window.partitionBy(*by, "user_id"))
     placed = user_days.withColumn("cohort_month", first_day).withColumn(
         "period_days", F.datediff("day", "cohort_month")
@@ -57,9 +63,17 @@ def cohort_retention(impressions: DataFrame, tenant_id: int | None = None,
 
     ``cohort_month`` is a day; the name is the established one.
     """
+    periods = _cohort_periods(scope(impressions, tenant_id), tenant_id, horizon_days)
+    return _retention(periods, tenant_id)
+
+
+def retention_of_days(user_days: DataFrame, horizon_days: int = 30) -> DataFrame:
+    """``cohort_retention`` of one tenant from its user days (user_id, day, impressions, spend)."""
+    return _retention(_periods_of_days(user_days, [], horizon_days), tenant_id=0)
+
+
+def _retention(periods: DataFrame, tenant_id: int | None) -> DataFrame:
     by = tenant_keys(tenant_id)
-    rows = scope(impressions, tenant_id)
-    periods = _cohort_periods(rows, tenant_id, horizon_days)
     rate = percent(F.col("users"), _cohort_size(tenant_id))
     return periods.select(
         *by, "cohort_month", "period_days", "users", "total_impressions",
@@ -67,6 +81,13 @@ def cohort_retention(impressions: DataFrame, tenant_id: int | None = None,
     ).orderBy(*by, "cohort_month", "period_days")
 
 
+def _openers(rows: DataFrame, by: list[str], cutoff: Column) -> DataFrame:
+    """Users with a row since the cutoff, written once: they are counted, then sent or joined."""
+    recent = by_date(rows.filter(F.col("timestamp") >= cutoff), cutoff)
+    return lookup_side(settle(recent.filter(F.col("user_id").isNotNull()).select(
+        *by, "user_id").distinct()))
+
+
 def advanced_cohort(impressions: DataFrame, tenant_id: int | None = None, days_back: int = 30,
                     as_of: Moment = None, horizon_days: int = 30,
                     non_negative: bool = False) -> DataFrame:
@@ -75,6 +96,11 @@ def advanced_cohort(impressions: DataFrame, tenant_id: int | None = None, days_b
     Earlier activity of the same users is kept and shows as negative periods;
     ``non_negative`` leaves it out and then also skips reading it.
     Works on the impression table and on its warehouse copy alike.
+
+    Who opens a cohort is found first, from the recent days alone; of the
+    history only those users' rows are kept, before anything is shuffled while
+    the openers are few enough to be sent along, and by Spark's runtime filter
+    on the scan beyond that.
     """
     by = tenant_keys(tenant_id)
     until = moment(impressions, as_of)
@@ -85,6 +111,8 @@ def advanced_cohort(impressions: DataFrame, tenant_id: int | None = None, days_b
         rows = rows.filter(F.col("timestamp") >= F.date_trunc("day", cutoff).cast(kind))
         if "date" in rows.columns:
             rows = rows.filter(F.col("date") >= F.to_date(cutoff))
+    else:
+        rows = rows.join(_openers(rows, by, cutoff), [*by, "user_id"], "left_semi")
     periods = _cohort_periods(rows, tenant_id, horizon_days, F.col("timestamp") >= cutoff)
     if non_negative:
         periods = periods.filter(F.col("period_days") >= 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +11,9 @@ from adlumen.functions.payload import encoded, iso, known_user, money, parsed
 from adlumen.functions.scope import Moment, by_date, moment, scope, span, tenant_keys
 from adlumen.functions.sizing import lookup_side
 from adlumen.schemas import CLICK, CONVERSION, EVENT_TYPES, IMPRESSION
+from adlumen.session import settle
+from adlumen.sources import versions
+from adlumen.sources.versions import VersionConflict
 
 AGGREGATE = ["tenant_id", "aggregate_id"]
 
@@ -91,13 +94,60 @@ def append_events(new_events: DataFrame, log: DataFrame | None = None,
     use come from ``log``; where that is long, keep the small table of
     ``last_sequences`` beside it, bring it forward with ``advanced_sequences``
     and pass it as ``last``, and the log need not be read. One writer per log
-    at a time: two that read the same maximum would give a number twice.
+    at a time: two that read the same maximum would give a number twice. Several
+    writers take ``append_reserved``.
     """
     if last is None and log is not None:
         last = last_sequences(log)
     return number_rows(new_events, AGGREGATE, ["timestamp", "id"], "sequence_number", last)
 
 
+LAST = T.StructType([
+    T.StructField("tenant_id", T.IntegerType()),
+    T.StructField("aggregate_id", T.StringType()),
+    T.StructField("last", T.LongType()),
+])
+
+
+def reserve_numbers(spark: SparkSession, table: str, new_events: DataFrame, batch: str,
+                    tries: int = 20) -> DataFrame:
+    """The numbers each aggregate had reached before this batch's own range.
+
+    ``table`` is a published table (``sources.versions``) of last numbers. The
+    batch's counts are added to it by compare-and-set: the next version must be
+    free, else the newer one is read and the range begins after it. So ranges
+    of writers that run at once never overlap and leave no hole between them.
+    ``batch`` names the range: a writer that failed after reserving and runs
+    again with the same rows gets its range back.
+    """
+    counts = settle(new_events.groupBy(*AGGREGATE).agg(F.count("*").alias("last")))
+    for _ in range(tries):
+        mine = versions.noted(spark, table, batch)
+        if mine is not None:
+            base = mine.number - 1
+            before = versions.version(spark, table, base) if base else versions.NONE
+            return versions.read_version(spark, table, LAST, before)
+        base = versions.current(spark, table)
+        reached = versions.read_version(spark, table, LAST, base)
+        forward = reached.unionByName(counts).groupBy(*AGGREGATE).agg(F.sum("last").alias("last"))
+        rows = forward.select(*[F.col(f.name).cast(f.dataType) for f in LAST.fields])
+        try:
+            versions.publish(spark, table, rows, base, note=batch)
+        except VersionConflict:
+            continue
+        return reached
+    raise VersionConflict(f"{table}: no range for {batch} after {tries} tries")
+
+
+def append_reserved(spark: SparkSession, new_events: DataFrame, table: str, batch: str) -> DataFrame:
+    """``append_events`` for any number of writers, each with a ``batch`` name of its own.
+
+    Within a batch events are numbered by time, then id; batches follow each
+    other in the order in which they reserved their ranges.
+    """
+    return append_events(new_events, last=reserve_numbers(spark, table, new_events, batch))
+
+
 def facts_as_events(impressions: DataFrame, clicks: DataFrame,
                     conversions: DataFrame) -> DataFrame:
     """Log rows, not yet numbered, for stored facts.
@@ -138,13 +188,22 @@ def log_from_facts(impressions: DataFrame, clicks: DataFrame, conversions: DataF
 
 # -- reading ---------------------------------------------------------------
 
+# Spark's own top-n per key holds this many rows of a key in a task.
+FEW = 1000
+
+
 def event_stream(log: DataFrame, tenant_id: int | None = None, campaign_id: int | None = None,
-                 limit: int = 100) -> DataFrame:
+                 limit: int = 100, few: int = FEW) -> DataFrame:
     """Newest events of a campaign, payload included; of each when none is named.
 
-    Spark keeps only ``limit`` rows per campaign and task before shuffling.
+    Up to ``few`` Spark keeps only ``limit`` rows per campaign and task before
+    shuffling. Beyond that events are counted by hour, hours older than the
+    limit are not read again, and the rest is numbered in even pieces: no task
+    holds a campaign's log, however large it and the limit are.
     """
     rows = _of_campaign(log, tenant_id, campaign_id)
+    if limit > few:
+        return _newest_many(rows, limit, tenant_id is not None and campaign_id is not None)
     columns = [F.col("id").alias("event_id"), "event_type", "timestamp", "payload",
                "sequence_number"]
     newest = [F.desc("timestamp"), F.desc("id")]
@@ -155,6 +214,29 @@ def event_stream(log: DataFrame, tenant_id: int | None = None, campaign_id: int
     return listed.select(*AGGREGATE, *columns)
 
 
+def _newest_many(rows: DataFrame, limit: int, alone: bool) -> DataFrame:
+    hours = rows.groupBy(*AGGREGATE, F.date_trunc("hour", "timestamp").alias("_hour")).agg(
+        F.count("*").alias("_rows"))
+    newer = Window.partitionBy(*AGGREGATE).orderBy(F.desc("_hour")).rowsBetween(
+        Window.unboundedPreceding, -1)
+    # Hours of a campaign that still count: those with fewer than limit events after them.
+    needed = hours.withColumn("_newer", F.coalesce(F.sum("_rows").over(newer), F.lit(0))).filter(
+        F.col("_newer") < limit)
+    since = settle(needed.groupBy(*AGGREGATE).agg(F.min("_hour").alias("_since")))
+    oldest = since.agg(F.min("_since")).first()[0]
+    if oldest is not None:
+        rows = by_date(rows.filter(F.col("timestamp") >= F.lit(oldest)), F.lit(oldest))
+    recent = rows.join(lookup_side(since), AGGREGATE).filter(F.col("timestamp") >= F.col("_since"))
+    back = recent.drop("_since").withColumn(
+        "_age", -F.unix_micros(F.col("timestamp").cast("timestamp"))).withColumn("_back", -F.col("id"))
+    placed = number_rows(back, AGGREGATE, ["_age", "_back"], "_place").filter(F.col("_place") <= limit)
+    columns = [F.col("id").alias("event_id"), "event_type", "timestamp", "payload",
+               "sequence_number"]
+    if alone:
+        return placed.orderBy("_place").select(*columns)
+    return placed.select(*AGGREGATE, *columns)
+
+
 def audit_trail(log: DataFrame, tenant_id: int | None = None,
                 campaign_id: int | None = None) -> DataFrame:
     """The newest hundred events."""
@@ -180,9 +262,7 @@ def event_batch_counts(log: DataFrame, event_ids: DataFrame,
     events exist in the tenant.
     """
     listed = event_ids.select(F.col("event_id").alias("id"))
-    found = scope(log, tenant_id).select("id", "event_type").join(
-        listed.distinct(), "id", "left_semi"
-    )
+    found = scope(log, tenant_id).select("id", "event_type").join(listed, "id", "left_semi")
     parts = listed.select(F.lit(1).alias("listed")).unionByName(
         found.select("event_type", F.lit(1).alias("found")), allowMissingColumns=True
     )

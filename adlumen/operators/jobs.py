@@ -14,7 +14,9 @@ from adlumen.operators.eventlog import listed_days, replay_days
 from adlumen.operators.live import campaign_day_totals
 from adlumen.schemas import TABLES
 from adlumen.session import settle
+from adlumen.sources import versions
 from adlumen.sources.tables import overwrite_days, read_if_any
+from adlumen.sources.versions import Version
 
 KEY = ["tenant_id", "campaign_id", "date"]
 METRICS = T.StructType([f for f in TABLES["campaign_metrics"].fields if f.name != "id"])
@@ -73,6 +75,34 @@ def rebuild_metrics(stored: DataFrame, log: DataFrame, tenant_id: int | None = N
     return replace_replayed(stored, replayed, days.select("tenant_id", "campaign_id").distinct())
 
 
+def replay_into(spark: SparkSession, table: str, log: DataFrame, tenant_id: int | None = None,
+                campaign_id: int | None = None, with_conversions: bool = False) -> Version:
+    """Delete and re-create the metrics of what is replayed, in one step.
+
+    ``table`` is a published table (``sources.versions``) of daily metrics.
+    Readers see the old rows until the new version stands, never a part of
+    both; if another writer published in between, nothing changes and
+    ``VersionConflict`` is raised. Only days that lose or get a row are written.
+    """
+    base = versions.current(spark, table)
+    stored = versions.read_version(spark, table, METRICS, base)
+    days = settle(replay_days(log, tenant_id, campaign_id))
+    replayed = listed_days(days, with_conversions)
+    campaigns = settle(days.select("tenant_id", "campaign_id").distinct())
+    old = stored.join(campaigns, ["tenant_id", "campaign_id"], "left_semi")
+    # One line per calendar day.
+    touched = [row[0] for row in old.select("date").union(replayed.select("date")).distinct()
+               .collect()]
+    if not touched:
+        return base
+    there = stored.filter(F.col("date").isin([day for day in touched if day]))
+    if None in touched:
+        there = there.union(stored.filter(F.col("date").isNull()))
+    fresh = replace_replayed(there, replayed, campaigns).select(
+        *[F.col(f.name).cast(f.dataType) for f in METRICS.fields])
+    return versions.publish(spark, table, fresh, base, touched, note="replayed")
+
+
 def upsert_day(spark: SparkSession, path: str, fresh: DataFrame, day: date) -> None:
     """Merge one day's fresh metrics into the stored table at ``path``.
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime, time, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adlumen.functions.measures import frequency, growth, mean_cost, ratio, whole
 from adlumen.functions.scope import Moment, moment, scope, tenant_keys, trailing
+from adlumen.functions.sizing import lookup_side
 from adlumen.operators.placement import under_campaigns, with_campaign
+from adlumen.session import settle
 
 
 def _names(campaigns: DataFrame, *more: str) -> DataFrame:
@@ -58,8 +62,17 @@ def campaign_daily_performance(campaigns: DataFrame, ads: DataFrame, impressions
     days = facts.groupBy("tenant_id", "campaign_id", F.to_date("timestamp").alias("date")).agg(
         *_volume()
     )
+    return _with_growth(days, owned, ["tenant_id"], by)
+
+
+def daily_of_campaigns(days: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """``campaign_daily_performance`` of one tenant from its campaign days and campaigns."""
+    return _with_growth(days, campaigns, [], [])
+
+
+def _with_growth(days: DataFrame, owned: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     # Windows over campaign days: at most one row per day and campaign.
-    campaign = Window.partitionBy("tenant_id", "campaign_id")
+    campaign = Window.partitionBy(*keys, "campaign_id")
     busiest = campaign.orderBy(F.desc("impressions"), "date")
     days = days.withColumn("daily_rank", F.row_number().over(busiest)).withColumn(
         "prev_day_impressions", F.lag("impressions").over(campaign.orderBy("date"))
@@ -89,11 +102,23 @@ def top_campaigns(campaigns: DataFrame, ads: DataFrame, impressions: DataFrame,
         F.sum("cost").alias("total_spend"),
         F.countDistinct("user_id").alias("unique_users"),
     )
+    return _ranked(totals, owned, ["tenant_id"], by, limit)
+
+
+def ranked_campaigns(totals: DataFrame, campaigns: DataFrame, limit: int) -> DataFrame:
+    """``top_campaigns`` of one tenant from totals per campaign and the tenant's campaigns."""
+    owned = totals.join(lookup_side(campaigns.select(F.col("id").alias("campaign_id"))),
+                        "campaign_id", "left_semi")
+    return _ranked(owned, campaigns, [], [], limit)
+
+
+def _ranked(totals: DataFrame, owned: DataFrame, keys: list[str], by: list[str],
+            limit: int) -> DataFrame:
     totals = totals.withColumn(
         "avg_cpm", ratio(F.col("total_spend"), whole(F.col("total_impressions")), 4)
     )
     # Ranked rows are campaigns, not facts.
-    tenant = Window.partitionBy("tenant_id")
+    tenant = Window.partitionBy(*keys)
     ranked = totals.withColumn(
         "impression_rank", F.rank().over(tenant.orderBy(F.desc("total_impressions")))
     ).withColumn("efficiency_rank", F.rank().over(tenant.orderBy("avg_cpm")))
@@ -199,22 +224,44 @@ def warehouse_daily_performance(facts: DataFrame, tenant_id: int | None = None,
 
 def campaign_report(ads: DataFrame, impressions: DataFrame, tenant_id: int | None = None,
                     campaign_id: int | None = None, days: int = 30) -> DataFrame:
-    """The latest active days of a campaign, newest first; of each when none is named."""
+    """The latest active days of a campaign, newest first; of each when none is named.
+
+    The days are found first, from the times alone; only the facts of those
+    days are then read in full, and users counted.
+    """
     by = tenant_keys(tenant_id)
     of_campaign = ads
     if campaign_id is not None:
         of_campaign = ads.filter(F.col("campaign_id") == campaign_id)
     else:
         by = [*by, "campaign_id"]
-    facts = with_campaign(scope(impressions, tenant_id), of_campaign, "user_id", "timestamp",
-                          "cost")
-    listed = facts.groupBy(*by, F.to_date("timestamp").alias("date")).agg(
+    rows = scope(impressions, tenant_id)
+    seen = with_campaign(rows, of_campaign, "timestamp").select(
+        *by, F.to_date("timestamp").alias("date")).distinct()
+    latest = settle(_top(seen, by, days, F.desc("date")))
+    # Calendar days: some hundreds, however many campaigns there are.
+    dates = sorted(row[0] for row in latest.select("date").distinct().collect() if row[0])
+    facts = with_campaign(_on_days(rows, dates), of_campaign, "user_id", "timestamp", "cost")
+    facts = facts.withColumn("date", F.to_date("timestamp"))
+    keys = [*by, "date"]
+    listed = facts.join(lookup_side(latest.select(keys)), keys, "left_semi").groupBy(*keys).agg(
         F.count("*").alias("impressions"),
         F.sum("cost").alias("spend"),
         F.countDistinct("user_id").alias("unique_users"),
         mean_cost(F.sum("cost"), F.count("cost")).alias("avg_cpm"),
     )
-    return _top(listed, by, days, F.desc("date"))
+    return listed.orderBy(*by, F.desc("date"))
+
+
+def _on_days(rows: DataFrame, dates: list[date]) -> DataFrame:
+    """Rows of some days; folders where the table has them by day, else a range of times."""
+    if not dates:
+        return rows.limit(0)
+    if "date" in rows.columns:
+        return rows.filter(F.col("date").isin(dates))
+    first = moment(rows, datetime.combine(dates[0], time()))
+    after = moment(rows, datetime.combine(dates[-1], time()) + timedelta(days=1))
+    return rows.filter((F.col("timestamp") >= first) & (F.col("timestamp") < after))
 
 
 def daily_aggregate(ads: DataFrame, impressions: DataFrame,

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from adlumen.functions.scope import Moment, by_date, listed, moment, scope, span, tenant_keys
 from adlumen.operators.placement import with_campaign
+from adlumen.sources import versions
 from adlumen.sources.tables import read_mark, write_mark
 
 # What the copy states where the source has no such column.
@@ -102,6 +104,58 @@ def sync_to_warehouse(spark: SparkSession, impressions: DataFrame, ads: DataFram
     return {"synced_rows": end_row["rows"], "status": "success", "last_timestamp": end.timestamp}
 
 
+COPY = T.StructType([
+    T.StructField("tenant_id", T.IntegerType()),
+    T.StructField("campaign_id", T.LongType()),
+    T.StructField("ad_id", T.LongType()),
+    T.StructField("user_id", T.LongType()),
+    T.StructField("cost", T.DecimalType(10, 4)),
+    T.StructField("timestamp", T.TimestampType()),
+    T.StructField("country", T.StringType()),
+    T.StructField("device_type", T.StringType()),
+    T.StructField("date", T.DateType()),
+])
+COPY_ORDER = ("tenant_id", "timestamp")
+
+
+def sync_published(spark: SparkSession, impressions: DataFrame, ads: DataFrame, table: str,
+                   as_of: Moment = None, days_back: int = 30) -> dict:
+    """Copy what is new of all tenants into a published table (``sources.versions``).
+
+    One layout for all tenants, by day, each day's files sorted by tenant and
+    time. Rows and mark are published in the same step: a run that fails leaves
+    neither, and of two runs at once one fails with ``VersionConflict``. Every
+    run adds a folder to each day it has rows of; ``compact_copy`` joins them.
+    """
+    base = versions.current(spark, table)
+    start = None
+    if base.note:
+        at, row_id = base.note.split("|")
+        start = Mark(datetime.fromisoformat(at), int(row_id))
+    known = ads.select(F.col("id").alias("ad_id"))
+    fresh = _after(impressions, start, as_of, days_back)
+    end_row = fresh.join(known, "ad_id", "left_semi").agg(
+        F.max(F.struct("timestamp", "id")).alias("top"), F.count("*").alias("rows")
+    ).select("rows", F.date_format("top.timestamp", MARK_TIME).alias("at"), "top.id").first()
+    if not end_row["rows"]:
+        return {"synced_rows": 0, "status": "no_new_data"}
+    end = Mark(datetime.fromisoformat(end_row["at"]), end_row["id"])
+    batch = as_warehouse_rows(_until(fresh, end), ads).withColumn("date", F.to_date("timestamp"))
+    rows = batch.select(*[F.col(f.name).cast(f.dataType) for f in COPY.fields])
+    versions.publish(spark, table, rows, base, (), f"{end_row['at']}|{end.id}", COPY_ORDER)
+    return {"synced_rows": end_row["rows"], "status": "success", "last_timestamp": end.timestamp}
+
+
+def compact_copy(spark: SparkSession, table: str, before: date) -> versions.Version:
+    """One folder for each closed day of the copy; readers at work are not disturbed."""
+    return versions.compact(spark, table, COPY, before, order=COPY_ORDER)
+
+
+def read_copy(spark: SparkSession, table: str) -> DataFrame:
+    """The copy as of its newest version."""
+    return versions.read_version(spark, table, COPY)
+
+
 def sync_status(facts: DataFrame, tenant_id: int | None = None,
                 tenants: DataFrame | None = None) -> DataFrame:
     """Rows, campaigns and time range of the copy; status no_data while it is empty.

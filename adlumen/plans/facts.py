@@ -140,6 +140,15 @@ def impression_facts(spark: SparkSession, folder: str) -> DataFrame:
                         F.col("value").cast("decimal(10,4)").alias("cost"))
 
 
+def reported(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """Views, clicks or purchases (kind impression, click, conversion) as they were reported."""
+    name = {"impression": "view", "click": "click", "conversion": "purchase"}[kind]
+    value = "conversion_value" if kind == "conversion" else "cost"
+    rows = _events(spark, folder).filter(F.col("event_type") == name)
+    return rows.select("id", "tenant_id", "campaign_id", "ad_id", "user_id", "timestamp",
+                       F.col("value").cast("decimal(10,4)").alias(value))
+
+
 def _following(spark: SparkSession, folder: str, kind: str, origin: str, name: str) -> DataFrame:
     """Events of one kind with the last earlier ``origin`` event of their user and tenant."""
     earlier = Window.partitionBy("tenant_id", "user_id").orderBy("timestamp", "id").rowsBetween(
@@ -206,6 +215,20 @@ def stored_metrics(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def kept_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Metrics already stored for event days: errors as clicks, also of campaigns the log lacks."""
+    rows = _events(spark, folder).select(
+        "tenant_id", F.explode(F.array("campaign_id", F.col("campaign_id") + CAMPAIGNS))
+        .alias("campaign_id"), F.to_date("timestamp").alias("date"), "event_type")
+    return rows.groupBy("tenant_id", "campaign_id", "date").agg(
+        F.count("*").alias("impressions"),
+        F.count_if(F.col("event_type") == "error").alias("clicks"),
+        F.lit(0).cast("bigint").alias("conversions"),
+        F.lit("1.00").cast("decimal(12,2)").alias("spend"),
+        F.lit(None).cast("bigint").alias("unique_users"),
+    )
+
+
 def grants(spark: SparkSession, folder: str) -> DataFrame:
     """Permissions: what suppliers delivered, as resource and action."""
     return table(spark, folder, "lineitem").select(

@@ -12,10 +12,13 @@ from pyspark.sql import types as T
 
 from adlumen.functions.scope import date_range_filter
 from adlumen.operators import attribution as attr
-from adlumen.operators import catalog, cohort, eventlog, jobs, live, performance, validate, warehouse
+from adlumen.operators import (
+    catalog, cohort, eventlog, jobs, live, page, performance, validate, warehouse,
+)
 from adlumen.plans import facts, streams
 from adlumen.plans.facts import EVENT_DAY, EVENT_NOON, VOLUME_DAY, VOLUME_NOW
 from adlumen.session import shared_folder
+from adlumen.sources import versions
 from adlumen.sources.tables import overwrite_days
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +60,11 @@ def _attribution(mode: str) -> Query:
     )
 
 
+def _kept_log(spark: SparkSession, sf: str) -> DataFrame:
+    """A log that was cleaned up: impressions are there whose events are gone."""
+    return eventlog.retained_events(facts.log(spark, sf), days=10, as_of=EVENT_NOON)
+
+
 def _page(kind: str) -> Query:
     """All parts of tenant 1's page as labelled rows with an item and three figures."""
     figures = {
@@ -71,11 +79,11 @@ def _page(kind: str) -> Query:
             "performance_metrics": "date"}
 
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        page = live.dashboard_bundle(
+        parts = page.dashboard_bundle(
             facts.campaigns(spark, sf), facts.ads(spark, sf), facts.impressions(spark, sf),
-            facts.log(spark, sf), 1, EVENT_NOON, kind)
+            _kept_log(spark, sf), 1, EVENT_NOON, kind)
         rows = []
-        for part, frame in page.items():
+        for part, frame in parts.items():
             item, *values = figures[part]
             day = F.col(days[part]) if part in days else F.lit(None).cast("date")
             rows.append(frame.select(
@@ -87,6 +95,17 @@ def _page(kind: str) -> Query:
     return query
 
 
+def _sketched(spark: SparkSession, sf: str) -> DataFrame:
+    """Users of each tenant over all days from daily sketches, against the exact number."""
+    shown = facts.impressions(spark, sf)
+    merged = live.merged_users(live.user_sketches(shown), ["tenant_id"])
+    exact = shown.groupBy("tenant_id").agg(F.countDistinct("user_id").alias("exact_users"))
+    error = F.abs(F.col("unique_users") - F.col("exact_users"))
+    return merged.join(exact, "tenant_id").select(
+        "tenant_id", "impressions", "exact_users",
+        (error <= F.col("exact_users") * 0.03).alias("within_bound"))
+
+
 def _query_log(spark: SparkSession, sf: str) -> DataFrame:
     return facts.table(spark, sf, "events").select(
         F.col("value").cast("decimal(12,2)").alias("seconds")
@@ -140,6 +159,35 @@ def _stored_sync(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{base}/copy").drop("batch", "date")
 
 
+def _published_sync(spark: SparkSession, sf: str) -> DataFrame:
+    """The copy of all tenants made in two batches, closed days compacted, read by version."""
+    table = f"{shared_folder(spark)}/copy-{uuid.uuid4().hex}"
+    every = facts.impressions(spark, sf)
+    early = every.filter(F.to_date("timestamp") <= F.lit(EVENT_DAY.isoformat()).cast("date"))
+    for rows in (early, every):
+        warehouse.sync_published(spark, rows, facts.ads(spark, sf), table, EVENT_NOON, 3650)
+    warehouse.compact_copy(spark, table, EVENT_NOON.date())
+    return warehouse.read_copy(spark, table).drop("date")
+
+
+def _published_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored metrics published once, rebuilt from the log, read through the newest version."""
+    table = f"{shared_folder(spark)}/metrics-{uuid.uuid4().hex}"
+    versions.publish(spark, table, facts.kept_metrics(spark, sf).select(
+        *[F.col(f.name).cast(f.dataType) for f in jobs.METRICS.fields]), versions.NONE)
+    jobs.replay_into(spark, table, facts.log(spark, sf))
+    return versions.read_version(spark, table, jobs.METRICS)
+
+
+def _reserved(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole log by two writers, events with odd and with even ids, one table of numbers."""
+    table = f"{shared_folder(spark)}/numbers-{uuid.uuid4().hex}"
+    every = facts.log(spark, sf)
+    halves = [eventlog.append_reserved(spark, every.filter(F.col("id") % 2 == rest), table, name)
+              for name, rest in (("odd", 1), ("even", 0))]
+    return halves[0].unionByName(halves[1]).drop("payload")
+
+
 def _rebuilt(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.rebuild_metrics(facts.stored_metrics(spark, sf), facts.log(spark, sf))
 
@@ -207,11 +255,9 @@ def _date_order(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _required(kind: str) -> Query:
-    """Events with user 0 or ad 0 count as lacking it."""
+    """Views, clicks or purchases as reported; those with user 0 or ad 0 count as lacking it."""
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        rows = facts.impression_facts(spark, sf)
-        if kind == "conversion":
-            rows = rows.withColumn("conversion_value", F.col("cost"))
+        rows = facts.reported(spark, sf, kind)
         checked = validate.v_required_fields(rows, kind)
         return checked.select("id", F.array_join("errors", "; ").alias("errors"))
 
@@ -273,6 +319,7 @@ QUERIES: dict[str, Query] = {
         facts.volume_impressions(s, sf), day=VOLUME_DAY, tenants=facts.tenants(s, sf)),
     "unique_users_on_day": lambda s, sf: live.unique_users_on_day(
         facts.impressions(s, sf), day=EVENT_DAY, tenants=facts.tenants(s, sf)),
+    "unique_users_sketched": _sketched,
     "spend_last_hour": lambda s, sf: live.spend_last_hour(
         facts.impressions(s, sf), as_of=EVENT_NOON, hours=24, tenants=facts.tenants(s, sf)),
     "top_campaign_on_day": _on_events(live.top_campaign_on_day, day=EVENT_DAY),
@@ -283,7 +330,7 @@ QUERIES: dict[str, Query] = {
         facts.impressions(s, sf), as_of=EVENT_NOON, minutes=24 * 60,
         tenants=facts.tenants(s, sf)),
     "dashboard_bundle": lambda s, sf: live.tenant_totals(
-        facts.impressions(s, sf), facts.log(s, sf)),
+        facts.impressions(s, sf), _kept_log(s, sf)),
     "dashboard_realtime": _page("realtime"),
     "dashboard_overview": _page("overview"),
     "dashboard_analysis": _page("analysis"),
@@ -309,6 +356,7 @@ QUERIES: dict[str, Query] = {
         facts.impressions(s, sf), facts.ads(s, sf),
         after=warehouse.Mark(EVENT_NOON.replace(day=5), 0)),
     "sync_stored": _stored_sync,
+    "sync_published": _published_sync,
     "daily_metrics_upsert": _daily_upsert,
     "daily_metrics_upsert_stored": _stored_upsert,
     # Event log
@@ -317,10 +365,14 @@ QUERIES: dict[str, Query] = {
         facts.log(s, sf), with_conversions=True),
     "event_totals": lambda s, sf: eventlog.event_totals(facts.log(s, sf)),
     "event_replay_stored": _rebuilt,
+    "event_replay_published": _published_replay,
     "append_events": _appended,
+    "append_events_reserved": _reserved,
     "log_from_facts": lambda s, sf: eventlog.log_from_facts(
         facts.impression_facts(s, sf), facts.clicks(s, sf), facts.conversions(s, sf)),
     "event_stream": lambda s, sf: eventlog.event_stream(facts.numbered_log(s, sf), limit=20),
+    "event_stream_sliced": lambda s, sf: eventlog.event_stream(
+        facts.numbered_log(s, sf), limit=40, few=10),
     "audit_trail": lambda s, sf: eventlog.audit_trail(facts.numbered_log(s, sf)),
     "validate_sequence": lambda s, sf: eventlog.sequence_gaps(facts.numbered_log(s, sf)),
     "validate_sequence_summary": lambda s, sf: eventlog.validate_sequence(
@@ -347,10 +399,15 @@ QUERIES: dict[str, Query] = {
     "stream_ingest_events": streams.ingested,
     "stream_dedup_events": streams.deduplicated,
     "stream_running_counts": streams.running_counts,
+    "stream_running_counts_published": streams.running_counts_published,
     "stream_live_metrics": streams.live_metrics,
+    "stream_live_metrics_chained": streams.live_metrics_chained,
+    "stream_live_metrics_late": streams.live_metrics_late,
     "stream_dashboard": streams.dashboard,
+    "stream_dashboard_late": streams.dashboard_late,
     "stream_metric_snapshot": streams.snapshots,
     "stream_sync": streams.synced,
+    "stream_sync_published": streams.synced_published,
 }
 
 

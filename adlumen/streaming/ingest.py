@@ -10,7 +10,7 @@ from adlumen.functions.scope import scope
 from adlumen.schemas import CLICK, IMPRESSION
 from adlumen.sources.topics import decoded, encoded_messages
 
-# How late an event may be; the batch operators repair what comes later still.
+# How late an event may be; windows of what comes later still are repaired (``streaming.late``).
 LATENESS = "10 minutes"
 
 

@@ -58,6 +58,10 @@ def _windowed(rows: DataFrame, keys: list[str], length: str, step: str | None,
             F.sum("shown").alias("shown"), F.sum("cost").alias("cost"))
     else:
         per_user = panes.withColumnRenamed("pane", "window")
+    return _per_window(per_user, keys)
+
+
+def _per_window(per_user: DataFrame, keys: list[str]) -> DataFrame:
     # Each sum widens its decimal; the mean needs the digits behind the point.
     spend = F.sum("cost").cast("decimal(20,4)")
     return per_user.groupBy("window", *keys).agg(
@@ -70,10 +74,13 @@ def stream_live_metrics(events: DataFrame, length: str = "1 hour", step: str = "
                         lateness: str = LATENESS, exact: bool = False) -> DataFrame:
     """Trailing metrics per campaign, one row per window ``step``.
 
-    Rows later than ``lateness`` are left to the batch operators.
+    Rows later than ``lateness`` are left to ``streaming.late``.
     """
     shown = events.filter(F.col("event_type") == IMPRESSION).withWatermark("timestamp", lateness)
-    totals = _windowed(shown, ["tenant_id", "campaign_id"], length, step, exact)
+    return _metrics(_windowed(shown, ["tenant_id", "campaign_id"], length, step, exact))
+
+
+def _metrics(totals: DataFrame) -> DataFrame:
     mean = (F.col("spend") / F.col("impressions")).cast("decimal(14,8)")
     return totals.select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
@@ -84,6 +91,34 @@ def stream_live_metrics(events: DataFrame, length: str = "1 hour", step: str = "
     )
 
 
+def stream_user_panes(events: DataFrame, step: str = "5 minutes",
+                      lateness: str = LATENESS) -> DataFrame:
+    """What each user was shown per campaign and ``step``, for output mode append.
+
+    One state, and the table it fills answers for every sliding window with
+    exact users: see ``windows_of_panes``. Takes a batch as well.
+    """
+    shown = events.filter(F.col("event_type") == IMPRESSION).withWatermark("timestamp", lateness)
+    panes = shown.groupBy(F.window("timestamp", step).alias("pane"), "tenant_id", "campaign_id",
+                          "user_id").agg(F.count("*").alias("shown"), F.sum("cost").alias("cost"))
+    return panes.select(F.col("pane.start").alias("pane_start"), "tenant_id", "campaign_id",
+                        "user_id", "shown", F.col("cost").cast("decimal(20,4)").alias("cost"))
+
+
+def windows_of_panes(panes: DataFrame, length: str = "1 hour",
+                     step: str = "5 minutes") -> DataFrame:
+    """The rows of ``stream_live_metrics`` from stored panes, users counted exactly.
+
+    Live pages read the panes of the last ``length`` only. Rows are repeated for
+    overlapping windows after they have been added up per user and pane.
+    """
+    keys = ["tenant_id", "campaign_id"]
+    per_user = panes.groupBy(F.window("pane_start", length, step).alias("window"), *keys,
+                             "user_id").agg(F.sum("shown").alias("shown"),
+                                            F.sum("cost").alias("cost"))
+    return _metrics(_per_window(per_user, keys))
+
+
 def stream_dashboard(events: DataFrame, campaigns: DataFrame, lateness: str = LATENESS,
                      exact: bool = False) -> DataFrame:
     """Impressions, spend and users per tenant and day, under active campaigns."""

@@ -16,7 +16,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from adlumen.operators.cohort import cohort_retention  # noqa: E402
-from adlumen.operators.live import dashboard_bundle  # noqa: E402
+from adlumen.operators.page import open_page  # noqa: E402
 from adlumen.operators.performance import campaign_daily_performance  # noqa: E402
 from adlumen.plans import facts  # noqa: E402
 from adlumen.plans.facts import VOLUME_NOW  # noqa: E402
@@ -78,8 +78,8 @@ def one_tenant(spark) -> dict:
     log = facts.log(spark, FOLDER)
 
     def page() -> None:
-        parts = dashboard_bundle(campaigns, ads, shown, log, 1, VOLUME_NOW)
-        together([lambda part=part: part for part in parts.values()])
+        with open_page(campaigns, ads, shown, log, 1, VOLUME_NOW) as parts:
+            together([lambda part=part: part for part in parts.values()])
 
     return {
         "tenant_cohort": lambda: run(cohort_retention(shown, 1)),

@@ -1,4 +1,4 @@
-from adlumen.operators import live
+from adlumen.operators import live, page
 from tests.tables import NOW, ads, campaigns, day, impressions, rows_of
 
 TODAY = day("03-01")
@@ -103,8 +103,8 @@ def test_bundles(spark):
         ("overview", {"cohort_data", "top_campaigns", "totals"}),
         ("analysis", {"cohort_analysis", "performance_metrics", "top_campaigns"}),
     ):
-        page = live.dashboard_bundle(campaign_rows(spark), ad_rows(spark), facts(spark), log, 1,
-                                     NOW, kind)
-        assert set(page) == parts
-        if "totals" in page:
-            assert rows_of(page["totals"]) == [(2, 1, 7)]
+        parts_found = page.dashboard_bundle(
+            campaign_rows(spark), ad_rows(spark), facts(spark), log, 1, NOW, kind)
+        assert set(parts_found) == parts
+        if "totals" in parts_found:
+            assert rows_of(parts_found["totals"]) == [(2, 1, 7)]
