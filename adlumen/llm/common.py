@@ -49,6 +49,18 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def free_names(docs: DataFrame, *wanted: str) -> list[str]:
+    """The names, lengthened where ``docs`` has a column of that name in any case."""
+    taken = {name.lower() for name in docs.columns}
+    found = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -4,14 +4,17 @@ Texts are sets of hashed word shingles. Equal sets become one row. Similar sets
 are partitioned into groups: sets that agree on a min-hash are compared with a
 leader, and those that pass form a group with it. The matrix stores, for each
 token, the groups in whose union it occurs. A set then queries the matrix:
-its shared tokens bound its overlap with a whole group, only qualifying groups
-are opened, and their members are compared exactly.
+the tokens it shares with a group are counted, which bounds its overlap with
+any member; only groups with enough of them are opened, the same count is taken
+for their members, and what is left is compared exactly.
 
 Two sets that reach the limit share a token among the first quarter (for 75 %)
 of each in any one order of tokens, so only these prefixes enter the matrix.
-The order puts frequent tokens last; a passage that many texts share is then
-in no prefix, unless texts consist of little else. Any order gives the same
-links; a poor one only opens more groups.
+Sets of about one size share far more of them, some tenth of the set
+(``_least_hits``), and that many have to be counted. The order puts frequent
+tokens last; a passage that many texts share is then in no prefix, unless texts
+consist of little else. Any order gives the same links; a poor one only opens
+more groups.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adlumen.functions.sizing import lookup_side
-from adlumen.llm.common import partitions, stored, text_of
+from adlumen.llm.common import forget, free_names, partitions, stored, text_of
 from adlumen.llm.components import components
 
 SHINGLE = 5
@@ -35,7 +38,7 @@ PERCENT = 75
 PERMUTATIONS = 10
 ROUNDS = 1  # of meeting leaders
 # One in how many members of a group is asked, turn by turn; the last turn asks all.
-SHARES = (32, 4, 1)
+SHARES = (32, 1)
 # Frequent tokens that are put last in the order; a bound, see _frequent.
 FREQUENT = 400_000
 KEPT_WORDS = 400_000
@@ -143,8 +146,9 @@ def _frequent(sketches: DataFrame) -> np.ndarray:
     return np.sort(found["token"].to_numpy(np.int64).view(np.uint64))
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets link; both are computed anew from the whole texts."""
+def _compared(pairs: DataFrame, texts: DataFrame, size: int,
+              percent: int) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` (a, b) as stored, and those whose sets link, computed anew from the whole texts."""
     pairs = stored(pairs, "pairs")
     ends = pairs.select(F.col("a").alias("r")).unionByName(
         pairs.select(F.col("b").alias("r"))).distinct()
@@ -172,7 +176,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                 [batch.column(0), batch.column(1)], names=["a", "b"]).filter(
                 pa.array(keep, pa.bool_()))
 
-    return with_b.mapInArrow(linked, "a bigint, b bigint")
+    return pairs, with_b.mapInArrow(linked, "a bigint, b bigint")
 
 
 def _near_size(n, m, percent: int):
@@ -208,19 +212,23 @@ def _groups(reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
 
 def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
     """``groups`` after links (a, b) between their members."""
+    pairs, links = links
     links = stored(links, "links")
+    forget(pairs)
     ends = links.join(groups.toDF("a", "ga"), "a").join(groups.toDF("b", "gb"), "b").select(
         F.col("ga").alias("a"), F.col("gb").alias("b"))
-    return stored(groups.join(components(ends).withColumnRenamed("node", "g"), "g", "left").select(
+    later = stored(groups.join(components(ends).withColumnRenamed("node", "g"), "g", "left").select(
         "r", F.coalesce("component", "g").alias("g")), "groups")
+    forget(links)
+    return later
 
 
 def _prefixes(texts: DataFrame, frequent: np.ndarray, size: int, percent: int) -> DataFrame:
     """(token, r, off, place): each set's prefix in the common order.
 
     ``off`` is how far the group's number lies below ``r``, and ``place`` packs
-    the set's size, the token's place and whether it is a frequent one, since
-    these rows are the bulk of what is shuffled.
+    the set's size and whether the token is a frequent one, since these rows are
+    the bulk of what is shuffled.
     """
     sent = texts.sparkSession.sparkContext.broadcast(frequent)
 
@@ -241,7 +249,7 @@ def _prefixes(texts: DataFrame, frequent: np.ndarray, size: int, percent: int) -
                     tokens.append(s[:len(s) - least_overlap(len(s), percent) + 1])
                     counts.append(len(tokens[-1]))
                     p = np.arange(counts[-1])
-                    places.append((len(s) << 32) | (p << 1) | (p >= early))
+                    places.append((len(s) << 1) | (p >= early))
                 row = pa.array(np.repeat(np.arange(len(counts)), counts))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate(tokens).view(np.int64)), some.column(0).take(row),
@@ -253,7 +261,7 @@ def _prefixes(texts: DataFrame, frequent: np.ndarray, size: int, percent: int) -
 
 
 def _in_two_groups(rows: DataFrame) -> DataFrame:
-    """(token, r, g, n, p): rows whose token is in two groups; the rest can link to nothing new.
+    """(token, r, g, n): rows whose token is in two groups; the rest can link to nothing new.
 
     Frequent tokens are spread over all partitions and looked at afterwards, by
     an aggregate; the runs held here are of other tokens, which are few each.
@@ -291,74 +299,94 @@ def _in_two_groups(rows: DataFrame) -> DataFrame:
             yield from shared(pa.concat_tables(held))
 
     late_row = F.col("place").bitwiseAND(1) == 1
-    kept = stored(laid.mapInArrow(runs, rows.schema), "found-tokens").select(
+    found = stored(laid.mapInArrow(runs, rows.schema), "found-tokens")
+    kept = found.select(
         "token", "r", (F.col("r") - F.col("off")).alias("g"), late_row.alias("late"),
-        F.shiftright("place", 32).cast("int").alias("n"),
-        F.shiftright(F.col("place").bitwiseAND(0xFFFFFFFF), 1).cast("int").alias("p"))
+        F.shiftright("place", 1).cast("int").alias("n"))
     # At most FREQUENT rows, so that the bulk is filtered where it lies.
     single = kept.filter("late").groupBy("token").agg(
         (F.min("g") == F.max("g")).alias("single")).filter("single").select("token")
-    return stored(kept.join(F.broadcast(single), "token", "left_anti").drop("late"),
-                  "shared-tokens")
+    shared_tokens = stored(kept.join(F.broadcast(single), "token", "left_anti").drop("late"),
+                           "shared-tokens")
+    forget(found)
+    return shared_tokens
 
 
 def _across(rows: DataFrame, texts: DataFrame, groups: DataFrame, size: int,
             percent: int) -> DataFrame:
     """``groups`` after all links between sets of different groups, by the token-group matrix.
 
-    A set on the edge of a large group links to some of its members, and one link
-    settles them all. So it first meets a few, chosen by hash; with what that
-    joins, there are fewer groups to ask and to be asked. The last turn leaves
-    out nothing.
+    Which groups a set has to look into is found once. A set on the edge of a
+    large group links to some of its members, and one link settles them all, so
+    a few members are asked first, chosen by hash; the last turn asks all members
+    of the groups that are then still apart.
     """
     rows = _in_two_groups(rows)
+    opened = _opened(rows, percent)
     for share in SHARES:
-        pairs = _candidates(rows, share, percent)
-        later = _joined(groups, _compared(pairs, texts, size, percent))
-        # Few sets change their group in a turn.
-        moved = stored(groups.join(later.toDF("r", "to"), "r").filter("g <> to").select(
-            "r", "to"), "moved")
-        rows = rows.join(lookup_side(moved), "r", "left").select(
-            "token", "r", F.coalesce("to", "g").alias("g"), "n", "p")
-        groups = later
+        now = groups.toDF("r", "now")
+        apart = opened.join(now, "r").join(now.toDF("g", "there"), "g").filter(
+            "now <> there").select("r", "g", "n", "hits")
+        links = _compared(_candidates(apart, rows, share, percent), texts, size, percent)
+        groups = _joined(groups, links)
+    forget(opened, rows)
     return groups
 
 
-def _candidates(rows: DataFrame, share: int, percent: int) -> DataFrame:
-    """(a, b): sets of different groups that may link, one in ``share`` of the members asked."""
-    # The matrix: a token's groups, with the room that the roomiest member has behind it.
-    matrix = rows.groupBy("token", "g").agg(
-        F.max(F.col("n") - F.col("p")).alias("room"), F.min("n").alias("low"),
-        F.max("n").alias("high"))
-    query = rows.select("token", "r", "n", "p", F.col("g").alias("own"))
-    other = F.col("g") < F.col("own") if share == 1 else F.col("g") != F.col("own")
-    # A set and a member that link share ``need`` tokens, so the first they share leaves at
-    # least so many in both. Behind the last token shared in front they can share no more than
-    # either has left; which token that is differs by member, so the best case counts.
-    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("low")) / F.lit(100 + percent))
-    bounded = query.join(matrix, "token").filter(
-        other & (100 * F.col("high") >= percent * F.col("n"))
+def _needed(n, m, percent: int):
+    """Tokens that sets of these sizes share if they link."""
+    return F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
+
+
+def _least_hits(n, low, high, percent: int):
+    """Tokens that the prefixes of a set and of one it links to share, whose size is in a range.
+
+    Of two prefixes one ends first in the common order. All of its tokens that
+    both sets have are in the other prefix too, and it has at most as many others
+    as its set has beyond the overlap. The overlap needed grows by less than the
+    size, so the smallest and the largest partner decide.
+    """
+    def beyond(own, partner):
+        prefix = own - F.ceil(F.lit(percent) * own / F.lit(100)) + 1
+        return prefix - own + _needed(own, partner, percent)
+
+    smallest = F.greatest(low, F.ceil(F.lit(percent) * n / F.lit(100)))
+    largest = F.least(high, F.floor(F.lit(100) * n / F.lit(percent)))
+    # In the largest partner rounding can hide a step of one.
+    return F.greatest(F.lit(1), F.least(beyond(n, smallest), beyond(largest, n) - 1))
+
+
+def _opened(rows: DataFrame, percent: int) -> DataFrame:
+    """(r, g, n, hits): groups of which a member may link to the set, with the tokens both hold.
+
+    Each pair of groups is looked at from one side.
+    """
+    # The matrix: the union of a group's prefixes, with the sizes of the sets that hold a token.
+    matrix = rows.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    query = rows.select("token", "r", "n", F.col("g").alias("own"))
+    counted = query.join(matrix, "token").filter(
+        (F.col("g") < F.col("own")) & (100 * F.col("high") >= percent * F.col("n"))
         & (100 * F.col("n") >= percent * F.col("low"))
-        & (F.col("n") - F.col("p") >= need) & (F.col("room") >= need)
     ).groupBy("r", "g").agg(
-        F.array_sort(F.collect_list(F.struct("p", "room"))).alias("hits"),
-        F.min("n").alias("n"), F.min("low").alias("low"))
-    most = F.array_max(F.transform("hits", lambda x, k: k + F.least(
-        F.col("n") - x["p"], x["room"])))
-    opened = bounded.filter(most >= need).select("r", "g")
-    # Members of opened groups, again bounded, now one by one.
-    members = rows.select("token", F.col("r").alias("m"), F.col("n").alias("mn"),
-                          F.col("p").alias("mp"), "g")
+        F.collect_list("token").alias("hits"), F.min("n").alias("n"),
+        F.min("low").alias("low"), F.max("high").alias("high"))
+    least = _least_hits(F.col("n"), F.col("low"), F.col("high"), percent)
+    return stored(counted.filter(F.size("hits") >= least).select("r", "g", "n", "hits"), "opened")
+
+
+def _candidates(opened: DataFrame, rows: DataFrame, share: int, percent: int) -> DataFrame:
+    """(a, b): sets and members of opened groups that may link, one in ``share`` of the members."""
+    members = rows.select("token", F.col("r").alias("m"), F.col("n").alias("mn"), "g")
     if share > 1:
         members = members.filter(F.pmod(F.xxhash64("m"), F.lit(share)) == 0)
-    least = F.ceil(F.lit(percent) * (F.col("n") + F.col("mn")) / F.lit(100 + percent))
-    left = F.least(F.col("n") - F.col("p"), F.col("mn") - F.col("mp"))
-    met = query.join(opened, "r").join(members, ["token", "g"]).filter(
-        _near_size(F.col("n"), F.col("mn"), percent) & (left >= least)
+    asked = opened.select("r", "g", "n", F.explode("hits").alias("token"))
+    met = asked.join(members, ["token", "g"]).filter(
+        _near_size(F.col("n"), F.col("mn"), percent)
     ).groupBy("r", "m").agg(F.count("*").alias("hits"), F.min("n").alias("n"),
-                            F.min("mn").alias("mn"), (F.min(left) - 1).alias("left"))
-    return met.filter(F.col("hits") + F.col("left") >= least).select(
-        F.greatest("r", "m").alias("a"), F.least("r", "m").alias("b")).distinct()
+                            F.min("mn").alias("mn"))
+    least = _least_hits(F.col("n"), F.col("mn"), F.col("mn"), percent)
+    return met.filter(F.col("hits") >= least).select(
+        F.greatest("r", "m").alias("a"), F.least("r", "m").alias("b"))
 
 
 def link_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
@@ -372,13 +400,16 @@ def link_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     A null id is never a component's name unless no other is there. An empty
     table gives an empty result; other columns are ignored.
     """
-    return _linked(docs, size, percent, id_column, text_column).select(
+    return _linked(docs, size, percent, id_column, text_column)[0].select(
         F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "component_id")
 
 
 def _linked(docs: DataFrame, size: int, percent: int, id_column: str,
-            text_column: str) -> DataFrame:
-    """(id, h, n, component_id) of every row, ``h`` being the hash of its text."""
+            text_column: str) -> tuple[DataFrame, list[DataFrame]]:
+    """(id, h, n, component_id) of every row, ``h`` being the hash of its text.
+
+    Comes with the stored tables it is read from.
+    """
     text = text_of(text_column)
     docs = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("h"), text.alias("t"))
     sketches = stored(_sketches(docs, size), "sketches")
@@ -390,38 +421,46 @@ def _linked(docs: DataFrame, size: int, percent: int, id_column: str,
     copies = stored(sets.filter("n > 0").join(reps.select("s", "one"), "s").filter(
         ~F.col("id").eqNullSafe(F.col("one.id")) | (F.col("h") != F.col("one.h"))
     ).select(F.col("id").alias("cid"), F.col("h").alias("ch")).distinct(), "copies")
-    texts = stored(docs.filter(F.col("t").rlike("[^\\x20\\x09-\\x0D]")).join(
+    all_texts = stored(docs.filter(F.col("t").rlike("[^\\x20\\x09-\\x0D]")).join(
         lookup_side(copies), F.col("id").eqNullSafe(F.col("cid")) & (F.col("h") == F.col("ch")),
         "left_anti").withColumn("r", F.monotonically_increasing_id()), "set-texts")
     # Rows repeated in full are still there as often; the first of each stands for the set.
-    keyed = texts.select("r", F.col("id").alias("rid"), F.col("h").alias("rh"))
+    keyed = all_texts.select("r", F.col("id").alias("rid"), F.col("h").alias("rh"))
     first = keyed.groupBy("rid", "rh").agg(F.min("r").alias("r"), F.count("*").alias("rows"))
     reps = stored(reps.join(first, F.col("one.id").eqNullSafe(F.col("rid"))
                             & (F.col("one.h") == F.col("rh"))).drop("rows", "rid", "rh"), "sets")
     again = first.filter("rows > 1").toDF("fid", "fh", "fr", "rows")
     spare = stored(keyed.join(again, F.col("rid").eqNullSafe(F.col("fid")) & (
         F.col("rh") == F.col("fh"))).filter("r <> fr").select("r"), "spare-rows")
-    texts = texts.join(lookup_side(spare), "r", "left_anti").select("r", "t")
+    texts = all_texts.join(lookup_side(spare), "r", "left_anti").select("r", "t")
     groups = _groups(reps, texts, size, percent)
     joined = groups.filter("g <> r").select("r", (F.col("r") - F.col("g")).alias("off"))
     numbered = texts.join(lookup_side(joined), "r", "left").select(
         "r", F.coalesce("off", F.lit(0)).alias("off"), "t")
     rows = _prefixes(numbered, _frequent(sketches), size, percent)
     groups = _across(rows, texts, groups, size, percent)
+    forget(copies, all_texts, spare)
     named = reps.select("s", "r", "least_id").join(groups.withColumnRenamed("g", "c"), "r")
     names = named.groupBy("c").agg(F.min("least_id").alias("component_id"))
     found = named.join(names, "c").select("s", "component_id")
     # A third of the texts may share one set: its rows can be split, the other side has one.
     counted = sets.filter("n > 0").join(found, "s").select("id", "h", "n", "component_id")
     alone = sets.filter("n = 0").select("id", "h", "n", F.col("id").alias("component_id"))
-    return counted.unionByName(alone)
+    return counted.unionByName(alone), [sketches, reps, groups]
 
 
 def keep_one_of_each(docs: DataFrame, id_column: str = "doc_id",
                      text_column: str = "text") -> DataFrame:
-    """The rows whose id names their component: one of each group, all that are alone."""
-    gone = stored(_linked(docs, SHINGLE, PERCENT, id_column, text_column).filter(
+    """The rows whose id names their component: one of each group, all that are alone.
+
+    Null, empty and repeated texts as in ``link_documents``: all texts without
+    words stay, and so do all rows that repeat the id and text that stays.
+    """
+    gone_id, gone_hash = free_names(docs, "_gone", "_hash")
+    linked, tables = _linked(docs, SHINGLE, PERCENT, id_column, text_column)
+    gone = stored(linked.filter(
         ~F.col("id").eqNullSafe(F.col("component_id"))).select(
-        F.col("id").alias("_gone"), F.col("h").alias("_hash")).distinct(), "near-copies")
-    return docs.join(lookup_side(gone), F.col(id_column).eqNullSafe(F.col("_gone")) & (
-        F.xxhash64(text_of(text_column)) == F.col("_hash")), "left_anti")
+        F.col("id").alias(gone_id), F.col("h").alias(gone_hash)).distinct(), "near-copies")
+    forget(*tables)
+    return docs.join(lookup_side(gone), F.col(id_column).eqNullSafe(F.col(gone_id)) & (
+        F.xxhash64(text_of(text_column)) == F.col(gone_hash)), "left_anti")
