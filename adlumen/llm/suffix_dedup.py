@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adlumen.llm.common import partitions, stored, text_of
+from adlumen.llm.common import forget, partitions, stored, text_of
 from adlumen.llm.suffix_runs import LoserTree, common, front_coded
 
 SPAN = 400
@@ -160,8 +160,12 @@ def _compare(one: tuple[bytes, int], other: tuple[bytes, int], known: int, span:
     return [(p, *bound, low, high), (q, *bound, low, high)]
 
 
-def _sorted_neighbours(rows: DataFrame, span: int, gram: int, forward: bool) -> DataFrame:
-    """What each anchor of ``rows`` learns from its neighbours in one of the two orders."""
+def _sorted_neighbours(rows: DataFrame, span: int, gram: int,
+                       forward: bool) -> tuple[DataFrame, DataFrame]:
+    """What each anchor of ``rows`` learns from its neighbours in one of the two orders.
+
+    Comes with the stored table it is read from.
+    """
     spark, back = rows.sparkSession, span - gram
     ranges = partitions(spark)
     keys = rows.select("pid", "ahead", "before")
@@ -205,13 +209,17 @@ def _sorted_neighbours(rows: DataFrame, span: int, gram: int, forward: bool) ->
     across = [found for (t, a, p), (u, b, q) in pairwise(ends) if t != u
               for found in _compare((a, p), (b, q), common(a, b), span, back, forward)]
     return told.filter("key is null").drop("key", "target").unionByName(
-        spark.createDataFrame(across, NEIGHBOURS))
+        spark.createDataFrame(across, NEIGHBOURS)), told
 
 
 def _repeated_windows(rows: DataFrame, span: int, gram: int) -> DataFrame:
-    """(wid, wh, start, stop): bytes around anchors whose windows repeat around another one."""
-    told = _sorted_neighbours(rows, span, gram, True).unionByName(
-        _sorted_neighbours(rows, span, gram, False))
+    """(wid, wh, start, stop): bytes around anchors whose windows repeat around another one.
+
+    ``rows`` is a stored table and deleted once it has been read.
+    """
+    (ahead, forward), (behind, backward) = (
+        _sorted_neighbours(rows, span, gram, way) for way in (True, False))
+    told = ahead.unionByName(behind)
     of = rows.select("pid", "wid", "wh", "at", "gram", "own", "ahead", "before",
                      F.octet_length("ahead").alias("la"), F.octet_length("before").alias("lb"))
     # Offsets d of windows: d bytes before the anchor, the rest from it on.
@@ -222,6 +230,7 @@ def _repeated_windows(rows: DataFrame, span: int, gram: int) -> DataFrame:
     met = stored(of.join(summed, "pid").withColumn(
         "span_low", F.lit(span) - F.least("most_ahead", "la")).withColumn(
         "span_high", F.least("most_behind", "lb")).filter(low <= high), "met-anchors")
+    forget(forward, backward, rows)
     inside = F.transform("shown", lambda s: F.struct(
         F.greatest(s["low"], low).alias("low"), F.least(s["high"], high).alias("high")))
     shown = met.withColumn("part", F.explode(inside)).filter(
@@ -238,9 +247,11 @@ def _repeated_windows(rows: DataFrame, span: int, gram: int) -> DataFrame:
     again = counted.groupBy("d", "w").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     more = counted.join(again, ["d", "w"]).select(
         "pid", "wid", "wh", "at", "own", F.col("d").alias("low"), F.col("d").alias("high"))
-    return shown.unionByName(more).filter("own").select(
+    windows = stored(shown.unionByName(more).filter("own").select(
         "wid", "wh", (F.col("at") - F.col("high")).alias("start"),
-        (F.col("at") - F.col("low") + span).alias("stop"))
+        (F.col("at") - F.col("low") + span).alias("stop")), "windows")
+    forget(met)
+    return windows
 
 
 REMOVED = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
@@ -263,17 +274,21 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int | None = None,
         F.count("*").alias("n"), F.min(F.struct("id", "h", "at", "enough")).alias("one"))
     grams = around.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"))
     kinds = stored(around.join(grams.filter("all > 1"), "gram"), "anchor-kinds")
-    settled = found.filter("enough").join(
+    settled = stored(found.filter("enough").join(
         kinds.filter("n > 1").select("gram", "around"), ["gram", "around"]).select(
         F.col("id").alias("wid"), F.col("h").alias("wh"),
         F.greatest(F.lit(0), F.col("at") - (span - gram)).alias("start"),
-        (F.col("at") + span).alias("stop"))
+        (F.col("at") + span).alias("stop")), "settled")
+    forget(found)
     wanted = kinds.filter("kinds > 1").select(
         F.col("one.id").alias("wid"), F.col("one.h").alias("wh"), F.col("one.at").alias("at"),
         "gram", (F.col("n") == 1).alias("own"))
     rows = stored(_surroundings(docs, wanted, span, gram), "surroundings")
-    spans = settled.unionByName(_repeated_windows(rows, span, gram)).groupBy("wid", "wh").agg(
-        F.collect_set(F.struct("start", "stop")).alias("spans"))
+    forget(kinds)
+    windows = _repeated_windows(rows, span, gram)
+    spans = stored(settled.unionByName(windows).groupBy("wid", "wh").agg(
+        F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
+    forget(settled, windows)
 
     @F.pandas_udf(f"{REMOVED}, spans array<struct<start:int,stop:int>>, kept binary")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
