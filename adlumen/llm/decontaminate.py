@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adlumen.functions.sizing import lookup_side
-from adlumen.llm.common import stored, text_of
+from adlumen.llm.common import free_names, stored, text_of
 
 # Words: digits, letters and everything beyond ASCII.
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -192,9 +192,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN,
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM,
                       id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows in which no window of a benchmark item occurs, with their own columns."""
+    """The rows in which no window of a benchmark item occurs, with their own columns.
+
+    Null, empty and repeated texts and items as in ``find_contamination``; rows
+    that repeat an id with another text are judged each by its own text.
+    """
     hits, _ = _search(_keyed(docs, id_column, text_column), benchmark, span, gram,
                       "item_id", "text")
-    dirty = hits.select(F.col("id").alias("_dirty"), F.col("h").alias("_hash")).distinct()
-    return docs.join(lookup_side(dirty), F.col(id_column).eqNullSafe(F.col("_dirty")) & (
-        F.xxhash64(text_of(text_column)) == F.col("_hash")), "left_anti")
+    dirty_id, dirty_hash = free_names(docs, "_dirty", "_hash")
+    dirty = hits.select(F.col("id").alias(dirty_id), F.col("h").alias(dirty_hash)).distinct()
+    return docs.join(lookup_side(dirty), F.col(id_column).eqNullSafe(F.col(dirty_id)) & (
+        F.xxhash64(text_of(text_column)) == F.col(dirty_hash)), "left_anti")

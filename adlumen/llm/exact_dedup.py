@@ -82,6 +82,6 @@ def mark_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows that stay, with their own columns."""
+    """The rows that stay, with their own columns: of equal texts one, null and empty alike."""
     marked = mark_copies(docs, id_column, text_column, docs.columns)
     return marked.filter("kept").select("carried.*")

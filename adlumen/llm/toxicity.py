@@ -29,6 +29,10 @@ SIZE = 8
 WINDOW = 3
 # Labelled texts per class that training may use: a bounded sample in hash order.
 SAMPLE = 1500
+# Of their windows, the most that the first fit draws, and the clean ones that each later fit
+# draws besides every text's worst. Bounds of the sample of labelled rows too: how much a model
+# of this size learns from, whatever the corpus. Scoring looks at all windows of all texts.
+FIRST_WINDOWS, CLEAN_WINDOWS = 40_000, 4_000
 REJECT = 0.7
 _WORD = re.compile(r"\w+")
 KEPT_WORDS = 500_000
@@ -207,10 +211,13 @@ def _calibrate(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> t
     return float(beta[0] / scale), float(beta[1] - beta[0] * centre / scale)
 
 
-def train(texts: list[str], labels: list[int], shares: tuple[float, float] = (1.0, 1.0)) -> dict:
+def train(texts: list[str], labels: list[int], shares: tuple[float, float] = (1.0, 1.0),
+          first_windows: int = FIRST_WINDOWS, clean_windows: int = CLEAN_WINDOWS) -> dict:
     """The model: a number per bucket (embedding times softmax), bias and calibration.
 
     ``shares`` says how many texts of each class stand behind one of the sample.
+    ``first_windows`` and ``clean_windows`` bound the windows drawn at random for
+    the first fit and the later ones; the worst of every text is always used.
     With one class only, the model answers its share for every text.
     """
     labels = np.array(labels, int)
@@ -227,7 +234,7 @@ def train(texts: list[str], labels: list[int], shares: tuple[float, float] = (1.
     inner = ~kept_out[owner]
     draw = np.random.default_rng(11)
     # At first any window of a toxic text may be the toxic one.
-    some = np.flatnonzero(inner & (draw.random(len(owner)) < 40_000 / max(1, inner.sum())))
+    some = np.flatnonzero(inner & (draw.random(len(owner)) < first_windows / max(1, inner.sum())))
     per_class = np.maximum(np.bincount(positive[some].astype(int), minlength=2), 1)
     trainer.fit(windows[some], positive[some].astype(int),
                 1 / per_class[positive[some].astype(int)], rounds=20)
@@ -236,7 +243,7 @@ def train(texts: list[str], labels: list[int], shares: tuple[float, float] = (1.
         top = _best(scores, owner, 4)
         first = _best(scores, owner, 1)
         chosen = np.unique(np.r_[first[positive[first]], top[~positive[top]],
-                                 draw.choice(np.flatnonzero(~positive), 4000)])
+                                 draw.choice(np.flatnonzero(~positive), clean_windows)])
         chosen = chosen[inner[chosen]]
         y = positive[chosen].astype(int)
         trainer.fit(windows[chosen], y, 1 / np.maximum(np.bincount(y, minlength=2), 1)[y],
