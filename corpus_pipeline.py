@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlumen.llm.common import documents, stored
+from adlumen.llm.common import documents, forget, free_names, stored
 from adlumen.llm.decontaminate import drop_contaminated
 from adlumen.llm.exact_dedup import drop_copies
 from adlumen.llm.jaccard_join import keep_one_of_each
@@ -18,28 +18,35 @@ ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that score as toxic go; the classifier learns from the labelled ones."""
-    scored = with_score(docs, train_on(docs, labels_of(spark, sf_dir)), "_score")
-    return scored.filter(F.col("_score") < REJECT).drop("_score")
+    """Texts that score as toxic go; the classifier learns from the labelled ones.
+
+    Null and empty texts stay; repeated rows are judged alike.
+    """
+    [score] = free_names(docs, "_score")
+    scored = with_score(docs, train_on(docs, labels_of(spark, sf_dir)), score)
+    return scored.filter(F.col(score) < REJECT).drop(score)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest id stays."""
+    """Of equal texts the smallest id stays; null counts as empty, of repeated rows one stays."""
     return drop_copies(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest id stays."""
+    """Of each group of near duplicates the smallest id stays; texts without words all stay."""
     return keep_one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that hold a window of a benchmark item go."""
+    """Texts that hold a window of a benchmark item go; null and empty ones stay."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of what is left: their number and digests, and whether the library agrees."""
+    """Ids of what is left: their number and digests, and whether the library agrees.
+
+    A row for each document; null and empty texts have no ids.
+    """
     return digests(encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
@@ -53,8 +60,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
-    docs = documents(spark, sf_dir)
+    """All stages over the documents of ``sf_dir``; each stage's input goes once it has been read."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
