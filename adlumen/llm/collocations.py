@@ -40,9 +40,9 @@ UNKNOWN = "und"
 
 TILE = 1024
 # Words of a block: the numbers take four bytes each, the block's dictionary less than that.
-BLOCK_WORDS = 2_000_000
-# Counted pairs of a task that are added up before they are handed on.
-HELD_PAIRS = 2_000_000
+BLOCK_WORDS, PART_WORDS = 4_000_000, 1_000_000
+# Distinct pairs of a task that are put together before they are handed on.
+HELD_PAIRS = 1_000_000
 
 _TOKEN = re.compile(rb"[.,;:!?\x0A-\x0D]+|[^\x20\x09.,;:!?\x0A-\x0D]+")
 _BREAKS = frozenset(b".,;:!?\x0a\x0b\x0c\x0d")
@@ -58,50 +58,68 @@ class _Block:
         self.number: dict[bytes, int] = defaultdict()
         self.number.default_factory = lambda: len(self.number) + 1
         self.parts: list[np.ndarray] = []
-        self.words = 0
+        self.pending = self.words = 0
+        self.counts = np.zeros(0, np.int64)
 
     def add(self, text: str) -> None:
         found = _TOKEN.findall(text.encode("utf-8", "surrogatepass").lower())
         number = self.number
         numbers = [0 if token[0] in _BREAKS else number[token] for token in found]
         self.parts.append(np.array([*numbers, 0], np.int32))
+        self.pending += len(numbers)
         self.words += len(numbers)
 
-    def row(self, lang: str) -> tuple:
-        codes = np.concatenate(self.parts)
+    def codes(self) -> bytes:
+        """The numbers since the last call, which are counted."""
+        codes = np.concatenate([np.zeros(0, np.int32), *self.parts])
         counts = np.bincount(codes, minlength=len(self.number) + 1)[1:]
-        words = [w.decode("utf-8", "surrogatepass") for w in self.number]
-        return self.name, lang, words, counts.tolist(), codes.tobytes()
+        counts[: len(self.counts)] += self.counts
+        self.counts, self.parts, self.pending = counts, [], 0
+        return codes.tobytes()
+
+    def dictionary(self) -> tuple[list[str], list[int]]:
+        return [w.decode("utf-8", "surrogatepass") for w in self.number], self.counts.tolist()
 
 
 _BLOCKS = "block long, lang string, words array<string>, counts array<long>, codes binary"
 _BLOCK_TYPES = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
 
 
-def _tokenised(limit: int):
-    """Texts into blocks; those not yet full at the end of the task go out as they are."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_blocks: dict[str, _Block] = defaultdict(_Block)
+def _tokenised(limit: int, part: int = PART_WORDS):
+    """Texts into blocks; those not yet full at the end of the task go out as they are.
 
-        def closed(lang: str) -> pa.RecordBatch:
-            row = open_blocks.pop(lang).row(lang)
+    A block's numbers come in rows of some ``part`` words, the last of which
+    has its dictionary.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[str, _Block] = defaultdict(_Block)
+
+        def row(lang: str, last: bool) -> pa.RecordBatch:
+            block = blocks[lang]
+            codes = block.codes()
+            words, counts = block.dictionary() if last else (None, None)
+            if last:
+                del blocks[lang]
+            values = (block.name, lang, words, counts, codes)
             return pa.RecordBatch.from_arrays(
-                [pa.array([value], kind) for value, kind in zip(row, _BLOCK_TYPES)],
+                [pa.array([value], kind) for value, kind in zip(values, _BLOCK_TYPES)],
                 names=["block", "lang", "words", "counts", "codes"])
 
         held = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                block = open_blocks[lang]
-                held -= block.words
+                block = blocks[lang]
+                before = block.words
                 block.add(text.as_py())
-                held += block.words
+                held += block.words - before
                 if held >= limit:  # over all languages: any number of them stays bounded
-                    largest = max(open_blocks, key=lambda name: open_blocks[name].words)
-                    held -= open_blocks[largest].words
-                    yield closed(largest)
-        for lang in list(open_blocks):
-            yield closed(lang)
+                    largest = max(blocks, key=lambda name: blocks[name].words)
+                    held -= blocks[largest].words
+                    yield row(largest, last=True)
+                elif block.pending >= part:
+                    yield row(lang, last=False)
+        for lang in list(blocks):
+            yield row(lang, last=True)
 
     return run
 
@@ -175,18 +193,29 @@ def _pair_totals(tile: int):
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct pairs of each block."""
-    for batch in batches:
-        for block, lang, codes in zip(*(batch.column(i) for i in range(3))):
-            numbers = np.frombuffer(codes.as_buffer(), np.int32).astype(np.int64)
-            real = (numbers[:-1] > 0) & (numbers[1:] > 0)
-            keys = np.unique((numbers[:-1] << 32 | numbers[1:])[real])
+    """The distinct pairs of each block, once for all of its rows that the task has at hand."""
+    held: dict[tuple[int, str], np.ndarray] = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for (block, lang), keys in held.items():
             for at in range(0, len(keys), 100_000):
                 some = keys[at : at + 100_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(some), block.as_py())),
-                     pa.array([lang.as_py()] * len(some), pa.string()), pa.array(some)],
+                    [pa.array(np.full(len(some), block)),
+                     pa.array([lang] * len(some), pa.string()), pa.array(some)],
                     names=["block", "lang", "key"])
+        held.clear()
+
+    for batch in batches:
+        for name, lang, codes in zip(*(batch.column(i) for i in range(3))):
+            numbers = np.frombuffer(codes.as_buffer(), np.int32).astype(np.int64)
+            real = (numbers[:-1] > 0) & (numbers[1:] > 0)
+            keys = np.unique((numbers[:-1] << 32 | numbers[1:])[real])
+            block = name.as_py(), lang.as_py()
+            held[block] = np.union1d(held[block], keys) if block in held else keys
+            if sum(map(len, held.values())) > HELD_PAIRS:
+                yield from out()
+    yield from out()
 
 
 _RECODED = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("codes", pa.binary())])
@@ -259,7 +288,7 @@ def mine_phrases(docs: DataFrame, text_column: str = "text", lang_column: str =
                         text_of(text_column).alias("text"))
     blocks = stored(texts.mapInArrow(_tokenised(block_words), _BLOCKS), "blocks")
 
-    listed = blocks.select(
+    listed = blocks.filter("words is not null").select(
         "block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "entry")
     ).select("block", "lang", (F.col("at") + 1).cast("long").alias("key"),
              F.col("entry.words").alias("word"), F.col("entry.counts").alias("n"))
@@ -267,7 +296,7 @@ def mine_phrases(docs: DataFrame, text_column: str = "text", lang_column: str =
     words = stored(_ranked(counted, ["word"], least).select(
         "lang", "rank", F.array("word").alias("words"), "a", F.array().cast("array<long>")
         .alias("heads"), F.array().cast("array<long>").alias("tails"), F.col("word")), "words")
-    totals = blocks.select("lang", F.aggregate("counts", F.lit(0).cast("long"),
+    totals = blocks.filter("words is not null").select("lang", F.aggregate("counts", F.lit(0).cast("long"),
                                                lambda x, y: x + y).alias("n"))
     totals = stored(totals.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     codes = stored(_recode(blocks, listed, words, ["word"], by_pairs=False), "codes")

@@ -152,8 +152,15 @@ def test_blocks_hold_whole_texts_and_stay_small(spark):
                                   "text string, lang string").coalesce(1)
     blocks = texts.select("lang", "text").mapInArrow(
         collocations._tokenised(300), collocations._BLOCKS).collect()
-    assert sum(sum(b.counts) for b in blocks) == 70 * 150
+    last = [b for b in blocks if b.words is not None]
+    assert sum(sum(b.counts) for b in last) == 70 * 150
+    assert len({b.block for b in last}) == len(last)
     assert all(len(b.codes) <= 4 * (300 + 160) for b in blocks)
+    parts = texts.select("lang", "text").mapInArrow(
+        collocations._tokenised(10**6, 200), collocations._BLOCKS).collect()
+    assert len({b.block for b in parts}) == 7 < len(parts)
+    assert sum(sum(b.counts) for b in parts if b.words is not None) == 70 * 150
+    assert all(len(b.codes) <= 4 * (200 + 160) for b in parts)
 
 
 # -- hard negatives -----------------------------------------------------------
