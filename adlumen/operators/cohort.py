@@ -97,10 +97,10 @@ def advanced_cohort(impressions: DataFrame, tenant_id: int | None = None, days_b
     ``non_negative`` leaves it out and then also skips reading it.
     Works on the impression table and on its warehouse copy alike.
 
-    Who opens a cohort is found first, from the recent days alone; of the
-    history only those users' rows are kept, before anything is shuffled while
-    the openers are few enough to be sent along, and by Spark's runtime filter
-    on the scan beyond that.
+    Who opens a cohort is found first, from the recent days alone, and of the
+    history only those users' rows are kept: where it is read, while the openers
+    are few enough to be sent along. Beyond that the join lays the history out by
+    user, as the sums that follow need it, so it is shuffled no more than once.
     """
     by = tenant_keys(tenant_id)
     until = moment(impressions, as_of)

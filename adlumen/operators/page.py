@@ -35,13 +35,15 @@ def page_facts(ads: DataFrame, impressions: DataFrame, tenant_id: int, as_of: Mo
     recent_cost = F.when(recent, F.col("cost"))
     lookup = lookup_side(ads.select(F.col("id").alias("ad_id"), "campaign_id"))
     rows = scope(impressions, tenant_id).select("ad_id", "user_id", "timestamp", "cost")
-    return rows.join(lookup, "ad_id", "left").groupBy(
+    reduced = rows.join(lookup, "ad_id", "left").groupBy(
         "user_id", "campaign_id", F.to_date("timestamp").alias("day")
     ).agg(
         F.count("*").alias("shown"), F.sum("cost").alias("cost"), F.count("cost").alias("costed"),
         F.count_if(recent).alias("recent_shown"), F.sum(recent_cost).alias("recent_cost"),
         F.count(recent_cost).alias("recent_costed"),
     )
+    # Laid out by user once they are few: cohorts then need no exchange of their own.
+    return reduced.repartition("user_id")
 
 
 def _cohorts(facts: DataFrame) -> DataFrame:
@@ -128,6 +130,7 @@ def open_page(campaigns: DataFrame, ads: DataFrame, impressions: DataFrame, log:
     """
     facts = page_facts(ads, impressions, tenant_id, as_of).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        facts.count()  # parts that start at once would each begin to fill it
         yield page_parts(campaigns, facts, log, tenant_id, kind)
     finally:
         facts.unpersist()
