@@ -316,20 +316,31 @@ def _across(rows: DataFrame, texts: DataFrame, groups: DataFrame, size: int,
             percent: int) -> DataFrame:
     """``groups`` after all links between sets of different groups, by the token-group matrix.
 
-    Which groups a set has to look into is found once. A set on the edge of a
-    large group links to some of its members, and one link settles them all, so
-    a few members are asked first, chosen by hash; the last turn asks all members
-    of the groups that are then still apart.
+    Sets look into groups of several first: what lies on the edge of a large group
+    joins it there, and does not have to be held against all others on that
+    edge. Then every group is looked into. One link settles two groups, so a few
+    members are asked first, chosen by hash; the last turn asks all members of
+    opened groups that are still apart.
     """
     rows = _in_two_groups(rows)
-    opened = _opened(rows, percent)
-    for share in SHARES:
-        now = groups.toDF("r", "now")
-        apart = opened.join(now, "r").join(now.toDF("g", "there"), "g").filter(
-            "now <> there").select("r", "g", "n", "hits")
-        links = _compared(_candidates(apart, rows, share, percent), texts, size, percent)
-        groups = _joined(groups, links)
-    forget(opened, rows)
+    for several, shares in ((True, SHARES[:1]), (False, SHARES)):
+        opened = _opened(rows, percent, several)
+        before = groups
+        for share in shares:
+            now = groups.toDF("r", "now")
+            apart = opened.join(now, "r").join(now.toDF("g", "there"), "g").filter(
+                "now <> there").select("r", "g", "n", "hits")
+            links = _compared(_candidates(apart, rows, share, percent), texts, size, percent)
+            groups = _joined(groups, links)
+        forget(opened)
+        if several:
+            moved = stored(before.join(groups.toDF("r", "to"), "r").filter("g <> to").select(
+                "r", "to"), "moved")
+            later = stored(rows.join(lookup_side(moved), "r", "left").select(
+                "token", "r", F.coalesce("to", "g").alias("g"), "n"), "shared-tokens")
+            forget(rows, moved)
+            rows = later
+    forget(rows)
     return groups
 
 
@@ -356,16 +367,21 @@ def _least_hits(n, low, high, percent: int):
     return F.greatest(F.lit(1), F.least(beyond(n, smallest), beyond(largest, n) - 1))
 
 
-def _opened(rows: DataFrame, percent: int) -> DataFrame:
+def _opened(rows: DataFrame, percent: int, several: bool) -> DataFrame:
     """(r, g, n, hits): groups of which a member may link to the set, with the tokens both hold.
 
-    Each pair of groups is looked at from one side.
+    With ``several`` only groups of two sets or more are looked into, else all,
+    each pair of groups from one side.
     """
     # The matrix: the union of a group's prefixes, with the sizes of the sets that hold a token.
     matrix = rows.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     query = rows.select("token", "r", "n", F.col("g").alias("own"))
+    if several:
+        large = rows.groupBy("g").agg((F.min("r") != F.max("r")).alias("large")).filter("large")
+        matrix = matrix.join(lookup_side(stored(large.select("g"), "large")), "g", "left_semi")
+    other = F.col("g") != F.col("own") if several else F.col("g") < F.col("own")
     counted = query.join(matrix, "token").filter(
-        (F.col("g") < F.col("own")) & (100 * F.col("high") >= percent * F.col("n"))
+        other & (100 * F.col("high") >= percent * F.col("n"))
         & (100 * F.col("n") >= percent * F.col("low"))
     ).groupBy("r", "g").agg(
         F.collect_list("token").alias("hits"), F.min("n").alias("n"),
