@@ -19,7 +19,7 @@ from adlumen.llm.quality_rules import apply_rules
 from adlumen.llm.sharding import shard_documents
 from adlumen.llm.suffix_dedup import remove_repeats
 from adlumen.llm.toxicity import labels_of, score_documents
-from adlumen.llm.warc import read_resolved, resolve_revisits, write_archives
+from adlumen.llm.warc import mean_payload, read_resolved, resolve_revisits, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -73,7 +73,8 @@ def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "warc")
-    write_archives(resolve_revisits(spark.read.parquet(f"{folder}/pages.parquet")), path)
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    write_archives(resolve_revisits(pages), path, mean_bytes=mean_payload(pages))
     return read_resolved(spark, path)
 
 

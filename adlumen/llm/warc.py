@@ -2,20 +2,23 @@
 
 Headers (digest, size, id) are shuffled by payload digest, the first record of
 each digest stays a response, and all others are joined to it and written
-as revisits, without their payload and with fresh headers. Archives are read
-back by Content-Length, one file a task.
+as revisits, without their payload and with fresh headers. The digests that
+repeat are sent to the pages while they are few, so that payloads stay where
+they are read. Archives are read back by Content-Length, one file a task,
+unpacked piece by piece.
 """
 
 from __future__ import annotations
 
-import gzip
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from adlumen.functions.sizing import lookup_side
 from adlumen.llm.common import stored, text_of
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -39,6 +42,11 @@ def _record_id(page: Column, digest: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
+def mean_payload(pages: DataFrame, payload_column: str = "html") -> float:
+    """Bytes of a payload on average, from one look at the column."""
+    return float(pages.agg(F.avg(F.octet_length(text_of(payload_column)))).first()[0] or 0)
+
+
 def resolve_revisits(pages: DataFrame, least_bytes: int = 0, id_column: str = "page_id",
                      url_column: str = "url", payload_column: str = "html") -> DataFrame:
     """Every page as a record: response, or revisit of the first with an equal payload.
@@ -53,12 +61,12 @@ def resolve_revisits(pages: DataFrame, least_bytes: int = 0, id_column: str = "p
         payload.alias("payload"), F.octet_length(payload).cast("bigint").alias("payload_bytes"),
         base32_sha1(payload.cast("binary")).alias("payload_digest"),
     )
-    # Merged map-side, so a digest that a third of the pages share is no hot key here; in
-    # the join below its pages can be split, since the other side has one row for it.
-    firsts = rows.groupBy("payload_digest", "payload_bytes").agg(
+    # Merged map-side, so a digest that a third of the pages share is no hot key here; should
+    # the join below shuffle, its pages can be split, since the other side has one row for it.
+    firsts = stored(rows.groupBy("payload_digest", "payload_bytes").agg(
         F.min("page_id").alias("first"), F.count("*").alias("n")
-    ).filter((F.col("n") > 1) & (F.col("payload_bytes") >= least_bytes)).drop("n")
-    joined = rows.join(firsts, ["payload_digest", "payload_bytes"], "left")
+    ).filter((F.col("n") > 1) & (F.col("payload_bytes") >= least_bytes)).drop("n"), "repeated")
+    joined = rows.join(lookup_side(firsts), ["payload_digest", "payload_bytes"], "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.withColumn("refers_to", F.when(again, F.col("first"))).withColumn(
         "record_type", F.when(again, "revisit").otherwise("response")).drop("first")
@@ -70,9 +78,22 @@ def _header(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), safe, F.lit("\r\n")), F.lit(""))
 
 
+# Records of a file, and bytes that so many records of mean size may have at most.
+FILE_RECORDS, FILE_BYTES = 2000, 64 << 20
+
+
 def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
-                   records_per_file: int = 2000) -> None:
-    """``records`` (of ``resolve_revisits``) as .gz WARC files; revisits carry no payload."""
+                   file_records: int = FILE_RECORDS, file_bytes: int = FILE_BYTES,
+                   mean_bytes: float | None = None) -> None:
+    """``records`` (of ``resolve_revisits``) as .gz WARC files; revisits carry no payload.
+
+    A file is cut after ``file_records``, or fewer if that many of mean size pass
+    ``file_bytes``; ``mean_bytes`` saves finding the mean. Null ids and URLs leave
+    their header out. No records give archives without any.
+    """
+    if mean_bytes is None:
+        mean_bytes = records.agg(F.avg("payload_bytes")).first()[0] or 0
+    records_per_file = max(1, min(file_records, int(file_bytes // (mean_bytes + 1))))
     revisit = F.col("record_type") == "revisit"
     own = _record_id(F.col("page_id"), F.col("payload_digest"))
     block = F.concat(F.lit(HTTP), F.when(revisit, "").otherwise(F.col("payload")))
@@ -96,18 +117,45 @@ RECORDS = ("page_id string, record_id string, record_type string, url string, "
            "payload_digest string, refers_to_record string, payload binary")
 
 
-def _parse(content: bytes) -> Iterator[tuple]:
-    at = 0
-    while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        head = dict(
-            line.split(": ", 1)
-            for line in content[at:end].decode().split("\r\n")[1:]
-        )
+# Unpacked at a time, and handed on together.
+PIECE, BATCH_BYTES = 1 << 20, 8 << 20
+
+
+def _unpacked(content: bytes) -> Iterator[bytes]:
+    """The bytes of gzip members one after the other, in pieces."""
+    while content:
+        member = zlib.decompressobj(wbits=31)
+        left = content
+        while left and not member.eof:
+            yield member.decompress(left, PIECE)
+            left = member.unconsumed_tail
+        yield member.flush()
+        content = member.unused_data
+
+
+def _parse(pieces: Iterator[bytes]) -> Iterator[tuple]:
+    """Records one by one; no more is held than the piece at hand and the record being read."""
+    held = bytearray()
+
+    def upto(end: int) -> bool:
+        while len(held) < end:
+            more = next(pieces, None)
+            if more is None:
+                return False
+            held.extend(more)
+        return True
+
+    while upto(1):
+        end, sought = held.find(b"\r\n\r\n"), 0
+        while end < 0 and upto(len(held) + 1):
+            end = held.find(b"\r\n\r\n", max(0, sought - 3))
+            sought = len(held)
+        head = dict(line.split(": ", 1) for line in held[:end].decode().split("\r\n")[1:])
         start = end + 4
-        at = start + int(head["Content-Length"])
-        block = content[start:at]
-        at += len(BETWEEN)
+        stop = start + int(head["Content-Length"])
+        upto(stop + len(BETWEEN))
+        block = bytes(held[start:stop])
+        del held[: stop + len(BETWEEN)]
         digest = re.sub("^sha1:", "", head.get("WARC-Payload-Digest", ""))
         kind = head["WARC-Type"]
         yield (
@@ -121,7 +169,14 @@ def _parse_files(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [field.split()[0] for field in RECORDS.split(", ")]
     for frame in files:
         for content in frame["content"]:
-            yield pd.DataFrame(list(_parse(gzip.decompress(content))), columns=names)
+            rows, size = [], 0
+            for record in _parse(_unpacked(content)):
+                rows.append(record)
+                size += len(record[-1] or b"")
+                if size > BATCH_BYTES or len(rows) >= FILE_RECORDS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -133,6 +188,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def read_resolved(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     """Every record with the size and digest of its full payload, through its response.
 
+    A revisit whose response is missing has neither. An archive without records
+    gives an empty result.
     The digest is computed from the payload that was read, not taken from the header.
     """
     records = stored(read_archives(spark, path).select(

@@ -1,6 +1,7 @@
 """Operators that look at rows one group at a time: sharding, exact copies, archives."""
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -101,6 +102,31 @@ def test_archives_come_back(spark, tmp_path):
     assert Counter(map(tuple, found)) == expected
     texts = {int(r.page_id or -1): r.payload for r in warc.read_archives(spark, path).collect()}
     assert bytes(texts[4]).decode() == pages[3][2] and texts[5] is None
+    empty = str(tmp_path / "empty")
+    warc.write_archives(warc.resolve_revisits(table.limit(0)), empty)
+    assert warc.read_resolved(spark, empty).count() == 0
     least = warc.resolve_revisits(table, least_bytes=5)
     assert least.filter("record_type = 'revisit'").count() == 2  # both of <p>x</p>
     assert warc.resolve_revisits(table.limit(0)).count() == 0
+
+
+def test_archives_of_long_pages_are_cut_by_bytes(spark, tmp_path):
+    table = spark.range(40).selectExpr(
+        "id as page_id", "'u' as url", "concat(repeat(cast(id as string), 200000), 'x') as html").coalesce(1)
+    path = str(tmp_path / "warc")
+    warc.write_archives(warc.resolve_revisits(table), path, file_bytes=1 << 20)
+    files = list((tmp_path / "warc").glob("*.gz"))
+    assert 10 <= len(files) <= 40
+    found = {r.page_id: r.payload_bytes for r in warc.read_resolved(spark, path).collect()}
+    assert found == {k: 200_000 * len(str(k)) + 1 for k in range(40)}
+
+
+def test_records_are_read_across_pieces_and_members(monkeypatch):
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <%d>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n"
+    bodies = [b"H\r\n\r\n" + bytes([65 + k]) * (k * 37) for k in range(30)]
+    packed = [record % (k, len(b), b) for k, b in enumerate(bodies)]
+    content = gzip.compress(b"".join(packed[:11])) + gzip.compress(b"".join(packed[11:]))
+    for piece in (1, 7, 100, 1 << 20):
+        monkeypatch.setattr(warc, "PIECE", piece)
+        found = [r[-1] for r in warc._parse(warc._unpacked(content))]
+        assert found == [b[5:] for b in bodies]
