@@ -53,8 +53,9 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str,
         runs = runs.join(last.select(*keys, "last"), keys, "left")
         runs = runs.withColumn("_before", F.col("_before") + F.coalesce("last", F.lit(0)))
     runs = runs.select(*keys, "_piece", "_first", "_before")
-    # One row per key and piece. Broadcast while they are few, the rows stay where they lie.
-    numbered = laid.join(lookup_side(settle(runs)), [*keys, "_piece"])
+    # One row per key and piece, from the settled pieces. Broadcast while they are few, the rows
+    # stay where they lie.
+    numbered = laid.join(lookup_side(runs), [*keys, "_piece"])
     number = (F.col("_at") - F.col("_first") + F.col("_before") + 1).cast("bigint")
     return numbered.select(*df.columns, number.alias(name))
 

@@ -17,7 +17,7 @@ from adlumen.operators import (
 )
 from adlumen.plans import facts, streams
 from adlumen.plans.facts import EVENT_DAY, EVENT_NOON, VOLUME_DAY, VOLUME_NOW
-from adlumen.session import shared_folder
+from adlumen.session import settle, shared_folder
 from adlumen.sources import versions
 from adlumen.sources.tables import overwrite_days
 
@@ -131,7 +131,8 @@ def _appended(spark: SparkSession, sf: str) -> DataFrame:
     every = facts.log(spark, sf)
     early = F.to_date("timestamp") <= F.lit(EVENT_DAY.isoformat()).cast("date")
     stored = eventlog.append_events(every.filter(early))
-    new = eventlog.append_events(every.filter(~early), last=eventlog.last_sequences(stored))
+    last = settle(eventlog.last_sequences(stored))
+    new = eventlog.append_events(every.filter(~early), last=last)
     return stored.unionByName(new).select(*number)
 
 
