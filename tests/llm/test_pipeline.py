@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from adlumen.llm.common import documents
+from adlumen.llm.common import documents, free_names
+from adlumen.llm.decontaminate import drop_contaminated
+from adlumen.llm.exact_dedup import drop_copies
+from adlumen.llm.jaccard_join import keep_one_of_each
 from adlumen.llm.oracles import ORACLES
+from adlumen.llm.toxicity import train_on, with_score
 from tests.compare import differences
 from tests.llm.conftest import ODD, prose
 
@@ -65,3 +69,28 @@ def test_stages_take_odd_rows(spark):
     for name, function in corpus_pipeline.STAGES:
         assert function(spark, docs.limit(0), FOLDER).count() == 0, name
         assert function(spark, docs, FOLDER).count() > 0, name
+
+
+NAMES = ["_hash", "_gone", "_dirty", "_score", "h", "n", "id", "t", "_ID"]
+
+
+def test_columns_of_any_name_come_through(spark):
+    texts = [prose(k % 7, 30) for k in range(20)] + [None, "", "one", "x" * 300_000]
+    table = spark.createDataFrame(
+        [(i, text, *range(i, i + len(NAMES))) for i, text in enumerate(texts)],
+        "doc_id bigint, text string, " + ", ".join(f"`{name}` int" for name in NAMES))
+    items = spark.createDataFrame([(1, prose(3, 30)), (2, None)], "item_id bigint, text string")
+    clean = drop_contaminated(table, items)
+    kept = keep_one_of_each(table)
+    once = drop_copies(table)
+    for found in (clean, kept, once):
+        assert found.columns == table.columns
+        rows = {r.doc_id: tuple(r) for r in found.collect()}
+        assert all(rows[i] == (i, texts[i], *range(i, i + len(NAMES))) for i in rows)
+    assert {i for i in range(24)} - {r.doc_id for r in clean.collect()} == {3, 10, 17}
+    assert {r.doc_id for r in kept.collect()} == {*range(7), 20, 21, 22, 23}
+    assert {r.doc_id for r in once.collect()} == {*range(7), 20, 22, 23}
+    marks = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, toxic int")
+    for found in (with_score(table, train_on(table, marks), name) for name in free_names(table, "_score")):
+        assert found.columns == [*table.columns, "_score_"]
+        assert {tuple(r)[:-1] for r in found.collect()} == {tuple(r) for r in table.collect()}

@@ -41,6 +41,20 @@ def test_shard_sizes_are_near_equal(spark, rows):
     assert len(loads) == 5 and max(loads) <= 1.01 * min(loads)
 
 
+def test_shards_equal_a_plain_longest_first(spark, rows):
+    texts = [prose(k % 70, 3 + k * 7 % 90) for k in range(160)] + ["copy"] * 40 + [None, "", "x" * 9000]
+    sizes = Counter()
+    for text in texts:
+        sizes[text or ""] += len((text or "").encode()) + 16
+    loads = [0] * 6
+    for size in sorted(sizes.values(), reverse=True):
+        loads[loads.index(min(loads))] += size
+    # So many bundles that each group is an item of its own.
+    found = shard_documents(rows(texts), shards=6, bundles=1 << 16).groupBy("shard").agg(
+        F.sum("size").alias("s")).collect()
+    assert sorted(r.s for r in found) == sorted(loads)
+
+
 def test_longest_first_is_greedy():
     items = [("a", 9), ("b", 7), ("c", 6), ("d", 5), ("e", 4), ("f", 4)]
     place = longest_first(items, 2)
