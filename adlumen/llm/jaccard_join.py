@@ -10,8 +10,8 @@ for their members, and what is left is compared exactly.
 
 Two sets that reach the limit share a token among the first quarter (for 75 %)
 of each in any one order of tokens, so only these prefixes enter the matrix.
-Sets of about one size share far more of them, some tenth of the set
-(``_least_hits``), and that many have to be counted. The order puts frequent
+A little longer prefixes hold several shared tokens (``_least_hits``), and that
+many have to be counted. The order puts frequent
 tokens last; a passage that many texts share is then in no prefix, unless texts
 consist of little else. Any order gives the same links; a poor one only opens
 more groups.
@@ -45,6 +45,8 @@ KEPT_WORDS = 400_000
 KEPT_TOKENS = 4_000_000  # of the sets a task keeps while it compares pairs
 # Tokens of a task that are counted together when looking for frequent ones.
 COUNTED = 3_000_000
+# One in how many tokens of a set is looked for beyond the first shared one.
+MORE = 24
 _FACTORS = np.array([xxhash.xxh64_intdigest(b"word", i) | 1 for i in range(64)], np.uint64)
 _TURNS = np.array([xxhash.xxh64_intdigest(b"turn", i) | 1 for i in range(PERMUTATIONS)], np.uint64)
 
@@ -186,18 +188,26 @@ def _near_size(n, m, percent: int):
 def _groups(reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(r, g): similar sets in groups, by exact comparison with leaders.
 
-    Each min-hash value has one leader, a different one for each permutation
-    and round; a set meets a leader of another group if half of their min-hashes
-    agree. A round is linear in the number of sets, however many share a value,
-    and later ones only concern values that still occur in several groups.
+    Each min-hash value has one leader. In every second permutation it is the most
+    central of the sets that hold it, whose min-hashes are shared by the most
+    sets: copies made from one text, that differ among each other more than from
+    it, so meet that text. In the others it is any, by hash. A set meets a leader of another group if half of their min-hashes agree. A
+    round is linear in the number of sets, however many share a value, and later
+    ones only concern values that still occur in several groups.
     """
     known = reps.select("r", "n", "mins")
     groups = reps.select("r", F.col("r").alias("g"))
+    values = reps.select("r", F.posexplode("mins").alias("k", "v"))
+    shared = values.groupBy("k", "v").agg(F.count("*").alias("times")).filter("times > 1")
+    # Sets that share no value meet nobody.
+    central = values.join(shared, ["k", "v"]).groupBy("r").agg(F.sum("times").alias("central"))
+    values = stored(values.join(central, "r"), "min-hashes")
     for turn in range(ROUNDS):
-        keyed = reps.select("r", F.posexplode("mins").alias("k", "v"))
-        keyed = keyed.withColumn("g", F.col("r")) if turn == 0 else keyed.join(groups, "r")
+        keyed = values.withColumn("g", F.col("r")) if turn == 0 else values.join(groups, "r")
         leaders = keyed.groupBy("k", "v").agg(
-            F.min_by(F.struct("r", "g"), F.xxhash64("r", "k", F.lit(turn))).alias("leader"),
+            F.max_by(F.struct("r", "g"), F.struct(
+                F.when(F.col("k") % 2 == 0, F.col("central")), F.xxhash64("r", "k", F.lit(turn))))
+            .alias("leader"),
             (F.min("g") != F.max("g")).alias("several")).filter("several").drop("several")
         met = keyed.join(leaders, ["k", "v"]).filter("g <> leader.g").select(
             F.greatest("r", "leader.r").alias("a"), F.least("r", "leader.r").alias("b")).distinct()
@@ -207,6 +217,7 @@ def _groups(reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
         pairs = pairs.filter((agree >= PERMUTATIONS // 2) & _near_size(
             F.col("na"), F.col("nb"), percent)).select("a", "b")
         groups = _joined(groups, _compared(pairs, texts, size, percent))
+    forget(values)
     return groups
 
 
@@ -227,8 +238,8 @@ def _prefixes(texts: DataFrame, frequent: np.ndarray, size: int, percent: int) -
     """(token, r, off, place): each set's prefix in the common order.
 
     ``off`` is how far the group's number lies below ``r``, and ``place`` packs
-    the set's size and whether the token is a frequent one, since these rows are
-    the bulk of what is shuffled.
+    the set's size, the token's reach (see ``_least_hits``) and whether it is a
+    frequent one, since these rows are the bulk of what is shuffled.
     """
     sent = texts.sparkSession.sparkContext.broadcast(frequent)
 
@@ -249,7 +260,8 @@ def _prefixes(texts: DataFrame, frequent: np.ndarray, size: int, percent: int) -
                     tokens.append(s[:len(s) - least_overlap(len(s), percent) + 1])
                     counts.append(len(tokens[-1]))
                     p = np.arange(counts[-1])
-                    places.append((len(s) << 1) | (p >= early))
+                    reach = len(s) - p + len(s) // MORE
+                    places.append((len(s) << 32) | (reach << 1) | (p >= early))
                 row = pa.array(np.repeat(np.arange(len(counts)), counts))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate(tokens).view(np.int64)), some.column(0).take(row),
@@ -261,7 +273,7 @@ def _prefixes(texts: DataFrame, frequent: np.ndarray, size: int, percent: int) -
 
 
 def _in_two_groups(rows: DataFrame) -> DataFrame:
-    """(token, r, g, n): rows whose token is in two groups; the rest can link to nothing new.
+    """(token, r, g, n, reach): rows whose token is in two groups; the rest can link to nothing new.
 
     Frequent tokens are spread over all partitions and looked at afterwards, by
     an aggregate; the runs held here are of other tokens, which are few each.
@@ -302,7 +314,8 @@ def _in_two_groups(rows: DataFrame) -> DataFrame:
     found = stored(laid.mapInArrow(runs, rows.schema), "found-tokens")
     kept = found.select(
         "token", "r", (F.col("r") - F.col("off")).alias("g"), late_row.alias("late"),
-        F.shiftright("place", 1).cast("int").alias("n"))
+        F.shiftright("place", 32).cast("int").alias("n"),
+        F.shiftright(F.col("place").bitwiseAND(0xFFFFFFFF), 1).cast("int").alias("reach"))
     # At most FREQUENT rows, so that the bulk is filtered where it lies.
     single = kept.filter("late").groupBy("token").agg(
         (F.min("g") == F.max("g")).alias("single")).filter("single").select("token")
@@ -316,31 +329,20 @@ def _across(rows: DataFrame, texts: DataFrame, groups: DataFrame, size: int,
             percent: int) -> DataFrame:
     """``groups`` after all links between sets of different groups, by the token-group matrix.
 
-    Sets look into groups of several first: what lies on the edge of a large group
-    joins it there, and does not have to be held against all others on that
-    edge. Then every group is looked into. One link settles two groups, so a few
-    members are asked first, chosen by hash; the last turn asks all members of
-    opened groups that are still apart.
+    Which groups a set has to look into is found once. A set on the edge of a large
+    group links to some of its members, and one link settles them all, so a few
+    members are asked first, chosen by hash; the last turn asks all members of the
+    groups that are then still apart.
     """
     rows = _in_two_groups(rows)
-    for several, shares in ((True, SHARES[:1]), (False, SHARES)):
-        opened = _opened(rows, percent, several)
-        before = groups
-        for share in shares:
-            now = groups.toDF("r", "now")
-            apart = opened.join(now, "r").join(now.toDF("g", "there"), "g").filter(
-                "now <> there").select("r", "g", "n", "hits")
-            links = _compared(_candidates(apart, rows, share, percent), texts, size, percent)
-            groups = _joined(groups, links)
-        forget(opened)
-        if several:
-            moved = stored(before.join(groups.toDF("r", "to"), "r").filter("g <> to").select(
-                "r", "to"), "moved")
-            later = stored(rows.join(lookup_side(moved), "r", "left").select(
-                "token", "r", F.coalesce("to", "g").alias("g"), "n"), "shared-tokens")
-            forget(rows, moved)
-            rows = later
-    forget(rows)
+    opened = _opened(rows, percent)
+    for share in SHARES:
+        now = groups.toDF("r", "now")
+        apart = opened.join(now, "r").join(now.toDF("g", "there"), "g").filter(
+            "now <> there").select("r", "g", "n", "hits")
+        links = _compared(_candidates(apart, rows, share, percent), texts, size, percent)
+        groups = _joined(groups, links)
+    forget(opened, rows)
     return groups
 
 
@@ -349,13 +351,22 @@ def _needed(n, m, percent: int):
     return F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
 
 
+def _more(n):
+    """How many tokens beyond the one that must be shared are looked for."""
+    return F.floor(n / F.lit(MORE))
+
+
 def _least_hits(n, low, high, percent: int):
     """Tokens that the prefixes of a set and of one it links to share, whose size is in a range.
 
     Of two prefixes one ends first in the common order. All of its tokens that
     both sets have are in the other prefix too, and it has at most as many others
-    as its set has beyond the overlap. The overlap needed grows by less than the
-    size, so the smallest and the largest partner decide.
+    as its set has beyond the overlap. So a prefix of one more than that holds a
+    token both have, and one longer by ``_more`` holds as many more. A token's
+    reach is how large an overlap may be needed for it to be in that prefix:
+    what it leaves behind it, and ``_more``. Stored prefixes end after what the
+    smallest overlap asks for. The overlap needed grows by less than the size, so
+    for these the smallest and the largest partner decide.
     """
     def beyond(own, partner):
         prefix = own - F.ceil(F.lit(percent) * own / F.lit(100)) + 1
@@ -364,24 +375,23 @@ def _least_hits(n, low, high, percent: int):
     smallest = F.greatest(low, F.ceil(F.lit(percent) * n / F.lit(100)))
     largest = F.least(high, F.floor(F.lit(100) * n / F.lit(percent)))
     # In the largest partner rounding can hide a step of one.
-    return F.greatest(F.lit(1), F.least(beyond(n, smallest), beyond(largest, n) - 1))
+    return F.greatest(F.lit(1), F.least(beyond(n, smallest), beyond(largest, n) - 1,
+                                        1 + _more(n), 1 + _more(smallest)))
 
 
-def _opened(rows: DataFrame, percent: int, several: bool) -> DataFrame:
+def _opened(rows: DataFrame, percent: int) -> DataFrame:
     """(r, g, n, hits): groups of which a member may link to the set, with the tokens both hold.
 
-    With ``several`` only groups of two sets or more are looked into, else all,
-    each pair of groups from one side.
+    Each pair of groups is looked at from one side.
     """
     # The matrix: the union of a group's prefixes, with the sizes of the sets that hold a token.
-    matrix = rows.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    query = rows.select("token", "r", "n", F.col("g").alias("own"))
-    if several:
-        large = rows.groupBy("g").agg((F.min("r") != F.max("r")).alias("large")).filter("large")
-        matrix = matrix.join(lookup_side(stored(large.select("g"), "large")), "g", "left_semi")
-    other = F.col("g") != F.col("own") if several else F.col("g") < F.col("own")
+    matrix = rows.groupBy("token", "g").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("furthest"))
+    query = rows.select("token", "r", "n", "reach", F.col("g").alias("own"))
+    smallest = F.greatest(F.col("low"), F.ceil(F.lit(percent) * F.col("n") / F.lit(100)))
     counted = query.join(matrix, "token").filter(
-        other & (100 * F.col("high") >= percent * F.col("n"))
+        (F.col("g") < F.col("own"))
+        & (F.least("reach", "furthest") >= _needed(F.col("n"), smallest, percent)) & (100 * F.col("high") >= percent * F.col("n"))
         & (100 * F.col("n") >= percent * F.col("low"))
     ).groupBy("r", "g").agg(
         F.collect_list("token").alias("hits"), F.min("n").alias("n"),
