@@ -39,46 +39,55 @@ SCALE = 2_000_000
 UNKNOWN = "und"
 
 TILE = 1024
-# Words of a block: the numbers take four bytes each, the block's dictionary less than that.
+# Words of a block, and of a row of it: some ten bytes each while they are gathered, then four.
 BLOCK_WORDS, PART_WORDS = 4_000_000, 1_000_000
 # Distinct pairs of a task that are put together before they are handed on.
 HELD_PAIRS = 1_000_000
 
 _TOKEN = re.compile(rb"[.,;:!?\x0A-\x0D]+|[^\x20\x09.,;:!?\x0A-\x0D]+")
-_BREAKS = frozenset(b".,;:!?\x0a\x0b\x0c\x0d")
+_BREAKS = np.frombuffer(b".,;:!?\x0a\x0b\x0c\x0d", np.uint8)
 
 
 # -- within a task -----------------------------------------------------------
 
 class _Block:
-    """Numbers of one language's words as they come, 0 at the end of each piece."""
+    """Words of one language as they come, in Arrow's compact form; texts end in a break."""
 
     def __init__(self) -> None:
-        self.name = uuid.uuid4().int >> 65
-        self.number: dict[bytes, int] = defaultdict()
-        self.number.default_factory = lambda: len(self.number) + 1
-        self.parts: list[np.ndarray] = []
-        self.pending = self.words = 0
-        self.counts = np.zeros(0, np.int64)
+        self.parts: list[pa.Array] = []
+        self.ends: list[int] = []
+        self.words = 0
 
     def add(self, text: str) -> None:
         found = _TOKEN.findall(text.encode("utf-8", "surrogatepass").lower())
-        number = self.number
-        numbers = [0 if token[0] in _BREAKS else number[token] for token in found]
-        self.parts.append(np.array([*numbers, 0], np.int32))
-        self.pending += len(numbers)
-        self.words += len(numbers)
-
-    def codes(self) -> bytes:
-        """The numbers since the last call, which are counted."""
-        codes = np.concatenate([np.zeros(0, np.int32), *self.parts])
-        counts = np.bincount(codes, minlength=len(self.number) + 1)[1:]
-        counts[: len(self.counts)] += self.counts
-        self.counts, self.parts, self.pending = counts, [], 0
-        return codes.tobytes()
-
-    def dictionary(self) -> tuple[list[str], list[int]]:
-        return [w.decode("utf-8", "surrogatepass") for w in self.number], self.counts.tolist()
+        found.append(b".")
+        self.parts.append(pa.array(found, pa.binary()))
+        self.words += len(found)
+        self.ends.append(self.words)
+
+    def rows(self, lang: str, part: int) -> Iterator[pa.RecordBatch]:
+        """Numbers of the words, 0 for a break, in rows of some ``part``; the last has the dictionary."""
+        coded = pa.concat_arrays(self.parts).dictionary_encode()
+        self.parts = []
+        known = coded.dictionary
+        starts = np.frombuffer(known.buffers()[1], np.int32, len(known) + 1, known.offset * 4)[:-1]
+        word = ~np.isin(np.frombuffer(known.buffers()[2], np.uint8)[starts], _BREAKS)
+        numbers = np.where(word, np.cumsum(word), 0).astype(np.int32)
+        codes = numbers[coded.indices.to_numpy()]
+        counts = np.bincount(codes, minlength=int(word.sum()) + 1)[1:]
+        words = known.filter(pa.array(word)).cast(pa.string())
+        name, begin = uuid.uuid4().int >> 65, 0
+        for end in self.ends:
+            if end - begin >= part or end == self.words:
+                last = end == self.words
+                listed = [words, pa.array(counts)] if last else [None, None]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([name], pa.int64()), pa.array([lang], pa.string()),
+                    *(pa.nulls(1, kind) if x is None else pa.ListArray.from_arrays([0, len(x)], x)
+                      for x, kind in zip(listed, _BLOCK_TYPES[2:4])),
+                    pa.array([codes[begin:end].tobytes()], pa.binary()),
+                ], names=["block", "lang", "words", "counts", "codes"])
+                begin = end
 
 
 _BLOCKS = "block long, lang string, words array<string>, counts array<long>, codes binary"
@@ -86,40 +95,22 @@ _BLOCK_TYPES = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int6
 
 
 def _tokenised(limit: int, part: int = PART_WORDS):
-    """Texts into blocks; those not yet full at the end of the task go out as they are.
-
-    A block's numbers come in rows of some ``part`` words, the last of which
-    has its dictionary.
-    """
+    """Texts into blocks; those not yet full at the end of the task go out as they are."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[str, _Block] = defaultdict(_Block)
-
-        def row(lang: str, last: bool) -> pa.RecordBatch:
-            block = blocks[lang]
-            codes = block.codes()
-            words, counts = block.dictionary() if last else (None, None)
-            if last:
-                del blocks[lang]
-            values = (block.name, lang, words, counts, codes)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([value], kind) for value, kind in zip(values, _BLOCK_TYPES)],
-                names=["block", "lang", "words", "counts", "codes"])
-
         held = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 block = blocks[lang]
-                before = block.words
+                held -= block.words
                 block.add(text.as_py())
-                held += block.words - before
+                held += block.words
                 if held >= limit:  # over all languages: any number of them stays bounded
                     largest = max(blocks, key=lambda name: blocks[name].words)
                     held -= blocks[largest].words
-                    yield row(largest, last=True)
-                elif block.pending >= part:
-                    yield row(lang, last=False)
+                    yield from blocks.pop(largest).rows(largest, part)
         for lang in list(blocks):
-            yield row(lang, last=True)
+            yield from blocks.pop(lang).rows(lang, part)
 
     return run
 
