@@ -40,9 +40,9 @@ UNKNOWN = "und"
 
 TILE = 1024
 # Words of a block, and of a row of it: some ten bytes each while they are gathered, then four.
-BLOCK_WORDS, PART_WORDS = 4_000_000, 1_000_000
+BLOCK_WORDS, PART_WORDS = 4_000_000, 300_000
 # Distinct pairs of a task that are put together before they are handed on.
-HELD_PAIRS = 1_000_000
+HELD_PAIRS = 250_000
 
 _TOKEN = re.compile(rb"[.,;:!?\x0A-\x0D]+|[^\x20\x09.,;:!?\x0A-\x0D]+")
 _BREAKS = np.frombuffer(b".,;:!?\x0a\x0b\x0c\x0d", np.uint8)
@@ -109,8 +109,11 @@ def _tokenised(limit: int, part: int = PART_WORDS):
                     largest = max(blocks, key=lambda name: blocks[name].words)
                     held -= blocks[largest].words
                     yield from blocks.pop(largest).rows(largest, part)
+                    pa.default_memory_pool().release_unused()
         for lang in list(blocks):
             yield from blocks.pop(lang).rows(lang, part)
+        # The worker lives on, with other tasks to come.
+        pa.default_memory_pool().release_unused()
 
     return run
 
