@@ -408,13 +408,13 @@ GROUP BY ALL""",
   FROM recent)""") + f"""
 SELECT CAST(tenant_id AS BIGINT) AS tenant_id, {half_up('p9', '100000', 0)} / 10000.0 AS bid_price,
        CASE WHEN volume > 50 THEN 'high' ELSE 'medium' END AS confidence FROM priced""",
-    "dashboard_bundle": _with(EVENT, IMPRESSION, LOG) + f"""
+    "dashboard_bundle": _with(EVENT, IMPRESSION, LOG) + """
 SELECT tenant_id, coalesce(total_events, 0) AS total_events,
        coalesce(total_impression_events, 0) AS total_impression_events,
        coalesce(total_impressions, 0) AS total_impressions
 FROM (SELECT tenant_id, count(*) AS total_events,
              count(*) FILTER (event_type = 'impression_created') AS total_impression_events
-      FROM log WHERE {_KEPT} GROUP BY ALL)
+      FROM log GROUP BY ALL)
 FULL JOIN (SELECT tenant_id, count(*) AS total_impressions FROM impression GROUP BY ALL)
   USING (tenant_id)""",
     "unique_users_sketched": _with(EVENT, IMPRESSION) + """
