@@ -33,7 +33,7 @@ def test_bundle_counts_old_events(spark, folder):
     assert sorted(map(tuple, found.collect())) == [(1, 3, 2, 2), (2, 1, 1, 1)]
 
 
-@pytest.mark.parametrize("kind", ["realtime"])
+@pytest.mark.parametrize("kind", ["realtime", "overview"])
 def test_page_counts_old_events(spark, folder, kind):
     found = queries.QUERIES[f"dashboard_{kind}"](spark, folder)
     totals = found.filter("part = 'totals'").select("a", "b", "c")
