@@ -84,3 +84,25 @@ def test_a_rare_kind_is_learnt(spark, rows):
     assert found["limits"] == few["limits"]
     spans = {r.doc_id: r.spans for r in pii.find_personal_data(rows(["x 10[.]1[.]2[.]3 host"]), few).collect()}
     assert set(spans) == {0}
+
+
+def test_every_text_is_learnt_from(spark, rows, monkeypatch):
+    texts = [f"call +44 20 7946 {k % 1000:03d} or section 12/2020-{k}" for k in range(1500)]
+    texts += [f"card 4111 1111 1111 1111 or list {k % 97}" for k in range(1500)]
+    count = {}
+    monkeypatch.setattr(pii, "train", lambda found, **rest: count.update(
+        {(r[0], r[1]): r[2] for r in found.groupBy("kind", "label").sum("times").collect()}))
+    pii.train_on(rows(texts))
+    # Each base span as it stands and in two rewritings, one proposal in each text of the first kind.
+    assert count[3, 1] == count[2, 1] == 3 * 1500 and count[3, 0] == 1500
+
+
+def test_sums_of_parts_grow_the_same_trees(spark, rows):
+    draw = random.Random(4)
+    texts = [f"mail u{k}@mail.example.com at 10.0.{k}.7 call +1 (555) 010-{1000 + k} version 3.{k} page "
+             f"{'9' * draw.randrange(1, 9)} of 12/2020-{k}" for k in range(80)]
+    one, parts = (pii.train_on(rows(texts), gathered=n) for n in (10_000, 20))
+    for tree, other in zip(one["trees"].trees, parts["trees"].trees, strict=True):
+        assert (tree[0] == other[0]).all() and (tree[1] == other[1]).all()
+        assert abs(tree[2] - other[2]).max() < 1e-9
+    assert one["limits"] == pytest.approx(parts["limits"])
