@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adlumen.functions.measures import percent, ratio, whole
 from adlumen.functions.scope import Moment, by_date, moment, scope, span, tenant_keys
-from adlumen.functions.sizing import lookup_side
+from adlumen.functions.sizing import BROADCAST_ROWS
 from adlumen.session import settle
 
+# Rows of the history that one task adds up by user.
+ROWS_A_TASK = 1_000_000
+
 
 def _cohort_periods(rows: DataFrame, tenant_id: int | None, horizon_days: int,
                     opens: Column | None = None) -> DataFrame:
@@ -81,11 +86,22 @@ def _retention(periods: DataFrame, tenant_id: int | None) -> DataFrame:
     ).orderBy(*by, "cohort_month", "period_days")
 
 
-def _openers(rows: DataFrame, by: list[str], cutoff: Column) -> DataFrame:
-    """Users with a row since the cutoff, written once: they are counted, then sent or joined."""
+def _of_openers(rows: DataFrame, by: list[str], cutoff: Column) -> DataFrame:
+    """Rows of the users with a row since the cutoff, as far as that is worth a join.
+
+    Those users are written once and counted. Few are sent to where the history is
+    read. For many it is laid out by user as the sums need it, in parts of so many
+    rows, more of them the longer it is, and who opens no cohort falls out of the
+    sums: what a task adds up does not grow with the table.
+    """
+    keys = [*by, "user_id"]
+    known = [F.col(key).isNotNull() for key in keys]
     recent = by_date(rows.filter(F.col("timestamp") >= cutoff), cutoff)
-    return lookup_side(settle(recent.filter(F.col("user_id").isNotNull()).select(
-        *by, "user_id").distinct()))
+    users = settle(recent.filter(F.col("user_id").isNotNull()).select(*keys).distinct())
+    if users.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(users), keys, "left_semi")
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_A_TASK))
+    return rows.filter(reduce(Column.__and__, known)).repartition(parts, *keys)
 
 
 def advanced_cohort(impressions: DataFrame, tenant_id: int | None = None, days_back: int = 30,
@@ -99,7 +115,7 @@ def advanced_cohort(impressions: DataFrame, tenant_id: int | None = None, days_b
 
     Who opens a cohort is found first, from the recent days alone, and of the
     history only those users' rows are kept: where it is read, while the openers
-    are few enough to be sent along. Beyond that the join lays the history out by
+    are few enough to be sent along. Beyond that the history is laid out by
     user, as the sums that follow need it, so it is shuffled no more than once.
     """
     by = tenant_keys(tenant_id)
@@ -112,7 +128,7 @@ def advanced_cohort(impressions: DataFrame, tenant_id: int | None = None, days_b
         if "date" in rows.columns:
             rows = rows.filter(F.col("date") >= F.to_date(cutoff))
     else:
-        rows = rows.join(_openers(rows, by, cutoff), [*by, "user_id"], "left_semi")
+        rows = _of_openers(rows, by, cutoff)
     periods = _cohort_periods(rows, tenant_id, horizon_days, F.col("timestamp") >= cutoff)
     if non_negative:
         periods = periods.filter(F.col("period_days") >= 0)

@@ -1,5 +1,8 @@
 from datetime import date
 
+from pyspark.sql import functions as F
+
+from adlumen.operators import cohort
 from adlumen.operators.cohort import advanced_cohort, cohort_retention
 from tests.tables import NOW, day, impressions, rows_of
 
@@ -64,3 +67,20 @@ def test_empty(spark):
 def test_rows_without_user_belong_to_no_cohort(spark):
     facts = impressions(spark, [(1, 1, 1, None, "02-28 10:00", "1"), (2, 1, 1, 1, "02-28 10:00", "1")])
     assert rows_of(cohort_retention(facts, 1)) == [(day("02-28"), 0, 1, 1, 100.0)]
+
+
+def test_many_openers_are_added_up_in_parts_of_bounded_length(spark, monkeypatch):
+    rows = [(i, 1 + i % 2, 1, i % 70, f"0{1 + i % 2}-{1 + i % 28:02d} 10:00", "1") for i in range(600)]
+    rows += [(900, None, 1, 3, "02-28 10:00", "1"), (901, 1, 1, None, "02-28 10:00", "1"),
+             (902, 1, 1, 800, "01-03 10:00", "1")]    # the last one opens no cohort
+    facts = impressions(spark, rows)
+    few = rows_of(advanced_cohort(facts, days_back=20, as_of=NOW))
+    monkeypatch.setattr(cohort, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(cohort, "ROWS_A_TASK", 25)
+    found = advanced_cohort(facts, days_back=20, as_of=NOW)
+    assert rows_of(found) == few
+    # 25 parts for about 600 rows, and what is sorted and added up in one holds no join.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "RepartitionByExpression [tenant_id" in plan
+    laid = cohort._of_openers(facts, ["tenant_id"], F.lit(NOW).cast("timestamp_ntz") - F.expr("interval 20 days"))
+    assert laid.rdd.getNumPartitions() == -(-603 // 25)
