@@ -1,15 +1,16 @@
 """Language-model scores by a probabilistic suffix tree.
 
-Tokens are words and one end per text. A word's probability is that of its
-bytes and its end, each given the longest retained context: up to ``DEPTH``
-symbols before it, word start included. Contexts enter if they make up at least
-``SHARE`` of all symbols, level by level, and stay if their next symbols diverge
-from what the shorter context says. Distributions are smoothed along the chain
-of suffixes, down to equal odds.
-
-Counts are over all training texts. What a block of texts needs is asked for
-by its distinct words: (block, word) rows go to the word's partition to be
-counted and scored, and come back to the block.
+Tokens are words and one end per text. A text's probability is that of its words'
+bytes, of the ends of its words and of its own end, each given the longest retained
+context: up to ``DEPTH`` symbols before it, back over the ends of words as far as the
+start of the text. Contexts enter if they make up at least ``SHARE`` of all symbols
+and stay if their next symbols diverge from what the shorter context says.
+Distributions are smoothed along the chain of suffixes, down to equal odds.
+
+Counts are over all training texts: symbols with those before them are added up
+within tasks and then over all. Which words of a block are known is asked by its
+distinct words: (block, word) rows go to the word's partition to be counted, and
+come back to the block, where its texts are scored.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adlumen.llm.common import stored, text_of
+from adlumen.llm.common import forget, stored, text_of
 
 DEPTH = 6
 SHARE = 2e-5  # at most 1 / SHARE contexts of each length enter
 DIVERGENCE = 0.005  # bits
 PRIOR = 2.0  # weight of the shorter context's distribution, in symbols
 BLOCK_BYTES = 12 << 20
+SLICE = 1 << 21  # symbols worked through at a time
 HELD_OUT = 10
 
 # Symbols: bytes are 1 to 256.
@@ -43,27 +45,52 @@ def tokens_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def _laid(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all words in a row, each word's place there, and each symbol's word."""
+def _sequence(text: str | bytes) -> bytes:
+    """A text as its words with one space between them; bytes are taken as they are."""
+    return b" ".join(tokens_of(text)) if isinstance(text, str) else text
+
+
+def _laid(words: list[bytes], close: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all sequences in a row, and where each starts; spaces end words."""
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
     starts = np.cumsum(sizes) - sizes
-    symbols = np.empty(sizes.sum(), np.int64)
+    symbols = np.empty(sizes.sum(), np.uint16)
     inner = np.ones(len(symbols), bool)
     inner[starts] = inner[starts + sizes - 1] = False
-    symbols[inner] = np.frombuffer(b"".join(words), np.uint8).astype(np.int64) + 1
-    symbols[starts], symbols[starts + sizes - 1] = START, WORD_END
-    return symbols, starts, np.repeat(np.arange(len(words)), sizes)
+    symbols[inner] = np.frombuffer(b"".join(words), np.uint8).astype(np.uint16) + 1
+    symbols[inner & (symbols == ord(" ") + 1)] = WORD_END
+    symbols[starts], symbols[starts + sizes - 1] = START, close
+    return symbols, starts
 
 
-def _contexts(symbols: np.ndarray, starts: np.ndarray, owner: np.ndarray, depth: int):
-    """Per length 0 to ``depth``: the code before each symbol, and whether it is within its word."""
-    at = np.arange(len(symbols))
-    code, room = np.zeros(len(symbols), np.int64), at - starts[owner]
-    yield code, room > 0
-    for d in range(1, depth + 1):
-        code = code.copy()
-        code[d:] |= symbols[:-d] << (_BITS * (d - 1))
-        yield code, room >= d
+def _grams(words: list[bytes], close: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each symbol but the starts, behind the ``DEPTH`` before it, and whose it is; in slices.
+
+    What lies before a sequence is nothing, a zero.
+    """
+    symbols, starts = _laid(words, close)
+    owner = -1
+    for first in range(0, len(symbols), SLICE):
+        before = max(0, first - DEPTH)
+        part = symbols[before:first + SLICE].astype(np.int64)
+        gram = part.copy()
+        for k in range(1, DEPTH + 1):
+            gram[k:] |= part[:-k] << (_BITS * k)
+        near = starts[np.searchsorted(starts, before - DEPTH):np.searchsorted(starts, first + SLICE)]
+        for k in range(DEPTH):
+            at = near + k - before
+            gram[at[(at >= 0) & (at < len(gram))]] &= (1 << (_BITS * (k + 1))) - 1
+        part, gram = part[first - before:], gram[first - before:]
+        owners = owner + np.cumsum(part == START)
+        owner = owners[-1]
+        inner = part != START
+        yield gram[inner], owners[inner]
+
+
+def _context(gram: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The code of the ``depth`` symbols before each gram's last, and whether there are as many."""
+    code = (gram >> _BITS) & ((1 << (_BITS * depth)) - 1)
+    return code, (code >> (_BITS * (depth - 1))) > 0 if depth else np.ones(len(gram), bool)
 
 
 def _shorter(code: np.ndarray, depth: int) -> np.ndarray:
@@ -137,56 +164,68 @@ class SuffixTree:
         mixed[there] = (count + self.prior * chance[there]) / (totals[place[there]] + self.prior)
         return mixed
 
-    def log10_words(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word, its end included."""
+    def log10_words(self, words: list[bytes], close: int = WORD_END) -> np.ndarray:
+        """log10 probability of each sequence, its end included."""
         out = np.zeros(len(words))
-        for at in range(0, len(words), 20_000):
-            some = words[at:at + 20_000]
-            symbols, starts, owner = _laid(some)
-            chance = np.full(len(symbols), 1 / SYMBOLS)
-            for d, (code, valid) in enumerate(_contexts(symbols, starts, owner,
-                                                        len(self.levels) - 1)):
+        for gram, owner in _grams(words, close):
+            own, place = np.unique(gram, return_inverse=True)
+            chance, nexts = np.full(len(own), 1 / SYMBOLS), own & ((1 << _BITS) - 1)
+            for d in range(len(self.levels)):
+                code, valid = _context(own, d)
                 if valid.any():
-                    chance[valid] = self._mixed(d, code[valid], symbols[valid], chance[valid])
-            chance[starts] = 1.0
-            out[at:at + len(some)] = np.bincount(owner, np.log10(chance), len(some))
+                    chance[valid] = self._mixed(d, code[valid], nexts[valid], chance[valid])
+            out += np.bincount(owner, np.log10(chance)[place], len(words))
         return out
 
-    def log10_end(self) -> float:
-        """log10 probability that a text ends where a word could start."""
-        return float(np.log10(self._chance(np.array([START]), np.array([TEXT_END]), 1))[0])
-
 
-def _level(words: DataFrame, depth: int, shorter: np.ndarray | None, ends: int,
-           least: float) -> pd.DataFrame:
-    """Contexts of one length with their next symbols, over all training words.
+def _counted(close: int):
+    """Grams of sequences (word, times) with how often they occur, added up within the task."""
+    def pieces(held: list) -> tuple[np.ndarray, np.ndarray]:
+        grams, place = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
+        times = np.concatenate([n for _, n in held])
+        return grams, np.bincount(place, times, len(grams)).astype(np.int64)
 
-    Only contexts whose suffix is in ``shorter`` are counted and only those seen
-    ``least`` times come back, so there are at most total / least of them.
-    """
+    def written(grams: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(grams), 200_000):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(grams[at:at + 200_000]), pa.array(times[at:at + 200_000])],
+                names=["gram", "times"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
         for batch in batches:
-            symbols, starts, owner = _laid(batch.column(0).to_pylist())
-            weight = batch.column(1).to_numpy()[owner]
-            before = None
-            for d, (code, valid) in enumerate(_contexts(symbols, starts, owner, depth)):
-                if d == depth:
-                    if shorter is not None:
-                        valid = valid & _found(shorter, before)[1]
-                    pairs, place = np.unique((code[valid] << _BITS) | symbols[valid],
-                                             return_inverse=True)
-                    times = np.bincount(place, weight[valid], len(pairs)).astype(np.int64)
-                before = code
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(pairs >> _BITS), pa.array(pairs & ((1 << _BITS) - 1)), pa.array(times)],
-                names=["context", "next", "times"])
-
-    rows = words.mapInArrow(counted, "context bigint, next bigint, times bigint")
-    if depth < 2:  # the end of a text stands where a word could start
-        context = START if depth else 0
-        rows = rows.unionByName(words.sparkSession.createDataFrame(
-            [(context, TEXT_END, ends)], rows.schema))
+            words = [_sequence(w) for w in batch.column(0).to_pylist()]
+            weight = batch.column(1).to_numpy()
+            for gram, owner in _grams(words, close):
+                if (weight == 1).all():
+                    held.append(np.unique(gram, return_counts=True))
+                else:
+                    own, place = np.unique(gram, return_inverse=True)
+                    held.append((own, np.bincount(place, weight[owner], len(own))))
+                if sum(len(g) for g, _ in held) > SLICE:
+                    held = [pieces(held)]
+                    if len(held[0][0]) > SLICE // 2:
+                        yield from written(*held.pop())
+        if held:
+            yield from written(*pieces(held))
+
+    return counted
+
+
+def _level(grams: DataFrame, depth: int, ends: int, least: float) -> pd.DataFrame:
+    """Contexts of one length with their next symbols, those seen ``least`` times.
+
+    There are at most total / least of them. The suffix of a context is seen no
+    less often, so it comes back as well.
+    """
+    code = F.shiftright("gram", _BITS).bitwiseAND((1 << (_BITS * depth)) - 1)
+    rows = grams.select(code.alias("context"), F.col("gram").bitwiseAND((1 << _BITS) - 1).alias("next"),
+                        "times")
+    if depth:
+        rows = rows.filter(F.shiftright("context", _BITS * (depth - 1)) > 0)
+    if ends and depth < 2:  # the end of a text stands where a word could start
+        rows = rows.unionByName(grams.sparkSession.createDataFrame(
+            [(START if depth else 0, TEXT_END, ends)], rows.schema))
     summed = rows.groupBy("context", "next").agg(F.sum("times").alias("times"))
     found = summed.groupBy("context").agg(
         F.sum("times").alias("total"), F.collect_list(F.struct("next", "times")).alias("nexts")
@@ -194,18 +233,22 @@ def _level(words: DataFrame, depth: int, shorter: np.ndarray | None, ends: int,
     return found.toPandas()
 
 
-def train(words: DataFrame, ends: int, depth: int = DEPTH, share: float = SHARE) -> SuffixTree:
-    """Tree over ``words`` (``word`` binary, ``times``): every training word, once."""
-    words = words.select("word", "times")
-    first = _level(words, 0, None, ends, 0)
-    total = int(first["times"].sum())
-    levels, shorter = [first], None
+def train(words: DataFrame, ends: int = 0, depth: int = DEPTH, share: float = SHARE,
+          close: int = WORD_END) -> SuffixTree:
+    """Tree over sequences (``word``, ``times``): whole texts that ``close`` with their end.
+
+    Bare words are sequences as well; ``ends`` is then how many texts they came from.
+    """
+    grams = stored(words.select("word", "times").mapInArrow(
+        _counted(close), "gram bigint, times bigint").groupBy("gram").agg(
+            F.sum("times").alias("times")), "grams")
+    levels = [_level(grams, 0, ends, 0)]
+    total = int(levels[0]["times"].sum())
     for d in range(1, depth + 1):
-        rows = _level(words, d, shorter, ends, max(2, share * total))
-        levels.append(rows)
-        shorter = np.unique(rows["context"].to_numpy(np.int64))
-        if not len(shorter):
+        levels.append(_level(grams, d, ends, max(2, share * total)))
+        if not len(levels[-1]):
             break
+    forget(grams)
     return SuffixTree(levels)
 
 
@@ -267,36 +310,26 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id",
     total, distinct = train_words.agg(F.sum("times"), F.count("*")).first()
     total = (total or 0) + ends
     distinct += ends > 0
-    tree = known.sparkSession.sparkContext.broadcast(train(train_words, ends))
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(1).dictionary_encode()  # a word's requests stand together
-            logs = tree.value.log10_words(column.dictionary.to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2),
-                 pa.array(logs[column.indices.to_numpy()])],
-                names=["block", "word", "times", "logp"])
-
-    answers = known.select("block", "word", "times").mapInArrow(
-        scored, "block int, word binary, times bigint, logp double")
+    texts = rows.filter(~F.col("held_out")).select(F.col("t").alias("word"),
+                                                   F.lit(1).cast("bigint").alias("times"))
+    tree = known.sparkSession.sparkContext.broadcast(train(texts, close=TEXT_END))
+    answers = known.select("block", "word", "times")
     floor = 0.1 * (distinct + 1) + total
 
     def of_block(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         place = {w: i for i, w in enumerate(words["word"])}
-        times, logp = words["times"].to_numpy(np.int64), words["logp"].to_numpy(float)
+        times = words["times"].to_numpy(np.int64)
         base = np.log10((times + 0.1) / floor)
+        found = [tokens_of(text) for text in texts["t"]]
+        score = tree.value.log10_words([b" ".join(words) for words in found], TEXT_END)
         out = []
-        for text in texts["t"]:
-            found = tokens_of(text)
-            at = np.fromiter(map(place.__getitem__, found), np.int64, len(found))
-            out.append((len(found) + 1, int((times[at] > 0).sum()) + (ends > 0),
-                        base[at].sum() + np.log10((ends + 0.1) / floor),
-                        logp[at].sum() + end))
+        for words, logp in zip(found, score):
+            at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+            out.append((len(words) + 1, int((times[at] > 0).sum()) + (ends > 0),
+                        base[at].sum() + np.log10((ends + 0.1) / floor), logp))
         result = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score"])
         return pd.concat([texts[["id", "held_out"]].reset_index(drop=True), result], axis=1)
 
-    end = tree.value.log10_end()
     found = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
         of_block, f"id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, "
                   "base_score double, score double")

@@ -254,6 +254,50 @@ def test_suffix_tree_sums_to_one(spark):
     assert logs[0] > logs[1]
 
 
+def test_language_model_hears_the_order_of_words(spark, rows):
+    pairs = ["red car", "blue sky", "old man", "big dog"]
+    draw = random.Random(5)
+    texts = [" ".join(draw.choice(pairs) for _ in range(20)) for _ in range(120)]
+    ordered, turned = " ".join(pairs * 5), " ".join(" ".join(p.split()[::-1]) for p in pairs * 5)
+    table = rows(texts + [ordered, turned])
+    found = {r.doc_id: r for r in suffix_tree_lm.score_documents(table).collect()}
+    assert found[120].base_score == pytest.approx(found[121].base_score)
+    assert found[120].score > found[121].score + 5
+
+
+def test_language_model_equals_counting_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(suffix_tree_lm, "SLICE", 50)
+    draw = random.Random(6)
+    texts = ["".join(draw.choice("ab ") for _ in range(draw.randrange(40))) for _ in range(40)] + [""]
+    wanted, total = Counter(), Counter()
+    for text in texts:
+        row = [259, *(257 if c == " " else ord(c) + 1 for c in " ".join(text.split())), 258]
+        for k in range(1, len(row)):
+            for d in range(min(k, 6) + 1):
+                wanted[tuple(row[k - d:k]), row[k]] += 1
+                total[tuple(row[k - d:k])] += 1
+    table = spark.createDataFrame([(t, 1) for t in texts], "word string, times bigint").repartition(3)
+    tree = suffix_tree_lm.train(table, share=0.0, close=suffix_tree_lm.TEXT_END)
+    kept = [set(level[0].tolist()) for level in tree.levels]
+
+    def by_hand(text):
+        row, out = [259, *(257 if c == " " else ord(c) + 1 for c in text), 258], 0.0
+        for k in range(1, len(row)):
+            chance = 1 / 258
+            for d in range(min(k, 6) + 1):
+                context = tuple(row[k - d:k])
+                code = sum(s << (9 * i) for i, s in enumerate(reversed(context)))
+                if d < len(kept) and code in kept[d]:
+                    chance = (wanted[context, row[k]] + 2 * chance) / (total[context] + 2)
+            out += math.log10(chance)
+        return out
+
+    some = [" ".join(t.split()) for t in texts] + ["ab ba", "c"]
+    assert any(257 in (code & 511, code >> 9 & 511) and code >> 18 for code in kept[3])
+    assert tree.log10_words([t.encode() for t in some], suffix_tree_lm.TEXT_END) == pytest.approx(
+        [by_hand(t) for t in some])
+
+
 def test_toxicity_on_held_out_rows(spark, rows):
     draw = random.Random(9)
     bad = ["idiot", "moron", "scum", "worthless"]
