@@ -87,10 +87,12 @@ def _grams(words: list[bytes], close: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield gram[inner], owners[inner]
 
 
-def _context(gram: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The code of the ``depth`` symbols before each gram's last, and whether there are as many."""
-    code = (gram >> _BITS) & ((1 << (_BITS * depth)) - 1)
-    return code, (code >> (_BITS * (depth - 1))) > 0 if depth else np.ones(len(gram), bool)
+def _turned(code: np.ndarray, depth: int) -> np.ndarray:
+    """The ``depth`` symbols of each code the other way round, the last one first."""
+    out = np.zeros(len(code), np.int64)
+    for k in range(depth):
+        out |= ((code >> (_BITS * k)) & ((1 << _BITS) - 1)) << (_BITS * (depth - 1 - k))
+    return out
 
 
 def _shorter(code: np.ndarray, depth: int) -> np.ndarray:
@@ -136,12 +138,21 @@ class SuffixTree:
             place, there = _found(shorter[0], _shorter(codes[keep], depth))
             shorter[4][place[there]] = True
         self.levels = [self._only(*level) for level in self.levels]
+        self.sorted = [self._by_last(d, *level) for d, level in enumerate(self.levels)]
 
     @staticmethod
     def _only(codes, totals, pairs, times, keep):
         _, there = _found(codes[keep], pairs >> _BITS)
         return codes[keep], totals[keep], pairs[there], times[there]
 
+    @staticmethod
+    def _by_last(depth, codes, totals, pairs, times):
+        """The level sorted by next symbol, if any, then last symbol of the context and so on back."""
+        contexts = _turned(codes, depth)
+        both = (pairs & ((1 << _BITS) - 1)) << (_BITS * depth) | _turned(pairs >> _BITS, depth)
+        first, second = np.argsort(contexts), np.argsort(both)
+        return contexts[first], totals[first], both[second], times[second]
+
     def _chance(self, context: np.ndarray, nexts: np.ndarray, depth: int) -> np.ndarray:
         """Probability of each next symbol, smoothed along the suffixes of its context."""
         chance = np.full(len(context), 1 / SYMBOLS)
@@ -164,16 +175,41 @@ class SuffixTree:
         mixed[there] = (count + self.prior * chance[there]) / (totals[place[there]] + self.prior)
         return mixed
 
+    def _of_grams(self, grams: np.ndarray) -> np.ndarray:
+        """Probability of each distinct gram's last symbol, grams that end alike taken as one.
+
+        Turned round and sorted, those stand together, and so does what they are looked up in.
+        """
+        turned = (grams & ((1 << _BITS) - 1)) << (_BITS * DEPTH) | _turned(grams >> _BITS, DEPTH)
+        order = np.argsort(turned)
+        turned = turned[order]
+        chance = np.full(len(grams), 1 / SYMBOLS)
+        # Only a context whose suffix is in the tree can be there itself.
+        left = np.arange(len(grams))
+        for d, (contexts, totals, pairs, times) in enumerate(self.sorted):
+            ending = turned[left] >> (_BITS * (DEPTH - d))
+            first = np.flatnonzero(np.r_[True, ending[1:] != ending[:-1]])
+            alike = np.diff(np.r_[first, len(left)])
+            pair = ending[first]
+            place, there = _found(contexts, pair & ((1 << (_BITS * d)) - 1))
+            if not there.any():
+                break
+            at, seen = _found(pairs, pair[there])
+            count = np.where(seen, times[at], 0.0)
+            mixed = (count + self.prior * chance[left[first[there]]]) / (
+                totals[place[there]] + self.prior)
+            left = left[np.repeat(there, alike)]
+            chance[left] = np.repeat(mixed, alike[there])
+        out = np.empty(len(grams))
+        out[order] = chance
+        return out
+
     def log10_words(self, words: list[bytes], close: int = WORD_END) -> np.ndarray:
         """log10 probability of each sequence, its end included."""
         out = np.zeros(len(words))
         for gram, owner in _grams(words, close):
             own, place = np.unique(gram, return_inverse=True)
-            chance, nexts = np.full(len(own), 1 / SYMBOLS), own & ((1 << _BITS) - 1)
-            for d in range(len(self.levels)):
-                code, valid = _context(own, d)
-                if valid.any():
-                    chance[valid] = self._mixed(d, code[valid], nexts[valid], chance[valid])
+            chance = self._of_grams(own)
             out += np.bincount(owner, np.log10(chance)[place], len(words))
         return out
 
@@ -202,9 +238,9 @@ def _counted(close: int):
                 else:
                     own, place = np.unique(gram, return_inverse=True)
                     held.append((own, np.bincount(place, weight[owner], len(own))))
-                if sum(len(g) for g, _ in held) > SLICE:
+                if sum(len(g) for g, _ in held) > 2 * SLICE:
                     held = [pieces(held)]
-                    if len(held[0][0]) > SLICE // 2:
+                    if len(held[0][0]) > SLICE:
                         yield from written(*held.pop())
         if held:
             yield from written(*pieces(held))
