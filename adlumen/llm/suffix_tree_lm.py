@@ -17,10 +17,12 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,6 +89,13 @@ def _grams(words: list[bytes], close: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield gram[inner], owners[inner]
 
 
+def _parts(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of sequences of these sizes that are laid together: a slice's symbols, one at least."""
+    part = (np.cumsum(sizes + 2) - 1) // SLICE
+    edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(sizes) else part
+    return list(pairwise([*edges.tolist(), len(sizes)]))
+
+
 def _turned(code: np.ndarray, depth: int) -> np.ndarray:
     """The ``depth`` symbols of each code the other way round, the last one first."""
     out = np.zeros(len(code), np.int64)
@@ -217,9 +226,12 @@ class SuffixTree:
 def _counted(close: int):
     """Grams of sequences (word, times) with how often they occur, added up within the task."""
     def pieces(held: list) -> tuple[np.ndarray, np.ndarray]:
-        grams, place = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
-        times = np.concatenate([n for _, n in held])
-        return grams, np.bincount(place, times, len(grams)).astype(np.int64)
+        grams, times = (np.concatenate(kind) for kind in zip(*held))
+        held.clear()
+        order = np.argsort(grams, kind="stable")  # merges what is sorted already
+        grams, times = grams[order], times[order]
+        first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+        return grams[first], np.add.reduceat(times, first)
 
     def written(grams: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(grams), 200_000):
@@ -230,20 +242,24 @@ def _counted(close: int):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         for batch in batches:
-            words = [_sequence(w) for w in batch.column(0).to_pylist()]
-            weight = batch.column(1).to_numpy()
-            for gram, owner in _grams(words, close):
-                if (weight == 1).all():
-                    held.append(np.unique(gram, return_counts=True))
-                else:
-                    own, place = np.unique(gram, return_inverse=True)
-                    held.append((own, np.bincount(place, weight[owner], len(own))))
-                if sum(len(g) for g, _ in held) > 2 * SLICE:
-                    held = [pieces(held)]
-                    if len(held[0][0]) > SLICE:
-                        yield from written(*held.pop())
+            weights = batch.column(1).to_numpy()
+            for at, end in _parts(pc.binary_length(batch.column(0)).to_numpy()):
+                words = [_sequence(w) for w in batch.column(0).slice(at, end - at).to_pylist()]
+                weight = weights[at:end]
+                for gram, owner in _grams(words, close):
+                    if (weight == 1).all():
+                        held.append(np.unique(gram, return_counts=True))
+                    else:
+                        own, place = np.unique(gram, return_inverse=True)
+                        held.append((own, np.bincount(place, weight[owner], len(own)).astype(
+                            np.int64)))
+                    if sum(len(g) for g, _ in held) > 2 * SLICE:
+                        held = [pieces(held)]
+                        if len(held[0][0]) > SLICE:
+                            yield from written(*held.pop())
         if held:
             yield from written(*pieces(held))
+        pa.default_memory_pool().release_unused()
 
     return counted
 
@@ -356,13 +372,14 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id",
         place = {w: i for i, w in enumerate(words["word"])}
         times = words["times"].to_numpy(np.int64)
         base = np.log10((times + 0.1) / floor)
-        found = [tokens_of(text) for text in texts["t"]]
-        score = tree.value.log10_words([b" ".join(words) for words in found], TEXT_END)
         out = []
-        for words, logp in zip(found, score):
-            at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-            out.append((len(words) + 1, int((times[at] > 0).sum()) + (ends > 0),
-                        base[at].sum() + np.log10((ends + 0.1) / floor), logp))
+        for first, end in _parts(texts["t"].str.len().to_numpy(np.int64)):
+            found = [tokens_of(text) for text in texts["t"].iloc[first:end]]
+            score = tree.value.log10_words([b" ".join(words) for words in found], TEXT_END)
+            for words, logp in zip(found, score):
+                at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+                out.append((len(words) + 1, int((times[at] > 0).sum()) + (ends > 0),
+                            base[at].sum() + np.log10((ends + 0.1) / floor), logp))
         result = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score"])
         return pd.concat([texts[["id", "held_out"]].reset_index(drop=True), result], axis=1)
 

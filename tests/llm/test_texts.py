@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -298,6 +299,21 @@ def test_language_model_equals_counting_by_hand(spark, monkeypatch):
         [by_hand(t) for t in some])
 
 
+def test_language_model_lays_a_slice_at_a_time(monkeypatch):
+    monkeypatch.setattr(suffix_tree_lm, "SLICE", 50)
+    laid, lay = [], suffix_tree_lm._laid
+    monkeypatch.setattr(suffix_tree_lm, "_laid", lambda words, close: (
+        laid.append(sum(map(len, words))), lay(words, close))[1])
+    texts = [prose(k, k % 9) for k in range(60)] + [""] * 9
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(texts), pa.array([1 + k % 2 for k in range(69)])], names=["word", "times"])
+    found = Counter()
+    for part in suffix_tree_lm._counted(suffix_tree_lm.TEXT_END)(iter([batch])):
+        found.update(dict(zip(*(column.to_pylist() for column in part.columns))))
+    assert sum(found.values()) == sum((len(t) + 1) * (1 + k % 2) for k, t in enumerate(texts))
+    assert max(laid) < 50 + max(map(len, texts))
+
+
 def test_toxicity_on_held_out_rows(spark, rows):
     draw = random.Random(9)
     bad = ["idiot", "moron", "scum", "worthless"]
