@@ -129,7 +129,8 @@ def _unpacked(content: bytes) -> Iterator[bytes]:
         while left and not member.eof:
             yield member.decompress(left, PIECE)
             left = member.unconsumed_tail
-        yield member.flush()
+        if not member.eof:  # at its end, a flush would give the rest of the file once more
+            yield member.flush()
         content = member.unused_data
 
 
