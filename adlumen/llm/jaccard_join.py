@@ -65,6 +65,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
 
 
+def _let_go() -> None:
+    """Gives back what a task's words took; a worker would keep it through later stages."""
+    _hashes.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def shingle_set(text: str, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles; the whole sequence if it is shorter."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
@@ -132,6 +138,7 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
                     met = []
         if met:
             yield often(met, some.column(0).type)
+        _let_go()
 
     return docs.select("id", "h", "t").mapInArrow(sketched, schema)
 
@@ -177,6 +184,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, size: int,
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1)], names=["a", "b"]).filter(
                 pa.array(keep, pa.bool_()))
+        _let_go()
 
     return pairs, with_b.mapInArrow(linked, "a bigint, b bigint")
 
@@ -267,6 +275,7 @@ def _prefixes(texts: DataFrame, frequent: np.ndarray, size: int, percent: int) -
                     pa.array(np.concatenate(tokens).view(np.int64)), some.column(0).take(row),
                     some.column(1).take(row), pa.array(np.concatenate(places)),
                 ], names=["token", "r", "off", "place"])
+        _let_go()
 
     return texts.select("r", "off", "t").mapInArrow(
         prefix, "token bigint, r bigint, off bigint, place bigint")

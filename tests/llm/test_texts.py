@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 import sentencepiece
 
-from adlumen.llm import decontaminate, pii, suffix_tree_lm, toxicity
+from adlumen.llm import decontaminate, jaccard_join, pii, suffix_tree_lm, toxicity
 from adlumen.llm.boosting import Boosted
 from adlumen.llm.components import components
 from adlumen.llm.jaccard_join import keep_one_of_each, link_documents
@@ -299,6 +299,36 @@ def test_language_model_equals_counting_by_hand(spark, monkeypatch):
         [by_hand(t) for t in some])
 
 
+def test_jaccard_join_keeps_no_words_after_a_task(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "KEPT_WORDS", 1 << 30)
+    ends = []
+
+    class Local:
+        """Runs a task's function here instead of sending it."""
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, task, _):
+            batch = pa.RecordBatch.from_arrays(
+                [pa.array([1, 2]), pa.array([0, 0]), pa.array([prose(1, 40), prose(2, 40)])],
+                names=["a", "b", "t"])
+            ends.append(sum(part.num_rows for part in task(iter([batch]))))
+
+        @property
+        def schema(self):
+            return spark.createDataFrame([], "id bigint").schema
+
+        @property
+        def sparkSession(self):
+            return spark
+
+    jaccard_join._sketches(Local(), 5)
+    assert not jaccard_join._hashes
+    jaccard_join._prefixes(Local(), np.zeros(0, np.uint64), 5, 75)
+    assert not jaccard_join._hashes and min(ends) >= 2
+
+
 def test_language_model_lays_a_slice_at_a_time(monkeypatch):
     monkeypatch.setattr(suffix_tree_lm, "SLICE", 50)
     laid, lay = [], suffix_tree_lm._laid
