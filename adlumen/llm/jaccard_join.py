@@ -41,7 +41,7 @@ ROUNDS = 1  # of meeting leaders
 SHARES = (32, 1)
 # Frequent tokens that are put last in the order; a bound, see _frequent.
 FREQUENT = 400_000
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 KEPT_TOKENS = 4_000_000  # of the sets a task keeps while it compares pairs
 # Tokens of a task that are counted together when looking for frequent ones.
 COUNTED = 3_000_000

@@ -5,8 +5,8 @@ is a piece, best score first and leftmost among equals; the best is merged and
 its new neighbours join the agenda, until none is left. What is no piece falls
 back to bytes. Where no piece of the vocabulary crosses from one kind of
 character to another (before word marks, between letters and punctuation), a
-text is cut and its parts are merged one by one, and results are kept. The
-vocabulary comes from the model file; each batch is checked against the
+text is cut and its parts are merged one by one, and results met lately are kept.
+The vocabulary comes from the model file; each batch is checked against the
 library: every newly merged part, and every decoded text.
 """
 
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from adlumen.llm.common import text_of
 
 MARK = "▁"  # stands for a space inside pieces
-KEPT_PARTS = 700_000  # merged parts kept by a Python worker; then it starts anew
+# Merged parts a Python worker gathers before it lets go of those not met since it last did;
+# most occur in one text only, and some 250 bytes are held for each of twice as many.
+KEPT_PARTS = 200_000
 LISTED = 48  # up to so many characters a list is faster than a heap
 _LETTER, _SIGN = r"[^\W_]", r"[\x00-\x2f:-@\[-`{-\x7f]"
 _CROSSING = re.compile(f"{_LETTER}{_SIGN}|{_SIGN}{_LETTER}")
@@ -64,6 +66,7 @@ class PieceModel:
         self.raw |= {i: bytes([value]) for value, i in self.bytes.items()}
         self.plain = lib.normalize(PROBE) == self._marked(PROBE)
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def _marked(text: str) -> str:
@@ -142,9 +145,11 @@ class PieceModel:
         A text with a part on which the library differs takes the library's ids.
         """
         if len(self.kept) > KEPT_PARTS:
-            self.kept.clear()
+            self.kept, self.older = {}, self.kept
         parts = [self.split(text) for text in texts]
-        new = [p for p in dict.fromkeys(chain.from_iterable(parts)) if p not in self.kept]
+        met = [p for p in dict.fromkeys(chain.from_iterable(parts)) if p not in self.kept]
+        self.kept.update((p, self.older[p]) for p in met if p in self.older)
+        new = [p for p in met if p not in self.kept]
         merged = list(map(self.merge, new))
         wrong = {p for p, ids, theirs in zip(new, merged, self._asked(new)) if ids != theirs}
         self.kept.update((p, array("i", ids).tobytes()) for p, ids in zip(new, merged))
@@ -202,6 +207,9 @@ def encode_documents(docs: DataFrame, model: str, id_column: str = "doc_id",
                     some.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat),
                     pa.array(theirs, pa.string()), pa.array(same),
                 ], names=["_id", "ids", "decoded", "agrees"])
+            # Gone before the next batch comes, so that a worker never holds two.
+            del batch, some, encoded, lists, theirs, mine, flat
+            pa.default_memory_pool().release_unused()
 
     out = rows.mapInArrow(coded, f"_id {id_type}, {CODED}")
     return out.withColumnRenamed("_id", id_column)

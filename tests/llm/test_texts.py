@@ -13,7 +13,9 @@ import pyarrow as pa
 import pytest
 import sentencepiece
 
-from adlumen.llm import decontaminate, jaccard_join, pii, suffix_tree_lm, toxicity
+from adlumen.llm import (
+    decontaminate, jaccard_join, pii, piece_codec, suffix_dedup, suffix_tree_lm, toxicity,
+)
 from adlumen.llm.boosting import Boosted
 from adlumen.llm.components import components
 from adlumen.llm.jaccard_join import keep_one_of_each, link_documents
@@ -58,6 +60,20 @@ def test_heap_and_list_merge_alike():
         assert one == [s for s in other if s]
 
 
+def test_codec_lets_go_of_parts_not_met_again(monkeypatch):
+    monkeypatch.setattr(piece_codec, "KEPT_PARTS", 100)
+    pieces = piece_codec.PieceModel(MODEL)
+    merged = Counter()
+    merge = pieces.merge
+    monkeypatch.setattr(pieces, "merge", lambda part: merged.update([part]) or merge(part))
+    for batch in range(40):
+        text = f"always here {prose(batch, 60)}"
+        [ids], [agrees] = pieces.encode_batch([text])
+        assert agrees and ids.tolist() == pieces.library.encode(text)
+        assert len(pieces.kept) + len(pieces.older) <= 2 * (100 + 62)
+    assert merged["\u2581always"] == merged["\u2581here"] == 1
+
+
 # -- suffixes ----------------------------------------------------------------
 
 def brute_repeats(texts, span):
