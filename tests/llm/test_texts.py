@@ -108,6 +108,14 @@ def test_repeats_match_brute_force(spark, rows, seed):
     assert remove_repeats(rows(texts).limit(0), span=20).count() == 0
 
 
+def test_windows_shown_by_neighbours_are_counted_and_not_joined(spark):
+    counted = spark.createDataFrame(
+        [(k, 3, "often", k == 7) for k in range(50)] + [(60, 3, "once", True), (61, 4, "often", True)]
+        + [(k, 5, "shown", False) for k in range(70, 90)], "pid int, d int, w string, open boolean")
+    found = suffix_dedup._found_again(counted)
+    assert [r.pid for r in found.collect()] == [7]
+
+
 def test_loser_tree_merges_and_knows_common_prefixes():
     draw = random.Random(3)
     runs = [sorted({("".join(draw.choice("ab") for _ in range(draw.randint(0, 9))).encode(), k)
