@@ -348,7 +348,7 @@ def _across(rows: DataFrame, texts: DataFrame, groups: DataFrame, size: int,
     for share in SHARES:
         now = groups.toDF("r", "now")
         apart = opened.join(now, "r").join(now.toDF("g", "there"), "g").filter(
-            "now <> there").select("r", "g", "n", "hits")
+            "now <> there").select("r", "g", "n", "hits", "least")
         links = _compared(_candidates(apart, rows, share, percent), texts, size, percent)
         groups = _joined(groups, links)
     forget(opened, rows)
@@ -389,13 +389,15 @@ def _least_hits(n, low, high, percent: int):
 
 
 def _opened(rows: DataFrame, percent: int) -> DataFrame:
-    """(r, g, n, hits): groups of which a member may link to the set, with the tokens both hold.
+    """(r, g, n, hits, least): groups of which a member may link to the set.
 
-    Each pair of groups is looked at from one side.
+    ``hits`` are the tokens both hold, those that fewest members hold first, and
+    ``least`` of them any such member has. Each pair of groups is looked at from one side.
     """
     # The matrix: the union of a group's prefixes, with the sizes of the sets that hold a token.
     matrix = rows.groupBy("token", "g").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("furthest"))
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("furthest"),
+        F.count("*").alias("held"))
     query = rows.select("token", "r", "n", "reach", F.col("g").alias("own"))
     smallest = F.greatest(F.col("low"), F.ceil(F.lit(percent) * F.col("n") / F.lit(100)))
     counted = query.join(matrix, "token").filter(
@@ -403,22 +405,31 @@ def _opened(rows: DataFrame, percent: int) -> DataFrame:
         & (F.least("reach", "furthest") >= _needed(F.col("n"), smallest, percent)) & (100 * F.col("high") >= percent * F.col("n"))
         & (100 * F.col("n") >= percent * F.col("low"))
     ).groupBy("r", "g").agg(
-        F.collect_list("token").alias("hits"), F.min("n").alias("n"),
+        F.collect_list(F.struct("held", "token")).alias("hits"), F.min("n").alias("n"),
         F.min("low").alias("low"), F.max("high").alias("high"))
     least = _least_hits(F.col("n"), F.col("low"), F.col("high"), percent)
-    return stored(counted.filter(F.size("hits") >= least).select("r", "g", "n", "hits"), "opened")
+    return stored(counted.withColumn("least", least.cast("int")).filter(
+        F.size("hits") >= F.col("least")).select(
+        "r", "g", "n", F.sort_array("hits")["token"].alias("hits"), "least"), "opened")
 
 
 def _candidates(opened: DataFrame, rows: DataFrame, share: int, percent: int) -> DataFrame:
-    """(a, b): sets and members of opened groups that may link, one in ``share`` of the members."""
+    """(a, b): sets and members of opened groups that may link, one in ``share`` of the members.
+
+    A member that holds ``least`` of the hits holds one of any but ``least - 1`` of
+    them, so it is met by its rarest ones; tokens that all of a large group share
+    join nothing. Whom a set has met is then compared with all of its hits at once.
+    """
     members = rows.select("token", F.col("r").alias("m"), F.col("n").alias("mn"), "g")
     if share > 1:
         members = members.filter(F.pmod(F.xxhash64("m"), F.lit(share)) == 0)
-    asked = opened.select("r", "g", "n", F.explode("hits").alias("token"))
-    met = asked.join(members, ["token", "g"]).filter(
-        _near_size(F.col("n"), F.col("mn"), percent)
-    ).groupBy("r", "m").agg(F.count("*").alias("hits"), F.min("n").alias("n"),
-                            F.min("mn").alias("mn"))
+    rarest = F.slice("hits", 1, F.size("hits") - F.col("least") + 1)
+    asked = opened.select("r", "g", "n", F.explode(rarest).alias("token"))
+    pairs = asked.join(members, ["token", "g"]).filter(
+        _near_size(F.col("n"), F.col("mn"), percent)).select("r", "g", "m").distinct()
+    own = members.groupBy("m").agg(F.collect_list("token").alias("own"), F.min("mn").alias("mn"))
+    met = pairs.join(opened.select("r", "g", "n", "hits"), ["r", "g"]).join(own, "m").withColumn(
+        "hits", F.size(F.array_intersect("hits", "own")))
     least = _least_hits(F.col("n"), F.col("mn"), F.col("mn"), percent)
     return met.filter(F.col("hits") >= least).select(
         F.greatest("r", "m").alias("a"), F.least("r", "m").alias("b"))

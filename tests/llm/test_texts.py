@@ -323,6 +323,18 @@ def test_language_model_equals_counting_by_hand(spark, monkeypatch):
         [by_hand(t) for t in some])
 
 
+def test_members_are_met_by_the_tokens_fewest_of_them_hold(spark):
+    common = [(token, r, 0, 96, 90) for r in range(40) for token in (0, 1, 2, 3, 10 + r % 4)]
+    asking = [(token, 100, 100, 96, 90) for token in (0, 1, 2, 3, 10)]
+    rows = spark.createDataFrame(common + asking,
+                                 "token bigint, r bigint, g bigint, n int, reach int")
+    opened = jaccard_join._opened(rows, 75)
+    [one] = opened.collect()
+    assert (one.r, one.g, one.least, one.hits[0], sorted(one.hits)) == (100, 0, 5, 10, [0, 1, 2, 3, 10])
+    found = jaccard_join._candidates(opened, rows, 1, 75).collect()
+    assert sorted(map(tuple, found)) == [(100, r) for r in range(0, 40, 4)]
+
+
 def test_jaccard_join_keeps_no_words_after_a_task(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "KEPT_WORDS", 1 << 30)
     ends = []
