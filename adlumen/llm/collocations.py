@@ -24,12 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adlumen.functions.ordered import number_rows
 from adlumen.functions.sizing import lookup_side
-from adlumen.llm.common import forget, stored, text_of
+from adlumen.llm.common import forget, partitions, stored, text_of
 
 LEAST = 30
 LONGEST = 4
@@ -43,6 +44,8 @@ TILE = 1024
 BLOCK_WORDS, PART_WORDS = 4_000_000, 300_000
 # Distinct pairs of a task that are put together before they are handed on.
 HELD_PAIRS = 250_000
+# Words of the texts for each bucket in which pairs are looked up.
+BUCKET_WORDS = 4_000_000
 
 _TOKEN = re.compile(rb"[.,;:!?\x0A-\x0D]+|[^\x20\x09.,;:!?\x0A-\x0D]+")
 _BREAKS = np.frombuffer(b".,;:!?\x0a\x0b\x0c\x0d", np.uint8)
@@ -186,30 +189,69 @@ def _pair_totals(tile: int):
     return run
 
 
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct pairs of each block, once for all of its rows that the task has at hand."""
-    held: dict[tuple[int, str], np.ndarray] = {}
+def _bucket(left, right, buckets: int):
+    """Where a pair is answered; the same for numbers of Spark and of numpy."""
+    return (left * 1_000_003 + right) % buckets
 
-    def out() -> Iterator[pa.RecordBatch]:
-        for (block, lang), keys in held.items():
-            for at in range(0, len(keys), 100_000):
-                some = keys[at : at + 100_000]
+
+def _asked(buckets: int):
+    """The distinct pairs of each block, once for all of its rows that the task has at hand.
+
+    A row packs the pairs of one block that one bucket answers.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, str], np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for (block, lang), keys in held.items():
+                at = _bucket(keys >> 32, keys & 0xFFFFFFFF, buckets)
+                order = np.argsort(at, kind="stable")
+                names, starts = np.unique(at[order], return_index=True)
+                parts = np.split(keys[order], starts[1:]) if len(names) else []
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(some), block)),
-                     pa.array([lang] * len(some), pa.string()), pa.array(some)],
-                    names=["block", "lang", "key"])
-        held.clear()
-
-    for batch in batches:
-        for name, lang, codes in zip(*(batch.column(i) for i in range(3))):
-            numbers = np.frombuffer(codes.as_buffer(), np.int32).astype(np.int64)
-            real = (numbers[:-1] > 0) & (numbers[1:] > 0)
-            keys = np.unique((numbers[:-1] << 32 | numbers[1:])[real])
-            block = name.as_py(), lang.as_py()
-            held[block] = np.union1d(held[block], keys) if block in held else keys
-            if sum(map(len, held.values())) > HELD_PAIRS:
-                yield from out()
-    yield from out()
+                    [pa.array(names, pa.int64()), pa.array([block] * len(names), pa.int64()),
+                     pa.array([lang] * len(names), pa.string()),
+                     pa.array([part.tobytes() for part in parts], pa.binary())],
+                    names=["bucket", "block", "lang", "keys"])
+            held.clear()
+
+        for batch in batches:
+            for name, lang, codes in zip(*(batch.column(i) for i in range(3))):
+                numbers = np.frombuffer(codes.as_buffer(), np.int32).astype(np.int64)
+                real = (numbers[:-1] > 0) & (numbers[1:] > 0)
+                keys = np.unique((numbers[:-1] << 32 | numbers[1:])[real])
+                block = name.as_py(), lang.as_py()
+                held[block] = np.union1d(held[block], keys) if block in held else keys
+                if sum(map(len, held.values())) > HELD_PAIRS:
+                    yield from out()
+        yield from out()
+
+    return run
+
+
+_ANSWERS = pa.schema([("asker", pa.int64()), ("keys", pa.binary()), ("ranks", pa.binary())])
+
+
+def _answered(known: pa.Table, asked: pa.Table) -> pa.Table:
+    """For each row of a bucket's ``asked`` the pairs among them that are ``known``, and their ranks."""
+    by_lang = {}
+    for lang in known["lang"].unique():
+        own = known.filter(pc.equal(known["lang"], lang))
+        keys, ranks = own["key"].to_numpy(), own["rank"].to_numpy().astype(np.int32)
+        order = np.argsort(keys)
+        by_lang[lang.as_py()] = keys[order], ranks[order]
+    out = []
+    for block, lang, packed in zip(asked["block"], asked["lang"], asked["keys"]):
+        if lang.as_py() not in by_lang:
+            continue
+        keys, ranks = by_lang[lang.as_py()]
+        wanted = np.frombuffer(packed.as_buffer(), np.int64)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        hit = keys[at] == wanted
+        if hit.any():
+            out.append({"asker": block.as_py(), "keys": wanted[hit].tobytes(),
+                        "ranks": ranks[at[hit]].tobytes()})
+    return pa.Table.from_pylist(out, schema=_ANSWERS)
 
 
 _RECODED = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("codes", pa.binary())])
@@ -218,10 +260,13 @@ _RECODED = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("codes", pa
 def _recoded(by_pairs: bool):
     """A block's numbers replaced by the new ranks of what they stand for, 0 where it is rare."""
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        keys = answers["key"].to_numpy()
-        ranks = answers["rank"].to_numpy()
+        if by_pairs:
+            keys = np.frombuffer(b"".join(answers["keys"].to_pylist()), np.int64)
+            ranks = np.frombuffer(b"".join(answers["ranks"].to_pylist()), np.int32)
+        else:
+            keys, ranks = answers["key"].to_numpy(), answers["rank"].to_numpy().astype(np.int32)
         order = np.argsort(keys)
-        keys, ranks = keys[order], ranks[order].astype(np.int32)
+        keys, ranks = keys[order], ranks[order]
         out = []
         for row in blocks.to_pylist():
             codes = np.frombuffer(row["codes"], np.int32)
@@ -251,16 +296,22 @@ def _ranked(counted: DataFrame, order: list[Column], least: int) -> DataFrame:
     return number_rows(frequent, ["lang"], ["_rare", *order], "rank").drop("_rare")
 
 
-def _recode(blocks: DataFrame, asked: DataFrame, known: DataFrame, on: list[str],
-            by_pairs: bool) -> DataFrame:
-    """``blocks`` in the ranks of ``known``: each asks for its own keys and gets its answers."""
-    answers = asked.join(lookup_side(known.select("lang", *on, "rank")), ["lang", *on]).select(
-        F.col("block").alias("asker"), "key", "rank")
+def _recode(blocks: DataFrame, answers: DataFrame, by_pairs: bool) -> DataFrame:
+    """``blocks`` in new ranks, those that came as ``answers`` to what each asked for."""
     both = blocks.select("block", "lang", "codes").groupBy("block").cogroup(
         answers.groupBy("asker"))
     return both.applyInArrow(_recoded(by_pairs), "block long, lang string, codes binary")
 
 
+def _pair_answers(codes: DataFrame, pairs: DataFrame, buckets: int) -> DataFrame:
+    """The ranks of the pairs each block asks for, found by sorted keys in buckets of pairs."""
+    asked = codes.mapInArrow(_asked(buckets), "bucket long, block long, lang string, keys binary")
+    place = _bucket(F.shiftright("key", 32), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)), buckets)
+    known = pairs.select(place.alias("bucket"), "lang", "key", "rank")
+    return known.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(
+        _answered, "asker long, keys binary, ranks binary")
+
+
 def mine_phrases(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
                  least: int = LEAST, longest: int = LONGEST, tile: int = TILE,
                  block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -293,7 +344,12 @@ def mine_phrases(docs: DataFrame, text_column: str = "text", lang_column: str =
     totals = blocks.filter("words is not null").select("lang", F.aggregate("counts", F.lit(0).cast("long"),
                                                lambda x, y: x + y).alias("n"))
     totals = stored(totals.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    codes = stored(_recode(blocks, listed, words, ["word"], by_pairs=False), "codes")
+    answers = listed.join(lookup_side(words.select("lang", "word", "rank")), ["lang", "word"]).select(
+        F.col("block").alias("asker"), "key", "rank")
+    codes = stored(_recode(blocks, answers, by_pairs=False), "codes")
+    # As many pairs are asked for as there are words at most, so a bucket's are bounded.
+    n_words = totals.agg(F.sum("n")).first()[0] or 0
+    buckets = max(partitions(spark), n_words // BUCKET_WORDS)
     forget(blocks)
     level = words.drop("word")
     found = []
@@ -304,8 +360,8 @@ def mine_phrases(docs: DataFrame, text_column: str = "text", lang_column: str =
         grown = stored(_grown(pairs, level), "phrases")
         found.append(grown)
         if length < longest:
-            asked = codes.mapInArrow(_asked, "block long, lang string, key long")
-            later = stored(_recode(codes, asked, pairs, ["key"], by_pairs=True), "codes")
+            later = stored(_recode(codes, _pair_answers(codes, pairs, buckets), by_pairs=True),
+                           "codes")
             forget(codes)
             codes = later
         forget(pairs)

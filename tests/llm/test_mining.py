@@ -147,6 +147,27 @@ def test_tiles_count_like_a_counter():
     assert len(tile_counts(np.zeros(5, np.int32))[0]) == 0
 
 
+def test_pairs_are_answered_in_packed_rows_without_a_join(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "HELD_PAIRS", 40)
+    draw = random.Random(3)
+    rows = [(block, "ab"[block % 2], np.array([draw.randrange(9) for _ in range(60)], np.int32))
+            for block in (1, 2, 3, 3)] + [(4, "none", np.array([1, 2, 3], np.int32))]
+    codes = spark.createDataFrame([(b, lang, bytearray(c.tobytes())) for b, lang, c in rows],
+                                  "block long, lang string, codes binary")
+    ranks = {(lang, x << 32 | y): 1 + x * 9 + y + 100 * (lang == "b")
+             for lang in "ab" for x in range(1, 9) for y in range(1, 9) if (x + y) % 3}
+    pairs = spark.createDataFrame([(*k, r) for k, r in ranks.items()],
+                                  "lang string, key long, rank long")
+    answers = collocations._pair_answers(codes, pairs, 5)
+    assert "Join" not in answers._jdf.queryExecution().executedPlan().toString()
+    found = {(r.asker, k, n) for r in answers.collect()
+             for k, n in zip(np.frombuffer(r["keys"], np.int64).tolist(),
+                             np.frombuffer(r.ranks, np.int32).tolist())}
+    assert found == {(b, k, ranks[lang, k]) for b, lang, c in rows
+                     for k in (c[:-1].astype(np.int64) << 32 | c[1:]).tolist() if (lang, k) in ranks}
+    assert answers.count() <= 5 * 6
+
+
 def test_blocks_hold_whole_texts_and_stay_small(spark):
     texts = spark.createDataFrame([("a b c d e " * 30, f"l{k % 7}") for k in range(70)],
                                   "text string, lang string").coalesce(1)
