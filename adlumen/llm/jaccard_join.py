@@ -6,7 +6,8 @@ leader, and those that pass form a group with it. The matrix stores, for each
 token, the groups in whose union it occurs. A set then queries the matrix:
 the tokens it shares with a group are counted, which bounds its overlap with
 any member; only groups with enough of them are opened, the same count is taken
-for their members, and what is left is compared exactly.
+for their members, bits of parity bound how many tokens they differ by, and what is
+left is compared exactly.
 
 Two sets that reach the limit share a token among the first quarter (for 75 %)
 of each in any one order of tokens, so only these prefixes enter the matrix.
@@ -41,13 +42,21 @@ ROUNDS = 1  # of meeting leaders
 SHARES = (32, 1)
 # Frequent tokens that are put last in the order; a bound, see _frequent.
 FREQUENT = 400_000
-KEPT_WORDS = 150_000
-KEPT_TOKENS = 4_000_000  # of the sets a task keeps while it compares pairs
+LONG = 64  # bytes of a word that are hashed eight at a time
+KEPT_WORDS = 10_000  # longer ones of which a task keeps the hash
+KEPT_TOKENS = 1_000_000  # of the sets a task keeps while it compares pairs
 # Tokens of a task that are counted together when looking for frequent ones.
 COUNTED = 3_000_000
 # One in how many tokens of a set is looked for beyond the first shared one.
 MORE = 24
+# Texts and bytes of text that a task looks at together.
+TOGETHER, TOGETHER_BYTES = 500, 1 << 20
+# Bits of a set's parities: each tells whether an odd number of its tokens fall on it.
+PARITIES = 512
+# Bits of a token by which a task passes over those that are surely not frequent.
+FIRST_BITS = 22
 _FACTORS = np.array([xxhash.xxh64_intdigest(b"word", i) | 1 for i in range(64)], np.uint64)
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _TURNS = np.array([xxhash.xxh64_intdigest(b"turn", i) | 1 for i in range(PERMUTATIONS)], np.uint64)
 
 
@@ -71,20 +80,71 @@ def _let_go() -> None:
     pa.default_memory_pool().release_unused()
 
 
-def shingle_set(text: str, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles; the whole sequence if it is shorter."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if len(_hashes) > KEPT_WORDS:
-        _hashes.clear()
-    codes = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    width = min(size, len(codes))
-    if not width:
-        return codes
-    end = len(codes) - width + 1
-    total = codes[:end] * _FACTORS[0]
-    for k in range(1, width):
-        total = _mix(total) + codes[k:k + end] * _FACTORS[k]
-    return np.unique(_mix(total + np.uint64(width)))
+def _word_codes(words: pa.Array) -> np.ndarray:
+    """A hash of each word: eight bytes after the other are mixed in; long ones are hashed alone."""
+    words = words.cast(pa.large_binary())
+    start, size = np.frombuffer(words.buffers()[1], np.int64)[words.offset:][:len(words)], (
+        pc.binary_length(words).to_numpy(zero_copy_only=False))
+    data = words.buffers()[2].to_pybytes() + bytes(8)
+    eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    codes = _mix(size.astype(np.uint64) * _FACTORS[0])
+    rest = np.flatnonzero(size <= LONG)
+    for at in range(0, LONG, 8):
+        rest = rest[size[rest] > at]
+        if not len(rest):
+            break
+        eight = eights[start[rest] + at] & _FIRST[np.minimum(size[rest] - at, 8)]
+        codes[rest] = _mix((codes[rest] ^ eight) * _FACTORS[1] + _FACTORS[2])
+    for k in np.flatnonzero(size > LONG).tolist():
+        if len(_hashes) > KEPT_WORDS:
+            _hashes.clear()
+        codes[k] = _hashes[words[k].as_py()]
+    return codes
+
+
+def _some(batch: pa.RecordBatch, texts: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of a bounded number of rows and, but for a single one, bytes of text."""
+    ends = np.cumsum(pc.binary_length(batch.column(texts)).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        full = np.searchsorted(ends, TOGETHER_BYTES + (ends[at - 1] if at else 0), "right")
+        to = min(at + TOGETHER, max(at + 1, int(full)))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of each text's shingles, end to end, and how many each text has.
+
+    A text of fewer words has one, of the whole sequence.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, row = pc.list_flatten(split), pc.list_parent_indices(split).to_numpy()
+    real = pc.greater(pc.binary_length(words), 0)
+    counts = np.bincount(row[real.to_numpy(zero_copy_only=False)], minlength=len(texts))
+    if not counts.any():
+        return np.zeros(0, np.uint64), counts
+    codes, ends = _word_codes(words.filter(real)), np.cumsum(counts)
+    # Each place is hashed with the words that follow in its text, at most ``size``.
+    count = len(codes)
+    left = np.repeat(ends, counts) - np.arange(count)
+    width = np.minimum(size, np.repeat(counts, counts))
+    padded = np.concatenate([codes, np.zeros(size, np.uint64)])
+    total = codes * _FACTORS[0]
+    for k in range(1, size):
+        total = np.where(k < width, _mix(total) + padded[k:k + count] * _FACTORS[k], total) \
+            if (counts < size).any() else _mix(total) + padded[k:k + count] * _FACTORS[k]
+    whole = left >= width
+    tokens = _mix(total + width.astype(np.uint64))[whole]
+    sizes = np.maximum(counts - size + 1, np.minimum(counts, 1))
+    ends = np.cumsum(sizes)
+    for a, b in zip((ends - sizes).tolist(), ends.tolist()):
+        tokens[a:b].sort()
+    new = np.ones(len(tokens), bool)
+    new[1:] = tokens[1:] != tokens[:-1]
+    new[(ends - sizes)[sizes > 0]] = True
+    return tokens[new], np.bincount(np.repeat(np.arange(len(sizes)), sizes)[new],
+                                    minlength=len(sizes))
 
 
 def least_overlap(n, percent: int = PERCENT):
@@ -92,58 +152,70 @@ def least_overlap(n, percent: int = PERCENT):
     return -(-n * percent // 100)
 
 
-SKETCH = ("id {id}, h bigint, n bigint, s binary, mins array<bigint>, "
+SKETCH = ("id {id}, h bigint, n bigint, s binary, mins array<bigint>, bits array<bigint>, "
           "token bigint, times bigint")
 
 
 def _sketches(docs: DataFrame, size: int) -> DataFrame:
-    """Per text its set's size, digest and min-hashes; and tokens seen often within a task."""
+    """Per text its set's size, digest, min-hashes and parities; and tokens seen often in a task."""
     schema = SKETCH.format(id=docs.schema["id"].dataType.simpleString())
 
-    def rows(ids, hs, sets) -> pa.RecordBatch:
-        turned = [(s[None, :] * _TURNS[:, None]).min(1) if len(s) else np.zeros(PERMUTATIONS,
-                                                                               np.uint64)
-                  for s in sets]
-        mins = np.concatenate([np.zeros(0, np.uint64), *turned]).view(np.int64)
-        count = len(sets)
+    def lists(values: np.ndarray) -> pa.Array:
+        count, width = values.shape
+        return pa.ListArray.from_arrays(pa.array(np.arange(count + 1) * width, pa.int32()),
+                                        values.ravel().view(np.int64))
+
+    def rows(ids, hs, tokens, sizes) -> pa.RecordBatch:
+        count, ends = len(sizes), np.cumsum(sizes)
+        starts = ends - sizes
+        mins = np.zeros((count, PERMUTATIONS), np.uint64)
+        if len(tokens):
+            for k, turn in enumerate(_TURNS):
+                mins[sizes > 0, k] = np.minimum.reduceat(tokens * turn, starts[sizes > 0])
+        fallen = np.bincount(np.repeat(np.arange(count) * PARITIES, sizes)
+                             + (tokens % np.uint64(PARITIES)).astype(np.int64),
+                             minlength=count * PARITIES) & 1
+        bits = np.packbits(fallen.astype(np.uint8)).view(np.int64).reshape(count, PARITIES // 64)
         return pa.RecordBatch.from_arrays([
-            ids, hs, pa.array([len(s) for s in sets], pa.int64()),
-            pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
-                     pa.binary()),
-            pa.ListArray.from_arrays(
-                pa.array(np.arange(count + 1) * PERMUTATIONS, pa.int32()), mins),
-            pa.nulls(count, pa.int64()), pa.nulls(count, pa.int64()),
+            ids, hs, pa.array(sizes.astype(np.int64)),
+            pa.array([hashlib.blake2b(tokens[a:b], digest_size=16).digest()
+                      for a, b in zip(starts.tolist(), ends.tolist())], pa.binary()),
+            lists(mins), lists(bits), pa.nulls(count, pa.int64()), pa.nulls(count, pa.int64()),
         ], names=NAMES)
 
     def often(sets: list[np.ndarray], arrow_id: pa.DataType) -> pa.RecordBatch:
-        tokens, times = np.unique(np.concatenate(sets), return_counts=True)
-        more = times > 2
-        count = int(more.sum())
+        met = np.concatenate(sets)
+        met.sort()
+        # A token is here once for each time beyond the second.
+        tokens, times = np.unique(met[2:][met[2:] == met[:-2]], return_counts=True)
+        count = len(tokens)
+        empty = pa.nulls(count, pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([
             pa.nulls(count, arrow_id), pa.nulls(count, pa.int64()), pa.nulls(count, pa.int64()),
-            pa.nulls(count, pa.binary()), pa.nulls(count, pa.list_(pa.int64())),
-            pa.array(tokens[more].view(np.int64)), pa.array(times[more]),
+            pa.nulls(count, pa.binary()), empty, empty,
+            pa.array(tokens.view(np.int64)), pa.array(times + 2),
         ], names=NAMES)
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: list[np.ndarray] = []
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                sets = [shingle_set(t, size) for t in some.column(2).to_pylist()]
-                yield rows(some.column(0), some.column(1), sets)
-                met += sets
+            arrow_id = batch.schema.field(0).type
+            for some in _some(batch, 2):
+                tokens, sizes = shingle_sets(some.column(2), size)
+                yield rows(some.column(0), some.column(1), tokens, sizes)
+                met.append(tokens)
                 if sum(map(len, met)) > COUNTED:
-                    yield often(met, some.column(0).type)
+                    yield often(met, arrow_id)
                     met = []
         if met:
-            yield often(met, some.column(0).type)
+            yield often(met, arrow_id)
+        del met
         _let_go()
 
     return docs.select("id", "h", "t").mapInArrow(sketched, schema)
 
 
-NAMES = ["id", "h", "n", "s", "mins", "token", "times"]
+NAMES = ["id", "h", "n", "s", "mins", "bits", "token", "times"]
 
 
 def _frequent(sketches: DataFrame) -> np.ndarray:
@@ -167,23 +239,24 @@ def _compared(pairs: DataFrame, texts: DataFrame, size: int,
     with_b = with_a.join(met.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[str, np.ndarray] = {}
-        held = 0
+        sets: dict[int, np.ndarray] = {}
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if held > KEPT_TOKENS:
-                    sets, held = {}, 0
-                for text in (x, y):
-                    if text not in sets:
-                        sets[text] = shingle_set(text, size)
-                        held += len(sets[text])
-                p, q = sets[x], sets[y]
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1)], names=["a", "b"]).filter(
-                pa.array(keep, pa.bool_()))
+            for some in _some(batch, 2):
+                ends = [some.column(k).to_pylist() for k in (0, 1)]
+                if sum(map(len, sets.values())) > KEPT_TOKENS:
+                    sets = {}
+                for end, column in zip(ends, (2, 3)):
+                    new = {r: k for k, r in enumerate(end) if r not in sets}
+                    tokens, sizes = shingle_sets(some.column(column).take(
+                        pa.array(list(new.values()), pa.int64())), size)
+                    sets.update(zip(new, np.split(tokens, np.cumsum(sizes)[:-1])))
+                keep = []
+                for p, q in zip(*(map(sets.__getitem__, end) for end in ends)):
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    keep.append(100 * both >= percent * (len(p) + len(q) - both))
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), some.column(1)], names=["a", "b"]).filter(
+                    pa.array(keep, pa.bool_()))
         _let_go()
 
     return pairs, with_b.mapInArrow(linked, "a bigint, b bigint")
@@ -193,6 +266,16 @@ def _near_size(n, m, percent: int):
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
+def _near_bits(n, m, bits, others, percent: int):
+    """False if the parities tell that two sets of these sizes cannot link.
+
+    A bit on which they differ stands for at least one token that only one of the sets has.
+    """
+    differ = F.aggregate(F.zip_with(bits, others, lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+                         F.lit(0), lambda x, y: x + y)
+    return differ <= n + m - 2 * _needed(n, m, percent)
+
+
 def _groups(reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(r, g): similar sets in groups, by exact comparison with leaders.
 
@@ -203,7 +286,7 @@ def _groups(reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     round is linear in the number of sets, however many share a value, and later
     ones only concern values that still occur in several groups.
     """
-    known = reps.select("r", "n", "mins")
+    known = reps.select("r", "n", "mins", "bits")
     groups = reps.select("r", F.col("r").alias("g"))
     values = reps.select("r", F.posexplode("mins").alias("k", "v"))
     shared = values.groupBy("k", "v").agg(F.count("*").alias("times")).filter("times > 1")
@@ -219,11 +302,13 @@ def _groups(reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
             (F.min("g") != F.max("g")).alias("several")).filter("several").drop("several")
         met = keyed.join(leaders, ["k", "v"]).filter("g <> leader.g").select(
             F.greatest("r", "leader.r").alias("a"), F.least("r", "leader.r").alias("b")).distinct()
-        pairs = met.join(known.toDF("a", "na", "ma"), "a").join(known.toDF("b", "nb", "mb"), "b")
+        pairs = met.join(known.toDF("a", "na", "ma", "pa"), "a").join(
+            known.toDF("b", "nb", "mb", "pb"), "b")
         agree = F.aggregate(F.zip_with("ma", "mb", lambda x, y: (x == y).cast("int")),
                             F.lit(0), lambda x, y: x + y)
-        pairs = pairs.filter((agree >= PERMUTATIONS // 2) & _near_size(
-            F.col("na"), F.col("nb"), percent)).select("a", "b")
+        pairs = pairs.filter(
+            (agree >= PERMUTATIONS // 2) & _near_size(F.col("na"), F.col("nb"), percent)
+            & _near_bits(F.col("na"), F.col("nb"), "pa", "pb", percent)).select("a", "b")
         groups = _joined(groups, _compared(pairs, texts, size, percent))
     forget(values)
     return groups
@@ -253,27 +338,31 @@ def _prefixes(texts: DataFrame, frequent: np.ndarray, size: int, percent: int) -
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = sent.value
+        maybe = np.zeros(1 << FIRST_BITS, bool)
+        maybe[late >> np.uint64(64 - FIRST_BITS)] = True
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                tokens, counts, places = [], [], []
-                for text in some.column(2).to_pylist():
-                    s = shingle_set(text, size)
-                    early = len(s)
-                    if len(late):
-                        where = np.minimum(np.searchsorted(late, s), len(late) - 1)
-                        last = late[where] == s
-                        s = np.concatenate([s[~last], s[last]])
-                        early -= int(last.sum())
-                    tokens.append(s[:len(s) - least_overlap(len(s), percent) + 1])
-                    counts.append(len(tokens[-1]))
-                    p = np.arange(counts[-1])
-                    reach = len(s) - p + len(s) // MORE
-                    places.append((len(s) << 32) | (reach << 1) | (p >= early))
-                row = pa.array(np.repeat(np.arange(len(counts)), counts))
+            for some in _some(batch, 2):
+                tokens, sizes = shingle_sets(some.column(2), size)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                starts = np.cumsum(sizes) - sizes
+                last = maybe[tokens >> np.uint64(64 - FIRST_BITS)]
+                asked = np.flatnonzero(last)
+                if len(asked):
+                    where = np.minimum(np.searchsorted(late, tokens[asked]), len(late) - 1)
+                    last[asked] = late[where] == tokens[asked]
+                # Places in the common order: frequent tokens come after all others.
+                before = np.cumsum(np.r_[0, last])
+                early = sizes - (before[starts + sizes] - before[starts])
+                behind = before[:-1] - before[starts][row]
+                p = np.where(last, early[row] + behind, np.arange(len(row)) - starts[row] - behind)
+                kept = np.flatnonzero(p < (sizes - least_overlap(sizes, percent) + 1)[row])
+                p, own = p[kept], row[kept]
+                reach = sizes[own] - p + sizes[own] // MORE
+                place = (sizes[own] << 32) | (reach << 1) | (p >= early[own])
+                taken = pa.array(own)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(tokens).view(np.int64)), some.column(0).take(row),
-                    some.column(1).take(row), pa.array(np.concatenate(places)),
+                    pa.array(tokens[kept].view(np.int64)), some.column(0).take(taken),
+                    some.column(1).take(taken), pa.array(place),
                 ], names=["token", "r", "off", "place"])
         _let_go()
 
@@ -334,7 +423,7 @@ def _in_two_groups(rows: DataFrame) -> DataFrame:
     return shared_tokens
 
 
-def _across(rows: DataFrame, texts: DataFrame, groups: DataFrame, size: int,
+def _across(rows: DataFrame, texts: DataFrame, groups: DataFrame, bits: DataFrame, size: int,
             percent: int) -> DataFrame:
     """``groups`` after all links between sets of different groups, by the token-group matrix.
 
@@ -349,7 +438,7 @@ def _across(rows: DataFrame, texts: DataFrame, groups: DataFrame, size: int,
         now = groups.toDF("r", "now")
         apart = opened.join(now, "r").join(now.toDF("g", "there"), "g").filter(
             "now <> there").select("r", "g", "n", "hits", "least")
-        links = _compared(_candidates(apart, rows, share, percent), texts, size, percent)
+        links = _compared(_candidates(apart, rows, share, percent, bits), texts, size, percent)
         groups = _joined(groups, links)
     forget(opened, rows)
     return groups
@@ -413,22 +502,34 @@ def _opened(rows: DataFrame, percent: int) -> DataFrame:
         "r", "g", "n", F.sort_array("hits")["token"].alias("hits"), "least"), "opened")
 
 
-def _candidates(opened: DataFrame, rows: DataFrame, share: int, percent: int) -> DataFrame:
+def _candidates(opened: DataFrame, rows: DataFrame, share: int, percent: int,
+                bits: DataFrame | None = None) -> DataFrame:
     """(a, b): sets and members of opened groups that may link, one in ``share`` of the members.
 
     A member that holds ``least`` of the hits holds one of any but ``least - 1`` of
     them, so it is met by its rarest ones; tokens that all of a large group share
-    join nothing. Whom a set has met is then compared with all of its hits at once.
+    join nothing. Whom a set has met is then compared with all of its hits at once,
+    and by the parities in ``bits`` (r, bits).
     """
-    members = rows.select("token", F.col("r").alias("m"), F.col("n").alias("mn"), "g")
+    members = rows.select("token", F.col("r").alias("m"), F.col("n").alias("mn"), "g",
+                          F.col("reach").alias("furthest"))
     if share > 1:
         members = members.filter(F.pmod(F.xxhash64("m"), F.lit(share)) == 0)
     rarest = F.slice("hits", 1, F.size("hits") - F.col("least") + 1)
     asked = opened.select("r", "g", "n", F.explode(rarest).alias("token"))
+    # Tokens count up to what this member's size asks for, which may be more than the group's.
     pairs = asked.join(members, ["token", "g"]).filter(
-        _near_size(F.col("n"), F.col("mn"), percent)).select("r", "g", "m").distinct()
+        _near_size(F.col("n"), F.col("mn"), percent)
+        & (F.col("furthest") >= _needed(F.col("n"), F.col("mn"), percent))
+    ).select("r", "g", "m").distinct()
     own = members.groupBy("m").agg(F.collect_list("token").alias("own"), F.min("mn").alias("mn"))
-    met = pairs.join(opened.select("r", "g", "n", "hits"), ["r", "g"]).join(own, "m").withColumn(
+    asking = opened.select("r", "g", "n", "hits")
+    near = F.lit(True)
+    if bits is not None:
+        asking = asking.join(bits, "r")
+        own = own.join(bits.toDF("m", "others"), "m")
+        near = _near_bits(F.col("n"), F.col("mn"), "bits", "others", percent)
+    met = pairs.join(asking, ["r", "g"]).join(own, "m").filter(near).withColumn(
         "hits", F.size(F.array_intersect("hits", "own")))
     least = _least_hits(F.col("n"), F.col("mn"), F.col("mn"), percent)
     return met.filter(F.col("hits") >= least).select(
@@ -462,7 +563,7 @@ def _linked(docs: DataFrame, size: int, percent: int, id_column: str,
     sets = sketches.filter(F.col("n").isNotNull())
     reps = sets.filter("n > 0").groupBy("s").agg(
         F.min(F.struct("id", "h")).alias("one"), F.min("id").alias("least_id"),
-        F.first("n").alias("n"), F.first("mins").alias("mins"))
+        F.first("n").alias("n"), F.first("mins").alias("mins"), F.first("bits").alias("bits"))
     # Copies, by far fewer than texts as a rule, are taken out where the texts lie.
     copies = stored(sets.filter("n > 0").join(reps.select("s", "one"), "s").filter(
         ~F.col("id").eqNullSafe(F.col("one.id")) | (F.col("h") != F.col("one.h"))
@@ -484,7 +585,7 @@ def _linked(docs: DataFrame, size: int, percent: int, id_column: str,
     numbered = texts.join(lookup_side(joined), "r", "left").select(
         "r", F.coalesce("off", F.lit(0)).alias("off"), "t")
     rows = _prefixes(numbered, _frequent(sketches), size, percent)
-    groups = _across(rows, texts, groups, size, percent)
+    groups = _across(rows, texts, groups, reps.select("r", "bits"), size, percent)
     forget(copies, all_texts, spare)
     named = reps.select("s", "r", "least_id").join(groups.withColumnRenamed("g", "c"), "r")
     names = named.groupBy("c").agg(F.min("least_id").alias("component_id"))

@@ -365,6 +365,43 @@ def test_jaccard_join_keeps_no_words_after_a_task(spark, monkeypatch):
     assert not jaccard_join._hashes and min(ends) >= 2
 
 
+def test_sets_of_many_texts_are_sets_of_shingles():
+    texts = [t if isinstance(t, str) else "" for t in ODD] + [
+        "A\x0bB\x0cC\r\nD E f\x1cg\x85h\xa0i j", "x" * 64 + " " + "x" * 65 + " y" * 9,
+        *near_copies(4, 20, 60, 9)]
+    words = [text.encode().lower().split() for text in texts]
+    wanted = [{tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    tokens, sizes = jaccard_join.shingle_sets(pa.array(["before", *texts]).slice(1))
+    found = [set(part.tolist()) for part in np.split(tokens, np.cumsum(sizes)[:-1])]
+    assert sizes.tolist() == list(map(len, found)) == list(map(len, wanted))
+    assert [len(a & b) for a in found for b in found] == [len(a & b) for a in wanted for b in wanted]
+
+
+def test_jaccard_join_looks_at_bounded_slices(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TOGETHER", 4)
+    monkeypatch.setattr(jaccard_join, "TOGETHER_BYTES", 100)
+    texts = ["x" * n for n in (0, 0, 0, 0, 0, 60, 30, 60, 500, 1, 99, 100, 101, 0)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"])
+    parts = [part.column(0).to_pylist() for part in jaccard_join._some(batch, 0)]
+    assert sum(parts, []) == texts
+    assert all(len(p) <= 4 and (len(p) == 1 or sum(map(len, p)) <= 100) for p in parts)
+    assert len(parts) == 8
+
+
+def test_members_whose_parities_are_too_far_are_not_met(spark):
+    rows = spark.createDataFrame([(token, r, 0 if r < 30 else 100, 96, 90) for token in range(5)
+                                  for r in [*range(30), 100]],
+                                 "token bigint, r bigint, g bigint, n int, reach int")
+    opened = spark.createDataFrame([(100, 0, 96, [0, 1, 2, 3, 4], 5)],
+                                   "r bigint, g bigint, n int, hits array<bigint>, least int")
+    # Sets of 96 that link differ by 26 tokens at most.
+    bits = spark.createDataFrame([(100, [0, 0])] + [(r, [(1 << 20) - 1, (1 << r) - 1])
+                                                    for r in range(30)],
+                                 "r bigint, bits array<bigint>")
+    found = jaccard_join._candidates(opened, rows, 1, 75, bits).collect()
+    assert sorted(map(tuple, found)) == [(100, r) for r in range(7)]
+
+
 def test_language_model_lays_a_slice_at_a_time(monkeypatch):
     monkeypatch.setattr(suffix_tree_lm, "SLICE", 50)
     laid, lay = [], suffix_tree_lm._laid
