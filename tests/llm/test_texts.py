@@ -12,11 +12,13 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from adlumen.llm import (
     decontaminate, jaccard_join, pii, piece_codec, suffix_dedup, suffix_tree_lm, toxicity,
 )
 from adlumen.llm.boosting import Boosted
+from adlumen.llm.common import stored
 from adlumen.llm.components import components
 from adlumen.llm.jaccard_join import keep_one_of_each, link_documents
 from adlumen.llm.piece_codec import digests, encode_documents, load
@@ -116,6 +118,31 @@ def test_windows_shown_by_neighbours_are_counted_and_not_joined(spark):
     assert [r.pid for r in found.collect()] == [7]
 
 
+def test_windows_that_the_neighbour_before_counts_are_counted_once(spark, rows):
+    draw = random.Random(8)
+    passage = "".join(draw.choice("abcd") for _ in range(60))
+    # Each text ends the passage elsewhere, so that neighbours share all but some windows.
+    texts = ["".join(draw.choice("efgh") for _ in range(9)) + passage[k % 7:60 - k % 11]
+             + "".join(draw.choice("efgh") for _ in range(9)) for k in range(60)]
+    docs = rows(texts).select(F.col("doc_id").alias("id"), F.lit(0).cast("bigint").alias("h"),
+                              F.col("text").alias("t"))
+    found = suffix_dedup._anchor_rows(docs, 20, 10)
+    wanted = found.select(F.col("id").alias("wid"), F.col("h").alias("wh"), "at", "gram",
+                          F.lit(True).alias("own"))
+    around = stored(suffix_dedup._surroundings(docs, wanted, 20, 10), "around")
+    told = [suffix_dedup._sorted_neighbours(around, 20, 10, way)[0] for way in (True, False)]
+    met = suffix_dedup._met_anchors(around, told, 20)
+    counted = suffix_dedup._counted(met, met.select(
+        "gram", F.explode(F.sequence("span_low", "span_high")).alias("d")).distinct(), 20, 10)
+    windows = met.select("pid", F.explode(F.sequence("span_low", "span_high")).alias("d"))
+    data = {r.pid: (r.before, r.ahead) for r in around.collect()}
+    held = {(r.d, data[r.pid][0][len(data[r.pid][0]) - r.d:] + data[r.pid][1][:20 - r.d])
+            for r in windows.collect()}
+    kept = counted.collect()
+    assert {(r.d, r.w) for r in kept} == {(d, hashlib.sha256(w).hexdigest()) for d, w in held}
+    assert len(held) <= len(kept) < windows.count() / 4
+
+
 def test_loser_tree_merges_and_knows_common_prefixes():
     draw = random.Random(3)
     runs = [sorted({("".join(draw.choice("ab") for _ in range(draw.randint(0, 9))).encode(), k)
