@@ -5,7 +5,8 @@ is a piece, best score first and leftmost among equals; the best is merged and
 its new neighbours join the agenda, until none is left. What is no piece falls
 back to bytes. Where no piece of the vocabulary crosses from one kind of
 character to another (before word marks, between letters and punctuation), a
-text is cut and its parts are merged one by one, and results met lately are kept.
+text is cut and its parts are merged by themselves, many parts side by side, and results met
+lately are kept.
 The vocabulary comes from the model file; each batch is checked against the
 library: every newly merged part, and every decoded text.
 """
@@ -32,6 +33,8 @@ MARK = "▁"  # stands for a space inside pieces
 # most occur in one text only, and some 250 bytes are held for each of twice as many.
 KEPT_PARTS = 200_000
 LISTED = 48  # up to so many characters a list is faster than a heap
+MANY, ROWS = 256, 4096  # from so many parts on they are merged side by side, so many at a time
+_NONE = np.iinfo(np.int32).max  # rank of a pair that is no piece
 _LETTER, _SIGN = r"[^\W_]", r"[\x00-\x2f:-@\[-`{-\x7f]"
 _CROSSING = re.compile(f"{_LETTER}{_SIGN}|{_SIGN}{_LETTER}")
 _FINE = re.compile(f"{MARK}*{_LETTER}++(?={MARK}|{_SIGN}|$)|{MARK}*{_SIGN}++(?={MARK}|{_LETTER}|$)"
@@ -62,12 +65,29 @@ class PieceModel:
             self.parts = None
         else:
             self.parts = _COARSE if any(map(_CROSSING.search, self.ids)) else _FINE
+        self._pair_table()
         self.raw = {i: b"" if lib.is_control(i) else lib.id_to_piece(i).encode() for i in ids}
         self.raw |= {i: bytes([value]) for value, i in self.bytes.items()}
         self.plain = lib.normalize(PROBE) == self._marked(PROBE)
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _pair_table(self) -> None:
+        """Pairs of pieces that make a piece, as sorted numbers; pieces are numbered as listed."""
+        number = {piece: k for k, piece in enumerate(self.ids)}
+        self.listed = np.array(list(self.ids.values()), np.int32)
+        # The piece of each character; others follow, unless they are only known inside a piece.
+        self.single = np.arange(0x110000, dtype=np.int32) + len(number)
+        for char in {char for piece in number for char in piece}:
+            self.single[ord(char)] = number.get(char, -1)
+        self.step = len(number) + 0x110001  # so that no pair with -1 has the number of another
+        pairs = sorted((number[p[:k]] * self.step + number[p[k:]], rank, number[p])
+                       for p, rank in self.rank.items() for k in range(1, len(p))
+                       if p[:k] in number and p[k:] in number)
+        table = np.array(pairs or [(-1, _NONE, 0)], np.int64)
+        self.pairs, self.pair_rank = table[:, 0].copy(), table[:, 1].astype(np.int32)
+        self.pair_piece = table[:, 2].astype(np.int32)
+
     @staticmethod
     def _marked(text: str) -> str:
         return MARK + text.replace(" ", MARK) if text else ""
@@ -86,10 +106,8 @@ class PieceModel:
             known = self.ids.get(symbol)
             if known is not None:
                 found.append(known)
-            elif self.bytes:
-                found.extend(self.bytes[b] for b in symbol.encode())
             else:
-                found.append(self.unknown)
+                found.extend(self._fallen(symbol))
         return found
 
     def _merge_listed(self, symbols: list[str]) -> None:
@@ -131,9 +149,82 @@ class PieceModel:
             if ahead >= 0 and (r := rank(symbols[ahead] + both)) is not None:
                 heappush(agenda, r << 32 | ahead)
 
+    def merge_many(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part as ``merge`` gives them, packed; those of like lengths go together."""
+        merged: list[bytes | None] = [None] * len(parts)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        starts = np.cumsum(sizes) - sizes
+        flat = self.single[np.frombuffer(
+            "".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        plain = np.flatnonzero((sizes <= LISTED) & (np.minimum.reduceat(flat, starts) >= 0))
+        plain = plain[np.argsort(sizes[plain], kind="stable")]
+        for at in range(0, len(plain), ROWS):
+            rows = plain[at:at + ROWS]
+            column = np.arange(sizes[rows[-1]])
+            place = np.minimum(starts[rows, None] + column, len(flat) - 1)
+            ids, counts = self._merge_rows(np.where(column < sizes[rows, None], flat[place], -1))
+            data, ends = ids.tobytes(), (4 * np.cumsum(counts)).tolist()
+            for row, a, b in zip(rows.tolist(), [0, *ends], ends):
+                merged[row] = data[a:b]
+        return [array("i", self.merge(part)).tobytes() if ids is None else ids
+                for part, ids in zip(parts, merged)]
+
+    def _made(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and number of the piece that two make, for many; _NONE where there is none."""
+        pair = left.astype(np.int64) * self.step + right
+        where = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return (np.where(self.pairs[where] == pair, self.pair_rank[where], _NONE),
+                self.pair_piece[where])
+
+    def _merge_rows(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids that the pieces of each row merge to, end to end, and how many each row has.
+
+        ``rows`` holds numbers of pieces, -1 after a row's end. The agenda has the rank of
+        each symbol with its right neighbour; each turn merges the best of every row.
+        """
+        count, width = rows.shape[0], rows.shape[1] + 1
+        symbols = np.concatenate([rows, np.full((count, 1), -1)], axis=1).astype(np.int32).ravel()
+        after = np.arange(1, len(symbols) + 1)
+        before = np.arange(-1, len(symbols) - 1)
+        before[::width] += width  # what stands before a row is the -1 at its end
+        ranks, into = self._made(symbols, np.r_[symbols[1:], np.int32(-1)])
+        agenda, live = ranks.reshape(count, width), np.arange(count)
+        while len(live):
+            now = agenda[live]
+            column = now.argmin(axis=1)
+            more = now[np.arange(len(live)), column] < _NONE
+            live = live[more]
+            i = live * width + column[more]
+            gone = after[i]
+            beyond, ahead = after[gone], before[i]
+            symbols[i], symbols[gone], ranks[gone] = into[i], -1, _NONE
+            after[i], before[beyond] = beyond, i
+            left = np.concatenate([i, ahead])
+            ranks[left], into[left] = self._made(
+                symbols[left], symbols[np.concatenate([beyond, i])])
+        there = np.flatnonzero(symbols >= 0)
+        found = symbols[there]
+        others = np.flatnonzero(found >= len(self.listed))
+        if not len(others):
+            return self.listed[found], np.bincount(there // width, minlength=count)
+        chars, which = np.unique(found[others] - len(self.listed), return_inverse=True)
+        known = [self._fallen(chr(char)) for char in chars.tolist()]
+        sizes = np.ones(len(found), np.int64)
+        sizes[others] = np.array([len(ids) for ids in known])[which]
+        found[others] = 0
+        ids = np.repeat(self.listed[found], sizes)
+        ids[np.repeat(np.isin(np.arange(len(found)), others), sizes)] = np.concatenate(
+            [known[k] for k in which.tolist()])
+        return ids, np.bincount(there // width, sizes, count).astype(np.int64)
+
+    def _fallen(self, symbol: str) -> list[int]:
+        """Ids of what is no piece."""
+        return [self.bytes[b] for b in symbol.encode()] if self.bytes else [self.unknown]
+
     def _asked(self, parts: list[str]) -> list[list[int]]:
         """What the library says of each part, behind a character it cannot merge with."""
-        before = [["", "a", ","][(p[0] != MARK) * (1 + bool(re.match(_LETTER, p)))] for p in parts]
+        letter = re.compile(_LETTER).match
+        before = ["" if p[0] == MARK else "," if letter(p) else "a" for p in parts]
         known = {x: len(self.library.encode(x)) for x in ("", "a", ",")}
         asked = [x + p[x == "":] for x, p in zip(before, parts)]
         found = self.library.encode(asked, num_threads=1) if asked else []
@@ -150,9 +241,11 @@ class PieceModel:
         met = [p for p in dict.fromkeys(chain.from_iterable(parts)) if p not in self.kept]
         self.kept.update((p, self.older[p]) for p in met if p in self.older)
         new = [p for p in met if p not in self.kept]
-        merged = list(map(self.merge, new))
-        wrong = {p for p, ids, theirs in zip(new, merged, self._asked(new)) if ids != theirs}
-        self.kept.update((p, array("i", ids).tobytes()) for p, ids in zip(new, merged))
+        merged = (self.merge_many(new) if len(new) >= MANY
+                  else [array("i", self.merge(p)).tobytes() for p in new])
+        wrong = {p for p, ids, theirs in zip(new, merged, self._asked(new))
+                 if ids != array("i", theirs).tobytes()}
+        self.kept.update(zip(new, merged))
         encoded, agrees = [], []
         for text, own_parts in zip(texts, parts):
             sure = not wrong or wrong.isdisjoint(own_parts)

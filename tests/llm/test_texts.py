@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from array import array
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -62,6 +63,26 @@ def test_heap_and_list_merge_alike():
         assert one == [s for s in other if s]
 
 
+def test_parts_merge_side_by_side_as_one_by_one(monkeypatch):
+    pieces = piece_codec.PieceModel(MODEL)
+    draw = random.Random(6)
+    parts = ["\u2581" + "".join(draw.choice("abcdeinorst,.\u00e9\u4e2d") for _ in range(draw.randrange(60)))
+             for _ in range(700)] + ["\U0001f9ff\u0378", "x", "\u2581", "aaaaaaa", "\x00a", "a" * 48, "a" * 49]
+    draw.shuffle(parts)
+    wanted = [array("i", pieces.merge(p)).tobytes() for p in parts]
+    monkeypatch.setattr(piece_codec, "ROWS", 64)
+    single = []
+    merge = pieces.merge
+    monkeypatch.setattr(pieces, "merge", lambda part: single.append(part) or merge(part))
+    assert pieces.merge_many(parts) == wanted
+    assert all(len(p) > piece_codec.LISTED for p in single)
+    texts = [prose(k, 300) for k in range(4)]
+    single.clear()
+    found, agrees = pieces.encode_batch(texts)
+    assert [ids.tolist() for ids in found] == pieces.library.encode(texts)
+    assert all(agrees) and not single
+
+
 def test_codec_lets_go_of_parts_not_met_again(monkeypatch):
     monkeypatch.setattr(piece_codec, "KEPT_PARTS", 100)
     pieces = piece_codec.PieceModel(MODEL)
